@@ -27,7 +27,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import gram_hashes, grouped, pack, parts, small_batches, text_bytes, unpack, word_hashes, written
+from . import frequencies
+from .common import gram_hashes, grouped, parts, small_batches, text_bytes, word_hashes, written
 from .components import components
 
 GROUP_BYTES = 8 << 20
@@ -73,31 +74,10 @@ class Sets:
         self.digests = list(index)
         self.flat = np.concatenate(self.sets) if self.sets else np.zeros(0, np.uint64)
 
-    def places(self, shards: int) -> np.ndarray:
-        """Shard and 32 bits of each shingle, in one number; the number of shards grows with the input."""
-        return ((self.flat >> np.uint64(32)) % np.uint64(shards)) << np.uint64(32) | (self.flat & np.uint64(0xFFFFFFFF))
-
 
 def send(t: pa.Table, n: int, shards: int) -> pa.Table:
     """Shingles of a group by shard, with how many of its sets have each."""
-    places, counts = np.unique(Sets(t, n).places(shards), return_counts=True)
-    shard = (places >> np.uint64(32)).astype(np.int64)
-    starts = np.flatnonzero(np.diff(shard, prepend=-1))
-    g = t.column("g")[0].as_py()
-    rest = [pack(np.diff(x.astype(np.uint32), prepend=np.uint32(0))) for x in np.split(places, starts[1:])] if len(starts) else []
-    many = [pack(np.minimum(x, 255).astype(np.uint8)) for x in np.split(counts, starts[1:])] if len(starts) else []
-    return pa.table({"shard": pa.array(shard[starts], pa.int64()), "g": pa.array([g] * len(starts), pa.int64()), "shingles": pa.array(rest, pa.binary()), "counts": pa.array(many, pa.binary())})
-
-
-def classify(t: pa.Table) -> pa.Table:
-    """For each group the classes of the shingles it sent, in their order: 0 for one set, k for 2^k to 2^(k+1) - 1."""
-    sent = [np.cumsum(unpack(x, np.uint32), dtype=np.uint32) for x in t.column("shingles").to_pylist()]
-    counts = [unpack(x, np.uint8) for x in t.column("counts").to_pylist()]
-    _, at = np.unique(np.concatenate(sent), return_inverse=True)
-    total = np.bincount(at, np.concatenate(counts))
-    kind = np.floor(np.log2(total[at])).astype(np.uint8)
-    ends = np.cumsum([len(x) for x in sent])[:-1]
-    return pa.table({"g": t.column("g"), "shard": t.column("shard"), "classes": pa.array([pack(x) for x in np.split(kind, ends)], pa.binary())})
+    return frequencies.send(t.column("g")[0].as_py(), frequencies.places(Sets(t, n).flat, shards))
 
 
 def select(t: pa.Table, back: pa.Table, n: int, shards: int, percent: int) -> pa.Table:
@@ -110,10 +90,8 @@ def select(t: pa.Table, back: pa.Table, n: int, shards: int, percent: int) -> pa
         keys, sizes = sets.keys, sets.sizes
         same = [k if i < 0 else sets.least[i] for k, i in zip(sets.keys, sets.of, strict=True)]
         if len(sets.flat):
-            back = back.sort_by("shard")
-            known = np.concatenate([unpack(x, np.uint8) for x in back.column("classes").to_pylist()])
-            _, at = np.unique(sets.places(shards), return_inverse=True)
-            kinds = np.split(known[at], np.cumsum([len(s) for s in sets.sets])[:-1])
+            _, at = np.unique(frequencies.places(sets.flat, shards), return_inverse=True)
+            kinds = np.split(frequencies.known(back)[at], np.cumsum([len(s) for s in sets.sets])[:-1])
             for s, kind, key, digest in zip(sets.sets, kinds, sets.least, sets.digests, strict=True):
                 shared = int((kind > 0).sum())
                 if 100 * shared < percent * len(s):
@@ -282,8 +260,8 @@ def classes(docs: DataFrame, *, percent: int = 80, n: int = 5, key: str = "doc_i
     _, size = text_bytes(docs, text)
     g = parts(size, GROUP_BYTES)
     dealt = grouped(docs, g, key, text)
-    sent = dealt.groupBy("g").applyInArrow(lambda t: send(t, n, g), "shard long, g long, shingles binary, counts binary")
-    back = sent.groupBy("shard").applyInArrow(classify, "g long, shard long, classes binary")
+    sent = dealt.groupBy("g").applyInArrow(lambda t: send(t, n, g), frequencies.SENT)
+    back = sent.groupBy("shard").applyInArrow(frequencies.classify, frequencies.BACK)
     schema = "kind int, key long, size long, same long, digest binary, set binary, prefix binary"
     found = written(dealt.groupBy("g").cogroup(back.groupBy("g")).applyInArrow(lambda a, b: select(a, b, n, g, percent), schema), "jaccard-sets")
     rows = found.where("kind = 0").select("key", "size", "same")

@@ -5,23 +5,26 @@ of a smaller key. No automaton of a corpus has a size bound, so it isn't broadca
 shard must be matched with is sent to it:
 
 1. Documents are dealt into groups. A task cuts each into spans: runs of windows that have the same least 4-word hash
-   (minimizer). Equal windows have equal minimizers, so the minimizer names the one shard where both must meet. Equal
-   spans of a group travel once, with the group's smallest key: a passage in a third of all documents reaches its shard
-   once from each group.
+   (minimizer). Equal windows have equal minimizers, so the minimizer names the one shard where both must meet. The
+   documents that have each minimizer are counted first, and spans whose minimizer no other document has stay at home.
+   Equal spans of a group travel once, with the group's smallest key: a passage in a third of all documents reaches its
+   shard once from each group.
 2. A shard builds suffix automata over its distinct spans, every state with the smallest key of the texts that reach
    it, and streams the spans through them: the state of a window tells in which document it came first. Spans that
    share no window with another are settled without.
 3. What a shard finds, for spans that some other group had earlier, goes back to the groups, where covered words are
-   removed. The shuffle of the texts by group is the same in 1 and 3, and Spark reuses it.
+   removed. Every pass over the texts reads the one shuffle of them by group.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 
+from . import frequencies
 from .common import gram_hashes, grouped, mixed, pack, parts, small_batches, squeeze, text_bytes, unpack, unsqueeze, word_hashes
 
 GROUP_BYTES = 8 << 20
@@ -47,30 +50,42 @@ def spans(words: list[bytes], window: int) -> tuple[np.ndarray, np.ndarray, np.n
 
 
 class Texts:
-    """Spans of a group's documents: `pieces` of each document, and the smallest key and minimizer by distinct span."""
+    """Spans of a group's documents."""
 
-    def __init__(self, t: pa.Table, window: int) -> None:
+    def __init__(self, t: pa.Table, window: int, shards: int) -> None:
+        self.window = window
         self.keys, self.joined, self.counts = t.column("key").to_pylist(), [], []
-        self.pieces: list[list[bytes]] = []
-        self.cuts: list[tuple[np.ndarray, np.ndarray]] = []
-        self.least: dict[bytes, int] = {}
-        self.minimizer: dict[bytes, int] = {}
+        self.cuts: list[tuple[np.ndarray, ...]] = []
         nothing = np.zeros(0, np.int64)
         for key, text in zip(self.keys, t.column("text").to_pylist(), strict=True):
             words = text.encode().split() if text else []
-            joined = b" ".join(words)
-            self.joined.append(joined)
+            self.joined.append(b" ".join(words))
             self.counts.append(len(words))
             if len(words) < window or key is None:
-                self.pieces.append([])
-                self.cuts.append((nothing, nothing))
+                self.cuts.append((nothing, nothing, nothing.astype(np.uint64), nothing, nothing))
                 continue
             start, end, least = spans(words, window)
             at = np.zeros(len(words) + 1, np.int64)
             np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1, out=at[1:])
-            pieces = [joined[a:b] for a, b in zip(at[start].tolist(), (at[end + window - 1] - 1).tolist(), strict=True)]
+            self.cuts.append((start, end, least, at[start], at[end + window - 1] - 1))
+        self.places = [frequencies.places(c[2], shards) for c in self.cuts]
+
+    def profile(self) -> np.ndarray:
+        """Minimizers of all documents, once for each that has them."""
+        return np.concatenate([*map(np.unique, self.places), np.zeros(0, np.uint64)])
+
+    def read(self, classes: np.ndarray) -> None:
+        """Keep the spans whose minimizer some other document has: `pieces` and `cuts` of each document, and the
+        smallest key and the minimizer by distinct span."""
+        self.least: dict[bytes, int] = {}
+        self.minimizer: dict[bytes, int] = {}
+        self.pieces: list[list[bytes]] = []
+        shared = np.unique(np.concatenate([*self.places, np.zeros(0, np.uint64)]))[classes > 0]
+        for d, (key, at, joined) in enumerate(zip(self.keys, self.places, self.joined, strict=True)):
+            keep = np.isin(at, shared)
+            start, end, least, a, b = self.cuts[d] = tuple(x[keep] for x in self.cuts[d])
+            pieces = [joined[i:j] for i, j in zip(a.tolist(), b.tolist(), strict=True)]
             self.pieces.append(pieces)
-            self.cuts.append((start, end))
             for p, m in zip(pieces, least.tolist(), strict=True):
                 was = self.least.get(p)
                 if was is None:
@@ -79,19 +94,27 @@ class Texts:
                     self.least[p] = key
 
 
-def send(t: pa.Table, window: int, shards: int) -> pa.Table:
+def profile(t: pa.Table, window: int, shards: int) -> pa.Table:
+    return frequencies.send(t.column("g")[0].as_py(), Texts(t, window, shards).profile())
+
+
+def send(t: pa.Table, back: pa.Table, window: int, shards: int) -> pa.Table:
     """A row for each shard that this group has spans for."""
-    texts = Texts(t, window)
-    lines = list(texts.least)
-    least = np.fromiter(texts.least.values(), np.int64, len(lines))
-    minimizer = np.fromiter((texts.minimizer[p] for p in lines), np.uint64, len(lines))
-    shard = (mixed(minimizer) % np.uint64(shards)).astype(np.int64)
-    order = np.argsort(shard, kind="stable")
-    cut = np.flatnonzero(np.diff(shard[order], prepend=-1))
-    g = t.column("g")[0].as_py()
+    lines: list[bytes] = []
+    if t.num_rows:
+        texts = Texts(t, window, shards)
+        texts.read(frequencies.known(back))
+        lines = list(texts.least)
     rows = []
-    for rows_of in np.split(order, cut[1:]) if len(order) else []:
-        rows.append((int(shard[rows_of[0]]), g, squeeze(b"\n".join([lines[i] for i in rows_of.tolist()])), pack(least[rows_of]), pack(minimizer[rows_of].astype(np.uint32))))
+    if lines:
+        g = t.column("g")[0].as_py()
+        least = np.fromiter(texts.least.values(), np.int64, len(lines))
+        minimizer = np.fromiter((texts.minimizer[p] for p in lines), np.uint64, len(lines))
+        shard = (mixed(minimizer) % np.uint64(shards)).astype(np.int64)
+        order = np.argsort(shard, kind="stable")
+        cut = np.flatnonzero(np.diff(shard[order], prepend=-1))
+        for rows_of in np.split(order, cut[1:]):
+            rows.append((int(shard[rows_of[0]]), g, squeeze(b"\n".join([lines[i] for i in rows_of.tolist()])), pack(least[rows_of]), pack(minimizer[rows_of].astype(np.uint32))))
     cols = [*zip(*rows, strict=True)] or [[]] * 5
     return pa.table([pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary()), strict=True)], ["shard", "g", "lines", "least", "minimizer"])
 
@@ -226,22 +249,24 @@ def match(t: pa.Table, window: int) -> pa.Table:
     return pa.table([pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.binary(), pa.binary(), pa.binary()), strict=True)], ["g", "digests", "counts", "keys"])
 
 
-def remove(t: pa.Table, back: pa.Table, window: int, as_was: bool) -> pa.Table:
+def remove(t: pa.Table, back: pa.Table, window: int, shards: int, as_was: bool) -> pa.Table:
     """Rows of a group with n_words, n_removed and the kept words; as_was: a text that loses nothing stays unchanged."""
-    texts = Texts(t, window) if t.num_rows else None
+    texts = Texts(t, window, shards) if t.num_rows else None
     told: dict[bytes, np.ndarray] = {}
-    for digests, counts, keys in zip(*(back.column(c).to_pylist() for c in ("digests", "counts", "keys")), strict=True):
+    found = back.filter(pc.is_valid(back.column("digests")))
+    for digests, counts, keys in zip(*(found.column(c).to_pylist() for c in ("digests", "counts", "keys")), strict=True):
         digests, counts = unsqueeze(digests), unpack(counts, np.uint32)
         for i, k in enumerate(np.split(unpack(keys, np.int64), counts.cumsum()[:-1])):
             told[digests[16 * i : 16 * i + 16]] = k
     removed, kept = [], []
     if texts:
+        texts.read(frequencies.known(back.filter(pc.is_valid(back.column("classes")))))
         earlier: dict[bytes, np.ndarray] = {}
         if told:
             for p in texts.least:
                 if (k := told.get(xxhash.xxh3_128_digest(p))) is not None:
                     earlier[p] = k
-        for key, pieces, (start, end), joined, n in zip(texts.keys, texts.pieces, texts.cuts, texts.joined, texts.counts, strict=True):
+        for key, pieces, (start, end, *_), joined, n in zip(texts.keys, texts.pieces, texts.cuts, texts.joined, texts.counts, strict=True):
             own = [texts.least[p] < key or p in earlier for p in pieces]
             if not any(own):
                 removed.append(0)
@@ -281,8 +306,11 @@ def dedup(docs: DataFrame, *, window: int = 13, key: str = "doc_id", text: str =
     n = parts(size, GROUP_BYTES)
     kinds = dict(docs.dtypes)
     dealt = grouped(docs, n, key, text, *carry)
-    sent = dealt.select("g", "key", "text").groupBy("g").applyInArrow(lambda t: send(t, window, n), "shard long, g long, lines binary, least binary, minimizer binary")
+    # all three passes read the texts by one shuffle: the plans below it are the same
+    met = dealt.groupBy("g").applyInArrow(lambda t: profile(t, window, n), frequencies.SENT).groupBy("shard").applyInArrow(frequencies.classify, frequencies.BACK)
+    sent = dealt.groupBy("g").cogroup(met.groupBy("g")).applyInArrow(lambda a, b: send(a, b, window, n), "shard long, g long, lines binary, least binary, minimizer binary")
     back = sent.groupBy("shard").applyInArrow(lambda t: match(t, window), "g long, digests binary, counts binary, keys binary")
     schema = ", ".join(["key long", *(f"`c_{c}` {kinds[c]}" for c in carry), "n_words long, n_removed long, kept string"])
-    out = dealt.groupBy("g").cogroup(back.groupBy("g")).applyInArrow(lambda a, b: remove(a, b, window, as_was), schema)
+    told = back.unionByName(met, allowMissingColumns=True)
+    out = dealt.groupBy("g").cogroup(told.groupBy("g")).applyInArrow(lambda a, b: remove(a, b, window, n, as_was), schema)
     return out.toDF(key, *carry, "n_words", "n_removed", "kept")
