@@ -80,9 +80,9 @@ class Texts:
         self.least: dict[bytes, int] = {}
         self.minimizer: dict[bytes, int] = {}
         self.pieces: list[list[bytes]] = []
-        shared = np.unique(np.concatenate([*self.places, np.zeros(0, np.uint64)]))[classes > 0]
-        for d, (key, at, joined) in enumerate(zip(self.keys, self.places, self.joined, strict=True)):
-            keep = np.isin(at, shared)
+        _, at = np.unique(np.concatenate([*self.places, np.zeros(0, np.uint64)]), return_inverse=True)
+        shared = np.split(classes[at] > 0, np.cumsum([len(x) for x in self.places])[:-1])
+        for d, (key, keep, joined) in enumerate(zip(self.keys, shared, self.joined, strict=True)):
             start, end, least, a, b = self.cuts[d] = tuple(x[keep] for x in self.cuts[d])
             pieces = [joined[i:j] for i, j in zip(a.tolist(), b.tolist(), strict=True)]
             self.pieces.append(pieces)
