@@ -1,0 +1,54 @@
+"""Readers: line-delimited JSON, one document per session, arrays shared by sessions."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from threadloom.operators.ordered import number_lines
+
+
+def read_jsonl(spark: SparkSession, roots: list[str], kind: str, *, archived: bool = False) -> DataFrame:
+    """Every line of *.jsonl below the roots, numbered in its file; blank lines count but give no row. `record` is null
+    where a line is no JSON: `parse_errors` finds those."""
+    lines = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.jsonl").option("lineSep", "\n").text(roots)
+    raw = lines.select(F.col("_metadata.file_path").alias("file_path"), F.col("_metadata.file_block_start").alias("block_start"), F.col("_metadata.file_size").alias("file_size"), F.col("_metadata.file_modification_time").alias("file_mtime"), F.regexp_replace("value", "\r$", "").alias("raw"))
+    numbered = number_lines(raw).drop("block_start").where(F.trim("raw") != "")
+    return numbered.withColumn("record", F.try_parse_json("raw")).withColumn("source_kind", F.lit(kind)).withColumn("archived", F.lit(archived))
+
+
+def read_documents(spark: SparkSession, roots: list[str], kind: str) -> DataFrame:
+    """One JSON document per file; files without sessionId or id are left out."""
+    files = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.json").option("wholetext", "true").text(roots)
+    out = files.select(F.col("_metadata.file_path").alias("file_path"), F.try_parse_json("value").alias("record"))
+    text = lambda path: F.try_variant_get("record", path, "string")
+    return out.withColumn("id", F.coalesce(text("$.sessionId"), text("$.id"))).where("id IS NOT NULL").withColumn("timestamp", F.coalesce(text("$.startedAt"), text("$.createdAt"), text("$.timestamp"))).withColumn("cwd", F.coalesce(text("$.projectPath"), text("$.cwd"))).withColumn("source_kind", F.lit(kind))
+
+
+def read_array_logs(spark: SparkSession, roots: list[str]) -> DataFrame:
+    """Elements of every logs.json, with their place; elements without sessionId are left out."""
+    files = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "logs.json").option("wholetext", "true").text(roots)
+    files.select(F.col("_metadata.file_path").alias("file_path"), F.try_parse_json("value").alias("doc")).createOrReplaceTempView("_array_logs")
+    out = spark.sql("SELECT file_path, e.pos AS line_number, e.value AS record FROM _array_logs, LATERAL variant_explode(doc) e")
+    return out.withColumn("id", F.try_variant_get("record", "$.sessionId", "string")).where("id IS NOT NULL")
+
+
+def parse_errors(records: DataFrame) -> DataFrame:
+    return records.where("record IS NULL")
+
+
+def file_manifest(files: DataFrame) -> DataFrame:
+    return files.select("file_path", "file_size", "file_mtime").distinct()
+
+
+def messages(records: DataFrame) -> DataFrame:
+    """role, text and type of JSONL records with plain text: typed envelopes and messages whose content is a string or
+    an array of text blocks. Records without text give no row."""
+    get = lambda path: F.try_variant_get("record", path, "string")
+    blocks = F.from_json(F.coalesce(get("$.message.content"), get("$.payload.content")), "array<struct<type string, text string, thinking string>>")
+    parts = F.array_join(F.filter(F.transform(blocks, lambda b: F.coalesce(b["text"], b["thinking"])), lambda s: s != ""), "\n\n")
+    plain = F.coalesce(get("$.message.content"), get("$.payload.content"), get("$.payload.message"), get("$.message"), get("$.payload.output"), get("$.payload.arguments"), get("$.error"), get("$.result"))
+    subtype = F.coalesce(get("$.payload.type"), get("$.type"))
+    by_type = F.when(subtype == "user_message", "user").when(subtype.isin("agent_message", "model"), "assistant").when(F.startswith(subtype, F.lit("tool_")) | F.startswith(subtype, F.lit("function_")), "tool").when(subtype.isin("error", "result"), "system").otherwise("unknown")
+    out = records.select("file_path", "line_number", F.coalesce(get("$.message.role"), get("$.payload.role"), get("$.role"), F.when(get("$.type").isin("user", "assistant"), get("$.type")), by_type).alias("role"), F.coalesce(F.nullif(parts, F.lit("")), plain).alias("text"), get("$.timestamp").alias("timestamp"), get("$.type").alias("source_type"), subtype.alias("source_subtype"))
+    return out.where(F.trim(F.coalesce("text", F.lit(""))) != "")
