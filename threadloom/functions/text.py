@@ -14,6 +14,11 @@ def squeeze(c: Column) -> Column:
     return F.trim(F.regexp_replace(c, SPACE, " "))
 
 
+def strip(c: Column) -> Column:
+    """Without Unicode white space at the ends."""
+    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+
+
 def compact(c: Column, n: int) -> Column:
     """At most n characters of squeezed text; a cut one ends in three dots."""
     s = squeeze(c)
