@@ -4,7 +4,7 @@ import random
 from pyspark.sql import functions as F
 
 from threadloom.functions import text as T
-from threadloom.operators import edit, ordered
+from threadloom.operators import edit, normalize, ordered, summary
 from threadloom.schemas import Columns
 from threadloom.sources import logs
 
@@ -48,7 +48,9 @@ def test_jsonl_is_numbered_and_read(spark, tmp_path):
     records = logs.read_jsonl(spark, [str(tmp_path)], "codex")
     assert sorted(r.line_number for r in records.collect()) == [1, 3, 4, 5]
     assert [r.line_number for r in logs.parse_errors(records).collect()] == [5]
-    got = sorted((r.line_number, r.role, r.text) for r in logs.messages(records).collect())
+    one = summary.summarize_records(records, normalize.normalize(records)).first()
+    assert (one.session_key, one.title, one.preview_text, one.event_count, one.message_count, one.role_counts) == ("codex:s-1", "fix it", "done", 3, 2, {"user": 1, "assistant": 1})
+    got = sorted((r.line_number, r.role, r.text) for r in normalize.normalize(records).collect())
     assert got == [(3, "user", "fix it"), (4, "assistant", "done")]
 
 

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from threadloom.operators.ordered import number_lines
+from threadloom.functions import text as T
+from threadloom.functions import variants as V
+from threadloom.operators.ordered import contiguous_prefix, number_lines
 
 
 def read_jsonl(spark: SparkSession, roots: list[str], kind: str, *, archived: bool = False) -> DataFrame:
@@ -21,8 +23,10 @@ def read_documents(spark: SparkSession, roots: list[str], kind: str) -> DataFram
     """One JSON document per file; files without sessionId or id are left out."""
     files = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.json").option("wholetext", "true").text(roots)
     out = files.select(F.col("_metadata.file_path").alias("file_path"), F.try_parse_json("value").alias("record"))
-    text = lambda path: F.try_variant_get("record", path, "string")
-    return out.withColumn("id", F.coalesce(text("$.sessionId"), text("$.id"))).where("id IS NOT NULL").withColumn("timestamp", F.coalesce(text("$.startedAt"), text("$.createdAt"), text("$.timestamp"))).withColumn("cwd", F.coalesce(text("$.projectPath"), text("$.cwd"))).withColumn("source_kind", F.lit(kind))
+    text = lambda path: V.string_at(F.col("record"), path)
+    stamp = lambda path: F.coalesce(text(path), F.when(V.is_kind(V.at(F.col("record"), path), "BIGINT"), F.try_variant_get("record", path, "string")))
+    time = T.epoch_or_text(F.coalesce(stamp("$.startedAt"), stamp("$.createdAt"), stamp("$.timestamp")))
+    return out.withColumn("id", F.coalesce(text("$.sessionId"), text("$.id"))).where("id IS NOT NULL").withColumn("timestamp", time).withColumn("cwd", F.coalesce(text("$.projectPath"), text("$.cwd"))).withColumn("source_kind", F.lit(kind))
 
 
 def read_array_logs(spark: SparkSession, roots: list[str]) -> DataFrame:
@@ -41,14 +45,89 @@ def file_manifest(files: DataFrame) -> DataFrame:
     return files.select("file_path", "file_size", "file_mtime").distinct()
 
 
-def messages(records: DataFrame) -> DataFrame:
-    """role, text and type of JSONL records with plain text: typed envelopes and messages whose content is a string or
-    an array of text blocks. Records without text give no row."""
-    get = lambda path: F.try_variant_get("record", path, "string")
-    blocks = F.from_json(F.coalesce(get("$.message.content"), get("$.payload.content")), "array<struct<type string, text string, thinking string>>")
-    parts = F.array_join(F.filter(F.transform(blocks, lambda b: F.coalesce(b["text"], b["thinking"])), lambda s: s != ""), "\n\n")
-    plain = F.coalesce(get("$.message.content"), get("$.payload.content"), get("$.payload.message"), get("$.message"), get("$.payload.output"), get("$.payload.arguments"), get("$.error"), get("$.result"))
-    subtype = F.coalesce(get("$.payload.type"), get("$.type"))
-    by_type = F.when(subtype == "user_message", "user").when(subtype.isin("agent_message", "model"), "assistant").when(F.startswith(subtype, F.lit("tool_")) | F.startswith(subtype, F.lit("function_")), "tool").when(subtype.isin("error", "result"), "system").otherwise("unknown")
-    out = records.select("file_path", "line_number", F.coalesce(get("$.message.role"), get("$.payload.role"), get("$.role"), F.when(get("$.type").isin("user", "assistant"), get("$.type")), by_type).alias("role"), F.coalesce(F.nullif(parts, F.lit("")), plain).alias("text"), get("$.timestamp").alias("timestamp"), get("$.type").alias("source_type"), subtype.alias("source_subtype"))
-    return out.where(F.trim(F.coalesce("text", F.lit(""))) != "")
+def read_history(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """file_path, line_number, id, timestamp, display, project, pasted_contents (JSON), parse_error of every line of the
+    prompt history; a line that is no JSON, a blank one too, has nothing but its raw text and parse_error."""
+    lines = spark.read.option("lineSep", "\n").text(paths)
+    raw = lines.select(F.col("_metadata.file_path").alias("file_path"), F.col("_metadata.file_block_start").alias("block_start"), F.regexp_replace("value", "\r$", "").alias("raw"))
+    r = F.try_parse_json("raw")
+    return history_rows(number_lines(raw).drop("block_start").withColumn("record", r))
+
+
+def history_rows(lines: DataFrame) -> DataFrame:
+    """Prompt-history rows of numbered lines (file_path, line_number, raw, record)."""
+    r = F.col("record")
+    millis = F.when(V.is_kind(V.at(r, "$.timestamp"), "BIGINT") | V.is_kind(V.at(r, "$.timestamp"), "DECIMAL"), F.try_variant_get(r, "$.timestamp", "string"))
+    stamp = T.epoch_or_text(F.coalesce(V.string_at(r, "$.timestamp"), millis))
+    id_ = F.when(V.at(r, "$.sessionId").isNotNull(), V.string_at(r, "$.sessionId")).otherwise(V.string_at(r, "$.session_id"))
+    return lines.select(
+        "file_path", "line_number", "raw", id_.alias("id"), stamp.alias("timestamp"), V.string_at(r, "$.display").alias("display"),
+        V.string_at(r, "$.project").alias("project"), F.coalesce(F.to_json(V.at(r, "$.pastedContents")), F.lit("{}")).alias("pasted_contents"), r.isNull().alias("parse_error"),
+    )
+
+
+def document_records(docs: DataFrame) -> DataFrame:
+    """file_path, line_number (the place, from 0), record of the entries of session documents; of a document without
+    entries its prompt or message is the one entry, a user's."""
+    entries = F.try_variant_get("record", "$.entries", "array<variant>")
+    has = V.is_kind(V.at(F.col("record"), "$.entries"), "ARRAY")
+    many = docs.where(has).select("file_path", "id", F.posexplode(entries).alias("line_number", "record"))
+    prompt = V.first_string(F.col("record"), "$.prompt", "$.message")
+    made = F.parse_json(F.to_json(F.struct(F.lit("legacy").alias("type"), F.col("timestamp"), F.struct(F.lit("user").alias("role"), prompt.alias("content")).alias("message"))))
+    one = docs.where(~has & prompt.isNotNull()).select("file_path", "id", F.lit(0).alias("line_number"), made.alias("record"))
+    return many.unionByName(one).withColumn("line_number", F.col("line_number").cast("long"))
+
+
+def read_artifacts(spark: SparkSession, roots: list[str]) -> DataFrame:
+    """Messages of the artifact files of `<root>/antigravity/brain/<session>/`: see `artifact_messages`."""
+    dirs = [f"{r.rstrip('/')}/antigravity/brain/*/*" for r in roots]
+    files = spark.read.format("binaryFile").load(dirs)
+    parts = F.split("path", "/")
+    text = F.make_valid_utf8(F.col("content").cast("string"))
+    return artifact_messages(files.select(F.element_at(parts, -2).alias("session"), F.element_at(parts, -1).alias("name"), text.alias("content")))
+
+
+def attach_sidecar(files: DataFrame) -> DataFrame:
+    """Files (session, name, content) with the time that `<name>.metadata.json` beside them says; '' without one."""
+    ending = ".metadata.json"
+    meta = F.try_parse_json("content")
+    stamp = F.coalesce(V.string_at(meta, "$.updatedAt"), F.when(V.is_kind(V.at(meta, "$.updatedAt"), "BIGINT"), F.try_variant_get(meta, "$.updatedAt", "string")))
+    side = files.where(F.endswith("name", F.lit(ending))).select("session", F.expr(f"left(name, length(name) - {len(ending)})").alias("name"), T.epoch_or_text(stamp).alias("timestamp"))
+    return files.join(side, ["session", "name"], "left").withColumn("timestamp", F.coalesce("timestamp", F.lit("")))
+
+
+def artifact_messages(files: DataFrame, *, fragments_are_prompts: bool = False, max_chars: int = 20_000) -> DataFrame:
+    """session, name, part, role, text, timestamp from files (session, name, content).
+
+    A file is a user's message (part -1) unless its name marks it as metadata, an answer or an upload. Answers of
+    `name` are `name.resolved` (part 0) and `name.resolved.0`, `.1`, … (parts 1, 2, …) up to the first gap. Blank files
+    give no row; a file is a prompt as well if `fragments_are_prompts`, even where it is a fragment of an answer.
+    """
+    text = T.strip(F.left("content", F.lit(max_chars)))
+    sound = files.where(T.valid_session_id(F.col("session")))
+    fragment = F.regexp_extract("name", r"^(.*)\.resolved\.(\d+)$", 2)
+    prompt = ~F.endswith("name", F.lit(".metadata.json")) & ~F.endswith("name", F.lit(".resolved")) & ~F.startswith(F.lower("name"), F.lit("uploaded_"))
+    asks = attach_sidecar(sound).where(prompt if fragments_are_prompts else prompt & (fragment == ""))
+    asked = asks.select("session", "name", F.lit(-1).cast("long").alias("part"), F.lit("user").alias("role"), text.alias("text"), "timestamp")
+    base = F.regexp_extract("name", r"^(.*)\.resolved(\.\d+)?$", 1)
+    answers = sound.where(F.endswith("name", F.lit(".resolved")) | (fragment != "")).select("session", base.alias("name"), F.when(fragment != "", fragment.try_cast("long")).alias("idx"), text.alias("text"))
+    whole = answers.where("idx IS NULL").withColumn("part", F.lit(0).cast("long"))
+    run = contiguous_prefix(answers.where("idx IS NOT NULL").withColumn("_file", F.struct("session", "name")), "_file", "idx").withColumn("part", F.col("idx") + 1)
+    given = whole.select("session", "name", "part", "text").unionByName(run.select("session", "name", "part", "text")).join(asks.select("session", "name").distinct(), ["session", "name"], "left_semi")
+    out = asked.unionByName(given.select("session", "name", "part", F.lit("assistant").alias("role"), "text", F.lit("").alias("timestamp")))
+    return out.where(F.col("text") != "")
+
+
+def read_threads(df: DataFrame) -> DataFrame:
+    """id, provider of a thread table, a null provider as ''; a table without these columns is refused."""
+    lacking = {"id", "model_provider"} - set(df.columns)
+    if lacking:
+        raise ValueError(f"thread table without {', '.join(sorted(lacking))}")
+    return df.select("id", F.coalesce("model_provider", F.lit("")).alias("provider"))
+
+
+def scan_assignments(records: DataFrame) -> DataFrame:
+    """path, line_number, session_id, provider of the session_meta lines that name a provider."""
+    r = F.col("record")
+    out = records.where(V.string_at(r, "$.type") == "session_meta").select(F.col("file_path").alias("path"), "line_number", V.string_at(r, "$.payload.id").alias("session_id"), V.string_at(r, "$.payload.model_provider").alias("provider"))
+    return out.where("provider IS NOT NULL")
