@@ -27,7 +27,7 @@ def compact(c: Column, n: int) -> Column:
 
 def compact_title(c: Column, n: int) -> Column:
     """The first line that isn't blank, without leading # and then >."""
-    line = F.element_at(F.filter(F.split(c, "\n"), lambda x: squeeze(x) != ""), 1)
+    line = F.get(F.filter(F.split(c, "\n"), lambda x: squeeze(x) != ""), F.lit(0))
     return compact(F.coalesce(F.regexp_replace(F.regexp_replace(squeeze(line), "^#+", ""), r"^\s*>+", ""), F.lit("")), n)
 
 

@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Providers that are never relabelled.
-PROTECTED = ("anthropic", "google", "openai", "custom")
+from threadloom.functions import text as T
+from threadloom.functions import variants as V
+
+#: Providers that come with a client. Neither they nor `custom` are ever relabelled.
+BUILTIN = ("amazon-bedrock", "azure", "lmstudio", "ollama", "ollama-chat", "openai", "oss")
+PROTECTED = (*BUILTIN, "custom")
 
 
 def redact_sessions(df: DataFrame, keys: DataFrame, on: list[str]) -> DataFrame:
@@ -70,3 +76,127 @@ def drop_duplicate_prompts(artifacts: DataFrame, messages: DataFrame, *, session
     start = F.substring(F.col("a.text"), 1, prefix)
     same = F.when(F.length(start) < least, F.col("a.text") == F.col("m.text")).otherwise(F.contains(F.col("m.text"), start))
     return artifacts.alias("a").join(messages.alias("m"), (F.col(f"a.{session}") == F.col(f"m.{session}")) & same, "left_anti")
+
+
+def redact_entries(docs: DataFrame, refs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Session documents (file_path, record) without the entries that `refs` (file_path, entry_index, fingerprint) name,
+    and the references that are stale: no such entry, or its fingerprint is another. Other fields of a document stay.
+
+    Places of one document's entries are gathered, no more than it has entries.
+    """
+    entries = F.try_variant_get("record", "$.entries", "array<variant>")
+    now = docs.select("file_path", F.posexplode(entries).alias("entry_index", "e")).select("file_path", "entry_index", entry_fingerprint(F.col("e")).alias("fingerprint"))
+    good = refs.join(now, ["file_path", "entry_index", "fingerprint"], "left_semi")
+    stale = refs.join(now, ["file_path", "entry_index", "fingerprint"], "left_anti")
+    gone = good.groupBy("file_path").agg(F.collect_set("entry_index").alias("_gone"))
+    left = F.filter(entries, lambda e, i: ~F.array_contains("_gone", i))
+    return docs.join(gone, "file_path", "left").withColumn("record", F.when(F.col("_gone").isNull(), F.col("record")).otherwise(with_field(F.col("record"), "entries", F.to_variant_object(left)))).drop("_gone"), stale
+
+
+def entry_fingerprint(v: Column) -> Column:
+    """SHA-256 of a JSON value with its keys sorted: the same wherever the value moves."""
+    return F.sha2(F.to_json(v), 256)
+
+
+def with_field(v: Column, key: str, value: Column) -> Column:
+    """A JSON object with one field set to a JSON value."""
+    fields = F.try_variant_get(v, "$", "map<string,variant>")
+    rest = F.map_filter(fields, lambda k, _: k != key)
+    return F.to_variant_object(F.map_concat(rest, F.create_map(F.lit(key), value)))
+
+
+def redact_artifacts(files: DataFrame, refs: DataFrame) -> DataFrame:
+    """Artifact files (session, name, content) but for those named (session, name, fingerprint) whose content is still the same."""
+    now = files.withColumn("fingerprint", F.sha2(F.col("content").cast("binary"), 256))
+    return now.join(refs.select("session", "name", "fingerprint").distinct(), ["session", "name", "fingerprint"], "left_anti").drop("fingerprint")
+
+
+def select_providers(text: str, target: str) -> list[str]:
+    """Providers of a comma list, trimmed, sorted, each once; one that is invalid, protected or the target is refused."""
+    found = sorted({p.strip() for p in text.split(",") if p.strip()})
+    for p in found:
+        if not re.fullmatch(r"[A-Za-z0-9_.:-]{1,128}", p) or p in PROTECTED or p == target:
+            raise ValueError(f"provider can't be relabelled: {p}")
+    return found
+
+
+def relabel_providers(assignments: DataFrame, threads: DataFrame, sources: list[str], target: str) -> DataFrame:
+    """provider, threads, jsonl, valid, candidate, selected: the census that a plan is made from."""
+    p = F.col("provider")
+    candidate = T.valid_provider(p) & ~p.isin(*PROTECTED, target)
+    return provider_census(threads, assignments).select("provider", "threads", "jsonl", T.valid_provider(p).alias("valid"), candidate.alias("candidate"), p.isin(sources).alias("selected"))
+
+
+def plan_fingerprint(assignments: DataFrame, threads: DataFrame, sources: list[str], target: str) -> DataFrame:
+    """plan_id (one row): changes when the request, an assignment or a thread does. Rows are hashed where they lie and
+    added up, so their order doesn't matter and nothing is gathered."""
+    own = lambda df, *c: df.agg(F.concat_ws(":", F.count(F.lit(1)).cast("string"), F.coalesce(F.sum(row_hash(*c)), F.lit(0)).cast("string")).alias("h"))
+    a, t = own(assignments, "path", "line_number", "provider"), own(threads, "id", "provider")
+    request = F.lit("|".join([target, *sorted(sources)]))
+    return a.select(F.col("h").alias("a")).crossJoin(F.broadcast(t.select(F.col("h").alias("t")))).select(F.sha2(F.concat_ws("|", request, "a", "t"), 256).alias("plan_id"))  # one row each
+
+
+def row_hash(*columns: str) -> Column:
+    """48 bits of an MD5, the same in any engine; sums of them don't overflow a decimal."""
+    text = F.concat_ws("\u0000", *(F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns))
+    return F.conv(F.substring(F.md5(text), 1, 12), 16, 10).cast("decimal(20,0)")
+
+
+def preview_relabel(assignments: DataFrame, threads: DataFrame, sources: list[str], target: str) -> DataFrame:
+    """What a plan would do, in one row: candidates, files_scanned, files_to_change, replacements, thread_matches,
+    blockers (codes, joined by commas), can_apply, has_changes, selection_required, plan_id. Nothing is changed.
+    """
+    eligible = bool(re.fullmatch(r"[A-Za-z0-9_.:-]{1,128}", target)) and target not in BUILTIN
+    chosen = sources if eligible else []
+    p = relabel_providers(assignments, threads, chosen, target)
+    of = p.agg(F.count_if("candidate").alias("candidates"), F.count_if(~F.col("valid")).alias("invalid"), F.count_if("selected").alias("found"))
+    hit = F.col("provider").isin(chosen)
+    files = assignments.groupBy("path").agg(F.count_if(hit).alias("n"))
+    a = files.agg(F.count(F.lit(1)).alias("files_scanned"), F.count_if(F.col("n") > 0).alias("files_to_change"), F.coalesce(F.sum("n"), F.lit(0)).alias("replacements"))
+    t = threads.agg(F.count_if(hit).alias("thread_matches"))
+    one = of.crossJoin(F.broadcast(a)).crossJoin(F.broadcast(t)).crossJoin(F.broadcast(plan_fingerprint(assignments, threads, chosen, target)))  # one row each
+    if not eligible:
+        one = one.withColumn("candidates", F.lit(0).cast("long"))
+    choose = F.lit(eligible and not chosen) & (F.col("candidates") > 0)
+    blockers = F.concat_ws(
+        ",", F.when(F.lit(not eligible), "active_provider_unsuitable"), F.when(F.col("invalid") > 0, "invalid_provider_id"),
+        F.when(F.col("found") < len(set(chosen)), "source_provider_not_found"), F.when(choose, "source_provider_selection_required"),
+    )
+    return one.select(
+        "candidates", "files_scanned", "files_to_change", "replacements", "thread_matches", blockers.alias("blockers"), (blockers == "").alias("can_apply"),
+        (F.col("replacements") + F.col("thread_matches") > 0).alias("has_changes"), choose.alias("selection_required"), "plan_id",
+    )
+
+
+def check_plan(plan_id: str, assignments: DataFrame, threads: DataFrame, sources: list[str], target: str) -> None:
+    """Refuse a plan that was made from other assignments, threads or choices."""
+    if plan_fingerprint(assignments, threads, sources, target).first()[0] != plan_id:
+        raise ValueError("stale plan")
+
+
+def relabel_records(records: DataFrame, plan: DataFrame) -> DataFrame:
+    """Records (file_path, line_number, record) with payload.model_provider set on the planned lines, all else as it was.
+
+    A planned line that has neither its old nor its new provider fails the job.
+    """
+    j = records.join(plan.select(F.col("path").alias("file_path"), "line_number", "old", "new"), ["file_path", "line_number"], "left")
+    now = V.string_at(F.col("record"), "$.payload.model_provider")
+    stale = F.col("new").isNotNull() & ~F.coalesce(now.isin(F.col("old"), F.col("new")), F.lit(False))
+    new = F.when(stale, F.raise_error(F.lit("stale plan")).cast("string")).otherwise(F.col("new"))
+    fields = F.try_variant_get("record", "$", "map<string,variant>")
+    payload = F.create_map(F.lit("payload"), with_field(V.at(F.col("record"), "$.payload"), "model_provider", new.cast("variant")))
+    changed = F.to_variant_object(F.map_concat(F.map_filter(fields, lambda k, _: k != "payload"), payload))
+    return j.withColumn("record", F.when(F.col("new").isNotNull(), changed).otherwise(F.col("record"))).drop("old", "new")
+
+
+def relabel_threads(threads: DataFrame, sources: list[str], target: str) -> DataFrame:
+    """id, provider: threads of the sources get the target. An id that is there twice fails the job: an update must hit one row."""
+    many = threads.groupBy("id").agg(F.count(F.lit(1)).alias("_n"), F.min("provider").alias("provider"))
+    new = F.when(F.col("_n") > 1, F.raise_error(F.lit("thread id not unique")).cast("string")).when(F.col("provider").isin(sources), F.lit(target)).otherwise(F.col("provider"))
+    return many.select("id", new.alias("provider"))
+
+
+def verify_relabel(assignments: DataFrame, threads: DataFrame, sources: list[str]) -> DataFrame:
+    """provider, n of what still has a source's provider: no rows after a complete relabelling."""
+    both = assignments.select("provider").unionByName(threads.select("provider"))
+    return both.where(F.col("provider").isin(sources)).groupBy("provider").agg(F.count(F.lit(1)).alias("n"))

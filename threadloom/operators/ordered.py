@@ -84,3 +84,9 @@ def merge_partials(df: DataFrame, session: str, file: str, ts: str, value: str)
     """Per session from per-file partials: files, first and last time, the file of the first, rows and sum."""
     part = df.groupBy(session, file).agg(F.min(ts).alias("a"), F.max(ts).alias("b"), F.count(F.lit(1)).alias("n"), F.sum(value).alias("v"))
     return part.groupBy(session).agg(F.count(F.lit(1)).alias("files"), F.min_by(file, F.struct("a", file)).alias("primary_file"), F.min("a").alias("first"), F.max("b").alias("last"), F.sum("n").alias("rows"), F.sum("v").alias("total"))
+
+
+def order_cross_file(df: DataFrame, session: str, keys: list[str], n: int) -> DataFrame:
+    """The first half (rounded up) and last half of n records of each session, ordered across its files by `keys`, with
+    ord, total and omitted."""
+    return head_tail(df, Columns(session, tuple(keys)), n)

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from threadloom.functions import text as T
-from threadloom.operators import edit, ordered, query
+from threadloom.operators import edit, export, ordered, query
 from threadloom.schemas import Columns
 from threadloom.streaming import refresh
 
@@ -231,6 +231,7 @@ def incremental_refresh(spark, sf_dir):
     return refresh.upsert_index(reusable, fresh.withColumn("fresh", F.lit(True))).select("o_orderkey", "o_totalprice", "fresh")
 
 
+@says("SELECT conv_id, string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn) AS document FROM conversations GROUP BY conv_id HAVING sum(octet_length(encode(role)) + octet_length(encode(text)) + 2) <= 64000")
 def search_document(spark, sf_dir):
     return ordered.search_document(_t(spark, sf_dir, "conversations"), CONV, 64_000)
 
@@ -239,15 +240,14 @@ def markdown_text(spark, sf_dir):
     return _t(spark, sf_dir, "documents").select("doc_id", T.compact(T.markdown_plain_text(F.col("text")), 200).alias("plain"))
 
 
+@says("SELECT conv_id, string_agg('## ' || role || chr(10) || chr(10) || text || chr(10) || chr(10), '' ORDER BY turn) AS markdown FROM conversations GROUP BY conv_id")
 def export_markdown(spark, sf_dir):
     """One Markdown text per conversation: a heading for each role and its text, in turn."""
-    part = F.concat(F.lit("## "), "role", F.lit("\n\n"), "text", F.lit("\n\n"))
-    lines = F.array_sort(F.collect_list(F.struct("turn", part.alias("part"))))
-    return _t(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_join(F.transform(lines, lambda x: x["part"]), "").alias("markdown"))
+    return export.export_markdown(_t(spark, sf_dir, "conversations"), CONV)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {k: f for k, (f, _) in _found.items()} | {f.__name__: f for f in (search_document, markdown_text, export_markdown)}
+    return {k: f for k, (f, _) in _found.items()} | {"markdown_text": markdown_text}
 
 
 def oracle_sql() -> dict[str, str]:
