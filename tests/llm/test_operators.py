@@ -59,7 +59,8 @@ def test_substring_dedup_against_brute_force(spark, docs, rows):
     assert substring_dedup.dedup(empty(spark)).count() == 0
 
 
-def test_jaccard_classes_against_brute_force(spark, docs, rows):
+@pytest.mark.parametrize("chunk", [1024, 3])
+def test_jaccard_classes_against_brute_force(spark, docs, rows, chunk):
     sets = {}
     for k, t, *_ in rows:
         w = (t or "").encode().lower().split()
@@ -75,7 +76,7 @@ def test_jaccard_classes_against_brute_force(spark, docs, rows):
     for a, b in itertools.combinations(root, 2):
         if any(100 * len(x & y) >= 80 * len(x | y) > 0 for x in sets[a] for y in sets[b]):
             root[max(find(a), find(b))] = min(find(a), find(b))
-    got = jaccard_join.classes(docs).collect()
+    got = jaccard_join.classes(docs, chunk=chunk).collect()
     assert len(got) == len(rows)
     for r in got:
         assert r.component_id == (None if r.doc_id is None else find(r.doc_id))
@@ -104,6 +105,24 @@ def test_region_cells_are_exact():
     assert sorted(map(sorted, classes.values())) == sorted(map(sorted, wanted.values()))
 
 
+def test_tiles_find_the_links_of_a_large_region(spark):
+    rng = random.Random(8)
+    core = [f"c{i}" for i in range(120)]
+    texts = []
+    for i in range(150):  # all share passages, few are near copies: regions keep more than a chunk
+        own = rng.sample(range(120), rng.choice([2, 4, 8]))
+        texts.append(" ".join(f"x{rng.randrange(4)}" if j in own else w for j, w in enumerate(core[: rng.choice([90, 105, 120])])))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    sets = [set(zip(*(t.split()[i:] for i in range(5)))) for t in texts]
+    want = list(range(150))
+    for a, b in itertools.combinations(range(150), 2):
+        if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
+            want = [min(want[a], want[b]) if v in (want[a], want[b]) else v for v in want]
+    for chunk in (4, 1024):
+        assert {r.doc_id: r.component_id for r in jaccard_join.classes(docs, chunk=chunk).collect()} == dict(enumerate(want))
+    assert len(set(want)) > 10
+
+
 def test_components_of_a_chain(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(30)] + [(100, 90), (7, 7), (None, 3)], "a long, b long")
     got = dict(tuple(r) for r in components.components(links).collect())

@@ -14,6 +14,9 @@ the radius can link, so that what is settled leaves the region and the rest is j
    the pivot link with it. Of these only the boundary goes on: those that a document outside the radius could reach.
 4. What is left of a region recurses: new pivots cut it into Voronoi cells, boundary documents are copied into every
    cell that they're within twice the radius of, and small or inseparable cells are joined by prefix with windows.
+5. A region that leaves more than a chunk is cut into tiles of at most about a chunk, by set size and distance to the
+   pivot. Neighbouring tiles meet two at a time, each pair in a task of its own; tiles further apart can't hold a link,
+   and members that link with the pivot are connected, so that two tiles of them don't meet.
 
 Pairs already connected are not compared again: the result is each document's class, and links that connect it.
 Shingles are compared by 64-bit hashes.
@@ -21,6 +24,8 @@ Shingles are compared by 64-bit hashes.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -149,11 +154,15 @@ def star(t: pa.Table, percent: int) -> pa.Table:
 class Region:
     """Exact join of one region, recursive by pivots. `found` holds links that connect what belongs together."""
 
-    def __init__(self, keys: list[int], sets: list[np.ndarray], percent: int) -> None:
-        self.keys, self.sets, self.percent = keys, sets, percent
+    def __init__(self, keys: list[int], sets: list[np.ndarray], percent: int, linked: list[bool] | None = None, side: list[int] | None = None) -> None:
+        """`linked`: members that are connected already. `side`: only members of different sides are to be compared."""
+        self.keys, self.sets, self.percent, self.side = keys, sets, percent, side
         self.radius = 1 - percent / 100
         self.found: list[tuple[int, int]] = []
         self.root = list(range(len(keys)))
+        together = [i for i, x in enumerate(linked or []) if x]
+        for i in together:
+            self.root[i] = together[0]
 
     def _find(self, i: int) -> int:
         while self.root[i] != i:
@@ -220,24 +229,65 @@ class Region:
                     candidates.update(others)
                     others.append(k)
             for o in sorted(candidates):
+                if self.side and self.side[cell[o]] == self.side[cell[k]]:
+                    continue
                 if 100 * lengths[o] >= self.percent * n and abs(to_first[o] - to_first[k]) <= self.radius + 1e-9 and self._find(cell[o]) != self._find(cell[k]):
                     self._distance(cell[o], cell[k])
 
 
+def _found(region: Region) -> pa.Table:
+    return pa.table({"a": pa.array([x for x, _ in region.found], pa.int64()), "b": pa.array([x for _, x in region.found], pa.int64())})
+
+
 def leaf(t: pa.Table, percent: int) -> pa.Table:
-    region = Region(t.column("key").to_pylist(), [np.frombuffer(x, np.uint64) for x in t.column("set").to_pylist()], percent)
+    """Links of what a region leaves, of at most a chunk."""
+    region = Region(t.column("key").to_pylist(), [np.frombuffer(x, np.uint64) for x in t.column("set").to_pylist()], percent, t.column("links").to_pylist())
     region.join(list(range(len(region.keys))))
-    return pa.table({"a": pa.array([x for x, _ in region.found], pa.int64()), "b": pa.array([x for _, x in region.found], pa.int64())})
+    return _found(region)
+
+
+def tile_pair(t: pa.Table, percent: int) -> pa.Table:
+    """Links between two tiles of a region, or within one if both are the same."""
+    side = t.column("side").to_pylist()
+    two = 1 in side
+    region = Region(t.column("key").to_pylist(), [np.frombuffer(x, np.uint64) for x in t.column("set").to_pylist()], percent, t.column("links").to_pylist(), side if two else None)
+    if two and 0 in side:
+        region._by_prefix(list(range(len(side))))
+    elif not two:
+        region.join(list(range(len(side))))
+    return _found(region)
 
 
-def near_links(sets: DataFrame, *, percent: int) -> DataFrame:
+def tile_links(left: DataFrame, sets: DataFrame, *, percent: int, chunk: int) -> DataFrame:
+    """Links of regions of any size. `left`: region, key, d (distance to the pivot), links (whether it links with it).
+
+    A tile is a range of sizes and of distances that a link spans at most one border of, dealt by hash into parts.
+    """
+    radius, width = 1 - percent / 100 + 1e-6, math.log(100 / percent) + 1e-6
+    x, y = F.floor(F.log("size") / width).cast("int"), F.floor(F.col("d") / radius).cast("int")
+    placed = left.join(sets.select("key", "size"), "key").select("region", "key", "links", x.alias("x"), y.alias("y"))
+    at = ["region", "x", "y", "links"]
+    counts = written(placed.groupBy(*at).agg(F.ceil(F.count(F.lit(1)) / chunk).cast("long").alias("parts")), "jaccard-tiles")
+    dealt = placed.join(counts, at).select(*at, F.pmod(F.xxhash64("key"), "parts").alias("part"), "key")
+    tiles = counts.select(*at, F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"))
+    tile = F.struct("x", "y", "links", "part")
+    steps = F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)))
+    ones = tiles.select("region", tile.alias("a"), F.explode(steps).alias("s")).select("region", "a", (F.col("a.x") + F.col("s.i")).alias("x"), (F.col("a.y") + F.col("s.j")).alias("y"))
+    pairs = ones.join(tiles.select("region", "x", "y", tile.alias("b")), ["region", "x", "y"]).where((F.col("a") <= F.col("b")) & ~(F.col("a.links") & F.col("b.links"))).select("region", "a", "b")
+    sides = F.array(F.struct(F.lit(0).alias("side"), F.col("a").alias("t")), F.struct(F.lit(1).alias("side"), F.col("b").alias("t")))
+    ends = pairs.select("region", "a", "b", F.explode(F.when(F.col("a") == F.col("b"), F.slice(sides, 1, 1)).otherwise(sides)).alias("e")).select("region", F.struct("a", "b").alias("pair"), "e.side", "e.t.*")
+    loaded = dealt.join(ends, [*at, "part"]).select("region", "pair", "side", "links", "key").join(sets.select("key", "set"), "key")
+    return loaded.groupBy("region", "pair").applyInArrow(lambda t: tile_pair(t.select(["key", "set", "links", "side"]), percent), "a long, b long")
+
+
+def near_links(sets: DataFrame, *, percent: int, chunk: int = CHUNK) -> DataFrame:
     """Links (a, b) that connect all sets within the radius. `sets`: key, size, set, prefix; equal sets only once."""
     spark = sets.sparkSession
     postings = sets.select("key", "prefix").mapInArrow(lambda bs: (b for x in bs for b in _prefixes(pa.Table.from_batches([x])).to_batches()), "key long, shingle long")
     pivots = postings.groupBy("shingle").agg(F.min("key").alias("region"), F.max("key").alias("_most")).where("region < _most").drop("_most")
     places = written(postings.join(pivots, "shingle").where("key <> region").select("region", "key").distinct(), "jaccard-places")
     # a chunk holds part of a region and the pivot, so no region gathers in one task
-    sized = places.groupBy("region").agg(F.ceil(F.count(F.lit(1)) / CHUNK).cast("long").alias("chunks"))
+    sized = places.groupBy("region").agg(F.ceil(F.count(F.lit(1)) / chunk).cast("long").alias("chunks"))
     members = places.join(sized, "region").select("region", "key", F.pmod(F.xxhash64("key"), "chunks").alias("chunk"))
     own = sized.select("region", F.col("region").alias("key"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).alias("chunk"))
     loaded = members.unionByName(own).join(sets.select("key", "set"), "key")
@@ -245,16 +295,20 @@ def near_links(sets: DataFrame, *, percent: int) -> DataFrame:
     links = met.where("links").select(F.col("region").alias("a"), F.col("key").alias("b"))
     radius = 1 - percent / 100
     outside = met.where("NOT links").groupBy("region").agg(F.min("d").alias("_out"))
-    left = met.join(outside, "region").where(~F.col("links") | (F.col("d") >= F.col("_out") - F.lit(radius + 1e-9))).select("region", "key")
-    rest = left.join(sets.select("key", "set"), "key").groupBy("region").applyInArrow(lambda t: leaf(t.select(["key", "set"]), percent), "a long, b long")
-    return links.unionByName(rest)
+    left = written(met.join(outside, "region").where(~F.col("links") | (F.col("d") >= F.col("_out") - F.lit(radius + 1e-9))).select("region", "key", "d", "links"), "jaccard-left")
+    sizes = left.groupBy("region").agg((F.count(F.lit(1)) > chunk).alias("many"))
+    few = left.join(sizes.where("NOT many"), "region").select("region", "key", "links").join(sets.select("key", "set"), "key")
+    rest = few.groupBy("region").applyInArrow(lambda t: leaf(t.select(["key", "set", "links"]), percent), "a long, b long")
+    many = left.join(sizes.where("many"), "region", "left_semi")
+    return links.unionByName(rest).unionByName(tile_links(many, sets, percent=percent, chunk=chunk))
 
 
-def classes(docs: DataFrame, *, percent: int = 80, n: int = 5, key: str = "doc_id", text: str = "text") -> DataFrame:
+def classes(docs: DataFrame, *, percent: int = 80, n: int = 5, key: str = "doc_id", text: str = "text", chunk: int = CHUNK) -> DataFrame:
     """Per row: key, n_shingles, component_id (the smallest key that links of at least percent/100 lead to).
 
     Null and wordless texts have no shingles and link with nothing; a row with a null key has a null component. Rows of
-    one key count as one document with several texts. Other columns aren't read.
+    one key count as one document with several texts. Other columns aren't read. `chunk`: how many sets a task holds of a
+    region.
     """
     small_batches(docs.sparkSession)
     _, size = text_bytes(docs, text)
@@ -269,6 +323,6 @@ def classes(docs: DataFrame, *, percent: int = 80, n: int = 5, key: str = "doc_i
     heads = some.groupBy("digest").agg(F.min("key").alias("head"))
     equal = some.select("key", "digest").join(heads, "digest").select("key", "head").where("key <> head")
     sets = some.join(heads.select(F.col("head").alias("key"), "digest"), ["key", "digest"], "left_semi").select("key", "size", "set", "prefix")
-    links = equal.toDF("a", "b").unionByName(near_links(sets, percent=percent))
+    links = equal.toDF("a", "b").unionByName(near_links(sets, percent=percent, chunk=chunk))
     found_in = components(links)
     return rows.join(found_in, F.col("same") == F.col("node"), "left").select(F.col("key").alias(key), F.col("size").alias("n_shingles"), F.coalesce("component", "same").alias("component_id"))
