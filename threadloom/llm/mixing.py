@@ -116,9 +116,13 @@ def mix(docs: DataFrame, *, max_repeats: float | None = None, target_entropy: fl
 def realise(docs: DataFrame, plan: DataFrame, *, seed: int, key: str, source: Column) -> DataFrame:
     """Pick rows by the plan, a small table that Spark broadcasts if its size allows; no text is shuffled then."""
     names = [c for c in docs.columns if c not in ("mix_pass", "mix_rank")]
-    p = plan.select(F.struct("passes", "blocks", "repeats", "block", "last").alias("_p"), F.col("_s").alias("_ps"))
-    turns = docs.select(*names, source.alias("_s")).join(p, F.col("_s") == F.col("_ps")).withColumn("mix_pass", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_p.passes"))))
-    picked = turns.withColumn("_h", _hash(F.col(key), F.col("mix_pass"), seed))
-    block = F.floor(F.col("_h") / _SPACE * F.col("_p.blocks"))
-    taken = (F.col("mix_pass") < F.col("_p.passes")) | (block < F.col("_p.block")) | ((block == F.col("_p.block")) & (F.col("_h") <= F.col("_p.last")))
-    return picked.where(taken).withColumn("mix_rank", (F.col("mix_pass") + F.col("_h") / _SPACE) / F.col("_p.repeats")).select(*names, "mix_pass", "mix_rank")
+    own = "_"
+    while any(c.startswith(own) for c in names):  # columns of docs keep their names, whatever they are
+        own += "_"
+    s, p, ps, h = (own + c for c in ("s", "p", "ps", "h"))
+    small = plan.select(F.struct("passes", "blocks", "repeats", "block", "last").alias(p), F.col("_s").alias(ps))
+    turns = docs.select(*names, source.alias(s)).join(small, F.col(s) == F.col(ps)).withColumn("mix_pass", F.explode(F.sequence(F.lit(0).cast("long"), F.col(p)["passes"])))
+    picked = turns.withColumn(h, _hash(F.col(key), F.col("mix_pass"), seed))
+    block = F.floor(F.col(h) / _SPACE * F.col(p)["blocks"])
+    taken = (F.col("mix_pass") < F.col(p)["passes"]) | (block < F.col(p)["block"]) | ((block == F.col(p)["block"]) & (F.col(h) <= F.col(p)["last"]))
+    return picked.where(taken).withColumn("mix_rank", (F.col("mix_pass") + F.col(h) / _SPACE) / F.col(p)["repeats"]).select(*names, "mix_pass", "mix_rank")
