@@ -8,6 +8,31 @@ from pyspark.sql import functions as F
 SPACE = r"(?U)\s+"
 RFC3339 = r"^\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}:\d{2}(\.\d+)?([Zz]|[+-]\d{2}:\d{2})$"
 
+#: What Markdown's marks become in plain text, in this order.
+MARKDOWN = (
+    (r"(?m)^\s*(```|~~~)[^\n]*$", " "),
+    (r"!\[([^\]]*)\]\([^)]+\)", "$1"),
+    (r"\[([^\]]+)\]\([^)]+\)", "$1"),
+    (r"(?m)^\s{0,3}#{1,6}\s+", ""),
+    (r"(?m)^\s*>\s?", ""),
+    (r"(?m)^\s{0,3}([-*_])(?:\s*\1){2,}\s*$", " "),
+    (r"(?m)^\s*(?:[-+*]|\d+[.)])\s+", ""),
+    (r"(?m)^\s*\|?(?:\s*:?-{3,}:?\s*\|)+\s*$", " "),
+    (r"(`+|\*\*|~~)", ""),
+    (r"<[^>]+>", " "),
+)
+
+#: Phrases of views and exports; {n} is a number.
+PHRASES = {
+    "session": "Session",
+    "start_time": "Start Time",
+    "source": "Source",
+    "session_id": "Session ID",
+    "unknown_time": "Unknown time",
+    "omitted": "{n} messages in the middle were omitted for safe display",
+    "cut": "This message is too large; only the first {n} characters are shown",
+}
+
 
 def squeeze(c: Column) -> Column:
     """One space for each run of Unicode white space, none at the ends."""
@@ -71,13 +96,8 @@ def blank_to_null(c: Column) -> Column:
 
 
 def markdown_plain_text(c: Column) -> Column:
-    """Text without Markdown marks: fences, code, images, links, headings, quotes, lists, emphasis, rules."""
-    rules = [
-        (r"```[^\n]*\n?", ""), (r"`([^`]*)`", "$1"), (r"!\[([^\]]*)\]\([^)]*\)", "$1"), (r"\[([^\]]*)\]\([^)]*\)", "$1"),
-        (r"(?m)^\s{0,3}#{1,6}\s+", ""), (r"(?m)^\s*>\s?", ""), (r"(?m)^\s*[-*+]\s+", ""), (r"(?m)^\s*\d+\.\s+", ""),
-        (r"(\*\*|__)(.*?)\1", "$2"), (r"(\*|_)(.*?)\1", "$2"), (r"~~(.*?)~~", "$1"), (r"(?m)^\s*([-*_]\s*){3,}$", ""),
-    ]
-    for pattern, to in rules:
+    """Text without Markdown's marks and tags, white space squeezed."""
+    for pattern, to in MARKDOWN:
         c = F.regexp_replace(c, pattern, to)
     return squeeze(c)
 
@@ -94,3 +114,50 @@ def valid_session_id(c: Column) -> Column:
 
 def valid_provider(c: Column) -> Column:
     return F.coalesce(c.rlike(r"^[A-Za-z0-9_.:-]{1,128}$"), F.lit(False))
+
+
+def phrase(name: str, n: Column) -> Column:
+    before, after = PHRASES[name].split("{n}")
+    return F.concat(F.lit(before), n.cast("string"), F.lit(after))
+
+
+def utf16_length(c: Column) -> Column:
+    """Length in UTF-16 units: characters beyond the basic plane count twice."""
+    return F.floor(F.octet_length(F.encode(c, "UTF-16BE")) / 2).cast("int")
+
+
+def clip_utf16(c: Column, n: int) -> Column:
+    """The characters that fit n UTF-16 units; a pair that would be cut in two is left out."""
+    if n <= 0:
+        return F.when(c.isNotNull(), F.lit(""))
+    units = F.encode(c, "UTF-16BE")
+    first_of_pair = F.hex(F.substring(units, 2 * n - 1, 1)).between("D8", "DB")
+    return F.decode(F.substring(units, F.lit(1), F.when(first_of_pair, 2 * n - 2).otherwise(2 * n)), "UTF-16BE")
+
+
+def compact_text(c: Column, n: int = 90) -> Column:
+    """At most n UTF-16 units of squeezed text; a cut one ends in three dots, without a space before them. Null is empty."""
+    s = squeeze(F.coalesce(c, F.lit("")))
+    return F.when(utf16_length(s) > n, F.concat(F.rtrim(clip_utf16(s, n - 3)), F.lit("..."))).otherwise(s)
+
+
+def display_text(text: Column, truncated: Column, omitted: Column) -> Column:
+    """What a view shows of a message: how many it stands for if `omitted` isn't null; a cut text says so below it."""
+    cut = F.concat(text, F.lit("\n\n"), phrase("cut", utf16_length(text)))
+    return F.when(omitted.isNotNull(), phrase("omitted", omitted)).when(truncated, cut).otherwise(F.coalesce(text, F.lit("")))
+
+
+def display_time(c: Column) -> Column:
+    """An RFC 3339 time as a reader's date and time in the session's zone; other text as it is, none as unknown."""
+    t = F.when(c.rlike(RFC3339), F.try_to_timestamp(c))
+    return F.coalesce(F.date_format(t, "MMM d, yyyy, h:mm:ss a"), blank_to_null(c), F.lit(PHRASES["unknown_time"]))
+
+
+def starts_collapsed(role: Column, context: Column, shown: Column) -> Column:
+    """Whether a view shows a message folded: a tool's, context, or more than 1,800 UTF-16 units of plain text."""
+    return F.coalesce(role == "tool", F.lit(False)) | F.coalesce(context, F.lit(False)) | F.coalesce(utf16_length(markdown_plain_text(shown)) > 1800, F.lit(False))
+
+
+def shown_kind(kind: Column, archived: Column, archive_source: Column) -> Column:
+    """The source kind that a view groups by: archived sessions of the kind that keeps an archive are a kind of their own."""
+    return F.when(F.coalesce(archived, F.lit(False)) & (archive_source == "codex"), "codex_archived").otherwise(F.coalesce(kind, F.lit("unknown")))

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from threadloom.functions import text as T
 from threadloom.functions import variants as V
+from threadloom.operators import normalize
 
 #: Providers that come with a client. Neither they nor `custom` are ever relabelled.
 BUILTIN = ("amazon-bedrock", "azure", "lmstudio", "ollama", "ollama-chat", "openai", "oss")
@@ -111,6 +112,36 @@ def redact_artifacts(files: DataFrame, refs: DataFrame) -> DataFrame:
     return now.join(refs.select("session", "name", "fingerprint").distinct(), ["session", "name", "fingerprint"], "left_anti").drop("fingerprint")
 
 
+def redact_records(records: DataFrame, refs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Records (file_path, line_number, record, …) without the lines that `refs` (file_path, line_number, message_index,
+    fingerprint) name and without every line of the same file that shares a tool call with one; and the references that
+    are stale: no such message, or the line's fingerprint is another. Lines that are no JSON stay.
+    """
+    at, key = ["file_path", "line_number"], ["file_path", "line_number", "message_index", "fingerprint"]
+    prints = records.where("record IS NOT NULL").select(*at, entry_fingerprint(F.col("record")).alias("fingerprint"))
+    no_call = F.concat_ws("\u0000", F.lit(""), F.col("line_number").cast("string"), F.col("message_index").cast("string"))
+    call = F.coalesce(F.when(F.col("role") == "tool", F.col("tool_call_id")), no_call).alias("call")
+    found = normalize.normalize(records).select(*at, "message_index", call).join(prints, at)
+    asked = found.join(refs.select(*key).distinct().withColumn("_hit", F.lit(True)), key, "left").withColumn("_hit", F.coalesce("_hit", F.lit(False)))
+    line = F.max("_hit").over(Window.partitionBy(*at))
+    marked = asked.withColumn("_hit", line).withColumn("_hit", F.max("_hit").over(Window.partitionBy("file_path", "call")))
+    return records.join(marked.where("_hit").select(*at).distinct(), at, "left_anti"), refs.join(found, key, "left_anti")
+
+
+def redact_array_logs(files: DataFrame, sessions: DataFrame) -> DataFrame:
+    """Array logs (file_path, record: the whole array) without the elements of the sessions (id), with n_removed; elements
+    without a session, and the order of what is left, stay. Of a file only the ids to go are gathered."""
+    items = F.try_variant_get("record", "$", "array<variant>")
+    own = lambda e: V.string_at(e, "$.sessionId")
+    ids = files.select("file_path", F.explode(F.array_distinct(F.transform(items, own))).alias("id"))
+    gone = ids.join(sessions.select("id").distinct(), "id", "left_semi").groupBy("file_path").agg(F.collect_set("id").alias("_gone"))
+    left = F.filter(items, lambda e: ~F.coalesce(F.array_contains("_gone", own(e)), F.lit(False)))
+    some = F.col("_gone").isNotNull()
+    removed = F.when(some, F.size(items) - F.size(left)).otherwise(0).cast("long")
+    out = files.join(gone, "file_path", "left").withColumn("n_removed", removed)
+    return out.withColumn("record", F.when(some, F.to_variant_object(left)).otherwise(F.col("record"))).drop("_gone")
+
+
 def select_providers(text: str, target: str) -> list[str]:
     """Providers of a comma list, trimmed, sorted, each once; one that is invalid, protected or the target is refused."""
     found = sorted({p.strip() for p in text.split(",") if p.strip()})

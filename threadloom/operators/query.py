@@ -58,6 +58,40 @@ def page(df: DataFrame, sort: str, key: str, *, after: tuple | None = None, limi
     return df.orderBy(F.desc(sort), key).limit(max(1, min(limit, 200)))
 
 
+def page_after_key(df: DataFrame, sort: str, key: str, *, cursor: str = "", limit: int = 50) -> DataFrame:
+    """Rows by sort descending (nulls last), then key, after the row whose key is the cursor: as many as the limit (1 to
+    200) says, and one more where a next page follows. A cursor that no row has gives the first page."""
+    s, k = F.col(sort), F.col(key)
+    if cursor:
+        found = df.where(k.cast("string") == cursor).agg(F.max(F.struct(s.alias("s"), k.alias("k"))).alias("_at"))
+        at_s, at_k = F.col("_at.s"), F.col("_at.k")
+        later = (s < at_s) | (s.isNull() & at_s.isNotNull()) | (s.eqNullSafe(at_s) & (k > at_k))
+        df = df.crossJoin(F.broadcast(found)).where(F.col("_at").isNull() | later).drop("_at")  # one row
+    return df.orderBy(F.desc(sort), key).limit(max(1, min(limit, 200)) + 1)
+
+
+def page_object(df: DataFrame, sort: str, key: str, *, cursor: str = "", limit: int = 50) -> DataFrame:
+    """One row of a page: keys (in its order), has_more, next_cursor (the last key; null without a next page)."""
+    n = max(1, min(limit, 200))
+    rows = page_after_key(df, sort, key, cursor=cursor, limit=limit).select(sort, key)
+    placed = rows.withColumn("_i", F.row_number().over(Window.partitionBy().orderBy(F.desc(sort), key)))  # at most 201 rows
+    one = placed.agg(F.count(F.lit(1)).alias("_n"), F.sort_array(F.collect_list(F.struct("_i", F.col(key).cast("string").alias("k")))).alias("_all"))
+    one = one.select((F.col("_n") > n).alias("has_more"), F.transform(F.slice("_all", 1, n), lambda x: x["k"]).alias("keys"))
+    return one.select("keys", "has_more", F.when(F.col("has_more"), F.element_at("keys", -1)).alias("next_cursor"))
+
+
+def project_list(summaries: DataFrame, *, cwd: str = "cwd", ts: str = "timestamp", provider: str = "model_provider", kind: str = "source_kind") -> DataFrame:
+    """path, name, count, last_timestamp ('' if none), providers and source_kinds (sorted, without empty ones) of every
+    working directory that isn't empty. Sets are reduced before the shuffle and as small as there are providers."""
+    some = lambda c: F.sort_array(F.collect_set(T.blank_to_null(F.col(c)))).alias(f"{c}_set")
+    out = summaries.where(F.col(cwd) != "").groupBy(F.col(cwd).alias("path")).agg(F.count(F.lit(1)).alias("count"), F.coalesce(F.max(ts), F.lit("")).alias("last_timestamp"), some(provider), some(kind))
+    return out.select("path", F.coalesce(T.basename(F.col("path")), "path").alias("name"), "count", "last_timestamp", F.col(f"{provider}_set").alias("providers"), F.col(f"{kind}_set").alias("source_kinds"))
+
+
+def newest_projects(projects: DataFrame, n: int = 4) -> DataFrame:
+    return projects.orderBy(F.desc("last_timestamp"), "path").limit(n)
+
+
 def first_root_wins(df: DataFrame, key: list[str], rank: list[str]) -> DataFrame:
     """Of rows with one key, that of the first root. An aggregate, so a hot key is reduced before it is shuffled."""
     rest = [c for c in df.columns if c not in key and c not in rank]

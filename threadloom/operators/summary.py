@@ -172,3 +172,36 @@ def first_session_wins(summaries: DataFrame) -> DataFrame:
 def sources(records: DataFrame) -> DataFrame:
     """source_kind and display_source of the kinds present; of several roots of a kind the first names it."""
     return records.groupBy("source_kind").agg(F.min_by("display_source", "root_rank").alias("display_source"), F.min("root_rank").alias("root_rank"))
+
+
+def merge_summaries(partials: DataFrame) -> DataFrame:
+    """One row per session from the summaries of its part in each file.
+
+    `partials`: id, file_path, timestamp, last_timestamp, cwd, model_provider, originator, event_count, message_count,
+    context_count, role_counts, first_user, first_assistant, first_message. Parts are ordered by time, then file; times of
+    a session compare as instants if all of them are, else as text; an empty one comes first. The earliest time that isn't
+    empty gives the file. Of working directories, providers and originators the last that is known stays; of first texts
+    the first. Counts are added, by role too. All is aggregated on both sides of the shuffle; a session's parts never meet
+    in one group.
+    """
+    some = lambda c: T.blank_to_null(F.col(c))
+    instant = lambda c: F.when(some(c).rlike(T.RFC3339), F.try_to_timestamp(some(c)))
+    path = F.coalesce("file_path", F.lit(""))
+    rows = partials.withColumns({"_t": instant("timestamp"), "_l": instant("last_timestamp")})
+    rows = rows.withColumns({"_by_time": F.struct("_t", path.alias("p")), "_by_text": F.struct(F.coalesce("timestamp", F.lit("")).alias("t"), path.alias("p"))})
+    sound = F.bool_and((some("timestamp").isNull() | F.col("_t").isNotNull()) & (some("last_timestamp").isNull() | F.col("_l").isNotNull()))
+    either = lambda f: F.when(sound, f(F.col("_by_time"))).otherwise(f(F.col("_by_text")))
+    earliest = lambda value, has: either(lambda o: F.min_by(value, F.when(has.isNotNull(), o)))
+    latest = lambda has: either(lambda o: F.max_by(has, F.when(has.isNotNull(), o)))
+    known = F.nullif(some("model_provider"), F.lit("unknown"))
+    last = F.when(sound, F.max_by(some("last_timestamp"), F.struct("_l", "last_timestamp"))).otherwise(F.max("last_timestamp"))
+    out = rows.groupBy("id").agg(
+        F.coalesce(earliest(some("file_path"), some("timestamp")), either(lambda o: F.min_by(some("file_path"), F.when(some("file_path").isNotNull(), o)))).alias("file_path"),
+        earliest(some("timestamp"), some("timestamp")).alias("timestamp"), T.blank_to_null(last).alias("last_timestamp"),
+        F.coalesce(latest(some("cwd")), F.lit("")).alias("cwd"), F.coalesce(latest(known), F.lit("unknown")).alias("model_provider"), F.coalesce(latest(some("originator")), F.lit("")).alias("originator"),
+        *(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("event_count", "message_count", "context_count")),
+        *(earliest(some(c), some(c)).alias(c) for c in ("first_user", "first_assistant", "first_message")), F.count(F.lit(1)).alias("files"),
+    )
+    roles = partials.select("id", F.explode("role_counts").alias("role", "n")).groupBy("id", "role").agg(F.sum("n").alias("n"))
+    summed = roles.groupBy("id").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("role", "n")))).alias("role_counts"))
+    return out.join(summed, "id", "left").withColumn("role_counts", F.coalesce("role_counts", F.create_map().cast("map<string,bigint>")))

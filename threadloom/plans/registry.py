@@ -236,6 +236,17 @@ def search_document(spark, sf_dir):
     return ordered.search_document(_t(spark, sf_dir, "conversations"), CONV, 64_000)
 
 
+def plain_sql(c: str) -> str:
+    """Markdown's plain text in SQL."""
+    for pattern, to in [
+        (r"(?m)^\s*(```|~~~)[^\n]*$", " "), (r"!\[([^\]]*)\]\([^)]+\)", r"\1"), (r"\[([^\]]+)\]\([^)]+\)", r"\1"), (r"(?m)^\s{0,3}#{1,6}\s+", ""), (r"(?m)^\s*>\s?", ""),
+        (r"(?m)^\s{0,3}(-(\s*-){2,}|\*(\s*\*){2,}|_(\s*_){2,})\s*$", " "), (r"(?m)^\s*([-+*]|\d+[.)])\s+", ""), (r"(?m)^\s*\|?(\s*:?-{3,}:?\s*\|)+\s*$", " "), (r"`+|\*\*|~~", ""), (r"<[^>]+>", " "), (r"\s+", " "),
+    ]:
+        c = f"regexp_replace({c}, '{pattern}', '{to}', 'g')"
+    return f"trim({c})"
+
+
+@says(f"WITH p AS (SELECT doc_id, {plain_sql('text')} AS plain FROM documents) SELECT doc_id, CASE WHEN length(plain) > 200 THEN left(plain, 197) || '...' ELSE plain END AS plain FROM p")
 def markdown_text(spark, sf_dir):
     return _t(spark, sf_dir, "documents").select("doc_id", T.compact(T.markdown_plain_text(F.col("text")), 200).alias("plain"))
 
@@ -247,7 +258,7 @@ def export_markdown(spark, sf_dir):
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {k: f for k, (f, _) in _found.items()} | {"markdown_text": markdown_text}
+    return {k: f for k, (f, _) in _found.items()}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from threadloom.functions import text as T
 from threadloom.functions import variants as V
 from threadloom.operators import edit, export, normalize, ordered, query, summary
-from threadloom.plans.registry import CONV, EVENTS, _t, says
+from threadloom.plans.registry import CONV, EVENTS, _t, plain_sql, says
 from threadloom.sources import logs
 from threadloom.streaming import refresh
 
@@ -232,3 +232,156 @@ def truncate_messages(spark, sf_dir):
 @says("SELECT event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS original_index FROM events QUALIFY event_type = 'click'")
 def event_filter(spark, sf_dir):
     return query.filter_messages(_t(spark, sf_dir, "events"), EVENTS, role="click", show_tools=True).select("event_id", "original_index")
+
+
+@says(f"SELECT doc_id, coalesce(length({plain_sql('text')}) > 1800, false) AS folded FROM documents")
+def folded_messages(spark, sf_dir):
+    shown = T.display_text(F.col("text"), F.lit(False), F.lit(None).cast("long"))
+    return _t(spark, sf_dir, "documents").select("doc_id", T.starts_collapsed(F.lit("user"), F.lit(False), shown).alias("folded"))
+
+
+@says("""WITH s AS (SELECT conv_id, turn, text, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS q FROM conversations)
+SELECT conv_id, turn, md5(CASE WHEN length(q) > 60 THEN rtrim(left(q, 57)) || '...' ELSE q END) AS short_md5,
+ md5(CASE WHEN turn % 5 = 4 THEN turn || ' messages in the middle were omitted for safe display' WHEN length(text) > 50 THEN left(text, 50) || chr(10) || chr(10) || 'This message is too large; only the first 50 characters are shown' ELSE text END) AS shown_md5,
+ CASE WHEN turn % 2 = 0 AND conv_id % 2 = 0 THEN 'codex_archived' ELSE 'codex' END AS kind FROM s""")
+def shown_text(spark, sf_dir):
+    """Every fifth turn stands for omitted messages; archived are even turns, of which even conversations have an archive."""
+    text, turn = F.col("text"), F.col("turn")
+    shown = T.display_text(F.left(text, F.lit(50)), F.length(text) > 50, F.when(turn % 5 == 4, turn))
+    kind = T.shown_kind(F.lit("codex"), turn % 2 == 0, F.when(F.col("conv_id") % 2 == 0, "codex").otherwise(""))
+    return _t(spark, sf_dir, "conversations").select("conv_id", "turn", F.md5(T.compact_text(text, 60)).alias("short_md5"), F.md5(shown).alias("shown_md5"), kind.alias("kind"))
+
+
+@says("""WITH o AS (SELECT o_orderkey, row_number() OVER (ORDER BY o_totalprice DESC, o_orderkey) AS i FROM orders), p AS (SELECT o_orderkey, i - (SELECT coalesce(max(i), 0) FROM o WHERE o_orderkey = 7) AS i FROM o)
+SELECT string_agg(o_orderkey::VARCHAR, ',' ORDER BY i) FILTER (i <= 50) AS keys, count(*) > 50 AS has_more, CASE WHEN count(*) > 50 THEN max(o_orderkey::VARCHAR) FILTER (i = 50) END AS next_cursor FROM p WHERE i > 0""")
+def page_object(spark, sf_dir):
+    return query.page_object(_t(spark, sf_dir, "orders"), "o_totalprice", "o_orderkey", cursor="7").withColumn("keys", F.array_join("keys", ","))
+
+
+@says("""SELECT '/c/' || o_custkey AS path, o_custkey::VARCHAR AS name, count(*) AS count, max(o_orderdate::DATE::VARCHAR) AS last_timestamp, string_agg(DISTINCT o_orderpriority, ',' ORDER BY o_orderpriority) AS providers,
+ string_agg(DISTINCT o_orderstatus, ',' ORDER BY o_orderstatus) AS source_kinds FROM orders GROUP BY o_custkey""")
+def project_list(spark, sf_dir):
+    o = _t(spark, sf_dir, "orders").select(F.concat(F.lit("/c/"), F.col("o_custkey").cast("string")).alias("cwd"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("timestamp"), F.col("o_orderpriority").alias("model_provider"), F.col("o_orderstatus").alias("source_kind"))
+    return query.project_list(o).withColumns({c: F.array_join(c, ",") for c in ("providers", "source_kinds")})
+
+
+@says("""WITH o AS (SELECT conv_id, role, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS ord, count(*) OVER (PARTITION BY conv_id) AS total,
+  CASE WHEN length(text) > 100 THEN left(text, 100) || chr(10) || chr(10) || 'This message is too large; only the first 100 characters are shown' ELSE text END AS shown FROM conversations),
+ k AS (SELECT conv_id, ord::DOUBLE AS ord, role, shown FROM o WHERE ord <= 3 OR ord > total - 3 UNION ALL SELECT DISTINCT conv_id, 3.5, 'system', total - 6 || ' messages in the middle were omitted for safe display' FROM o WHERE total > 6)
+SELECT conv_id, 'session-' || conv_id || '.md' AS file_name, md5('# Session: ' || CASE WHEN conv_id % 2 = 0 THEN '/tmp/p' ELSE conv_id::VARCHAR END || chr(10) || chr(10) || '- **Start Time**: ' || CASE WHEN conv_id % 3 = 0 THEN 'Unknown time' ELSE 'Jan 2, 2026, 3:04:05 PM' END
+ || chr(10) || '- **Provider**: unknown' || chr(10) || '- **Source**: cli' || chr(10) || '- **Session ID**: ' || conv_id || chr(10) || string_agg(chr(10) || '## ' || role || chr(10) || chr(10) || shown || chr(10), '' ORDER BY ord)) AS markdown_md5 FROM k GROUP BY conv_id""")
+def export_session(spark, sf_dir):
+    """Every conversation as Markdown with its heading, six messages of 100 characters at most."""
+    c = _t(spark, sf_dir, "conversations")
+    even = F.when(F.col("conv_id") % 2 == 0, "/tmp/p").otherwise("")
+    local = F.date_format(F.to_utc_timestamp(F.lit("2026-01-02 15:04:05"), F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    about = c.select("conv_id").distinct().select(
+        "conv_id", F.col("conv_id").cast("string").alias("id"), even.alias("cwd"), F.when(F.col("conv_id") % 3 == 0, "").otherwise(local).alias("timestamp"),
+        F.lit("").alias("model_provider"), F.lit("cli").alias("source"), F.lit("").alias("originator"),
+    )
+    return export.export_session(about, c, CONV, most=6, max_chars=100).select("conv_id", "file_name", F.md5("markdown").alias("markdown_md5"))
+
+
+def _documents_and_history(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """Every user is a session document of one of three roots, even ones with a prompt, odd ones with entries; events are
+    lines of the history, those of type error no JSON."""
+    ev = _t(spark, sf_dir, "events")
+    root, own = F.concat(F.lit("/r"), (F.col("user_id") % 3).cast("string")), F.col("user_id").cast("string")
+    record = F.when(F.col("user_id") % 2 == 0, F.lit('{"prompt": "go"}')).otherwise('{"prompt": "no", "entries": []}')
+    docs = ev.select("user_id").distinct().select(F.concat(root, F.lit("/sessions/"), own, F.lit(".json")).alias("file_path"), own.alias("id"), F.lit("").alias("timestamp"), F.parse_json(record).alias("record"))
+    line = F.when(F.col("event_type") == "error", "{bad").otherwise(F.to_json(F.struct(own.alias("sessionId"), F.col("event_type").alias("display"))))
+    lines = ev.select(F.concat(root, F.lit("/history.jsonl")).alias("file_path"), F.col("event_id").alias("line_number"), line.alias("raw"))
+    return docs, logs.history_rows(lines.withColumn("record", F.try_parse_json("raw")))
+
+
+@says("""WITH u AS (SELECT DISTINCT user_id FROM events)
+SELECT '/r' || user_id % 3 || '/sessions/' || user_id || '.json' AS file_path, user_id::VARCHAR AS id, NULL::BIGINT AS line_number, 'info' AS type FROM u
+UNION ALL SELECT '/r' || user_id % 3 || '/sessions/' || user_id || '.json', user_id::VARCHAR, 1, 'user' FROM u WHERE user_id % 2 = 0
+UNION ALL SELECT '/r' || user_id % 3 || '/sessions/' || user_id || '.json', user_id::VARCHAR, event_id, 'user_input' FROM events WHERE event_type <> 'error'
+UNION ALL SELECT '/r' || user_id % 3 || '/history.jsonl', NULL, event_id, 'parse_error' FROM events WHERE event_type = 'error'""")
+def document_events(spark, sf_dir):
+    return logs.document_events(*_documents_and_history(spark, sf_dir)).select("file_path", "id", "line_number", "type")
+
+
+@says("""WITH b AS (SELECT user_id % 3 AS r, count(*) FILTER (event_type = 'error') AS n FROM events GROUP BY 1)
+SELECT user_id::VARCHAR AS id, 2 - user_id % 2 + count(*) FILTER (event_type <> 'error') + any_value(b.n) AS event_count FROM events JOIN b ON b.r = user_id % 3 GROUP BY user_id""")
+def document_event_counts(spark, sf_dir):
+    return logs.document_event_counts(*_documents_and_history(spark, sf_dir)).select("id", "event_count")
+
+
+@says("SELECT user_id::VARCHAR AS id, event_id AS line_number, 'user' AS role, event_type AS text FROM events WHERE event_type <> 'error'")
+def history_messages(spark, sf_dir):
+    return logs.history_messages(*_documents_and_history(spark, sf_dir)).select("id", "line_number", "role", "text")
+
+
+@says("""SELECT conv_id // 3 AS file_path, count(*) FILTER (conv_id % 4 = 1) AS n_removed, count(*) FILTER (conv_id % 4 <> 1) AS n_left,
+ md5(coalesce(string_agg(text, '|' ORDER BY conv_id, turn) FILTER (conv_id % 4 <> 1), '')) AS text_md5 FROM conversations GROUP BY 1""")
+def redact_array_logs(spark, sf_dir):
+    """Three conversations to an array log; every fourth conversation goes."""
+    c = _t(spark, sf_dir, "conversations")
+    each = F.sort_array(F.collect_list(F.struct("conv_id", "turn", F.col("conv_id").cast("string").alias("sessionId"), "text")))
+    files = c.groupBy(F.floor(F.col("conv_id") / 3).alias("file_path")).agg(F.parse_json(F.to_json(each)).alias("record"))
+    out = edit.redact_array_logs(files, c.where("conv_id % 4 = 1").select(F.col("conv_id").cast("string").alias("id")))
+    left = F.try_variant_get("record", "$", "array<struct<text string>>")
+    return out.select("file_path", "n_removed", F.size(left).cast("long").alias("n_left"), F.md5(F.array_join(F.transform(left, lambda e: e["text"]), "|")).alias("text_md5"))
+
+
+@says("""SELECT conv_id::VARCHAR AS session, turn AS line_number FROM conversations c WHERE NOT (role = 'assistant' AND turn % 3 = 1)
+ AND NOT (role NOT IN ('assistant', 'system') AND turn % 3 = 2 AND EXISTS (SELECT 1 FROM conversations p WHERE p.conv_id = c.conv_id AND p.turn = c.turn - 1 AND p.role = 'assistant'))""")
+def redact_lines(spark, sf_dir):
+    """Tool calls of every third turn go, each with the line of its result; references to other turns are stale."""
+    lines = transcripts(spark, sf_dir)
+    call = lines.where(V.string_at(F.col("record"), "$.type") == "assistant")
+    mark = F.when(F.col("line_number") % 3 == 1, edit.entry_fingerprint(F.col("record"))).otherwise("stale")
+    kept, _ = edit.redact_records(lines, call.select("file_path", "line_number", F.lit(1).alias("message_index"), mark.alias("fingerprint")))
+    return kept.select(F.regexp_extract("file_path", r"(\d+)", 1).alias("session"), "line_number")
+
+
+@says("""WITH e AS (SELECT *, strftime(ts, '%Y-%m-%dT%H:%M:%SZ') AS t, strftime(ts, '%Y-%m-%d') AS day FROM events),
+ p AS (SELECT user_id, day, min(t) AS a, max(t) AS b, count(*) AS n, count(*) FILTER (event_type = 'click') AS clicks, CASE WHEN max(event_id) % 2 = 0 THEN '/d' || day ELSE '' END AS cwd FROM e GROUP BY user_id, day)
+SELECT user_id::VARCHAR AS id, arg_min(day, a) AS file_path, min(a) AS timestamp, max(b) AS last_timestamp, coalesce(arg_max(cwd, day) FILTER (cwd <> ''), '') AS cwd, sum(n)::BIGINT AS event_count, sum(clicks)::BIGINT AS clicks, count(*) AS files FROM p GROUP BY user_id""")
+def merge_summaries(spark, sf_dir):
+    """A user's events of a day are a file of a session."""
+    ev = _t(spark, sf_dir, "events").withColumn("day", F.date_format("ts", "yyyy-MM-dd")).withColumn("t", F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'"))
+    no = F.lit("")
+    parts = ev.groupBy(F.col("user_id").cast("string").alias("id"), F.col("day").alias("file_path")).agg(
+        F.min("t").alias("timestamp"), F.max("t").alias("last_timestamp"), F.when(F.max("event_id") % 2 == 0, F.concat(F.lit("/d"), F.first("day"))).otherwise("").alias("cwd"),
+        F.count(F.lit(1)).alias("event_count"), F.count_if(F.col("event_type") == "click").alias("clicks"),
+    )
+    parts = parts.withColumns({"model_provider": no, "originator": no, "message_count": F.col("event_count"), "context_count": F.lit(0), "role_counts": F.create_map(F.lit("click"), F.col("clicks")), "first_user": no, "first_assistant": no, "first_message": no})
+    out = summary.merge_summaries(parts)
+    return out.select("id", "file_path", "timestamp", "last_timestamp", "cwd", "event_count", F.col("role_counts")["click"].alias("clicks"), "files")
+
+
+@says("SELECT o_orderkey FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_acctbal > 0)")
+def prune_missing(spark, sf_dir):
+    """Orders are index rows; files are customers with money left."""
+    there = _t(spark, sf_dir, "customer").where("c_acctbal > 0").select(F.col("c_custkey").alias("o_custkey"))
+    return refresh.prune_missing(_t(spark, sf_dir, "orders"), there, "o_custkey").select("o_orderkey")
+
+
+@says("SELECT conv_id, turn, turn % 4 = 0 AS stale FROM conversations WHERE turn % 2 = 0")
+def stale_references(spark, sf_dir):
+    """References to even turns; of every fourth turn the text was another."""
+    c = _t(spark, sf_dir, "conversations")
+    refs = c.where("turn % 2 = 0").select("conv_id", "turn", F.when(F.col("turn") % 4 == 0, F.concat("text", F.lit("!"))).otherwise(F.col("text")).alias("text")).select("conv_id", "turn", edit.fingerprint("text").alias("fingerprint"))
+    good, stale = edit.check_references(c, refs, ["conv_id", "turn"], edit.fingerprint("text"))
+    return good.withColumn("stale", F.lit(False)).unionByName(stale.withColumn("stale", F.lit(True)))
+
+
+@says("SELECT conv_id::VARCHAR AS session, 'a' || turn // 4 AS name FROM conversations WHERE turn % 4 = 0 AND NOT (conv_id % 2 = 0 AND turn % 8 = 0)")
+def redact_artifacts(spark, sf_dir):
+    """Prompts of even conversations go where the reference still holds: every second one."""
+    files = artifact_files(spark, sf_dir).where(~F.contains("name", F.lit(".")))
+    even, place = F.col("session").cast("long") % 2 == 0, F.substring("name", 2, 9).cast("long")
+    seen = F.when(place % 2 == 0, F.col("content")).otherwise(F.concat("content", F.lit("!")))
+    refs = files.where(even).select("session", "name", F.sha2(seen.cast("binary"), 256).alias("fingerprint"))
+    return edit.redact_artifacts(files, refs).select("session", "name")
+
+
+@says("""SELECT event_id, strftime(ts, '%Y-%m-%d') AS day, strftime(ts, '%Y-%m-%dT%H:%M:%S.') || left(strftime(ts, '%f'), 3) || 'Z' AS stamp, left(user_id || ' is not a time', 10) AS other_day FROM events""")
+def time_fields(spark, sf_dir):
+    """Event times as epoch milliseconds, as RFC 3339 text, and text that is no time."""
+    text = F.concat(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss"), F.lit("Z"))
+    millis = F.unix_millis(F.from_utc_timestamp("ts", F.current_timezone()))
+    return _t(spark, sf_dir, "events").select("event_id", T.local_day(text).alias("day"), T.epoch_or_text(millis.cast("string")).alias("stamp"), T.local_day(F.concat(F.col("user_id").cast("string"), F.lit(" is not a time"))).alias("other_day"))

@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from threadloom.functions import text as T
 from threadloom.functions import variants as V
+from threadloom.operators.normalize import is_context
 from threadloom.operators.ordered import contiguous_prefix, number_lines
 
+#: What the first event of every session document says.
+INFO = "Legacy Claude Code metadata; full project transcript is unavailable."
+
 
 def read_jsonl(spark: SparkSession, roots: list[str], kind: str, *, archived: bool = False) -> DataFrame:
     """Every line of *.jsonl below the roots, numbered in its file; blank lines count but give no row. `record` is null
@@ -78,6 +82,59 @@ def document_records(docs: DataFrame) -> DataFrame:
     return many.unionByName(one).withColumn("line_number", F.col("line_number").cast("long"))
 
 
+def _prompt(record: Column) -> Column:
+    """The prompt or message of a document without entries."""
+    return F.when(~V.is_kind(V.at(record, "$.entries"), "ARRAY"), V.first_string(record, "$.prompt", "$.message"))
+
+
+def _of_root(docs: DataFrame, history: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Both with `_root`, the directory that holds the history, and the directory of the documents beside it."""
+    return docs.withColumn("_root", F.regexp_replace("file_path", r"/[^/]+/[^/]+$", "")), history.withColumn("_root", F.regexp_replace("file_path", r"/[^/]+$", ""))
+
+
+def document_events(docs: DataFrame, history: DataFrame) -> DataFrame:
+    """file_path, id, line_number, timestamp, type, payload (JSON) of the events of session documents: one that tells what
+    they are, the prompt of a document without entries, and the lines of the history beside them that have their id.
+
+    A history line that is no JSON is an event of every session of its root. It is given once, with its own file_path and
+    a null id: a row for each session and line would grow with their product.
+    """
+    docs, history = _of_root(docs, history)
+    ts, prompt = T.blank_to_null(F.col("timestamp")).alias("timestamp"), _prompt(F.col("record"))
+    head = ["file_path", "id"]
+    message = lambda c: F.to_json(F.struct(c.alias("message")))
+    info = docs.select(*head, F.lit(None).cast("long").alias("line_number"), ts, F.lit("info").alias("type"), message(F.lit(INFO)).alias("payload"))
+    asked = docs.where(prompt.isNotNull()).select(*head, F.lit(1).cast("long").alias("line_number"), ts, F.lit("user").alias("type"), message(prompt).alias("payload"))
+    said = F.to_json(F.struct("display", "project", F.parse_json("pasted_contents").alias("pasted_contents")), {"ignoreNullFields": "false"})
+    lines = history.where("NOT parse_error").select("_root", "id", "line_number", ts, F.lit("user_input").alias("type"), said.alias("payload"))
+    own = docs.select(*head, "_root").join(lines, ["_root", "id"]).drop("_root")
+    bad = history.where("parse_error").select("file_path", F.lit(None).cast("string").alias("id"), "line_number", F.lit(None).cast("string").alias("timestamp"), F.lit("parse_error").alias("type"), F.to_json(F.struct(F.col("raw").alias("raw_line"))).alias("payload"))
+    return info.unionByName(asked).unionByName(own).unionByName(bad)
+
+
+def document_event_counts(docs: DataFrame, history: DataFrame) -> DataFrame:
+    """file_path, id, event_count: the document's own events, its history lines, and the root's lines that are no JSON.
+    The history is reduced to a row per session, and to one per root, before it is joined."""
+    docs, history = _of_root(docs, history)
+    lines = history.where("NOT parse_error AND id IS NOT NULL").groupBy("_root", "id").agg(F.count(F.lit(1)).alias("_lines"))
+    bad = history.where("parse_error").groupBy("_root").agg(F.count(F.lit(1)).alias("_bad"))
+    own = F.when(_prompt(F.col("record")).isNotNull(), 2).otherwise(1)
+    slim = docs.select("file_path", "id", "_root", own.cast("long").alias("_own")).join(lines, ["_root", "id"], "left").join(bad, "_root", "left")
+    return slim.select("file_path", "id", (F.col("_own") + F.coalesce("_lines", F.lit(0)) + F.coalesce("_bad", F.lit(0))).alias("event_count"))
+
+
+def history_messages(docs: DataFrame, history: DataFrame) -> DataFrame:
+    """file_path, id, line_number, role, text, timestamp, source_type, source_subtype, synthetic_context: the user's
+    messages that history lines with a display add to session documents."""
+    docs, history = _of_root(docs, history)
+    text = T.strip(F.col("display"))
+    lines = history.where("display IS NOT NULL").select(
+        "_root", "id", "line_number", F.lit("user").alias("role"), text.alias("text"), T.blank_to_null(F.col("timestamp")).alias("timestamp"),
+        F.lit("user_input").alias("source_type"), F.lit("display").alias("source_subtype"), is_context(F.lit("user"), text).alias("synthetic_context"),
+    )
+    return docs.select("file_path", "id", "_root").join(lines, ["_root", "id"]).drop("_root")
+
+
 def read_artifacts(spark: SparkSession, roots: list[str]) -> DataFrame:
     """Messages of the artifact files of `<root>/antigravity/brain/<session>/`: see `artifact_messages`."""
     dirs = [f"{r.rstrip('/')}/antigravity/brain/*/*" for r in roots]
