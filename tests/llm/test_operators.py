@@ -3,6 +3,8 @@ import itertools
 import random
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 from pyspark.sql import functions as F
 
@@ -59,6 +61,61 @@ def test_substring_dedup_against_brute_force(spark, docs, rows):
     assert substring_dedup.dedup(empty(spark)).count() == 0
 
 
+def dedup_in_place(rows, groups, adds):
+    """The passes of substring dedup without Spark: (key, n_removed) of all rows, and the words of each automaton."""
+
+    class Counting(substring_dedup.Automaton):
+        def __init__(self):
+            super().__init__()
+            adds.append(0)
+
+        def add(self, words, key):
+            adds[-1] += len(words)
+            super().add(words, key)
+
+    S, by = substring_dedup, lambda ts, c: (lambda t: {v: t.filter(pc.equal(t.column(c), v)) for v in t.column(c).unique().to_pylist()})(pa.concat_tables(ts))
+    was, S.Automaton = S.Automaton, Counting
+    try:
+        dealt = {g: pa.table({"g": pa.array([g] * len(r), pa.int64()), "key": [k for k, _ in r], "text": [t for _, t in r]}) for g in range(groups) if (r := rows[g::groups])}
+        met = by([S.frequencies.classify_as(t, S.COUNTED) for t in by([S.profile(t, 13, groups) for t in dealt.values()], "shard").values()], "g")
+        sent = by([S.send(t, met[g], 13, groups) for g, t in dealt.items()], "shard")
+        back = by([S.match(t, 13) for t in sent.values()], "g")
+        told = {g: pa.concat_tables([met[g], *([back[g]] if g in back else [])], promote_options="default") for g in dealt}
+        empty = pa.schema([("digests", pa.binary()), ("counts", pa.binary()), ("keys", pa.binary()), ("windows", pa.binary())]).empty_table()
+        out = [S.remove(t, pa.concat_tables([told[g], empty], promote_options="default"), 13, groups, False) for g, t in dealt.items()]
+        return sorted((k, n) for t in out for k, n in zip(t.column("key").to_pylist(), t.column("n_removed").to_pylist()))
+    finally:
+        S.Automaton = was
+
+
+@pytest.mark.parametrize("kind", ["phrase", "repeated", "passage"])
+def test_a_hot_minimizer_fills_no_automaton(kind):
+    rng = random.Random(3)
+    own = lambda n: [f"u{rng.randrange(1 << 40)}" for _ in range(n)]
+    # four words of a low hash are the minimizer wherever they stand
+    phrase = min((own(4) for _ in range(3000)), key=lambda p: substring_dedup.gram_hashes(substring_dedup.word_hashes([w.encode() for w in p]), 4)[0])
+    passage = own(3) + phrase + own(30)
+    rows = []
+    for i in range(4000):
+        if kind == "phrase":  # what surrounds it is another text everywhere
+            t = own(12) + phrase + own(12)
+        elif kind == "repeated":  # one document has the phrase many times
+            t = sum((own(12) + phrase for _ in range(1500)), []) if i in (7, 1200) else own(15)
+        else:
+            t = own(9) + passage + own(9)
+        rows.append((i, " ".join(t)))
+    rows += [(5000, rows[7][1]), (4999, rows[8][1] + " end"), (5001, "x " * 9000), (5002, "y " + "x " * 9000)]
+    first, want = {}, []
+    ws = {k: list(zip(*(t.split()[i:] for i in range(13)))) for k, t in rows}
+    for k in sorted(ws):
+        for w in ws[k]:
+            first.setdefault(w, k)
+        want.append((k, len({j for i, w in enumerate(ws[k]) if first[w] < k for j in range(i, i + 13)})))
+    adds = []
+    assert dedup_in_place(rows, 3, adds) == want
+    assert max(adds, default=0) < 46_000  # an automaton's words and one minimizer's
+
+
 @pytest.mark.parametrize("chunk", [1024, 3])
 def test_jaccard_classes_against_brute_force(spark, docs, rows, chunk):
     sets = {}

@@ -5,13 +5,16 @@ of a smaller key. No automaton of a corpus has a size bound, so it isn't broadca
 shard must be matched with is sent to it:
 
 1. Documents are dealt into groups. A task cuts each into spans: runs of windows that have the same least 4-word hash
-   (minimizer). Equal windows have equal minimizers, so the minimizer names the one shard where both must meet. The
-   documents that have each minimizer are counted first, and spans whose minimizer no other document has stay at home.
-   Equal spans of a group travel once, with the group's smallest key: a passage in a third of all documents reaches its
-   shard once from each group.
+   (minimizer), of at most as many windows as one place of it can serve. Equal windows have equal minimizers, so the
+   minimizer names the one shard where both must meet. The spans of each minimizer are counted first, and a span whose
+   minimizer no other one has stays at home. Equal spans of a group travel once, with the group's smallest key: a passage
+   in a third of all documents reaches its shard once from each group.
+   A minimizer of 2^HOT spans or more (a frequent phrase, whose neighbours differ everywhere) names no shard: its windows
+   are dealt by their own 128-bit digests, each once from a group with the group's smallest key, and need no automaton.
 2. A shard builds suffix automata over its distinct spans, every state with the smallest key of the texts that reach
    it, and streams the spans through them: the state of a window tells in which document it came first. Spans that
-   share no window with another are settled without.
+   share no window with another are settled without. No minimizer of an automaton has 2^HOT spans. Of windows dealt by
+   digest, a shard takes the smallest key of each.
 3. What a shard finds, for spans that some other group had earlier, goes back to the groups, where covered words are
    removed. Every pass over the texts reads the one shuffle of them by group.
 """
@@ -30,6 +33,9 @@ from .common import gram_hashes, grouped, mixed, pack, parts, small_batches, squ
 GROUP_BYTES = 8 << 20
 MINIMIZER = 4
 AUTOMATON_WORDS = 20_000
+#: From 2^HOT spans on, a minimizer's windows are dealt one by one; as many spans fill an automaton.
+HOT = 10
+COUNTED = np.uint16
 NEVER = np.iinfo(np.int64).max
 
 
@@ -45,10 +51,37 @@ def _least(g: np.ndarray, w: int) -> np.ndarray:
 def spans(words: list[bytes], window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """First and end window of each span, and its minimizer."""
     least = _least(gram_hashes(word_hashes(words), MINIMIZER), window - MINIMIZER + 1)
-    start = np.flatnonzero(np.concatenate([[True], least[1:] != least[:-1]]))
+    new = np.concatenate([[True], least[1:] != least[:-1]])
+    at = np.arange(len(least))
+    new |= (at - np.maximum.accumulate(np.where(new, at, 0))) % (window - MINIMIZER + 1) == 0  # a phrase repeated has a run without end
+    start = np.flatnonzero(new)
     return start, np.append(start[1:], len(least)), least[start]
 
 
+def digests_of(pieces: list[bytes], window: int) -> tuple[np.ndarray, np.ndarray]:
+    """128-bit digests of the windows of all pieces, as two numbers each; how many each piece has."""
+    out: list[bytes] = []
+    counts = []
+    for p in pieces:
+        words = p.split(b" ")
+        counts.append(len(words) - window + 1)
+        out += [xxhash.xxh3_128_digest(b" ".join(words[i : i + window])) for i in range(counts[-1])]
+    return np.frombuffer(b"".join(out), np.uint64).reshape(-1, 2), np.array(counts, np.int64)
+
+
+def least_keys(digests: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct digests in order, the smallest key of each, and the place of every given one among them."""
+    order = np.lexsort((digests[:, 1], digests[:, 0]))
+    ranked = digests[order]
+    new = np.ones(len(order), bool)
+    new[1:] = (ranked[1:] != ranked[:-1]).any(1)
+    at = np.empty(len(order), np.int64)
+    at[order] = new.cumsum() - 1
+    least = np.full(int(new.sum()), NEVER)
+    np.minimum.at(least, at, keys)
+    return ranked[new], least, at
+
+
 class Texts:
     """Spans of a group's documents."""
 
@@ -71,52 +104,70 @@ class Texts:
         self.places = [frequencies.places(c[2], shards) for c in self.cuts]
 
     def profile(self) -> np.ndarray:
-        """Minimizers of all documents, once for each that has them."""
-        return np.concatenate([*map(np.unique, self.places), np.zeros(0, np.uint64)])
+        """Minimizers of all documents, once for each span."""
+        return np.concatenate([*self.places, np.zeros(0, np.uint64)])
 
     def read(self, classes: np.ndarray) -> None:
-        """Keep the spans whose minimizer some other document has: `pieces` and `cuts` of each document, and the
-        smallest key and the minimizer by distinct span."""
+        """Keep the spans whose minimizer some other span has: `pieces` and `cuts` of each document, the smallest key by
+        distinct span, the minimizer of those that meet by it, and a list of the others (`hot`)."""
         self.least: dict[bytes, int] = {}
         self.minimizer: dict[bytes, int] = {}
+        self.hot: list[bytes] = []
         self.pieces: list[list[bytes]] = []
         _, at = np.unique(np.concatenate([*self.places, np.zeros(0, np.uint64)]), return_inverse=True)
-        shared = np.split(classes[at] > 0, np.cumsum([len(x) for x in self.places])[:-1])
-        for d, (key, keep, joined) in enumerate(zip(self.keys, shared, self.joined, strict=True)):
+        kinds = np.split(classes[at], np.cumsum([len(x) for x in self.places])[:-1])
+        for d, (key, kind, joined) in enumerate(zip(self.keys, kinds, self.joined, strict=True)):
+            keep = kind > 0
             start, end, least, a, b = self.cuts[d] = tuple(x[keep] for x in self.cuts[d])
             pieces = [joined[i:j] for i, j in zip(a.tolist(), b.tolist(), strict=True)]
             self.pieces.append(pieces)
-            for p, m in zip(pieces, least.tolist(), strict=True):
+            for p, m, hot in zip(pieces, least.tolist(), (kind[keep] >= HOT).tolist(), strict=True):
                 was = self.least.get(p)
-                if was is None:
+                if was is None and hot:
+                    self.hot.append(p)
+                elif was is None:
                     self.minimizer[p] = m
                 if was is None or key < was:
                     self.least[p] = key
 
+    def windows(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Of the hot spans: distinct windows and the group's smallest key of each; each window's place among them; how
+        many each span has."""
+        digests, counts = digests_of(self.hot, self.window)
+        keys = np.repeat(np.array([self.least[p] for p in self.hot], np.int64), counts)
+        return *least_keys(digests, keys), counts
+
 
 def profile(t: pa.Table, window: int, shards: int) -> pa.Table:
-    return frequencies.send(t.column("g")[0].as_py(), Texts(t, window, shards).profile())
+    return frequencies.send(t.column("g")[0].as_py(), Texts(t, window, shards).profile(), COUNTED)
+
+
+def _by_shard(shard: np.ndarray) -> list[np.ndarray]:
+    """Places of each shard."""
+    order = np.argsort(shard, kind="stable")
+    return np.split(order, np.flatnonzero(np.diff(shard[order])) + 1) if len(shard) else []
 
 
 def send(t: pa.Table, back: pa.Table, window: int, shards: int) -> pa.Table:
-    """A row for each shard that this group has spans for."""
-    lines: list[bytes] = []
+    """A row for each shard that this group has spans for, and one for each that it has windows for."""
+    rows = []
     if t.num_rows:
+        g = t.column("g")[0].as_py()
         texts = Texts(t, window, shards)
         texts.read(frequencies.known(back))
-        lines = list(texts.least)
-    rows = []
-    if lines:
-        g = t.column("g")[0].as_py()
-        least = np.fromiter(texts.least.values(), np.int64, len(lines))
-        minimizer = np.fromiter((texts.minimizer[p] for p in lines), np.uint64, len(lines))
+        lines = list(texts.minimizer)
+        least = np.array([texts.least[p] for p in lines], np.int64)
+        minimizer = np.fromiter(texts.minimizer.values(), np.uint64, len(lines))
         shard = (mixed(minimizer) % np.uint64(shards)).astype(np.int64)
-        order = np.argsort(shard, kind="stable")
-        cut = np.flatnonzero(np.diff(shard[order], prepend=-1))
-        for rows_of in np.split(order, cut[1:]):
-            rows.append((int(shard[rows_of[0]]), g, squeeze(b"\n".join([lines[i] for i in rows_of.tolist()])), pack(least[rows_of]), pack(minimizer[rows_of].astype(np.uint32))))
-    cols = [*zip(*rows, strict=True)] or [[]] * 5
-    return pa.table([pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary()), strict=True)], ["shard", "g", "lines", "least", "minimizer"])
+        for i in _by_shard(shard):
+            rows.append((int(shard[i[0]]), g, squeeze(b"\n".join([lines[k] for k in i.tolist()])), pack(least[i]), pack(minimizer[i].astype(np.uint32)), None))
+        digests, least, _, _ = texts.windows()
+        shard = (digests[:, 0] % np.uint64(shards)).astype(np.int64)
+        for i in _by_shard(shard):
+            rows.append((int(shard[i[0]]), g, None, pack(least[i]), None, digests[i].tobytes()))
+    cols = [*zip(*rows, strict=True)] or [[]] * 6
+    kinds = (pa.int64(), pa.int64(), *[pa.binary()] * 4)
+    return pa.table([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["shard", "g", "lines", "least", "minimizer", "windows"])
 
 
 class Automaton:
@@ -205,8 +256,26 @@ def _sharing(lines: list[bytes], window: int) -> tuple[np.ndarray, list[np.ndarr
     return marked, np.split(flat, ends[:-1])
 
 
+def match_windows(t: pa.Table) -> list[tuple]:
+    """For each group: those of its windows that another group has with a smaller key, and that key."""
+    if not t.num_rows:
+        return []
+    sent = [np.frombuffer(x, np.uint64).reshape(-1, 2) for x in t.column("windows").to_pylist()]
+    own = [unpack(x, np.int64) for x in t.column("least").to_pylist()]
+    _, least, at = least_keys(np.concatenate(sent), np.concatenate(own))
+    rows = []
+    for g, digests, mine, i in zip(t.column("g").to_pylist(), sent, own, np.split(at, np.cumsum([len(x) for x in own])[:-1]), strict=True):
+        earlier = least[i] < mine
+        if earlier.any():
+            rows.append((g, None, None, pack(least[i][earlier]), digests[earlier].tobytes()))
+    return rows
+
+
 def match(t: pa.Table, window: int) -> pa.Table:
-    """For each group: digests of its spans that hold a window which came earlier elsewhere, with each window's key."""
+    """For each group: digests of its spans that hold a window which came earlier elsewhere, with each window's key; and
+    its windows dealt one by one that did, with their keys."""
+    rows = match_windows(t.filter(pc.is_valid(t.column("windows"))))
+    t = t.filter(pc.is_valid(t.column("lines")))
     index: dict[bytes, int] = {}
     received = []
     for g, lines, least, minimizer in zip(*(t.column(c).to_pylist() for c in ("g", "lines", "least", "minimizer")), strict=True):
@@ -236,7 +305,6 @@ def match(t: pa.Table, window: int) -> pa.Table:
                 for i in some:
                     found[bundle[i]] = np.array(automaton.stream(words[i].tolist(), window), np.int64)
             bundle = []
-    rows = []
     lowest = first.copy()
     for i, keys in found.items():
         lowest[i] = keys.min()
@@ -244,9 +312,9 @@ def match(t: pa.Table, window: int) -> pa.Table:
         earlier = own[lowest[own] < least].tolist()
         if earlier:
             keys = [found.get(i, first[i : i + 1]) for i in earlier]
-            rows.append((g, squeeze(b"".join([xxhash.xxh3_128_digest(distinct[i]) for i in earlier])), pack(np.array([len(k) for k in keys], np.uint32)), pack(np.concatenate(keys))))
-    cols = [*zip(*rows, strict=True)] or [[]] * 4
-    return pa.table([pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.binary(), pa.binary(), pa.binary()), strict=True)], ["g", "digests", "counts", "keys"])
+            rows.append((g, squeeze(b"".join([xxhash.xxh3_128_digest(distinct[i]) for i in earlier])), pack(np.array([len(k) for k in keys], np.uint32)), pack(np.concatenate(keys)), None))
+    cols = [*zip(*rows, strict=True)] or [[]] * 5
+    return pa.table([pa.array(c, k) for c, k in zip(cols, (pa.int64(), *[pa.binary()] * 4), strict=True)], ["g", "digests", "counts", "keys", "windows"])
 
 
 def remove(t: pa.Table, back: pa.Table, window: int, shards: int, as_was: bool) -> pa.Table:
@@ -266,6 +334,15 @@ def remove(t: pa.Table, back: pa.Table, window: int, shards: int, as_was: bool)
             for p in texts.least:
                 if (k := told.get(xxhash.xxh3_128_digest(p))) is not None:
                     earlier[p] = k
+        if texts.hot:
+            some = back.filter(pc.is_valid(back.column("windows")))
+            digests, least, at, counts = texts.windows()
+            told_of = [digests, *(np.frombuffer(x, np.uint64).reshape(-1, 2) for x in some.column("windows").to_pylist())]
+            _, least, places = least_keys(np.concatenate(told_of), np.concatenate([least, *(unpack(x, np.int64) for x in some.column("keys").to_pylist())]))
+            keys = least[places[: len(digests)]][at]
+            for p, k in zip(texts.hot, np.split(keys, counts.cumsum()[:-1]), strict=True):
+                if k.min() < texts.least[p]:
+                    earlier[p] = k
         for key, pieces, (start, end, *_), joined, n in zip(texts.keys, texts.pieces, texts.cuts, texts.joined, texts.counts, strict=True):
             own = [texts.least[p] < key or p in earlier for p in pieces]
             if not any(own):
@@ -307,9 +384,9 @@ def dedup(docs: DataFrame, *, window: int = 13, key: str = "doc_id", text: str =
     kinds = dict(docs.dtypes)
     dealt = grouped(docs, n, key, text, *carry)
     # all three passes read the texts by one shuffle: the plans below it are the same
-    met = dealt.groupBy("g").applyInArrow(lambda t: profile(t, window, n), frequencies.SENT).groupBy("shard").applyInArrow(frequencies.classify, frequencies.BACK)
-    sent = dealt.groupBy("g").cogroup(met.groupBy("g")).applyInArrow(lambda a, b: send(a, b, window, n), "shard long, g long, lines binary, least binary, minimizer binary")
-    back = sent.groupBy("shard").applyInArrow(lambda t: match(t, window), "g long, digests binary, counts binary, keys binary")
+    met = dealt.groupBy("g").applyInArrow(lambda t: profile(t, window, n), frequencies.SENT).groupBy("shard").applyInArrow(lambda t: frequencies.classify_as(t, COUNTED), frequencies.BACK)
+    sent = dealt.groupBy("g").cogroup(met.groupBy("g")).applyInArrow(lambda a, b: send(a, b, window, n), "shard long, g long, lines binary, least binary, minimizer binary, windows binary")
+    back = sent.groupBy("shard").applyInArrow(lambda t: match(t, window), "g long, digests binary, counts binary, keys binary, windows binary")
     schema = ", ".join(["key long", *(f"`c_{c}` {kinds[c]}" for c in carry), "n_words long, n_removed long, kept string"])
     told = back.unionByName(met, allowMissingColumns=True)
     out = dealt.groupBy("g").cogroup(told.groupBy("g")).applyInArrow(lambda a, b: remove(a, b, window, n, as_was), schema)
