@@ -295,6 +295,16 @@ def test_main_text():
     assert html_extract.extract(None)[0] == "" == html_extract.extract("")[0]
 
 
+@pytest.mark.parametrize("around", ["<form id='aspnetForm'>{}</form>", "<form id=f><div id=wrap><article>{}</article></div></form>", "<div class='page has-sidebar'>{}</div>", "<div class='content with-sidebar'>{}</div>", "<div class='layout menu-open'><div>{}</div></div>", "<div class='wrapper social-enabled'>{}</div>", "<div class=sidebar-layout>{}</div>", "<div class=widget><main>{}</main></div>"])
+def test_weak_signs_around_the_text(around):
+    said = [f"Paragraph {i} of this story tells what has happened in the town on that day, and why." for i in range(4)]
+    body = "<h1>The news</h1>" + "".join(f"<p>{p}</p>" for p in said)
+    page = "<html><body><nav><a href=/>Home</a></nav>" + around.format(body) + "<div id=comments><p>I liked it.</p></div><div class=sidebar><ul><li><a href=/x>More</a></ul><p>Follow us</div><footer>Imprint</footer>"
+    got = html_extract.extract(page)[0].split("\n")
+    assert [t for t in got if t != "The news"] == said
+    assert "The news" in got or "sidebar-layout" in around
+
+
 def test_minimum_cut_against_all_labellings():
     rng = random.Random(4)
     for _ in range(40):

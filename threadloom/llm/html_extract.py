@@ -29,8 +29,15 @@ BLOCKS = frozenset("address article aside blockquote body caption center dd deta
 SPACED = frozenset("br td th img input wbr".split()) - {"wbr"}
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 DROPPED = frozenset("script style noscript template svg math iframe object canvas audio video select textarea button title".split())
-BAD_TAGS = frozenset("nav footer aside form menu dialog fieldset search".split())
-BAD_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar form".split())
+# Unmistakable containers are boilerplate with all that they hold; other signs are a capacity that fades inwards.
+BAD_TAGS = frozenset("nav footer aside menu dialog search".split())
+BAD_ROLES = frozenset("navigation contentinfo complementary search dialog alertdialog menu menubar".split())
+BAD_NAMES = frozenset("ad ads adbox adslot advert adverts advertisement advertising sponsored comments commentlist disqus related recommended recommendations cookie cookies gdpr navbar breadcrumb breadcrumbs pagination newsletter tagcloud outbrain taboola".split())
+WEAK_TAGS = {"header": 8.0, "form": 2.0, "fieldset": 2.0}
+WEAK_ROLES = {"banner": 8.0, "alert": 8.0, "form": 2.0}
+NAMED, MENTIONED, FADE = 8.0, 5.0, 0.8
+#: A name with one of these tells a state of the page, not what the container is for.
+STATES = frozenset("has with without no is open opened closed enabled disabled active inactive visible collapsed".split())
 BAD_WORDS = frozenset("ad ads adbox adslot advert adverts advertisement advertising sponsor sponsored promo promotion banner nav navbar navigation menu breadcrumb breadcrumbs foot footer masthead sidebar rail cookie cookies consent gdpr notice notices notification alert comment comments commentlist disqus respond reply replies discussion share sharing social related recommended recommendations widget subscribe subscription newsletter signup login popup modal overlay copyright pagination pager toolbar skip tagcloud teaser outbrain taboola".split())
 GOOD_WORDS = frozenset("article post entry content story main body text hentry blog prose".split())
 CLOSES = {"p": BLOCKS, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr"}, "td": {"td", "th", "tr"}, "th": {"td", "th", "tr"}, "option": {"option"}}
@@ -43,6 +50,7 @@ class Node:
     parent: Node | None
     good: bool = False
     bad: bool = False
+    weak: float = 0.0
     link: bool = False
     depth: int = 0
 
@@ -56,27 +64,41 @@ class Block:
 
 
 def _judge(tag: str, attrs: str, parent: Node) -> Node:
-    node = Node(tag, parent, parent.good, parent.bad, parent.link or tag == "a", parent.depth + 1)
-    good, bad = tag in ("article", "main"), tag in BAD_TAGS or tag == "header" and not parent.good
+    node = Node(tag, parent, parent.good, parent.bad, parent.weak * FADE, parent.link or tag == "a", parent.depth + 1)
+    good, bad = tag in ("article", "main"), tag in BAD_TAGS
+    weak = 0.0 if tag == "header" and parent.good else WEAK_TAGS.get(tag, 0.0)
+    main = good
     if attrs and tag not in ("html", "body"):
+        names: set[str] = set()
         words: set[str] = set()
         for m in _ATTR.finditer(attrs):
             name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
             if name in ("class", "id", "itemprop"):
-                for token in re.split(r"[\s_-]+", value):
-                    words.add(token.lower())
-                    words.update(w.lower() for w in _WORD.findall(token))
+                for token in re.split(r"\s+", value):
+                    parts = {w.lower() for part in re.split(r"[_-]+", token) for w in (part, *_WORD.findall(part))}
+                    if not parts & STATES:
+                        names.add(token.lower())
+                        words |= parts
             elif name == "role":
                 bad |= value.lower() in BAD_ROLES
+                weak = max(weak, WEAK_ROLES.get(value.lower(), 0.0))
                 good |= value.lower() in ("main", "article")
             elif name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and re.search(r"display\s*:\s*none", value):
                 bad = True
+        main = good
         fine, poor = bool(words & GOOD_WORDS), bool(words & BAD_WORDS)
         unclear = fine and poor and not words & {"comment", "comments", "related", "footer", "sidebar"}
         good |= fine and not poor
-        bad |= poor and not unclear and not (tag in ("article", "main") and not words & {"comment", "comments", "related", "teaser"})
+        if poor and not unclear and not (tag in ("article", "main") and not words & {"comment", "comments", "related", "teaser"}):
+            bad |= bool(names & BAD_NAMES) and not main
+            weak = max(weak, NAMED if names & BAD_WORDS else MENTIONED)
+    if weak:  # a sign of its own outweighs what the container stands in
+        node.weak, node.good = max(node.weak, weak), False
+    elif main:
+        node.weak = 0.0
     node.bad |= bad
-    node.good |= good and not node.bad
+    node.good |= good and not weak
+    node.good &= not node.bad
     return node
 
 
@@ -163,6 +185,8 @@ def score(b: Block, marked: bool = True) -> float:
     z = 6.0 if b.node.good else -1.5 if marked else 0.5
     z += min(3.0, 0.12 * words) + (1.0 if b.node.tag in ("p", "blockquote", "pre") else 0.0) + (0.8 if re.match(r"h[1-6]$", b.node.tag) else 0.0)
     z += 0.5 if b.text[-1] in ".!?\"'”»:" else 0.0
+    rich = words >= 15 and share < 0.25
+    z -= b.node.weak * (0.5 if rich else 1.0)
     z -= (2.0 if b.node.good else 5.0) * share
     if not b.node.good and re.match(r"(©|\(c\)|copyright\b|all rights reserved)", b.text, re.I):
         z -= 6.0
