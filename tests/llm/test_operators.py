@@ -305,6 +305,19 @@ def test_weak_signs_around_the_text(around):
     assert "The news" in got or "sidebar-layout" in around
 
 
+@pytest.mark.parametrize("tag", ["button", "select", "svg", "object", "canvas", "audio", "video", "template", "noscript"])
+def test_element_without_end_tag_keeps_the_page(tag):
+    text = "<article><h1>Title</h1><p>One <{0}>in<p>two</{0}> three</article>".format(tag)
+    for page in (f"<body><{tag}>Menu{text}<p>after", f"<body><div><{tag}>Menu</div>{text}<{tag}>x</{tag}><p>after", f"<body><{tag}>Menu{text}<{tag} id=b>x</{tag}>"):
+        assert html_extract.extract(page)[0].split("\n")[:2] == ["Title", "One three"]
+    assert html_extract.extract(f"<article><p>a <{tag}><div>in</div></{tag}> b</article>")[0] == "a b"
+
+
+def test_math_stays_and_raw_text_goes():
+    page = "<article><p>As <math><mi>x</mi><mo>=</mo><mn>1</mn><annotation>x eq 1</annotation></math> says<script>var a='<p>no</p>'</script>.</p></article>"
+    assert html_extract.extract(page)[0] == "As x=1 says ."
+
+
 def test_minimum_cut_against_all_labellings():
     rng = random.Random(4)
     for _ in range(40):

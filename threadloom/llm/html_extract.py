@@ -28,7 +28,9 @@ _WORD = re.compile(r"[A-Za-z][a-z]*|[A-Z]+")
 BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre search section summary table tbody tfoot thead title tr ul".split())
 SPACED = frozenset("br td th img input wbr".split()) - {"wbr"}
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-DROPPED = frozenset("script style noscript template svg math iframe object canvas audio video select textarea button title".split())
+RAW = frozenset("script style textarea title iframe".split())  # up to their end tag there are no other tags
+SKIPPED = frozenset("noscript template svg object canvas audio video select button annotation annotation-xml".split())
+NESTING = frozenset("template svg object annotation-xml".split())
 # Unmistakable containers are boilerplate with all that they hold; other signs are a capacity that fades inwards.
 BAD_TAGS = frozenset("nav footer aside menu dialog search".split())
 BAD_ROLES = frozenset("navigation contentinfo complementary search dialog alertdialog menu menubar".split())
@@ -51,6 +53,8 @@ class Node:
     good: bool = False
     bad: bool = False
     weak: float = 0.0
+    skip: bool = False  # in an element whose text isn't read
+    loose: bool = False  # such an element without an end tag: it ends with its parent or at the next block
     link: bool = False
     depth: int = 0
 
@@ -64,7 +68,7 @@ class Block:
 
 
 def _judge(tag: str, attrs: str, parent: Node) -> Node:
-    node = Node(tag, parent, parent.good, parent.bad, parent.weak * FADE, parent.link or tag == "a", parent.depth + 1)
+    node = Node(tag, parent, parent.good, parent.bad, parent.weak * FADE, parent.skip or tag in SKIPPED, False, parent.link or tag == "a", parent.depth + 1)
     good, bad = tag in ("article", "main"), tag in BAD_TAGS
     weak = 0.0 if tag == "header" and parent.good else WEAK_TAGS.get(tag, 0.0)
     main = good
@@ -102,15 +106,30 @@ def _judge(tag: str, attrs: str, parent: Node) -> Node:
     return node
 
 
+def closed(html: str, tag: str) -> set[int]:
+    """Where elements of this name start that have an end tag. One that can't hold another ends before the next."""
+    open_at: list[int] = []
+    out: set[int] = set()
+    for m in re.finditer(rf"<(/?){tag}(?![^\s/>])", html, re.I):
+        if not m[1]:
+            if tag not in NESTING:
+                open_at.clear()
+            open_at.append(m.start())
+        elif open_at:
+            out.add(open_at.pop())
+    return out
+
+
 def blocks(html: str) -> list[Block]:
     """Blocks with text, in page order; text is decoded and its white space single."""
     root = Node("", None)
     stack, found, here = [root], [], Block(root)
     open_tags: dict[str, int] = {}
+    whole: dict[str, set[int]] = {}
     at, end = 0, len(html)
 
     def text(s: str) -> None:
-        if s:
+        if s and not stack[-1].skip:
             here.pieces.append(s)
             if stack[-1].link:
                 here.linked += len(s.strip())
@@ -140,26 +159,32 @@ def blocks(html: str) -> list[Block]:
         if m[1] or m[4]:  # an end tag
             if open_tags.get(tag):
                 i = max(i for i, n in enumerate(stack) if n.tag == tag)
-                block = any(n.tag in BLOCKS for n in stack[i:])
+                block = any(n.tag in BLOCKS and not n.skip for n in stack[i:])
                 pop_to(i)
                 if block:
                     start_block()
-            elif tag in BLOCKS:
+            elif tag in BLOCKS and not stack[-1].skip:
                 start_block()
             if tag in SPACED:
                 text(" ")
             continue
         attrs = m[3] or m[6] or ""
-        if tag in DROPPED:
+        if tag in RAW:
             if not attrs.rstrip().endswith("/"):
                 close = re.compile(rf"</{tag}\b[^>]*>?", re.I).search(html, at)
                 at = close.end() if close else end
             text(" ")
             continue
+        if stack[-1].skip and tag in BLOCKS:
+            loose = next((i for i, n in enumerate(stack) if n.loose), 0)
+            if loose:
+                pop_to(loose)
+        if tag in SKIPPED:
+            text(" ")
         for open_tag, closers in CLOSES.items():
             if open_tags.get(open_tag) and tag in closers:
                 for i in range(len(stack) - 1, 0, -1):
-                    if stack[i].tag in STOPS.get(open_tag, ()):
+                    if stack[i].tag in STOPS.get(open_tag, ()) or stack[i].tag in SKIPPED:
                         break
                     if stack[i].tag == open_tag:
                         pop_to(i)
@@ -169,7 +194,11 @@ def blocks(html: str) -> list[Block]:
         if tag not in VOID and not attrs.rstrip().endswith("/"):
             stack.append(_judge(tag, attrs, stack[-1]))
             open_tags[tag] = open_tags.get(tag, 0) + 1
-        if tag in BLOCKS:
+            if tag in SKIPPED:
+                if tag not in whole:
+                    whole[tag] = closed(html, tag)
+                stack[-1].loose = m.start() not in whole[tag]
+        if tag in BLOCKS and not stack[-1].skip:
             start_block()
     start_block()
     return found
