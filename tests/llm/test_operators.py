@@ -8,7 +8,7 @@ import pyarrow.compute as pc
 import pytest
 from pyspark.sql import functions as F
 
-from threadloom.llm import components, html_extract, jaccard_join, langid, media, mixing, packing, quality, substring_dedup, token_counts, url_filter
+from threadloom.llm import components, html_extract, jaccard_join, langid, media, mixing, packing, quality, queries, substring_dedup, token_counts, url_filter
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -232,6 +232,38 @@ def test_packing_holds_its_conditions(spark, docs, rows):
     assert packing.pack(empty(spark)).count() == 0
 
 
+def test_no_bin_of_op8_holds_near_copies(spark, tmp_path):
+    rng = random.Random(6)
+    texts = []
+    for i in range(25):
+        t = [f"é{i}x{rng.randrange(90)}" for _ in range(rng.choice([40, 70]))]
+        chain = [list(t)]
+        for _ in range(3):  # each a near copy of the one before
+            chain.append([*chain[-1]])
+            chain[-1][rng.randrange(len(t))] = f"edit{rng.randrange(1000)}"
+        texts += [" ".join(chain[0]), "\n".join(chain[0]), *(" ".join(c) for c in chain[1:]), chain[0][0] + " alone", " ".join(t).upper()]
+    texts += [None, "", "a b", "A b"]
+    rows = [(i, t, None, f"s{i}", 0) for i, t in enumerate(texts)] + [(None, texts[0], None, "n1", 0), (None, texts[0].upper(), None, "n2", 0), (3, "another text of a key", None, "n3", 0)]
+    spark.createDataFrame(rows, DOCS).repartition(3).write.parquet(str(tmp_path / "documents.parquet"))
+    got = queries.op8_best_fit_packing(spark, str(tmp_path)).collect()
+    assert sum(r.n_tokens for r in got) == sum(len((t or "").split()) for _, t, *_ in rows)
+    assert len(got) == len(rows)
+    words = [(t or "").encode().lower().split() for _, t, *_ in rows]
+    sets = [frozenset(zip(*(w[j:] for j in range(5)))) if len(w) >= 5 else frozenset([tuple(w)] if w else []) for w in words]
+    linked = lambda a, b: 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]) > 0 or (rows[a][1] or "").lower() == (rows[b][1] or "").lower()
+    root = list(range(len(rows)))
+    for a, b in itertools.combinations(range(len(rows)), 2):
+        if linked(a, b) or rows[a][0] is not None and rows[a][0] == rows[b][0]:
+            root = [min(root[a], root[b]) if v in (root[a], root[b]) else v for v in root]
+    bins = {}
+    for r in got:
+        bins.setdefault(r.bin_id, []).append(r.doc_id)
+    of = {k: root[i] for i, (k, *_) in enumerate(rows)}  # rows without a key are all in the class of the first text
+    for b in bins.values():
+        assert len({of[k] for k in b}) == len(b)
+    assert len(bins) < 20
+
+
 def test_best_fit_takes_the_tightest_compatible_bin():
     rng = random.Random(5)
     sizes, sources, clusters = ([rng.randrange(1, 50) for _ in range(300)], [rng.randrange(4) for _ in range(300)], [rng.randrange(40) for _ in range(300)])

@@ -7,6 +7,8 @@ smallest sufficient remainder and moves to the successor while bitmaps of the bi
 
 Documents are dealt by hash into shards of about `shard_docs`, each packed by one task. Only keys, lengths, sources and
 cluster hashes travel. A cluster or source that holds a third of the rows is spread over all shards.
+
+By itself `pack` knows copies equal but for case; `with_clusters` finds near copies first.
 """
 
 from __future__ import annotations
@@ -20,7 +22,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import jaccard_join
 from .common import parts, word_count, written
+from .components import components
 
 
 def best_fit(sizes: Iterable[int], sources: Iterable[int], clusters: Iterable[int], capacity: int, max_per_source: int) -> list[int]:
@@ -73,6 +77,27 @@ def pack_shard(t: pa.Table, capacity: int, max_per_source: int) -> pa.Table:
     return pa.table({"key": t.column("key").take(pa.array(row)), "piece": piece, "first_token": first, "n_tokens": size, "bin_id": (shard << 32) | b, "slot": slot})
 
 
+def exact_hash(text: str) -> Column:
+    return F.xxhash64(F.lower(F.coalesce(text, F.lit(""))))
+
+
+def with_clusters(docs: DataFrame, *, key: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
+    """Per row: key, source, tokens (words) and cluster, for `pack`: rows share a cluster whose documents are in one class
+    of the Jaccard join, or whose texts are equal but for case, directly or not. Rows without words or without a key
+    are in no class; by equal texts they are in a cluster too."""
+    slim = written(docs.select(F.col(key).alias("key"), F.col(source).alias("source"), word_count(F.col(text)).alias("tokens"), exact_hash(text).alias("exact")), "packing-rows")
+    classes = jaccard_join.classes(docs.select(F.col(key).alias("key"), F.col(text).alias("text")), key="key")
+    found = written(classes.where("n_shingles > 0 AND key IS NOT NULL").select("key", F.col("component_id").alias("c")).distinct(), "packing-classes")
+    pairs = written(slim.where("tokens > 0").join(found, "key").select("exact", "c").distinct(), "packing-texts")
+    least = pairs.groupBy("exact").agg(F.min("c").alias("c"))
+    roots = components(pairs.join(least.withColumnRenamed("c", "_least"), "exact").select("c", "_least"))
+    root = lambda df: df.join(roots, F.col("c") == F.col("node"), "left").withColumn("c", F.coalesce("component", "c")).drop("node", "component")
+    keyed = slim.where("key IS NOT NULL").join(root(found.groupBy("key").agg(F.min("c").alias("c"))), "key", "left")
+    rest = slim.where("key IS NULL").join(root(least), "exact", "left")
+    cluster = F.when(F.col("c").isNotNull() & (F.col("tokens") > 0), F.xxhash64("c", F.lit("class"))).otherwise(F.col("exact"))
+    return keyed.unionByName(rest).select(F.col("key").alias(key), F.col("source").alias(source), "tokens", cluster.alias("cluster"))
+
+
 def pack(docs: DataFrame, *, capacity: int = 2048, max_per_source: int = 2, shard_docs: int = 4096, key: str = "doc_id", text: str = "text", source: str = "source", tokens: Column | None = None, cluster: Column | None = None) -> DataFrame:
     """Per piece: key, piece, first_token, n_tokens, bin_id, slot (its place in the bin).
 
@@ -83,7 +108,7 @@ def pack(docs: DataFrame, *, capacity: int = 2048, max_per_source: int = 2, shar
     if capacity < 1 or max_per_source < 1:
         raise ValueError("capacity and max_per_source must be positive")
     tokens = word_count(F.col(text)) if tokens is None else tokens
-    cluster = F.xxhash64(F.lower(F.coalesce(text, F.lit("")))) if cluster is None else cluster
+    cluster = exact_hash(text) if cluster is None else cluster
     kind = dict(docs.dtypes)[key]
     slim = written(docs.select(F.col(key).alias("key"), tokens.cast("long").alias("tokens"), F.xxhash64(source).alias("source"), cluster.cast("long").alias("cluster")), "packing")
     shards = parts(slim.count(), shard_docs, 1)

@@ -74,7 +74,8 @@ def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(table(spark, sf_dir, "documents"))
+    """No bin holds two near copies."""
+    return packing.pack(packing.with_clusters(table(spark, sf_dir, "documents")), tokens=F.col("tokens"), cluster=F.col("cluster"))
 
 
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
