@@ -6,8 +6,10 @@ import math
 import os
 import tempfile
 import uuid
+from collections.abc import Iterable, Iterator
 
 import numpy as np
+import pyarrow as pa
 import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,14 +22,16 @@ _own_dir: str | None = None
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: `spark.checkpoint.dir`, or a new local one where that is unset."""
+    """The folder that driver and executors share: `spark.checkpoint.dir` of the session. Where that is unset a local
+    run makes a new one, as driver and executors are one process there; anywhere else it's an error."""
     global _own_dir
-    found = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if found:
+    if found := spark.conf.get("spark.checkpoint.dir", None):
         return found.rstrip("/")
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     if _own_dir is None:
         _own_dir = "file://" + tempfile.mkdtemp(prefix="threadloom-")
-        spark.sparkContext.setCheckpointDir(_own_dir)
+    spark.sparkContext.setCheckpointDir(_own_dir)
     return _own_dir
 
 
@@ -43,6 +47,15 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def slices(batches: Iterable[pa.RecordBatch], most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """Batches cut into slices of about `most` bytes. Spark bounds a batch by rows and bytes; what Python makes of it is
+    bounded by the slice, however long texts are. The session's settings stay as they are."""
+    for b in batches:
+        step = max(1, b.num_rows * most // max(1, b.nbytes))
+        for i in range(0, b.num_rows, step):
+            yield b.slice(i, step)
+
+
 def small_batches(spark: SparkSession, rows: int = 2000) -> None:
     """Fewer rows in an Arrow batch: texts can be long, and a Python worker holds a batch at a time."""
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > rows:
