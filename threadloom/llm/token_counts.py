@@ -1,40 +1,45 @@
 """Token counts of a word-level BPE, by a map-side two-tier lookup.
 
 Tier one is a broadcast table of pre-token lengths: every word-final entry of the vocabulary, encoded once on the
-driver. Its size is bounded by the vocabulary, whatever the corpus. Tier two is a cache in each Python worker, which
-lives as long as the worker: a pre-token that misses tier one is encoded once and its length kept. No pre-token is
-ever shuffled and no row leaves its partition.
+driver and sent as one text and one byte a word. Its size is bounded by the vocabulary, whatever the corpus. Tier two is
+a cache in each Python worker, which lives as long as the worker: a pre-token that misses tier one is encoded once and
+its length kept. No pre-token is ever shuffled and no row leaves its partition.
 
-Texts whose characters all lie below U+0250 are split here; there lower-casing and character classes are the same in
-every Unicode version. Any other text goes to the tokenizer whole.
+Every text goes through both tiers. ASCII and Latin texts are lower-cased here, others by the library's own normaliser;
+pre-tokens are split by one pattern over all of Unicode. Only where a text holds a character that this Python's Unicode
+tables don't know yet, the library splits it, and its pre-tokens are looked up like any other.
 """
 
 from __future__ import annotations
 
 import re
+import sys
 import unicodedata
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import small_batches
+from .common import slices
 
 CACHE_ENTRIES = 1_000_000
 CACHED_CHARS = 64
-_TOP = 0x250
+LATIN_TOP = 0x250
 
 
-def _class(first: str) -> str:
-    """The characters below U+0250 whose category starts with `first`, as ranges of a regular expression."""
-    runs: list[list[int]] = []
-    for c in range(_TOP):
-        if unicodedata.category(chr(c))[0] == first:
-            if runs and runs[-1][1] == c - 1:
-                runs[-1][1] = c
-            else:
-                runs.append([c, c])
-    return "".join(f"\\u{a:04x}-\\u{b:04x}" for a, b in runs)
+def _classes() -> dict[str, str]:
+    """Characters by the first letter of their category (unassigned ones by "Cn"), as ranges of a regular expression."""
+    runs: dict[str, list[list[int]]] = {"L": [], "N": [], "Cn": []}
+    for c in range(sys.maxunicode + 1):
+        kind = unicodedata.category(chr(c))
+        found = runs.get(kind if kind == "Cn" else kind[0])
+        if found is None:
+            continue
+        if found and found[-1][1] == c - 1:
+            found[-1][1] = c
+        else:
+            found.append([c, c])
+    return {k: "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in r) for k, r in runs.items()}
 
 
 def _byte_characters() -> list[str]:
@@ -45,10 +50,14 @@ def _byte_characters() -> list[str]:
 
 
 _BYTE = _byte_characters()
-_L, _N, _S = _class("L"), _class("N"), r"\t-\r \x85\xa0"
-#: The split pattern of the vocabulary file, for texts below U+0250.
-PRE_TOKEN = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_L}]+|[{_N}]|[^{_S}{_L}{_N}]+")
-BEYOND = re.compile(r"[^\x00-ɏ]")
+_BACK = {c: b for b, c in enumerate(_BYTE)}
+_CLASS = _classes()
+#: Unicode's white space.
+_SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+#: The split pattern of the vocabulary file.
+PRE_TOKEN = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_CLASS['L']}]+|[{_CLASS['N']}]|[^{_SPACE}{_CLASS['L']}{_CLASS['N']}]+")
+BEYOND_LATIN = re.compile(rf"[^\x00-\u{LATIN_TOP - 1:04x}]")
+UNKNOWN = re.compile(f"[{_CLASS['Cn']}]")
 
 
 class Lengths(dict):
@@ -77,8 +86,7 @@ class Counter:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.no_truncation()
-        self.tokenizer.no_padding()
+        self.normalise, self.split = self.tokenizer.normalizer.normalize_str, self.tokenizer.pre_tokenizer.pre_tokenize_str
         special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.special = re.compile("|".join(map(re.escape, sorted(special, key=len, reverse=True))) or r"(?!)")
         self.lengths = Lengths(known, self.tokenizer)
@@ -86,35 +94,48 @@ class Counter:
     def count(self, text: str | None) -> int:
         if not text:
             return 0
-        if BEYOND.search(text):
-            return len(self.tokenizer.encode(text, add_special_tokens=False).ids)
         if "<|" in text and self.special.search(text):
             pieces = self.special.split(text)
             return len(pieces) - 1 + sum(map(self._plain, pieces))
         return self._plain(text)
 
+    def pre_tokens(self, text: str) -> list[str]:
+        if not BEYOND_LATIN.search(text):  # no marks that compose, and the same lower case in every version of Unicode
+            return PRE_TOKEN.findall(text.lower())
+        normal = self.normalise(text)
+        if not UNKNOWN.search(normal):
+            return PRE_TOKEN.findall(normal)
+        return [bytes(_BACK[c] for c in p).decode() for p, _ in self.split(normal)]
+
     def _plain(self, text: str) -> int:
-        return sum(map(self.lengths.__getitem__, PRE_TOKEN.findall(text.lower())))
+        return sum(map(self.lengths.__getitem__, self.pre_tokens(text)))
 
 
-def frequent_lengths(path: str) -> dict[str, int]:
-    """Tier one: the pre-tokens that the vocabulary holds as whole words, with their lengths."""
+def frequent_lengths(path: str) -> tuple[str, bytes]:
+    """Tier one: the pre-tokens that the vocabulary holds as whole words, one a line, and the length of each."""
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
     end = tokenizer.model.end_of_word_suffix or ""
-    words = [w for v in tokenizer.get_vocab() if (w := v.removesuffix(end)) != v and w.isascii()]
-    words = [w for w in words if PRE_TOKEN.findall(w.lower()) == [w]]
-    return {w: len(tokenizer.model.tokenize(w)) for w in words}
+    words = []
+    for v in tokenizer.get_vocab():
+        if (w := v.removesuffix(end)) != v and all(c in _BACK for c in w):
+            try:
+                words.append(bytes(_BACK[c] for c in w).decode())
+            except UnicodeDecodeError:  # part of a character
+                continue
+    words = sorted(w for w in words if PRE_TOKEN.findall(w.lower()) == [w])
+    lengths = [len(tokenizer.model.tokenize("".join([_BYTE[b] for b in w.encode()]))) for w in words]
+    return "\n".join(words), bytes(min(n, 255) for n in lengths)
 
 
 _counters: dict[str, Counter] = {}
 
 
-def counter(path: str, known: dict[str, int]) -> Counter:
+def counter(path: str, known: tuple[str, bytes]) -> Counter:
     """One per worker process: its cache outlives batches and tasks."""
     if path not in _counters:
-        _counters[path] = Counter(path, known)
+        _counters[path] = Counter(path, dict(zip(known[0].split("\n"), known[1], strict=True)) if known[1] else {})
     return _counters[path]
 
 
@@ -125,12 +146,11 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, *, limit: int = 2048, key
     of `docs` are not read. Special strings inside a text count as their one token, as the library's default has it.
     """
     spark = docs.sparkSession
-    small_batches(spark)
     known = spark.sparkContext.broadcast(frequent_lengths(tokenizer_path))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count = counter(tokenizer_path, known.value).count
-        for b in batches:
+        for b in slices(batches):
             texts = b.column(1).to_pylist()
             n = [count(t) for t in texts]
             size = [len(t.encode()) if t else 0 for t in texts]
