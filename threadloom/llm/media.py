@@ -2,12 +2,12 @@
 
 Storing: a payload (a text's bytes, filled up with 255) becomes an 8-bit greyscale PNG of 576 columns; each write task
 appends its images to archives (zip, uncompressed members) in a shared directory. An archive is renamed to its final
-name only when Spark commits the job, so a task that ran twice leaves one copy.
+name only when Spark commits the job, so a task that ran twice leaves one copy; what failed tasks left goes then.
 
 Reading: the planner lists the archive directory and cuts every archive into byte ranges; nothing per member reaches
 the driver. A task reads the archive's own directory and takes the members that start in its range, by offset, and
 streams them as Arrow batches. A member that can't be read is tried again by itself: the file is opened anew and read
-at that member's offset.
+at that member's offset. One that stays unreadable fails the job or, if asked for, is a row without media that tells why.
 """
 
 from __future__ import annotations
@@ -20,6 +20,7 @@ import zipfile
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from urllib.parse import quote, unquote
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +28,7 @@ from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 
-from .common import new_path, small_batches
+from .common import new_path, slices
 
 WIDTH = 576
 ARCHIVE_MEMBERS, ARCHIVE_BYTES = 10_000, 64 << 20
@@ -89,6 +90,16 @@ def _open(uri: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(uri) if "://" in uri or uri.startswith("file:") else (pafs.LocalFileSystem(), uri)
 
 
+def member_name(number: int, key: str | None) -> str:
+    """A name that holds the key; a null one leaves it out."""
+    return f"{number:08d}.png" if key is None else f"{number:08d}_{quote(key, safe='')}.png"
+
+
+def member_key(name: str) -> str | None:
+    _, mark, key = name.removesuffix(".png").partition("_")
+    return unquote(key) if mark else None
+
+
 @dataclass
 class Written(WriterCommitMessage):
     names: list[str]
@@ -96,7 +107,10 @@ class Written(WriterCommitMessage):
 
 class ArchiveWriter(DataSourceArrowWriter):
     def __init__(self, path: str) -> None:
-        self.path = path
+        self.path, self.job = path, uuid.uuid4().hex
+
+    def _pending(self, root: str) -> str:
+        return f"{root}/.pending-{self.job}-"
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> Written:
         store, root = _open(self.path)
@@ -115,9 +129,9 @@ class ArchiveWriter(DataSourceArrowWriter):
                 if out is None or members >= ARCHIVE_MEMBERS or size >= ARCHIVE_BYTES:
                     close()
                     names.append(f"{uuid.uuid4().hex}.zip")
-                    stream = store.open_output_stream(f"{root}/.pending-{names[-1]}")
+                    stream = store.open_output_stream(self._pending(root) + names[-1])
                     out, members, size = zipfile.ZipFile(stream, "w", zipfile.ZIP_STORED), 0, 0
-                out.writestr(zipfile.ZipInfo(f"{members:08d}_{'' if key is None else key}.png", _DAY_ONE), media)
+                out.writestr(zipfile.ZipInfo(member_name(members, key), _DAY_ONE), media)
                 members, size = members + 1, size + len(media)
         close()
         return Written(names)
@@ -126,12 +140,17 @@ class ArchiveWriter(DataSourceArrowWriter):
         store, root = _open(self.path)
         store.create_dir(root, recursive=True)
         for name in (n for m in messages if m for n in m.names):
-            store.move(f"{root}/.pending-{name}", f"{root}/{name}")
+            store.move(self._pending(root) + name, f"{root}/{name}")
+        self._clear(store, root)
 
     def abort(self, messages: list[Written | None]) -> None:
-        store, root = _open(self.path)
-        for name in (n for m in messages if m for n in m.names):
-            store.delete_file(f"{root}/.pending-{name}")
+        self._clear(*_open(self.path))
+
+    def _clear(self, store: pafs.FileSystem, root: str) -> None:
+        """Archives of this job's failed tasks."""
+        for f in store.get_file_info(pafs.FileSelector(root, allow_not_found=True)):
+            if f.base_name.startswith(self._pending("")[1:]):
+                store.delete_file(f.path)
 
 
 @dataclass
@@ -142,8 +161,8 @@ class ByteRange(InputPartition):
 
 
 class ArchiveReader(DataSourceReader):
-    def __init__(self, path: str, split: int, tries: int) -> None:
-        self.path, self.split, self.tries = path, split, tries
+    def __init__(self, path: str, split: int, tries: int, skip_unreadable: bool) -> None:
+        self.path, self.split, self.tries, self.skip_unreadable = path, split, tries, skip_unreadable
 
     def partitions(self) -> list[ByteRange]:
         store, root = _open(self.path)
@@ -157,21 +176,30 @@ class ArchiveReader(DataSourceReader):
         store, _ = _open(self.path)
         with store.open_input_file(partition.path) as f, zipfile.ZipFile(f) as z:
             members = [(i.header_offset, i.file_size, i.CRC, i.filename) for i in z.infolist() if partition.start <= i.header_offset < partition.end]
-        names = ["key", "media", "archive", "offset"]
         with Members(store, partition.path, self.tries) as source:
             rows: list[tuple] = []
             size = 0
             for offset, n, crc, name in members:
-                media = source.read(offset, n, crc, name)
-                key = name.split("_", 1)[1].removesuffix(".png")
-                rows.append((key or None, media, partition.path, offset))
+                media, error = None, None
+                try:
+                    media = source.read(offset, n, crc, name)
+                except OSError as e:
+                    if not self.skip_unreadable:
+                        raise
+                    error = str(e)
+                rows.append((member_key(name), media, partition.path, offset, error))
                 size += n
                 if size >= BATCH_BYTES:
-                    yield pa.RecordBatch.from_arrays([*map(pa.array, zip(*rows, strict=True))], names=names)
+                    yield _batch(rows)
                     rows, size = [], 0
             if rows:
-                cols = [*zip(*rows, strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.binary(), pa.string(), pa.int64()), strict=True)], names=names)
+                yield _batch(rows)
+
+
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    """Typed columns, whatever is null in these rows."""
+    kinds = {"key": pa.string(), "media": pa.binary(), "archive": pa.string(), "offset": pa.int64(), "error": pa.string()}
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds.values(), strict=True)], names=[*kinds])
 
 
 class Members:
@@ -214,44 +242,46 @@ class Members:
 
 
 class MediaArchives(DataSource):
-    """Options: path (a directory URI), split (bytes of a read partition), tries (for each member)."""
+    """Options: path (a directory URI), split (bytes of a read partition), tries (for each member), skip_unreadable (a
+    member that all tries fail on gives a row with a null media and an error instead of failing the job)."""
 
     @classmethod
     def name(cls) -> str:
         return "media_archives"
 
     def schema(self) -> str:
-        return "key string, media binary, archive string, offset long"
+        return "key string, media binary, archive string, offset long, error string"
 
     def writer(self, schema, overwrite: bool) -> ArchiveWriter:
         return ArchiveWriter(self.options["path"])
 
     def reader(self, schema) -> ArchiveReader:
-        return ArchiveReader(self.options["path"], int(self.options.get("split", 8 << 20)), int(self.options.get("tries", 3)))
+        return ArchiveReader(self.options["path"], int(self.options.get("split", 8 << 20)), int(self.options.get("tries", 3)), str(self.options.get("skip_unreadable", "false")).lower() == "true")
 
 
 def store(docs: DataFrame, path: str, *, key: str = "doc_id", text: str = "text") -> None:
     """Write every row's payload as a member of archives under `path`."""
     spark = docs.sparkSession
-    small_batches(spark)
     spark.dataSource.register(MediaArchives)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             media = [encode(payload(t)) for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(media, pa.binary()), pa.nulls(len(media), pa.string()), pa.nulls(len(media), pa.int64())], names=["key", "media", "archive", "offset"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(media, pa.binary()), pa.nulls(len(media), pa.string()), pa.nulls(len(media), pa.int64()), pa.nulls(len(media), pa.string())], names=["key", "media", "archive", "offset", "error"])
 
-    docs.select(docs[key].cast("string").alias("key"), text).mapInArrow(run, "key string, media binary, archive string, offset long").write.format("media_archives").mode("append").option("path", path).save()
+    docs.select(docs[key].cast("string").alias("key"), text).mapInArrow(run, "key string, media binary, archive string, offset long, error string").write.format("media_archives").mode("append").option("path", path).save()
 
 
-def load(spark: SparkSession, path: str, *, split: int = 8 << 20, tries: int = 3) -> DataFrame:
-    """key, media, archive and offset of every member under `path`; an empty or missing directory has none."""
+def load(spark: SparkSession, path: str, *, split: int = 8 << 20, tries: int = 3, skip_unreadable: bool = False) -> DataFrame:
+    """key, media, archive, offset and error of every member under `path`; an empty or missing directory has none. An
+    archive whose own directory can't be read fails the job."""
     spark.dataSource.register(MediaArchives)
-    return spark.read.format("media_archives").option("path", path).option("split", split).option("tries", tries).load()
+    return spark.read.format("media_archives").option("path", path).option("split", split).option("tries", tries).option("skip_unreadable", skip_unreadable).load()
 
 
 def describe(media: DataFrame) -> DataFrame:
-    """Per member: key, sizes, digests of the payload and of the stored form, and the feature of its samples."""
+    """Per member: key, sizes, digests of the payload and of the stored form, and the feature of its samples; all null
+    but the key where there is no media."""
     cols = "key string, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
 
     def one(m: bytes) -> tuple:
@@ -261,8 +291,8 @@ def describe(media: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
-        for b in batches:
-            found = [one(m) for m in b.column(1).to_pylist()]
+        for b in slices(batches):
+            found = [one(m) if m is not None else (None,) * 7 for m in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array([r[i] for r in found], k) for i, k in enumerate(kinds))], names=[c.split()[0] for c in cols.split(", ")])
 
     return media.select("key", "media").mapInArrow(run, cols)
