@@ -4,23 +4,27 @@ A page is read into blocks of text: runs between block-level tags, in page order
 by its surroundings (tags, class and id names), link density and wording; the score becomes a capacity from the content
 terminal or to the boilerplate terminal. Neighbouring blocks, and the nearest blocks of one parent, are joined by
 smoothness edges, stronger the closer they stand in the DOM. The minimum cut, found by maximum flow, labels all blocks
-of the page at once.
+of the page at once: a block that says little of itself (a short line, a caption, the heading of a list of links) goes
+with those around it.
 """
 
 from __future__ import annotations
 
 import html as entities
 import re
+from bisect import bisect_right
 from collections import deque
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import small_batches
+from .common import slices
 
-_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*\"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>", re.S)
+_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/><]*)", re.S)
+_REST = re.compile(r"((?:[^>\"']++|\"[^\"]*\"|'[^']*')*+)>")
+_PART = re.compile(r"[^>\"']+|\"[^\"]*\"|'[^']*'")
 _ATTR = re.compile(r"([a-zA-Z_:][-\w:.]*)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 _WORD = re.compile(r"[A-Za-z][a-z]*|[A-Z]+")
 
@@ -37,7 +41,11 @@ BAD_ROLES = frozenset("navigation contentinfo complementary search dialog alertd
 BAD_NAMES = frozenset("ad ads adbox adslot advert adverts advertisement advertising sponsored comments commentlist disqus related recommended recommendations cookie cookies gdpr navbar breadcrumb breadcrumbs pagination newsletter tagcloud outbrain taboola".split())
 WEAK_TAGS = {"header": 8.0, "form": 2.0, "fieldset": 2.0}
 WEAK_ROLES = {"banner": 8.0, "alert": 8.0, "form": 2.0}
-NAMED, MENTIONED, FADE = 8.0, 5.0, 0.8
+COMMENTS, NAMED, MENTIONED, AMBIGUOUS, FADE = 16.0, 8.0, 5.0, 2.5, 0.8
+COMMENT_WORDS = frozenset("comment comments commentlist disqus respond reply replies discussion".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Smoothness between neighbours and between siblings that stand apart, at the least distance; what a border leaves of it.
+NEIGHBOURS, SIBLINGS, BORDER = 2.5, 1.0, 0.2
 #: A name with one of these tells a state of the page, not what the container is for.
 STATES = frozenset("has with without no is open opened closed enabled disabled active inactive visible collapsed".split())
 BAD_WORDS = frozenset("ad ads adbox adslot advert adverts advertisement advertising sponsor sponsored promo promotion banner nav navbar navigation menu breadcrumb breadcrumbs foot footer masthead sidebar rail cookie cookies consent gdpr notice notices notification alert comment comments commentlist disqus respond reply replies discussion share sharing social related recommended recommendations widget subscribe subscription newsletter signup login popup modal overlay copyright pagination pager toolbar skip tagcloud teaser outbrain taboola".split())
@@ -57,6 +65,7 @@ class Node:
     loose: bool = False  # such an element without an end tag: it ends with its parent or at the next block
     link: bool = False
     depth: int = 0
+    block: Node | None = None  # itself or the nearest block-level element around it
 
 
 @dataclass
@@ -95,7 +104,7 @@ def _judge(tag: str, attrs: str, parent: Node) -> Node:
         good |= fine and not poor
         if poor and not unclear and not (tag in ("article", "main") and not words & {"comment", "comments", "related", "teaser"}):
             bad |= bool(names & BAD_NAMES) and not main
-            weak = max(weak, NAMED if names & BAD_WORDS else MENTIONED)
+            weak = max(weak, COMMENTS if words & COMMENT_WORDS else NAMED if names & BAD_WORDS else AMBIGUOUS if fine else MENTIONED)
     if weak:  # a sign of its own outweighs what the container stands in
         node.weak, node.good = max(node.weak, weak), False
     elif main:
@@ -120,12 +129,47 @@ def closed(html: str, tag: str) -> set[int]:
     return out
 
 
+class Tags:
+    """Where tags end. A quote without an end would make the scan for `>` run to the end of the page from every tag; what
+    such scans passed is kept, so that no more than three of them are ever made, one for each state of quoting."""
+
+    def __init__(self, html: str) -> None:
+        self.html = html
+        self.last = html.rfind(">")
+        self.failed: list[list[int]] = []  # where quoted text begins and ends in scans that found no end
+
+    def attributes(self, at: int) -> tuple[str, int]:
+        """Attributes of a tag whose name ends here, and where the tag ends. With a quote that never ends, the next `>`
+        ends it; without one, the next `<` or the page."""
+        if at > self.last:
+            end = self.html.find("<", at)
+            return "", end if end >= 0 else len(self.html)
+        if not any(bisect_right(q, at) % 2 == 0 for q in self.failed):
+            m = _REST.match(self.html, at)
+            if m:
+                return m[1], m.end()
+            quoted: list[int] = []
+            end = at
+            for m in _PART.finditer(self.html, at):
+                if m.start() != end:
+                    break
+                end = m.end()
+                if self.html[m.start()] in "\"'":
+                    quoted += m.span()
+            self.failed.append([*quoted, end] if end < len(self.html) else quoted)
+        close = self.html.index(">", at)
+        return self.html[at:close], close + 1
+
+
 def blocks(html: str) -> list[Block]:
-    """Blocks with text, in page order; text is decoded and its white space single."""
+    """Blocks with text, in page order; text is decoded and its white space single. Takes time in proportion to the page."""
     root = Node("", None)
+    root.block = root
     stack, found, here = [root], [], Block(root)
-    open_tags: dict[str, int] = {}
+    open_at: dict[str, list[int]] = {}  # places in the stack, by tag
+    loose_at: list[int] = []
     whole: dict[str, set[int]] = {}
+    tags = Tags(html)
     at, end = 0, len(html)
 
     def text(s: str) -> None:
@@ -139,13 +183,18 @@ def blocks(html: str) -> list[Block]:
         if here.pieces and (t := " ".join(entities.unescape("".join(here.pieces)).split())):
             here.text = t
             found.append(here)
-        here = Block(next(n for n in reversed(stack) if n.tag in BLOCKS or n is root))
+        here = Block(stack[-1].block)
 
     def pop_to(i: int) -> None:
         for n in stack[i:]:
-            open_tags[n.tag] -= 1
+            open_at[n.tag].pop()
+            if n.loose:
+                loose_at.pop()
         del stack[i:]
 
+    def last(names: Iterable[str]) -> int:
+        return max((open_at[t][-1] for t in names if open_at.get(t)), default=0)
+
     while at < end:
         m = _TAG.search(html, at)
         if not m:
@@ -153,12 +202,13 @@ def blocks(html: str) -> list[Block]:
             break
         text(html[at : m.start()])
         at = m.end()
-        tag = (m[2] or m[5] or "").lower()
+        tag = (m[2] or "").lower()
         if not tag:
             continue
-        if m[1] or m[4]:  # an end tag
-            if open_tags.get(tag):
-                i = max(i for i, n in enumerate(stack) if n.tag == tag)
+        attrs, at = tags.attributes(at)
+        if m[1]:  # an end tag
+            if open_at.get(tag):
+                i = open_at[tag][-1]
                 block = any(n.tag in BLOCKS and not n.skip for n in stack[i:])
                 pop_to(i)
                 if block:
@@ -168,36 +218,32 @@ def blocks(html: str) -> list[Block]:
             if tag in SPACED:
                 text(" ")
             continue
-        attrs = m[3] or m[6] or ""
         if tag in RAW:
             if not attrs.rstrip().endswith("/"):
                 close = re.compile(rf"</{tag}\b[^>]*>?", re.I).search(html, at)
                 at = close.end() if close else end
             text(" ")
             continue
-        if stack[-1].skip and tag in BLOCKS:
-            loose = next((i for i, n in enumerate(stack) if n.loose), 0)
-            if loose:
-                pop_to(loose)
+        if stack[-1].skip and tag in BLOCKS and loose_at:
+            pop_to(loose_at[0])
         if tag in SKIPPED:
             text(" ")
         for open_tag, closers in CLOSES.items():
-            if open_tags.get(open_tag) and tag in closers:
-                for i in range(len(stack) - 1, 0, -1):
-                    if stack[i].tag in STOPS.get(open_tag, ()) or stack[i].tag in SKIPPED:
-                        break
-                    if stack[i].tag == open_tag:
-                        pop_to(i)
-                        break
+            if open_at.get(open_tag) and tag in closers and (i := open_at[open_tag][-1]) > last(SKIPPED) and i > last(STOPS.get(open_tag, ())):
+                pop_to(i)
         if tag in SPACED:
             text(" ")
         if tag not in VOID and not attrs.rstrip().endswith("/"):
-            stack.append(_judge(tag, attrs, stack[-1]))
-            open_tags[tag] = open_tags.get(tag, 0) + 1
+            node = _judge(tag, attrs, stack[-1])
+            node.block = node if tag in BLOCKS else node.parent.block
+            open_at.setdefault(tag, []).append(len(stack))
             if tag in SKIPPED:
                 if tag not in whole:
                     whole[tag] = closed(html, tag)
-                stack[-1].loose = m.start() not in whole[tag]
+                node.loose = m.start() not in whole[tag]
+                if node.loose:
+                    loose_at.append(len(stack))
+            stack.append(node)
         if tag in BLOCKS and not stack[-1].skip:
             start_block()
     start_block()
@@ -211,8 +257,8 @@ def score(b: Block, marked: bool = True) -> float:
         return -8.0
     share = min(1.0, b.linked / max(1, len(b.text)))
     words = b.text.count(" ") + 1
-    z = 6.0 if b.node.good else -1.5 if marked else 0.5
-    z += min(3.0, 0.12 * words) + (1.0 if b.node.tag in ("p", "blockquote", "pre") else 0.0) + (0.8 if re.match(r"h[1-6]$", b.node.tag) else 0.0)
+    z = 6.0 if b.node.good else -3.0 if marked else 0.3
+    z += min(3.0, 0.12 * words) + (1.0 if b.node.tag in ("p", "blockquote", "pre") else 0.0)
     z += 0.5 if b.text[-1] in ".!?\"'”»:" else 0.0
     rich = words >= 15 and share < 0.25
     z -= b.node.weak * (0.5 if rich else 1.0)
@@ -222,20 +268,51 @@ def score(b: Block, marked: bool = True) -> float:
     return z
 
 
+def steps(a: Node, b: Node, most: int = 8) -> int:
+    """Steps in the DOM from a to b, `most` if there are more."""
+    n = 0
+    while a is not b:
+        n += 1
+        if n >= most:
+            return most
+        if a.depth >= b.depth:
+            a = a.parent
+        else:
+            b = b.parent
+    return n
+
+
+def within(a: Node, b: Node, most: int = 8) -> bool:
+    for _ in range(most):
+        if a is b:
+            return True
+        if a.parent is None:
+            return False
+        a = a.parent
+    return False
+
+
 def edges(found: list[Block]) -> list[tuple[int, int, float]]:
-    """Smoothness edges: between neighbours, and between a block and the last one before it of the same parent."""
+    """Smoothness edges: between neighbours, and between a block and the last one before it of the same parent. They are
+    stronger the closer two blocks stand in the DOM, and weak where a container of its own kind begins or ends. A heading
+    stands next to the first block of what it heads."""
     out: list[tuple[int, int, float]] = []
     last: dict[int, int] = {}
+
+    def join(i: int, j: int, most: float) -> None:
+        a, b = found[i].node, found[j].node
+        border = BORDER if a.bad != b.bad or abs(a.weak - b.weak) > 1 or a.good != b.good else 1.0
+        headed = a.tag in HEADINGS and j == i + 1 and within(b, a.parent)
+        out.append((i, j, most * border / (1 if headed else max(1, steps(a, b) - 1) ** 1.5)))
+
     for i, b in enumerate(found):
-        up = b.node.parent or b.node
+        up = id(b.node.parent or b.node)
         if i:
-            before = found[i - 1].node
-            near = 1.0 if before.parent is b.node.parent else 0.5 if before.parent is up.parent or before is up or before.parent is b.node else 0.2
-            out.append((i - 1, i, near))
-        j = last.get(id(up))
+            join(i - 1, i, NEIGHBOURS)
+        j = last.get(up)
         if j is not None and j < i - 1:
-            out.append((j, i, 0.5))
-        last[id(up)] = i
+            join(j, i, SIBLINGS)
+        last[up] = i
     return out
 
 
@@ -319,11 +396,10 @@ def extract(html: str | None) -> tuple[str, int, int]:
 def extract_text(pages: DataFrame, *, key: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
     """Per page: key, url, text, n_chars, n_blocks, n_kept. The text is empty, never null, where there is none; rows
     pass one by one, so repeated rows and null keys stay; other columns aren't read."""
-    small_batches(pages.sparkSession)
     kinds = dict(pages.dtypes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             got = [extract(h) for h in b.column(2).to_pylist()]
             cols = [b.column(0), b.column(1), pa.array([g[0] for g in got], pa.string()), *(pa.array(c, pa.int64()) for c in ([len(g[0]) for g in got], [g[1] for g in got], [g[2] for g in got]))]
             yield pa.RecordBatch.from_arrays(cols, names=["key", "url", "text", "n_chars", "n_blocks", "n_kept"])
