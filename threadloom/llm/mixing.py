@@ -4,10 +4,11 @@ A source's share of all tokens, raised to an exponent, is its weight. The expone
 bisected to meet a target: either the weights' entropy, or how often a document of the most repeated source may occur.
 The budget defaults to the smallest that uses every document at least once, so a mixture drops nothing.
 
-A source's budget is spent in passes over its documents, each a permutation given by a hash of pass and key. Whole
+A source's budget is spent in passes over its documents, each a permutation given by a hash of pass, key and text. Whole
 passes take all. In the last one, permutation blocks are taken whole up to the block in which the budget ends; only
-inside that block are rows counted one by one. So a source with a third of all rows is never sorted as one group: what
-comes of it is one small row (passes, block, last hash), with which documents are picked where they lie.
+inside that block are rows counted one by one. Blocks are as many as the root of a source's documents, and so as large:
+a source with a third of all rows is never sorted as one group. What comes of it is one small row (passes, block, last
+hash), with which documents are picked where they lie.
 """
 
 from __future__ import annotations
@@ -20,7 +21,6 @@ from pyspark.sql import functions as F
 from .common import word_count, written
 
 STEPS = 1_000_000
-BLOCK_DOCS = 4096
 SECTIONS = 32
 _SPACE = float(1 << 52)
 
@@ -64,15 +64,20 @@ def exponent(stats: DataFrame, *, max_repeats: float | None, target_entropy: flo
     return max(0, least_step(too_low) - 1) if too_low([STEPS])[0] else STEPS
 
 
-def _hash(key: Column, turn: Column, seed: int) -> Column:
+def _own(key: Column, text: Column) -> Column:
+    """What tells a row of its source from others: rows that have a key in common, or none, differ by their texts."""
+    return F.concat_ws(":", F.coalesce(key.cast("string"), F.lit("")), F.md5(F.coalesce(text, F.lit(""))))
+
+
+def _hash(own: Column, turn: Column, seed: int) -> Column:
     """52 bits that order a pass; the same in any engine with md5."""
-    return F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), turn.cast("string"), F.coalesce(key.cast("string"), F.lit("")))), 1, 13), 16, 10).cast("long")
+    return F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), turn.cast("string"), own)), 1, 13), 16, 10).cast("long")
 
 
 def plan(slim: DataFrame, *, max_repeats: float | None, target_entropy: float | None, budget_tokens: int | None, seed: int) -> DataFrame:
     """Per source: weight, passes (whole ones), block and last (where the last pass ends), blocks, repeats.
 
-    `slim`: _s (source, never null), _k (key), tokens.
+    `slim`: _s (source, never null), _k (what tells a row from others), tokens.
     """
     stats = written(slim.groupBy("_s").agg(F.sum("tokens").alias("tokens"), F.count(F.lit(1)).alias("docs")), "mix-stats")
     a = exponent(stats, max_repeats=max_repeats, target_entropy=target_entropy) / STEPS
@@ -84,7 +89,7 @@ def plan(slim: DataFrame, *, max_repeats: float | None, target_entropy: float |
     sized = stats.withColumn("weight", weight).withColumn("budget", F.when(F.col("tokens") > 0, F.floor(share + 0.5)).otherwise(0).cast("long"))
     sized = sized.withColumn("passes", F.when(F.col("tokens") > 0, F.floor(F.expr("budget div tokens"))).otherwise(1).cast("long"))
     sized = sized.withColumn("rest", F.when(F.col("tokens") > 0, F.col("budget") - F.col("passes") * F.col("tokens")).otherwise(0))
-    sized = sized.withColumn("blocks", F.ceil(F.col("docs") / BLOCK_DOCS).cast("long"))
+    sized = sized.withColumn("blocks", F.ceil(F.sqrt("docs")).cast("long"))
     sized = sized.withColumn("repeats", F.when(F.col("tokens") > 0, F.col("budget") / F.col("tokens")).otherwise(1.0))
     sized = written(sized, "mix-sized")
     h = _hash(F.col("_k"), F.col("passes"), seed)
@@ -93,10 +98,10 @@ def plan(slim: DataFrame, *, max_repeats: float | None, target_entropy: float |
     run = sums.withColumn("upto", F.sum("t").over(Window.partitionBy("_s").orderBy("block")))
     edge = run.where("upto > rest").groupBy("_s").agg(F.min_by(F.struct("block", (F.col("rest") - F.col("upto") + F.col("t")).alias("room")), "block").alias("e")).select("_s", "e.*")
     edge = written(edge, "mix-edge")
-    # rows of equal hash count together, so that repeated rows are all in or all out
+    # rows of equal hash are repeats in key and text: they count together, and none is in where the budget can't take all
     before = F.coalesce(F.sum("t").over(Window.partitionBy("_s").orderBy("h").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    inside = last.join(edge, ["_s", "block"]).groupBy("_s", "room", "h").agg(F.sum("tokens").alias("t")).withColumn("before", before)
-    cut = inside.where("before < room").groupBy("_s").agg(F.max("h").alias("last"))
+    inside = last.join(edge, ["_s", "block"]).groupBy("_s", "room", "h").agg(F.sum("tokens").alias("t"), F.count(F.lit(1)).alias("n")).withColumn("before", before)
+    cut = inside.where("before < room AND (n = 1 OR before + t <= room)").groupBy("_s").agg(F.max("h").alias("last"))
     return written(sized.join(edge.select("_s", "block"), "_s", "left").join(cut, "_s", "left").select("_s", "weight", "budget", "passes", "blocks", "repeats", F.coalesce("block", F.lit(-1)).alias("block"), F.coalesce("last", F.lit(-1)).alias("last")), "mix-plan")
 
 
@@ -104,25 +109,27 @@ def mix(docs: DataFrame, *, max_repeats: float | None = None, target_entropy: fl
     """The rows of `docs`, each as often as its source's budget takes it, with `mix_pass` (from 0) and `mix_rank`.
 
     Ordering by mix_rank (0 to 1) runs through all sources evenly, in proportion to their weights. Tokens default to
-    words. A null source is a source of its own, a null key hashes as an empty one. A source without tokens is used
-    once; an empty table gives an empty one. Only the columns named mix_pass and mix_rank would clash: they're replaced.
+    words. A null source is a source of its own, a null key hashes as an empty one, so that rows which share a key are
+    told apart by their texts. Rows that repeat key and text are taken together: the last pass has none of them where
+    its budget doesn't reach for all, so no limit on repeats is passed. A source without tokens is used once; an empty
+    table gives an empty one. Only the columns named mix_pass and mix_rank would clash: they're replaced.
     """
     own = F.coalesce(F.concat(F.lit("="), F.col(source).cast("string")), F.lit(""))
     tokens = word_count(F.col(text)) if tokens is None else tokens
-    slim = written(docs.select(own.alias("_s"), F.col(key).alias("_k"), tokens.alias("tokens")), "mix-slim")
-    return realise(docs, plan(slim, max_repeats=max_repeats, target_entropy=target_entropy, budget_tokens=budget_tokens, seed=seed), seed=seed, key=key, source=own)
+    slim = written(docs.select(own.alias("_s"), _own(F.col(key), F.col(text)).alias("_k"), tokens.alias("tokens")), "mix-slim")
+    return realise(docs, plan(slim, max_repeats=max_repeats, target_entropy=target_entropy, budget_tokens=budget_tokens, seed=seed), seed=seed, key=key, text=text, source=own)
 
 
-def realise(docs: DataFrame, plan: DataFrame, *, seed: int, key: str, source: Column) -> DataFrame:
+def realise(docs: DataFrame, plan: DataFrame, *, seed: int, key: str, text: str, source: Column) -> DataFrame:
     """Pick rows by the plan, a small table that Spark broadcasts if its size allows; no text is shuffled then."""
     names = [c for c in docs.columns if c not in ("mix_pass", "mix_rank")]
     own = "_"
     while any(c.startswith(own) for c in names):  # columns of docs keep their names, whatever they are
         own += "_"
-    s, p, ps, h = (own + c for c in ("s", "p", "ps", "h"))
+    s, p, ps, h, k = (own + c for c in ("s", "p", "ps", "h", "k"))
     small = plan.select(F.struct("passes", "blocks", "repeats", "block", "last").alias(p), F.col("_s").alias(ps))
-    turns = docs.select(*names, source.alias(s)).join(small, F.col(s) == F.col(ps)).withColumn("mix_pass", F.explode(F.sequence(F.lit(0).cast("long"), F.col(p)["passes"])))
-    picked = turns.withColumn(h, _hash(F.col(key), F.col("mix_pass"), seed))
+    turns = docs.select(*names, source.alias(s), _own(F.col(key), F.col(text)).alias(k)).join(small, F.col(s) == F.col(ps)).withColumn("mix_pass", F.explode(F.sequence(F.lit(0).cast("long"), F.col(p)["passes"])))
+    picked = turns.withColumn(h, _hash(F.col(k), F.col("mix_pass"), seed))
     block = F.floor(F.col(h) / _SPACE * F.col(p)["blocks"])
     taken = (F.col("mix_pass") < F.col(p)["passes"]) | (block < F.col(p)["block"]) | ((block == F.col(p)["block"]) & (F.col(h) <= F.col(p)["last"]))
     return picked.where(taken).withColumn("mix_rank", (F.col("mix_pass") + F.col(h) / _SPACE) / F.col(p)["repeats"]).select(*names, "mix_pass", "mix_rank")

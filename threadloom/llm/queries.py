@@ -45,7 +45,8 @@ def captures_and_lists(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
     captures = pages.select("page_id", "url", (start + F.make_interval(mins=minutes)).alias("fetched_at"))
     host = url_filter.host(F.col("url"))
     hosts = pages.select(host.alias("host")).where("host IS NOT NULL").distinct()
-    names = hosts.select(F.explode(F.slice(url_filter.domains(F.col("host")), 1, 2)).alias("pattern")).where("pattern LIKE '%.%'").distinct()
+    parent = F.regexp_replace("host", r"^[^.]*\.?", "")
+    names = hosts.select(F.explode(F.array("host", parent)).alias("pattern")).where("pattern LIKE '%.%'").distinct()
     each = names.withColumn("seq", F.explode(F.sequence(F.lit(0), F.lit(3)))).where(F.col("seq") < _hex(F.col("pattern"), 1, 4) % 5)
     tag = F.concat_ws("|", "pattern", F.col("seq").cast("string"))
     entries = each.select(
@@ -98,26 +99,26 @@ _WORDS = r"coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)"
 
 
 def _h52(turn: str) -> str:
-    return f"('0x' || substr(md5('17:' || {turn} || ':' || coalesce(doc_id::VARCHAR, '')), 1, 13))::BIGINT"
+    return f"('0x' || substr(md5('17:' || {turn} || ':' || own), 1, 13))::BIGINT"
 
 
 ORACLE_1 = f"""
-WITH d AS (SELECT coalesce('=' || source, '') AS s, source, doc_id, {_WORDS} AS t FROM documents),
+WITH d AS (SELECT coalesce('=' || source, '') AS s, source, doc_id, coalesce(doc_id::VARCHAR, '') || ':' || md5(coalesce(text, '')) AS own, {_WORDS} AS t FROM documents),
 st AS (SELECT s, sum(t)::BIGINT AS tokens, count(*) AS docs FROM d GROUP BY s),
 ends AS (SELECT max(tokens)::DOUBLE AS top, min(tokens)::DOUBLE AS low FROM st WHERE tokens > 0),
 ex AS (SELECT top, greatest(0, least(1000000, CASE WHEN top IS NULL THEN 1000000 WHEN top = low THEN 0
         ELSE ceil(1000000 * (1 - ln({MAX_REPEATS}::DOUBLE) / ln(top / low))) END))::DOUBLE / 1000000::DOUBLE AS a FROM ends),
 sized AS (SELECT s, tokens, docs, CASE WHEN tokens > 0 THEN floor(pow(top / tokens, 1::DOUBLE - a) * tokens + 0.5::DOUBLE) ELSE 0 END::BIGINT AS budget FROM st, ex),
 pl AS (SELECT s, tokens, CASE WHEN tokens > 0 THEN budget // tokens ELSE 1 END AS passes, CASE WHEN tokens > 0 THEN budget % tokens ELSE 0 END AS rest,
-        ceil(docs / 4096::DOUBLE)::BIGINT AS blocks, CASE WHEN tokens > 0 THEN budget::DOUBLE / tokens ELSE 1 END AS repeats FROM sized),
+        ceil(sqrt(docs::DOUBLE))::BIGINT AS blocks, CASE WHEN tokens > 0 THEN budget::DOUBLE / tokens ELSE 1 END AS repeats FROM sized),
 lastp AS (SELECT d.s, d.t, pl.rest, h, floor(h / 4503599627370496::DOUBLE * blocks)::BIGINT AS block
         FROM (SELECT d.*, {_h52('passes')} AS h FROM d JOIN pl USING (s)) d JOIN pl USING (s) WHERE rest > 0),
 sums AS (SELECT s, rest, block, sum(t) AS t FROM lastp GROUP BY ALL),
 run AS (SELECT *, sum(t) OVER (PARTITION BY s ORDER BY block) AS upto FROM sums),
 edge AS (SELECT s, min(block) AS block, arg_min(rest - upto + t, block) AS room FROM run WHERE upto > rest GROUP BY s),
-inside AS (SELECT s, room, h, sum(t) AS t FROM lastp JOIN edge USING (s, block) GROUP BY ALL),
+inside AS (SELECT s, room, h, sum(t) AS t, count(*) AS n FROM lastp JOIN edge USING (s, block) GROUP BY ALL),
 ahead AS (SELECT *, coalesce(sum(t) OVER (PARTITION BY s ORDER BY h ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM inside),
-cut AS (SELECT s, max(h) AS last FROM ahead WHERE before < room GROUP BY s),
+cut AS (SELECT s, max(h) AS last FROM ahead WHERE before < room AND (n = 1 OR before + t <= room) GROUP BY s),
 turns AS (SELECT d.*, pl.passes, pl.blocks, pl.repeats, unnest(range(0, pl.passes + 1)) AS turn FROM d JOIN pl USING (s)),
 hashed AS (SELECT *, {_h52('turn')} AS h FROM turns)
 SELECT doc_id, source, turn::BIGINT AS mix_pass, floor((turn + h / 4503599627370496::DOUBLE) / repeats * 1e9::DOUBLE)::BIGINT AS rank_e9
@@ -129,7 +130,7 @@ WHERE turn < passes OR floor(h / 4503599627370496::DOUBLE * blocks)::BIGINT < co
 ORACLE_5 = r"""
 WITH raw AS (SELECT page_id, url, TIMESTAMP '2024-01-01' + to_minutes(((page_id * 7919) % 525600)::INTEGER) AS fetched_at,
         regexp_replace(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:@]+)', 1)), '\.$', '') AS h FROM pages),
-cap AS (SELECT page_id, url, fetched_at, CASE WHEN h <> '' AND length(h) <= 253 THEN h END AS host FROM raw),
+cap AS (SELECT page_id, url, fetched_at, nullif(h, '') AS host FROM raw),
 hosts AS (SELECT DISTINCT host, string_split(host, '.') AS labels FROM cap WHERE host IS NOT NULL),
 parents AS (SELECT host, unnest(list_transform(range(1, len(labels) + 1), lambda i: array_to_string(labels[i:], '.'))) AS pattern, unnest(range(1, len(labels) + 1)) AS i FROM hosts),
 names AS (SELECT DISTINCT pattern FROM parents WHERE i <= 2 AND pattern LIKE '%.%'),

@@ -5,8 +5,9 @@ entries become validity intervals. A capture is held against the entries that we
 its host and every parent domain.
 
 Captures are looked up by host: hosts are made distinct first, so the explosion into parent domains and the join with
-the patterns see each host once, and the one join that sees all captures gives one row for each. A host with a third of
-all captures is split by the adaptive skew join; nothing stands above that join that would need its rows together.
+the patterns see each host once, and the one join that sees all captures gives one row for each. A host that has more
+than 1 / HOT_SHARES of all captures (there are fewer than HOT_SHARES of these, so they may be broadcast) is salted: its
+captures are dealt over as many salts as it takes to bring them below that share, and its few periods are copied to each.
 """
 
 from __future__ import annotations
@@ -14,20 +15,22 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-MAX_HOST = 253
+HOT_SHARES = 512
 
 
 def host(url: Column) -> Column:
-    """Lower-case host of a URL, without user, port and trailing dot; null if there is none or it is over 253 long."""
+    """Lower-case host of a URL, whole, without user, port and trailing dot; null if there is none."""
     h = F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:@]+)", 1))
-    h = F.regexp_replace(h, r"\.$", "")
-    return F.when((h != "") & (F.length(h) <= MAX_HOST), h)
+    return F.nullif(F.regexp_replace(h, r"\.$", ""), F.lit(""))
 
 
-def domains(h: Column) -> Column:
-    """The host and its parent domains, longest first."""
-    labels = F.split(h, r"\.")
-    return F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
+def domains(h: Column, longest: int) -> Column:
+    """Of the host and its parent domains those of at most `longest` characters, longest first. Their number and length
+    don't grow with the host's, so an overlong host costs no more than any other."""
+    tail = F.right(h, F.lit(longest + 1))
+    whole = F.regexp_replace(F.nullif(F.regexp_extract(tail, r"\..*", 0), F.lit("")), r"^\.", "")
+    labels = F.split(F.when(F.length(h) <= longest, h).otherwise(whole), r"\.")
+    return F.when(labels.isNotNull(), F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), ".")))
 
 
 def validity(entries: DataFrame) -> DataFrame:
@@ -43,23 +46,30 @@ def validity(entries: DataFrame) -> DataFrame:
     return last.withColumn("valid_to", F.lead("at").over(w)).where("listed").select("list", "pattern", F.col("at").alias("valid_from"), "valid_to")
 
 
-def filter_urls(captures: DataFrame, entries: DataFrame, *, key: str = "page_id", url: str = "url", at: str = "fetched_at") -> DataFrame:
+def filter_urls(captures: DataFrame, entries: DataFrame, *, key: str = "page_id", url: str = "url", at: str = "fetched_at", hot_shares: int = HOT_SHARES) -> DataFrame:
     """Per capture: key, url, at, host, n_active (entries in force), lists (their names, sorted), pattern (the longest
     one), blocked.
 
-    A capture without host or time matches nothing and isn't blocked. Repeated rows stay; other columns aren't read.
+    A capture without host or time matches nothing and isn't blocked. Hosts of any length are taken whole. Repeated rows
+    stay; other columns aren't read. Without captures or entries there is nothing to match. What a task holds of a host
+    are its periods: as many as the lists' changes for it and its parent domains.
     """
+    longest = entries.agg(F.max(F.length(F.lower("pattern")))).first()[0] or 0
     seen = captures.select(F.col(key).alias("_k"), F.col(url).alias("_u"), F.col(at).alias("_t"), host(F.col(url)).alias("host"))
     hosts = seen.where("host IS NOT NULL").groupBy("host").agg(F.count(F.lit(1)).alias("captures"))
-    parents = hosts.select("host", F.explode(domains(F.col("host"))).alias("pattern"))
+    share = F.greatest(F.floor(F.lit(captures.count()) / hot_shares), F.lit(1))
+    hot = hosts.where(F.col("captures") > share).select("host", F.ceil(F.col("captures") / share).cast("int").alias("_salts"))
+    parents = hosts.select("host", F.explode(domains(F.col("host"), longest)).alias("pattern"))
     periods = parents.join(validity(entries), "pattern").groupBy("host").agg(F.collect_list(F.struct("valid_from", "valid_to", "list", "pattern")).alias("periods"))
-    found = seen.join(periods, "host", "left")
+    salted = periods.join(F.broadcast(hot), "host", "left").select("host", "periods", F.explode(F.sequence(F.lit(0), F.coalesce("_salts", F.lit(1)) - 1)).alias("_salt"))
+    dealt = seen.join(F.broadcast(hot), "host", "left").withColumn("_salt", F.coalesce(F.pmod(F.xxhash64("_k", "_u", "_t"), "_salts").cast("int"), F.lit(0)))
+    found = dealt.join(salted, ["host", "_salt"], "left")
     active = F.filter(F.coalesce("periods", F.array().cast(periods.schema["periods"].dataType)), lambda p: (p["valid_from"] <= F.col("_t")) & (p["valid_to"].isNull() | (p["valid_to"] > F.col("_t"))))
-    longest = F.array_max(F.transform(F.col("_a"), lambda p: F.struct(F.length(p["pattern"]), p["pattern"])))
+    longest_first = F.array_max(F.transform(F.col("_a"), lambda p: F.struct(F.length(p["pattern"]), p["pattern"])))
     return found.withColumn("_a", F.when(F.col("_t").isNotNull(), active).otherwise(F.filter(active, lambda p: F.lit(False)))).select(
         F.col("_k").alias(key), F.col("_u").alias(url), F.col("_t").alias(at), "host",
         F.size("_a").cast("long").alias("n_active"),
         F.array_join(F.array_sort(F.array_distinct(F.transform("_a", lambda p: p["list"]))), ",").alias("lists"),
-        longest["pattern"].alias("pattern"),
+        longest_first["pattern"].alias("pattern"),
         (F.size("_a") > 0).alias("blocked"),
     )
