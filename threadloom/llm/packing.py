@@ -6,7 +6,8 @@ them; each piece, largest first, goes to the tightest bin that has room and no c
 smallest sufficient remainder and moves to the successor while bitmaps of the bin's sources and clusters conflict.
 
 Documents are dealt by hash into shards of about `shard_docs`, each packed by one task. Only keys, lengths, sources and
-cluster hashes travel. A cluster or source that holds a third of the rows is spread over all shards.
+cluster hashes travel. A cluster or source that holds a third of the rows is spread over all shards. Rows that are equal
+in all of these are told apart by a number, so they are spread too, and bins don't depend on how the input is laid out.
 
 By itself `pack` knows copies equal but for case; `with_clusters` finds near copies first.
 """
@@ -26,6 +27,9 @@ from . import jaccard_join
 from .common import parts, word_count, written
 from .components import components
 
+#: Equal rows that one task counts out at a time.
+RUN = 4096
+
 
 def best_fit(sizes: Iterable[int], sources: Iterable[int], clusters: Iterable[int], capacity: int, max_per_source: int) -> list[int]:
     """The bin of each piece. Pieces are placed by size, largest first, ties by position."""
@@ -110,8 +114,14 @@ def pack(docs: DataFrame, *, capacity: int = 2048, max_per_source: int = 2, shar
     tokens = word_count(F.col(text)) if tokens is None else tokens
     cluster = exact_hash(text) if cluster is None else cluster
     kind = dict(docs.dtypes)[key]
-    slim = written(docs.select(F.col(key).alias("key"), tokens.cast("long").alias("tokens"), F.xxhash64(source).alias("source"), cluster.cast("long").alias("cluster")), "packing")
-    shards = parts(slim.count(), shard_docs, 1)
-    dealt = slim.withColumn("shard", F.pmod(F.xxhash64("key", F.monotonically_increasing_id()), F.lit(shards)))
+    own = ["key", "tokens", "source", "cluster"]
+    slim = docs.select(F.col(key).alias("key"), tokens.cast("long").alias("tokens"), F.xxhash64(source).alias("source"), cluster.cast("long").alias("cluster"))
+    counted = written(slim.groupBy(*own).agg(F.count(F.lit(1)).alias("n")), "packing")
+    shards = parts(counted.agg(F.sum("n")).first()[0] or 0, shard_docs, 1)
+    # numbers of equal rows, in runs that are dealt before they are counted out
+    runs = counted.withColumn("first", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1, F.lit(RUN).cast("long"))))
+    spread = runs.where("n <= 1").unionByName(runs.where("n > 1").repartition(F.xxhash64(*own, "first")))
+    rows = spread.withColumn("number", F.explode(F.sequence("first", F.least(F.col("first") + RUN, F.col("n")) - 1)))
+    dealt = rows.select(*own, F.pmod(F.xxhash64(*own, "number"), F.lit(shards)).alias("shard"))
     out = dealt.groupBy("shard").applyInArrow(lambda t: pack_shard(t, capacity, max_per_source), f"key {kind}, piece long, first_token long, n_tokens long, bin_id long, slot long")
     return out.withColumnRenamed("key", key)
