@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches
+from .common import slices
 
 BUCKETS = 4096
 MAX_GRAM = 3
@@ -109,15 +109,15 @@ def fit(x: np.ndarray, y: np.ndarray, langs: list[str], *, dim: int = 16, epochs
 def train(labelled: DataFrame, *, max_train: int = 4000, key: str = "doc_id", text: str = "text", lang: str = "lang") -> Model:
     """A model of at most `max_train` rows of `labelled` with a language and a letter, first by a hash of their key.
 
-    Histograms, not texts, reach the driver: their size is bounded however long a text is. Without any row the model
-    knows no language and rejects everything.
+    Histograms, not texts, reach the driver: their size is bounded however long a text is. Of rows that repeat a key the
+    one with the least language and histogram counts, so the model doesn't depend on their order. Without any row the
+    model knows no language and rejects everything.
     """
-    small_batches(labelled.sparkSession)
-    chosen = labelled.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(key, lang).dropDuplicates([key]).orderBy(F.xxhash64(key), key).limit(max_train)
+    chosen = labelled.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).groupBy(key).agg(F.min(lang).alias(lang)).orderBy(F.xxhash64(key), key).limit(max_train)
     have = labelled.select(key, text).join(F.broadcast(chosen), key)  # at most max_train rows are broadcast
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             keys, texts, langs = (b.column(i).to_pylist() for i in range(3))
             rows = [(k, t, s) for k, x, t in zip(keys, texts, langs, strict=True) if (s := letters(x))]
             if not rows:
@@ -130,7 +130,7 @@ def train(labelled: DataFrame, *, max_train: int = 4000, key: str = "doc_id", te
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], b.schema.field(0).type), pa.array([r[1] for r in rows], pa.string()), pa.array(packed, pa.binary())], names=["key", "lang", "h"])
 
     kind = dict(labelled.dtypes)[key]
-    rows = have.select(key, text, F.col(lang).cast("string")).mapInArrow(run, f"key {kind}, lang string, h binary").dropDuplicates(["key"]).collect()
+    rows = have.select(key, text, F.col(lang).cast("string")).mapInArrow(run, f"key {kind}, lang string, h binary").groupBy("key").agg(F.min(F.struct("lang", "h")).alias("r")).select("key", "r.*").collect()
     rows.sort(key=lambda r: r[0])
     langs = sorted({r[1] for r in rows})
     if not langs:
@@ -147,11 +147,10 @@ def predict(docs: DataFrame, model: Model, *, keep: tuple[str, ...] = ("doc_id",
 
     A null text or one without letters is `und` with score 0, rejected. Rows pass one by one.
     """
-    small_batches(docs.sparkSession)
     kinds = dict(docs.dtypes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             found = [model.predict(t) for t in b.column(0).to_pylist()]
             lang, score, rejected = zip(*found, strict=True) if found else ((), (), ())
             cols = [*(b.column(i + 1) for i in range(len(keep))), pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(rejected, pa.bool_())]

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BLANK_BYTES, small_batches
+from .common import BLANK_BYTES, slices
 
 SYMBOLS = b"#*$%&|<>"
 _UPPER, _DIGIT, _SHOUT = bytes(range(65, 91)), bytes(range(48, 58)), b"!?"
@@ -175,19 +175,19 @@ def _flat(nodes: list[list[float]], roots: list[int], bias: float, depth: int) -
 def train(docs: DataFrame, labels: DataFrame, *, max_train: int = 20_000, key: str = "doc_id", text: str = "text", label: str = "quality") -> Forest | None:
     """A forest fitted on at most `max_train` labelled documents, those that come first by a hash of their key.
 
-    Labels of one key that differ count as the lowest. None if fewer than two classes are left.
+    Labels of one key that differ count as the lowest, texts of one key as the one of the least statistics, so the forest
+    doesn't depend on their order. None if fewer than two classes are left.
     """
-    small_batches(docs.sparkSession)
     chosen = labels.where(F.col(key).isNotNull() & F.col(label).isNotNull()).groupBy(key).agg(F.min(label).alias("_label")).orderBy(F.xxhash64(key), key).limit(max_train)
     have = docs.select(key, text).join(F.broadcast(chosen), key)  # at most max_train rows are broadcast
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             x = [measure(t)[1] for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2).cast(pa.float64()), pa.array(x, pa.list_(pa.float64()))], names=["key", "y", "x"])
 
     kind = dict(docs.dtypes)[key]
-    rows = have.select(key, text, F.col("_label").cast("double")).mapInArrow(run, f"key {kind}, y double, x array<double>").dropDuplicates(["key"]).collect()
+    rows = have.select(key, text, F.col("_label").cast("double")).mapInArrow(run, f"key {kind}, y double, x array<double>").groupBy("key").agg(F.min(F.struct("y", "x")).alias("r")).select("key", "r.*").collect()
     rows.sort(key=lambda r: r[0])
     x, y = np.array([r[2] for r in rows]), np.array([r[1] > 0 for r in rows], float)
     return fit(x, y, list(FEATURES.values())) if len(set(y)) > 1 else None
@@ -199,11 +199,10 @@ def apply_rules(docs: DataFrame, forest: Forest | None, *, keep_above: float = 0
     A null or blank text has no words and fails the base rules. Without a forest, the base rules alone decide and score
     is null. Rows pass one by one: repeated rows and null keys stay, other columns aren't read.
     """
-    small_batches(docs.sparkSession)
     names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             if not b.num_rows:
                 continue
             base, x = zip(*map(measure, b.column(1).to_pylist()), strict=True)
