@@ -10,6 +10,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -56,12 +57,6 @@ def slices(batches: Iterable[pa.RecordBatch], most: int = 4 << 20) -> Iterator[p
             yield b.slice(i, step)
 
 
-def small_batches(spark: SparkSession, rows: int = 2000) -> None:
-    """Fewer rows in an Arrow batch: texts can be long, and a Python worker holds a batch at a time."""
-    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > rows:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-
-
 def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
@@ -96,27 +91,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
 
 
-class WordHashes(dict):
-    """64-bit hash by word, of those that a worker met last."""
-
-    MOST = 400_000
-
-    def __missing__(self, word: bytes) -> int:
-        import xxhash
-
-        if len(self) >= self.MOST:
-            self.clear()
-        h = self[word] = xxhash.xxh3_64_intdigest(word)
-        return h
-
-
-_hashes = WordHashes()
-
-
-def word_hashes(words: list[bytes]) -> np.ndarray:
-    return np.fromiter(map(_hashes.__getitem__, words), np.uint64, len(words))
-
-
 def mixed(h: np.ndarray) -> np.ndarray:
     """Spread the bits of 64-bit values."""
     h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
@@ -135,6 +109,65 @@ def gram_hashes(h: np.ndarray, k: int) -> np.ndarray:
     return mixed(out)
 
 
+#: Bytes hashed at a time, and the most that a word may have to be hashed among others.
+SEGMENT = 1 << 18
+_IS_BLANK = np.zeros(256, bool)
+_IS_BLANK[list(BLANK_BYTES)] = True
+_VALUE = np.random.default_rng(9).integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_BASE = 0x9E3779B97F4A7C15
+_POWER = np.cumprod(np.full(SEGMENT, _BASE, np.uint64))
+_INVERSE = np.cumprod(np.full(SEGMENT, pow(_BASE, -1, 1 << 64), np.uint64))
+
+
+def _segment(b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes, lengths and places of the words of at most SEGMENT bytes: each byte's value times a power of its place, summed up
+    to every place, so that a difference of two sums, shifted to the word's start, is the word's hash."""
+    edge = np.diff(np.concatenate([[True], _IS_BLANK[b], [True]]).view(np.int8))
+    start, end = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
+    upto = np.zeros(len(b) + 1, np.uint64)
+    np.cumsum(_VALUE[b] * _POWER[: len(b)], out=upto[1:])
+    length = end - start
+    return mixed((upto[end] - upto[start]) * _INVERSE[start] + length.astype(np.uint64)), length, start
+
+
+def hashed_words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """64-bit hash and length of each word of all texts, one after another, and how many words each text has."""
+    joined = b"\n".join(texts)
+    b = np.frombuffer(joined, np.uint8)
+    found, at = [(np.zeros(0, np.uint64), *[np.zeros(0, np.int64)] * 2)], 0
+    while at < len(b):
+        end = min(at + SEGMENT, len(b))
+        if end < len(b) and not _IS_BLANK[b[end]]:  # back to the last blank, or on to the end of a very long word
+            blank = np.flatnonzero(_IS_BLANK[b[at:end]])
+            if len(blank):
+                end = at + int(blank[-1]) + 1
+            else:
+                end = min((i for c in BLANK_BYTES if (i := joined.find(c, end)) >= 0), default=len(b))
+        if end - at > SEGMENT:
+            found.append((np.array([xxhash.xxh3_64_intdigest(joined[at:end])], np.uint64), np.array([end - at]), np.array([at])))
+        else:
+            hashes, lengths, start = _segment(b[at:end])
+            found.append((hashes, lengths, start + at))
+        at = end
+    hashes, lengths, start = map(np.concatenate, zip(*found, strict=True))
+    upto = np.searchsorted(start, np.cumsum([len(t) + 1 for t in texts], dtype=np.int64))
+    return hashes, lengths, np.diff(upto, prepend=0)
+
+
+MOST_PARTITIONS = 20_000
+
+
+def dealt(df: DataFrame, by: str, n: int) -> DataFrame:
+    """df with values 0 to n - 1 of `by` dealt over as many partitions (p), one for each, up to MOST_PARTITIONS: the
+    number of tasks grows with the input and no two values meet in one by chance. Group by p and `by`."""
+    p = min(n, MOST_PARTITIONS)
+    return df.withColumn("p", F.pmod(by, F.lit(p)).cast("int")).repartitionById(p, F.col("p"))
+
+
 def grouped(docs: DataFrame, groups: int, key: str, text: str, *carry: str) -> DataFrame:
-    """g, key (long), text and carried columns: rows dealt into groups of about equal size by key and text."""
-    return docs.select(F.pmod(F.xxhash64(key, text), F.lit(groups)).alias("g"), F.col(key).cast("long").alias("key"), F.col(text).alias("text"), *(F.col(c).alias(f"c_{c}") for c in carry))
+    """g, p, key (long), text and carried columns: rows dealt into groups of about equal size by key and text. A key of
+    another type than a whole number is an error that names it."""
+    if (kind := dict(docs.dtypes)[key]) not in ("tinyint", "smallint", "int", "bigint"):
+        raise TypeError(f"{key} is {kind}; give documents a whole number as their key")
+    rows = docs.select(F.pmod(F.xxhash64(key, text), F.lit(groups)).alias("g"), F.col(key).cast("long").alias("key"), F.col(text).alias("text"), *(F.col(c).alias(f"c_{c}") for c in carry))
+    return dealt(rows, "g", groups)

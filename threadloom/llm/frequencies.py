@@ -11,6 +11,12 @@ SENT = "shard long, g long, hashes binary, counts binary"
 BACK = "g long, shard long, classes binary"
 
 
+def shards(groups: int) -> int:
+    """Fewer shards than groups, so that what a group sends to each isn't small: it sends a row for each, at the most for
+    each of its hashes."""
+    return max(16, groups // 2)
+
+
 def places(h: np.ndarray, shards: int) -> np.ndarray:
     """Shard and 32 bits of each hash, in one number. The number of shards grows with the input, and so the bits do;
     two hashes in one place can only raise a frequency."""

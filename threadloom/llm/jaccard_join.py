@@ -33,24 +33,28 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import frequencies
-from .common import gram_hashes, grouped, parts, small_batches, text_bytes, word_hashes, written
+from .common import dealt, gram_hashes, grouped, hashed_words, parts, text_bytes, written
 from .components import components
 
 GROUP_BYTES = 8 << 20
-CHUNK = 1024
+CHUNK = 256
 CELL = 64
 PIVOTS = 8
 
 
-def shingles(text: str | None, n: int) -> np.ndarray:
-    """The set of n-word shingles as sorted hashes. Of fewer words, the whole sequence is the one shingle."""
-    words = text.encode().lower().split() if text else []  # of bytes, lower() changes A-Z alone
-    if not words:
-        return np.zeros(0, np.uint64)
-    if len(words) < n:
-        return np.array([xxhash.xxh3_64_intdigest(b" ".join(words), seed=len(words))], np.uint64)
-    h = np.sort(gram_hashes(word_hashes(words), n))
-    return h[np.concatenate([[True], h[1:] != h[:-1]])]
+def shingles(texts: list[str | None], n: int) -> list[np.ndarray]:
+    """The sets of n-word shingles of all texts as sorted hashes. Of fewer words, the whole sequence is the one shingle."""
+    lower = [t.encode().lower() if t else b"" for t in texts]  # of bytes, lower() changes A-Z alone
+    words, _, counts = hashed_words(lower)
+    grams = gram_hashes(words, n) if len(words) >= n else np.zeros(0, np.uint64)
+    out = []
+    for text, count, end in zip(lower, counts.tolist(), counts.cumsum().tolist(), strict=True):
+        if count < n:
+            out.append(np.array([xxhash.xxh3_64_intdigest(b" ".join(text.split()), seed=count)][:count], np.uint64))
+            continue
+        h = np.sort(grams[end - count : end - n + 1])
+        out.append(h[np.concatenate([[True], h[1:] != h[:-1]])])
+    return out
 
 
 class Sets:
@@ -63,8 +67,7 @@ class Sets:
         self.sets: list[np.ndarray] = []
         self.least: list[int] = []
         index: dict[bytes, int] = {}
-        for key, text in zip(self.keys, t.column("text").to_pylist(), strict=True):
-            s = shingles(text, n)
+        for key, s in zip(self.keys, shingles(t.column("text").to_pylist(), n), strict=True):
             self.sizes.append(len(s))
             if not len(s) or key is None:
                 self.of.append(-1)
@@ -304,20 +307,20 @@ def near_links(sets: DataFrame, *, percent: int, chunk: int = CHUNK) -> DataFram
 
 
 def classes(docs: DataFrame, *, percent: int = 80, n: int = 5, key: str = "doc_id", text: str = "text", chunk: int = CHUNK) -> DataFrame:
-    """Per row: key, n_shingles, component_id (the smallest key that links of at least percent/100 lead to).
+    """Per row: key (a whole number), n_shingles, component_id (the smallest key that links of at least percent/100 lead to).
 
     Null and wordless texts have no shingles and link with nothing; a row with a null key has a null component. Rows of
     one key count as one document with several texts. Other columns aren't read. `chunk`: how many sets a task holds of a
     region.
     """
-    small_batches(docs.sparkSession)
     _, size = text_bytes(docs, text)
     g = parts(size, GROUP_BYTES)
-    dealt = grouped(docs, g, key, text)
-    sent = dealt.groupBy("g").applyInArrow(lambda t: send(t, n, g), frequencies.SENT)
-    back = sent.groupBy("shard").applyInArrow(frequencies.classify, frequencies.BACK)
+    shards = frequencies.shards(g)
+    texts = grouped(docs, g, key, text)
+    sent = texts.groupBy("p", "g").applyInArrow(lambda t: send(t, n, shards), frequencies.SENT)
+    back = dealt(sent, "shard", shards).groupBy("p", "shard").applyInArrow(frequencies.classify, frequencies.BACK)
     schema = "kind int, key long, size long, same long, digest binary, set binary, prefix binary"
-    found = written(dealt.groupBy("g").cogroup(back.groupBy("g")).applyInArrow(lambda a, b: select(a, b, n, g, percent), schema), "jaccard-sets")
+    found = written(texts.groupBy("p", "g").cogroup(dealt(back, "g", g).groupBy("p", "g")).applyInArrow(lambda a, b: select(a, b, n, shards, percent), schema), "jaccard-sets")
     rows = found.where("kind = 0").select("key", "size", "same")
     some = found.where("kind = 1")
     heads = some.groupBy("digest").agg(F.min("key").alias("head"))

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 
 from . import frequencies
-from .common import gram_hashes, grouped, mixed, pack, parts, small_batches, squeeze, text_bytes, unpack, unsqueeze, word_hashes
+from .common import dealt, gram_hashes, grouped, hashed_words, mixed, pack, parts, squeeze, text_bytes, unpack, unsqueeze
 
 GROUP_BYTES = 8 << 20
 MINIMIZER = 4
@@ -48,9 +48,9 @@ def _least(g: np.ndarray, w: int) -> np.ndarray:
     return np.minimum(m[: len(m) - (w - have)], m[w - have :]) if have < w else m
 
 
-def spans(words: list[bytes], window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """First and end window of each span, and its minimizer."""
-    least = _least(gram_hashes(word_hashes(words), MINIMIZER), window - MINIMIZER + 1)
+def spans(grams: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First and end window of each span, and its minimizer, from the hashes of MINIMIZER words."""
+    least = _least(grams, window - MINIMIZER + 1)
     new = np.concatenate([[True], least[1:] != least[:-1]])
     at = np.arange(len(least))
     new |= (at - np.maximum.accumulate(np.where(new, at, 0))) % (window - MINIMIZER + 1) == 0  # a phrase repeated has a run without end
@@ -87,19 +87,20 @@ class Texts:
 
     def __init__(self, t: pa.Table, window: int, shards: int) -> None:
         self.window = window
-        self.keys, self.joined, self.counts = t.column("key").to_pylist(), [], []
+        self.keys = t.column("key").to_pylist()
         self.cuts: list[tuple[np.ndarray, ...]] = []
         nothing = np.zeros(0, np.int64)
-        for key, text in zip(self.keys, t.column("text").to_pylist(), strict=True):
-            words = text.encode().split() if text else []
-            self.joined.append(b" ".join(words))
-            self.counts.append(len(words))
-            if len(words) < window or key is None:
+        self.joined = [b" ".join(x.encode().split()) if x else b"" for x in t.column("text").to_pylist()]
+        hashes, lengths, counts = hashed_words(self.joined)
+        grams = gram_hashes(hashes, MINIMIZER) if len(hashes) >= MINIMIZER else hashes
+        self.counts = counts.tolist()
+        for key, n, upto in zip(self.keys, self.counts, counts.cumsum().tolist(), strict=True):
+            if n < window or key is None:
                 self.cuts.append((nothing, nothing, nothing.astype(np.uint64), nothing, nothing))
                 continue
-            start, end, least = spans(words, window)
-            at = np.zeros(len(words) + 1, np.int64)
-            np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1, out=at[1:])
+            start, end, least = spans(grams[upto - n : upto - MINIMIZER + 1], window)
+            at = np.zeros(n + 1, np.int64)
+            np.cumsum(lengths[upto - n : upto] + 1, out=at[1:])
             self.cuts.append((start, end, least, at[start], at[end + window - 1] - 1))
         self.places = [frequencies.places(c[2], shards) for c in self.cuts]
 
@@ -148,12 +149,13 @@ def _by_shard(shard: np.ndarray) -> list[np.ndarray]:
     return np.split(order, np.flatnonzero(np.diff(shard[order])) + 1) if len(shard) else []
 
 
-def send(t: pa.Table, back: pa.Table, window: int, shards: int) -> pa.Table:
-    """A row for each shard that this group has spans for, and one for each that it has windows for."""
+def send(t: pa.Table, back: pa.Table, window: int, counted: int, shards: int) -> pa.Table:
+    """A row for each shard that this group has spans for, and one for each that it has windows for. counted: in how many
+    shards minimizers were counted."""
     rows = []
     if t.num_rows:
         g = t.column("g")[0].as_py()
-        texts = Texts(t, window, shards)
+        texts = Texts(t, window, counted)
         texts.read(frequencies.known(back))
         lines = list(texts.minimizer)
         least = np.array([texts.least[p] for p in lines], np.int64)
@@ -317,9 +319,9 @@ def match(t: pa.Table, window: int) -> pa.Table:
     return pa.table([pa.array(c, k) for c, k in zip(cols, (pa.int64(), *[pa.binary()] * 4), strict=True)], ["g", "digests", "counts", "keys", "windows"])
 
 
-def remove(t: pa.Table, back: pa.Table, window: int, shards: int, as_was: bool) -> pa.Table:
+def remove(t: pa.Table, back: pa.Table, window: int, counted: int, as_was: bool) -> pa.Table:
     """Rows of a group with n_words, n_removed and the kept words; as_was: a text that loses nothing stays unchanged."""
-    texts = Texts(t, window, shards) if t.num_rows else None
+    texts = Texts(t, window, counted) if t.num_rows else None
     told: dict[bytes, np.ndarray] = {}
     found = back.filter(pc.is_valid(back.column("digests")))
     for digests, counts, keys in zip(*(found.column(c).to_pylist() for c in ("digests", "counts", "keys")), strict=True):
@@ -370,7 +372,7 @@ def remove(t: pa.Table, back: pa.Table, window: int, shards: int, as_was: bool)
 
 
 def dedup(docs: DataFrame, *, window: int = 13, key: str = "doc_id", text: str = "text", carry: tuple[str, ...] = (), as_was: bool = False) -> DataFrame:
-    """Per row: key, the columns `carry`, n_words, n_removed, kept (the words that stay, joined by one space; with
+    """Per row: key (a whole number), the columns `carry`, n_words, n_removed, kept (the words that stay, joined by one space; with
     `as_was`, a text that loses nothing as it was, a null one too).
 
     Null and empty texts have no words. A text under `window` words keeps all. A row with a null key loses nothing and
@@ -378,16 +380,18 @@ def dedup(docs: DataFrame, *, window: int = 13, key: str = "doc_id", text: str =
     """
     if window < MINIMIZER:
         raise ValueError(f"window must be at least {MINIMIZER}")
-    small_batches(docs.sparkSession)
     _, size = text_bytes(docs, text)
     n = parts(size, GROUP_BYTES)
+    counted = frequencies.shards(n)
     kinds = dict(docs.dtypes)
-    dealt = grouped(docs, n, key, text, *carry)
+    texts = grouped(docs, n, key, text, *carry)
     # all three passes read the texts by one shuffle: the plans below it are the same
-    met = dealt.groupBy("g").applyInArrow(lambda t: profile(t, window, n), frequencies.SENT).groupBy("shard").applyInArrow(lambda t: frequencies.classify_as(t, COUNTED), frequencies.BACK)
-    sent = dealt.groupBy("g").cogroup(met.groupBy("g")).applyInArrow(lambda a, b: send(a, b, window, n), "shard long, g long, lines binary, least binary, minimizer binary, windows binary")
-    back = sent.groupBy("shard").applyInArrow(lambda t: match(t, window), "g long, digests binary, counts binary, keys binary, windows binary")
+    places = texts.groupBy("p", "g").applyInArrow(lambda t: profile(t, window, counted), frequencies.SENT)
+    met = dealt(places, "shard", counted).groupBy("p", "shard").applyInArrow(lambda t: frequencies.classify_as(t, COUNTED), frequencies.BACK)
+    by_group = texts.groupBy("p", "g")
+    sent = by_group.cogroup(dealt(met, "g", n).groupBy("p", "g")).applyInArrow(lambda a, b: send(a, b, window, counted, n), "shard long, g long, lines binary, least binary, minimizer binary, windows binary")
+    back = dealt(sent, "shard", n).groupBy("p", "shard").applyInArrow(lambda t: match(t, window), "g long, digests binary, counts binary, keys binary, windows binary")
     schema = ", ".join(["key long", *(f"`c_{c}` {kinds[c]}" for c in carry), "n_words long, n_removed long, kept string"])
-    told = back.unionByName(met, allowMissingColumns=True)
-    out = dealt.groupBy("g").cogroup(told.groupBy("g")).applyInArrow(lambda a, b: remove(a, b, window, n, as_was), schema)
+    told = dealt(back.unionByName(met, allowMissingColumns=True), "g", n)
+    out = by_group.cogroup(told.groupBy("p", "g")).applyInArrow(lambda a, b: remove(a, b, window, counted, as_was), schema)
     return out.toDF(key, *carry, "n_words", "n_removed", "kept")
