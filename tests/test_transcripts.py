@@ -1,6 +1,7 @@
 import json
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from threadloom.functions import text as T
@@ -55,9 +56,13 @@ def test_jsonl_is_numbered_and_read(spark, tmp_path):
 
 
 def test_array_logs_and_documents(spark, tmp_path):
-    (tmp_path / "logs.json").write_text(json.dumps([{"sessionId": "a", "message": "x"}, {"message": "y"}]))
+    elements = [{"sessionId": "a", "message": "x"}, {"message": "y"}, {"sessionId": 1}, {"sessionId": None}, 5, {"sessionId": "b"}]
+    for depth, name in enumerate(["tmp", "tmp/x", "tmp/x/tmp", "tmp/x/tmp/z"]):
+        (tmp_path / name).mkdir()
+        (tmp_path / name / "logs.json").write_text(json.dumps(elements if depth < 3 else [{"sessionId": "too deep"}]))
+    (tmp_path / "tmp" / "other.json").write_text(json.dumps(elements))
     got = logs.read_array_logs(spark, [str(tmp_path)]).collect()
-    assert [(r.id, r.line_number) for r in got] == [("a", 0)]
+    assert sorted((r.id, r.line_number) for r in got) == [("a", 0)] * 3 + [("b", 5)] * 3
 
 
 def test_relabel_touches_planned_lines_and_rolls_back(spark):
@@ -68,6 +73,18 @@ def test_relabel_touches_planned_lines_and_rolls_back(spark):
     assert sorted(r.provider for r in edit.rollback_relabel(done, plan).collect()) == ["keep", "old"]
 
 
+def test_a_planned_line_that_has_vanished_is_refused(spark):
+    a = spark.createDataFrame([("f", 1, "old"), ("f", 2, "old")], "path string, line_number long, provider string")
+    plan = edit.plan_relabel(a, ["old"], "new")
+    records = spark.createDataFrame([("f", i, json.dumps({"type": "session_meta", "payload": {"model_provider": "old", "id": "s"}})) for i in (1, 2)], "file_path string, line_number long, raw string").withColumn("record", F.parse_json("raw"))
+    assert edit.relabel_records(records, plan).count() == 2
+    for changed in (edit.apply_relabel(a.where("line_number = 1"), plan), edit.relabel_records(records.where("line_number = 2"), plan), edit.apply_relabel(a.withColumn("provider", F.lit("third")), plan)):
+        with pytest.raises(Exception, match="stale plan"):
+            changed.select(changed.columns[0]).collect()
+    image = edit.before_image(records, plan).collect()
+    assert [(r.session_id, r.old, r.new, r.file_sha256, len(r.record_sha256)) for r in image] == [("s", "old", "new", None, 64)] * 2
+
+
 def test_entry_works_without_the_training_operators():
     import __spark_entry__ as e
 

@@ -85,12 +85,24 @@ def basename(c: Column) -> Column:
     return F.nullif(name, F.lit(""))
 
 
+def canonical_path(c: Column) -> Column:
+    """A path without scheme, doubled slashes and the parts `.` and `..`."""
+    parts = F.filter(F.split(F.regexp_replace(c, r"^[A-Za-z][A-Za-z0-9+.-]*:/+", "/"), r"[/\\\\]+"), lambda p: ~p.isin("", "."))
+    up = lambda done, p: F.when(p != "..", F.concat(done, F.array(p))).otherwise(F.slice(done, F.lit(1), F.greatest(F.size(done) - 1, F.lit(0))))
+    return F.concat(F.lit("/"), F.array_join(F.aggregate(parts, F.array().cast("array<string>"), up), "/"))
+
+
 def clip_bytes(c: Column, n: Column) -> Column:
     """As many whole characters as fit n bytes."""
     b = F.encode(c, "UTF-8")
     return F.coalesce(*(F.try_validate_utf8(F.substring(b, F.lit(1), F.greatest(n - i, F.lit(0))).cast("string")) for i in range(4)))
 
 
+def lossy_text(c: Column) -> Column:
+    """Bytes as text; what is no UTF-8 becomes replacement characters."""
+    return F.make_valid_utf8(c.cast("string"))
+
+
 def blank_to_null(c: Column) -> Column:
     return F.nullif(c, F.lit(""))
 

@@ -55,13 +55,30 @@ def plan_relabel(assignments: DataFrame, sources: list[str], target: str) -> Dat
     return assignments.where(F.col("provider").isin(sources)).select("path", "line_number", F.col("provider").alias("old"), F.lit(target).alias("new"))
 
 
+def _planned(rows: DataFrame, plan: DataFrame, at: list[str], now: Column) -> DataFrame:
+    """Rows with the plan's old and new. A planned line that isn't there, or has neither its old nor its new provider, fails
+    the job: the check is a filter, which no later selection prunes."""
+    j = rows.withColumn("_seen", F.lit(True)).join(plan, at, "full")
+    stale = F.col("new").isNotNull() & (F.col("_seen").isNull() | ~F.coalesce(now.isin(F.col("old"), F.col("new")), F.lit(False)))
+    return j.where(F.when(stale, F.raise_error(F.lit("stale plan")).cast("boolean")).otherwise(F.lit(True))).drop("_seen")
+
+
 def apply_relabel(assignments: DataFrame, plan: DataFrame) -> DataFrame:
-    """Planned lines get the new provider if they still have the old or already the new one; others fail the job."""
+    """Planned lines get the new provider if they still have the old or already the new one. Others, and planned lines that
+    are no longer there, fail the job."""
     at = ["path", "line_number"]
-    j = assignments.join(plan, at, "left")
-    stale = F.col("new").isNotNull() & ~F.col("provider").isin(F.col("old"), F.col("new"))
-    value = F.when(stale, F.raise_error(F.lit("stale plan")).cast("string")).otherwise(F.coalesce("new", "provider"))
-    return j.select(*at, value.alias("provider"))
+    return _planned(assignments, plan, at, F.col("provider")).select(*at, F.coalesce("new", "provider").alias("provider"))
+
+
+def before_image(records: DataFrame, plan: DataFrame, manifest: DataFrame | None = None) -> DataFrame:
+    """path, line_number, session_id, old, new, record_sha256 and file_sha256 of every planned line as it is before it is
+    changed. `records`: file_path, line_number, record. `manifest` (file_path, sha256) gives the files' hashes; null without."""
+    r = F.col("record")
+    now = records.select(F.col("file_path").alias("path"), "line_number", V.string_at(r, "$.payload.id").alias("session_id"), entry_fingerprint(r).alias("record_sha256"))
+    out = plan.join(now, ["path", "line_number"], "left")
+    files = manifest.select(F.col("file_path").alias("path"), F.col("sha256").alias("file_sha256")) if manifest is not None else None
+    out = out.join(files, "path", "left") if files is not None else out.withColumn("file_sha256", F.lit(None).cast("string"))
+    return out.select("path", "line_number", "session_id", "old", "new", "record_sha256", "file_sha256")
 
 
 def rollback_relabel(assignments: DataFrame, plan: DataFrame) -> DataFrame:
@@ -71,6 +88,13 @@ def rollback_relabel(assignments: DataFrame, plan: DataFrame) -> DataFrame:
     return j.select("path", "line_number", F.when(conflict, F.col("provider")).otherwise(F.coalesce("old", "provider")).alias("provider"), conflict.alias("conflict"))
 
 
+def message_key(identity: Column, role: str = "role", text: str = "text", ts: str = "timestamp", kind: str = "source_type", subtype: str = "source_subtype") -> Column:
+    """SHA-256 of what a message is, wherever its line moves: `identity`, what refers to it but for positions, as JSON; then
+    its role, text, time, type and subtype, each as JSON after a zero byte."""
+    fields = [F.concat(F.lit("\u0000"), V.json_or_null(F.col(c).cast("string").cast("variant"))) for c in (role, text, ts, kind, subtype)]
+    return F.sha2(F.concat(identity, *fields), 256)
+
+
 def drop_duplicate_prompts(artifacts: DataFrame, messages: DataFrame, *, session: str, prefix: int = 80, least: int = 16) -> DataFrame:
     """Artifacts that no message of the session repeats: by containing the first `prefix` characters, or, if those are
     fewer than `least`, by being equal."""
@@ -94,6 +118,21 @@ def redact_entries(docs: DataFrame, refs: DataFrame) -> tuple[DataFrame, DataFra
     return docs.join(gone, "file_path", "left").withColumn("record", F.when(F.col("_gone").isNull(), F.col("record")).otherwise(with_field(F.col("record"), "entries", F.to_variant_object(left)))).drop("_gone"), stale
 
 
+def redact_entry_rows(entries: DataFrame, refs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """As `redact_entries`, of entries that are rows (file_path, entry_index, entry): those left, and the stale references.
+    Nothing is gathered, whatever a session's size."""
+    key = ["file_path", "entry_index", "fingerprint"]
+    now = entries.withColumn("fingerprint", entry_fingerprint(F.col("entry")))
+    return now.join(refs.select(*key).distinct(), key, "left_anti").drop("fingerprint"), refs.join(now.select(*key), key, "left_anti")
+
+
+def redact_element_rows(elements: DataFrame, sessions: DataFrame) -> DataFrame:
+    """As `redact_array_logs`, of elements that are rows (file_path, line_number, record): those left. An element without a
+    session stays."""
+    own = V.string_at(F.col("record"), "$.sessionId")
+    return elements.withColumn("_id", own).join(sessions.select(F.col("id").alias("_id")).distinct(), "_id", "left_anti").drop("_id")
+
+
 def entry_fingerprint(v: Column) -> Column:
     """SHA-256 of a JSON value with its keys sorted: the same wherever the value moves."""
     return F.sha2(F.to_json(v), 256)
@@ -158,6 +197,12 @@ def relabel_providers(assignments: DataFrame, threads: DataFrame, sources: list[
     return provider_census(threads, assignments).select("provider", "threads", "jsonl", T.valid_provider(p).alias("valid"), candidate.alias("candidate"), p.isin(sources).alias("selected"))
 
 
+def relabel_mappings(assignments: DataFrame, threads: DataFrame, sources: list[str], target: str) -> DataFrame:
+    """source, target, threads, jsonl, selected of every provider that may be relabelled or is asked for."""
+    p = relabel_providers(assignments, threads, sources, target).where("candidate OR selected")
+    return p.select(F.col("provider").alias("source"), F.lit(target).alias("target"), "threads", "jsonl", "selected")
+
+
 def plan_fingerprint(assignments: DataFrame, threads: DataFrame, sources: list[str], target: str) -> DataFrame:
     """plan_id (one row): changes when the request, an assignment or a thread does. Rows are hashed where they lie and
     added up, so their order doesn't matter and nothing is gathered."""
@@ -175,7 +220,8 @@ def row_hash(*columns: str) -> Column:
 
 def preview_relabel(assignments: DataFrame, threads: DataFrame, sources: list[str], target: str) -> DataFrame:
     """What a plan would do, in one row: candidates, files_scanned, files_to_change, replacements, thread_matches,
-    blockers (codes, joined by commas), can_apply, has_changes, selection_required, plan_id. Nothing is changed.
+    mappings (JSON: source, target, threads and jsonl of each source asked for), blockers and warnings (codes, joined by
+    commas), can_apply, has_changes, selection_required, plan_id. Nothing is changed.
     """
     eligible = bool(re.fullmatch(r"[A-Za-z0-9_.:-]{1,128}", target)) and target not in BUILTIN
     chosen = sources if eligible else []
@@ -185,6 +231,9 @@ def preview_relabel(assignments: DataFrame, threads: DataFrame, sources: list[st
     files = assignments.groupBy("path").agg(F.count_if(hit).alias("n"))
     a = files.agg(F.count(F.lit(1)).alias("files_scanned"), F.count_if(F.col("n") > 0).alias("files_to_change"), F.coalesce(F.sum("n"), F.lit(0)).alias("replacements"))
     t = threads.agg(F.count_if(hit).alias("thread_matches"))
+    each = F.struct(p["provider"].alias("source"), F.lit(target).alias("target"), "threads", "jsonl")
+    m = p.where("selected").agg(F.to_json(F.array_sort(F.collect_list(each))).alias("mappings"))  # no more than are asked for
+    t = t.crossJoin(F.broadcast(m)).crossJoin(F.broadcast(threads.limit(1).agg((F.count(F.lit(1)) == 0).alias("_no_threads"))))
     one = of.crossJoin(F.broadcast(a)).crossJoin(F.broadcast(t)).crossJoin(F.broadcast(plan_fingerprint(assignments, threads, chosen, target)))  # one row each
     if not eligible:
         one = one.withColumn("candidates", F.lit(0).cast("long"))
@@ -193,12 +242,19 @@ def preview_relabel(assignments: DataFrame, threads: DataFrame, sources: list[st
         ",", F.when(F.lit(not eligible), "active_provider_unsuitable"), F.when(F.col("invalid") > 0, "invalid_provider_id"),
         F.when(F.col("found") < len(set(chosen)), "source_provider_not_found"), F.when(choose, "source_provider_selection_required"),
     )
+    warnings = F.concat_ws(",", F.when(F.lit(eligible), "current_provider_only"), F.when(F.col("_no_threads"), "codex_state_db_missing"))
     return one.select(
-        "candidates", "files_scanned", "files_to_change", "replacements", "thread_matches", blockers.alias("blockers"), (blockers == "").alias("can_apply"),
+        "candidates", "files_scanned", "files_to_change", "replacements", "thread_matches", "mappings", blockers.alias("blockers"), warnings.alias("warnings"), (blockers == "").alias("can_apply"),
         (F.col("replacements") + F.col("thread_matches") > 0).alias("has_changes"), choose.alias("selection_required"), "plan_id",
     )
 
 
+def plan_holds(plan: DataFrame, assignments: DataFrame, threads: DataFrame, sources: list[str], target: str) -> DataFrame:
+    """holds (one row): whether the assignments, threads and choices still give the plan's plan_id (one row)."""
+    now = plan_fingerprint(assignments, threads, sources, target).select(F.col("plan_id").alias("_now"))
+    return plan.select("plan_id").crossJoin(F.broadcast(now)).select((F.col("plan_id") == F.col("_now")).alias("holds"))  # one row each
+
+
 def check_plan(plan_id: str, assignments: DataFrame, threads: DataFrame, sources: list[str], target: str) -> None:
     """Refuse a plan that was made from other assignments, threads or choices."""
     if plan_fingerprint(assignments, threads, sources, target).first()[0] != plan_id:
@@ -208,14 +264,12 @@ def check_plan(plan_id: str, assignments: DataFrame, threads: DataFrame, sources
 def relabel_records(records: DataFrame, plan: DataFrame) -> DataFrame:
     """Records (file_path, line_number, record) with payload.model_provider set on the planned lines, all else as it was.
 
-    A planned line that has neither its old nor its new provider fails the job.
+    A planned line that has neither its old nor its new provider, or isn't there, fails the job.
     """
-    j = records.join(plan.select(F.col("path").alias("file_path"), "line_number", "old", "new"), ["file_path", "line_number"], "left")
     now = V.string_at(F.col("record"), "$.payload.model_provider")
-    stale = F.col("new").isNotNull() & ~F.coalesce(now.isin(F.col("old"), F.col("new")), F.lit(False))
-    new = F.when(stale, F.raise_error(F.lit("stale plan")).cast("string")).otherwise(F.col("new"))
+    j = _planned(records, plan.select(F.col("path").alias("file_path"), "line_number", "old", "new"), ["file_path", "line_number"], now)
     fields = F.try_variant_get("record", "$", "map<string,variant>")
-    payload = F.create_map(F.lit("payload"), with_field(V.at(F.col("record"), "$.payload"), "model_provider", new.cast("variant")))
+    payload = F.create_map(F.lit("payload"), with_field(V.at(F.col("record"), "$.payload"), "model_provider", F.col("new").cast("variant")))
     changed = F.to_variant_object(F.map_concat(F.map_filter(fields, lambda k, _: k != "payload"), payload))
     return j.withColumn("record", F.when(F.col("new").isNotNull(), changed).otherwise(F.col("record"))).drop("old", "new")
 

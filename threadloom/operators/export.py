@@ -20,11 +20,25 @@ def _parts(messages: DataFrame, m: Columns, keep: list[str], most: int, max_char
     return shown.groupBy(m.session).agg(F.transform(items, lambda x: x["v"]).alias("messages"), F.first("omitted").alias("omitted"))
 
 
-def export_json(messages: DataFrame, m: Columns, *, most: int = 800, max_chars: int = 20_000) -> DataFrame:
-    """session, json: its messages (internal columns left out) and how many are omitted between head and tail."""
-    keep = [c for c in messages.columns if c not in (*INTERNAL, m.session)]
-    out = _parts(messages, m, keep, most, max_chars)
-    return out.select(m.session, F.to_json(F.struct(F.col(m.session).alias("session"), "messages", "omitted")).alias("json"))
+def export_json(messages: DataFrame, m: Columns, *, summaries: DataFrame | None = None, events: DataFrame | None = None, most: int = 800, max_chars: int = 20_000, most_events: int = 1200) -> DataFrame:
+    """session, json: its summary, its messages (internal columns left out), how many are omitted between head and tail, and
+    its events with how many of them are omitted.
+
+    `summaries` and `events` have m.session, events m.order too; a session that lacks either has null there, and without
+    them it's left out. A session has at most `most` messages and `most_events` events, so what a row gathers is bounded.
+    """
+    own = lambda df: [c for c in df.columns if c not in (*INTERNAL, m.session)]
+    out = _parts(messages, m, own(messages), most, max_chars)
+    names = ["messages", "omitted"]
+    if events is not None:
+        shown = head_tail(events, m, most_events)
+        items = F.sort_array(F.collect_list(F.struct("ord", F.struct(*own(events)).alias("v"))))
+        gathered = shown.groupBy(m.session).agg(F.transform(items, lambda x: x["v"]).alias("raw_events"), F.first("omitted").alias("events_omitted"))
+        out, names = out.join(gathered, m.session, "full"), [*names, "raw_events", "events_omitted"]
+    if summaries is not None:
+        about = summaries.select(m.session, F.struct(*own(summaries)).alias("summary"))
+        out, names = about.join(out, m.session, "left"), ["summary", *names]
+    return out.select(m.session, F.to_json(F.struct(F.col(m.session).alias("session"), *names)).alias("json"))
 
 
 def export_markdown(messages: DataFrame, m: Columns, *, most: int = 800, max_chars: int = 20_000) -> DataFrame:

@@ -39,9 +39,19 @@ def resolve_tool_names(df: DataFrame, session: str, call_id: str, order: list[st
 
 
 def number_lines(df: DataFrame) -> DataFrame:
-    """line_number in each file of a text scan, whose splits come in order of their start."""
-    w = Window.partitionBy("file_path").orderBy("block_start", "_id")
-    return df.withColumn("_id", F.monotonically_increasing_id()).withColumn("line_number", F.row_number().over(w).cast("long")).drop("_id")
+    """line_number in each file of a text scan (file_path, block_start and what else it has), whose splits come in order of
+    their start.
+
+    Lines of a split are counted first, and the counts summed up by file: one row for each split. Then every line has its
+    place in the split, where it lies, and the split's first number. No file is ever sorted in one task. The scan is read
+    twice, and the same both times; `df` must be a scan with nothing but selections above it.
+    """
+    at = ["file_path", "block_start"]
+    placed = df.withColumn("_id", F.monotonically_increasing_id())
+    splits = placed.groupBy(*at).agg(F.min("_id").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.partitionBy("file_path").orderBy("block_start").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    shifts = splits.select(*at, (before + 1 - F.col("_first")).alias("_shift"))
+    return placed.join(shifts, at).withColumn("line_number", F.col("_id") + F.col("_shift")).select(*df.columns, "line_number")
 
 
 def day_groups(df: DataFrame, day: Column, today: str) -> DataFrame:
@@ -69,15 +79,34 @@ def search_document(df: DataFrame, m: Columns, cap: int) -> DataFrame:
     return kept.groupBy(m.session).agg(F.array_join(F.transform(lines, lambda x: F.concat(x["value"], F.lit("\n"))), "").alias("document"))
 
 
+def whole_search_document(summaries: DataFrame, bodies: DataFrame, head: Column, cap: int) -> DataFrame:
+    """session_key, document: the head of a summary, then what the cap in bytes leaves of its body (session_key, document:
+    `search_document` of messages that aren't context), and a newline. A head that fills the cap stays whole, alone."""
+    room = F.lit(cap) - F.octet_length("_head")
+    joined = summaries.select("session_key", head.alias("_head")).join(bodies, "session_key", "left")
+    body = F.concat(T.clip_bytes(F.coalesce("document", F.lit("")), room.cast("int")), F.lit("\n"))
+    return joined.select("session_key", F.when(room > 0, F.concat("_head", body)).otherwise(F.col("_head")).alias("document"))
+
+
 def summarize(df: DataFrame, m: Columns, title_chars: int = 80) -> DataFrame:
-    """One row per session: counts, counts by role, title (first user text) and preview (first assistant text)."""
+    """One row per session: counts, counts by role, title (first user text), preview (first assistant text) and first_user."""
     order = F.struct(*m.order)
     filled = T.squeeze(F.col(m.text)) != ""
     first = lambda role: F.min_by(F.when(filled & (F.col(m.role) == role), F.col(m.text)), F.when(filled & (F.col(m.role) == role), order))
     roles = {r: F.count_if(F.col(m.role) == r).alias(f"{r}_count") for r in ("user", "assistant", "system", "tool")}
     out = df.groupBy(m.session).agg(F.count(F.lit(1)).alias("message_count"), *roles.values(), first("user").alias("_t"), first("assistant").alias("_p"), F.min_by(m.text, order).alias("_f"))
     title = T.compact_title(F.coalesce("_t", F.lit("")), title_chars)
-    return out.withColumn("title", F.coalesce(T.blank_to_null(title), F.col(m.session).cast("string"))).withColumn("preview", T.compact(F.coalesce("_p", "_f", F.lit("")), 160)).drop("_t", "_p", "_f")
+    return out.withColumn("title", F.coalesce(T.blank_to_null(title), F.col(m.session).cast("string"))).withColumn("preview", T.compact(F.coalesce("_p", "_f", F.lit("")), 160)).withColumn("first_user", F.col("_t")).drop("_t", "_p", "_f")
+
+
+def role_histogram(df: DataFrame, m: Columns) -> DataFrame:
+    return df.groupBy(m.session, m.role).agg(F.count(F.lit(1)).alias("n"))
+
+
+def first_and_last(df: DataFrame, session: str, order: list[str], value: str) -> DataFrame:
+    """session, lowest (the least value), first and last (the values at either end of the order)."""
+    o = F.struct(*order)
+    return df.groupBy(session).agg(F.min(value).alias("lowest"), F.min_by(value, o).alias("first"), F.max_by(value, o).alias("last"))
 
 
 def merge_partials(df: DataFrame, session: str, file: str, ts: str, value: str) -> DataFrame:

@@ -9,21 +9,26 @@ from threadloom.functions import text as T
 from threadloom.schemas import Columns
 
 
-def filter_sessions(df: DataFrame, *, provider: str = "", source_kind: str = "", cwd: str = "", date: str = "", day: Column | None = None, show_archived: bool = False, show_hidden: bool = False, names: dict[str, str] | None = None) -> DataFrame:
-    """Equality filters (empty: none), a day prefix, and archived or hidden sessions left out unless asked for."""
+def filter_sessions(df: DataFrame, *, provider: str = "", source_kind: str = "", cwd: str = "", date: str = "", day: Column | None = None, show_archived: bool | str = False, show_hidden: bool | str = False, names: dict[str, str] | None = None) -> DataFrame:
+    """Equality filters (empty: none), a day prefix, and archived or hidden sessions left out unless asked for, by True or
+    as a request says it: `1` or `true`, nothing else. A null flag is none; a null day fails a day filter."""
     n = {"provider": "model_provider", "source_kind": "source_kind", "cwd": "cwd"} | (names or {})
     for want, column in ((provider, n["provider"]), (source_kind, n["source_kind"]), (cwd, n["cwd"])):
         if want:
             df = df.where(F.col(column) == want)
     if date:
         df = df.where(F.startswith(T.local_day(F.col("timestamp")) if day is None else day, F.lit(date)))
-    if not show_archived and "archived" in df.columns:
-        df = df.where(~F.col("archived"))
-    if not show_hidden and "hidden" in df.columns:
-        df = df.where(~F.col("hidden"))
+    for show, column in ((show_archived, "archived"), (show_hidden, "hidden")):
+        if not flag(show) and column in df.columns:
+            df = df.where(~F.coalesce(column, F.lit(False)))
     return df
 
 
+def flag(value: bool | str | None) -> bool:
+    """Whether a request's value turns something on."""
+    return value in (True, "1", "true")
+
+
 def search(df: DataFrame, query: str, *, text: str = "search_text", with_snippet: bool = True) -> DataFrame:
     """Rows that contain every term of the query, whatever its case."""
     if not T.terms(query):
@@ -99,6 +104,13 @@ def first_root_wins(df: DataFrame, key: list[str], rank: list[str]) -> DataFrame
     return one.select(*key, "_r.*").select(*df.columns)
 
 
+def first_root_of_file(files: DataFrame, *, path: str = "file_path", rank: str = "root_rank") -> DataFrame:
+    """Files each once: of rows whose paths are the same place, the one of the first root. A path is compared without its
+    scheme, doubled slashes and `.` or `..`; links aren't followed."""
+    one = first_root_wins(files.withColumn("_place", T.canonical_path(F.col(path))), ["_place"], [rank, path])
+    return one.drop("_place")
+
+
 def count_by(df: DataFrame, label: str, n: int | None = None) -> DataFrame:
     """label, count: most first, ties by label; empty labels don't count."""
     out = df.where(F.col(label).isNotNull() & (F.col(label).cast("string") != "")).groupBy(F.col(label).alias("label")).agg(F.count(F.lit(1)).alias("count"))
@@ -117,9 +129,15 @@ def projects(df: DataFrame, cwd: str, ts: str, provider: str) -> DataFrame:
 
 
 def stats_totals(df: DataFrame, events: Column, day: Column) -> DataFrame:
-    """sessions, events, active_days and sessions per active day (0 without any)."""
+    """sessions, events, active_days and per_day, sessions per active day with one decimal (ties to even; 0 without any)."""
     out = df.select(events.alias("e"), day.alias("d")).agg(F.count(F.lit(1)).alias("sessions"), F.coalesce(F.sum("e"), F.lit(0)).alias("events"), F.countDistinct("d").alias("active_days"))
-    return out.withColumn("per_day", F.coalesce(F.try_divide("sessions", "active_days"), F.lit(0.0)))
+    mean = F.format_string("%.1f", F.bround(F.col("sessions") / F.col("active_days"), 1))
+    return out.withColumn("per_day", F.when(F.col("active_days") == 0, "0").otherwise(mean))
+
+
+def count_by_day(df: DataFrame, day: Column) -> DataFrame:
+    """day, n of every day; rows without one don't count."""
+    return df.where(day.isNotNull()).groupBy(day.alias("day")).agg(F.count(F.lit(1)).alias("n"))
 
 
 def share_of(counts: DataFrame, n: int = 6) -> DataFrame:

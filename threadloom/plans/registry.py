@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from threadloom.functions import text as T
-from threadloom.operators import edit, export, ordered, query
+from threadloom.operators import edit, export, normalize, ordered, query
 from threadloom.schemas import Columns
 from threadloom.streaming import refresh
 
@@ -38,21 +38,19 @@ SELECT conv_id, count(*) AS message_count, count(*) FILTER (role = 'user') AS us
  count(*) FILTER (role = 'system') AS system_count, count(*) FILTER (role = 'tool') AS tool_count,
  md5(coalesce(arg_min(text, turn) FILTER (ok AND role = 'user'), '')) AS first_user_md5 FROM f GROUP BY conv_id""")
 def session_summary(spark, sf_dir):
-    conv = _t(spark, sf_dir, "conversations")
-    out = ordered.summarize(conv, CONV)
-    first = conv.where((F.col("role") == "user") & (F.trim("text") != "")).groupBy("conv_id").agg(F.min_by("text", "turn").alias("u"))
-    return out.join(first, "conv_id", "left").select("conv_id", "message_count", "user_count", "assistant_count", "system_count", "tool_count", F.md5(F.coalesce("u", F.lit(""))).alias("first_user_md5"))
+    out = ordered.summarize(_t(spark, sf_dir, "conversations"), CONV)
+    return out.select("conv_id", "message_count", "user_count", "assistant_count", "system_count", "tool_count", F.md5(F.coalesce("first_user", F.lit(""))).alias("first_user_md5"))
 
 
 @says("SELECT conv_id, role, count(*) AS n FROM conversations GROUP BY ALL")
 def role_histogram(spark, sf_dir):
-    return _t(spark, sf_dir, "conversations").groupBy("conv_id", "role").agg(F.count(F.lit(1)).alias("n"))
+    return ordered.role_histogram(_t(spark, sf_dir, "conversations"), CONV)
 
 
 @says("SELECT user_id, min(event_id) AS lowest, arg_min(event_id, (ts, event_id)) AS first_event, arg_max(event_id, (ts, event_id)) AS last_event FROM events GROUP BY user_id")
 def session_first_last(spark, sf_dir):
-    o = F.struct("ts", "event_id")
-    return _t(spark, sf_dir, "events").groupBy("user_id").agg(F.min("event_id").alias("lowest"), F.min_by("event_id", o).alias("first_event"), F.max_by("event_id", o).alias("last_event"))
+    out = ordered.first_and_last(_t(spark, sf_dir, "events"), "user_id", ["ts", "event_id"], "event_id")
+    return out.select("user_id", "lowest", F.col("first").alias("first_event"), F.col("last").alias("last_event"))
 
 
 @says("SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderpriority = '1-URGENT' ORDER BY o_totalprice DESC, o_orderkey LIMIT 50")
@@ -111,14 +109,14 @@ def projects(spark, sf_dir):
     return query.projects(_t(spark, sf_dir, "orders"), "o_custkey", "o_orderdate", "o_orderpriority").withColumn("last", _day("last"))
 
 
-@says("SELECT count(*) AS sessions, coalesce(sum(CAST(json_extract(props, '$.k') AS BIGINT)), 0)::BIGINT AS events, count(DISTINCT strftime(ts, '%Y-%m-%d')) AS active_days, count(*)::DOUBLE / count(DISTINCT strftime(ts, '%Y-%m-%d')) AS per_day FROM events")
+@says("SELECT count(*) AS sessions, coalesce(sum(CAST(json_extract(props, '$.k') AS BIGINT)), 0)::BIGINT AS events, count(DISTINCT strftime(ts, '%Y-%m-%d')) AS active_days, printf('%.1f', count(*)::DOUBLE / count(DISTINCT strftime(ts, '%Y-%m-%d'))) AS per_day FROM events")
 def stats_totals(spark, sf_dir):
     return query.stats_totals(_t(spark, sf_dir, "events"), F.get_json_object("props", "$.k").cast("long"), _day())
 
 
 @says("SELECT strftime(ts, '%Y-%m-%d') AS day, count(*) AS n FROM events GROUP BY 1")
 def count_by_day(spark, sf_dir):
-    return _t(spark, sf_dir, "events").groupBy(_day().alias("day")).agg(F.count(F.lit(1)).alias("n"))
+    return query.count_by_day(_t(spark, sf_dir, "events"), _day())
 
 
 @says("SELECT o_custkey AS label, count(*) AS count FROM orders GROUP BY 1 ORDER BY count DESC, label LIMIT 16")
@@ -177,12 +175,17 @@ def event_payload(spark, sf_dir):
 
 @says("SELECT doc_id, md5(left(text, 20000)) AS text_md5, length(text) > 20000 AS truncated, length(text) AS original_chars FROM documents")
 def truncate_text(spark, sf_dir):
-    return _t(spark, sf_dir, "documents").select("doc_id", F.md5(F.left("text", F.lit(20000))).alias("text_md5"), (F.length("text") > 20000).alias("truncated"), F.length("text").cast("long").alias("original_chars"))
+    docs = _t(spark, sf_dir, "documents")
+    out = normalize.truncate_messages(docs.withColumn("_n", F.length("text").cast("long")), 20_000)
+    return out.select("doc_id", F.md5("text").alias("text_md5"), F.col("text_truncated").alias("truncated"), F.coalesce("original_text_chars", "_n").alias("original_chars"))
 
 
-@says("SELECT conv_id, turn, sha256(conv_id || chr(0) || role || chr(0) || text) AS message_key FROM conversations")
+@says("""SELECT conv_id, turn, sha256('{"kind":"jsonl","session":"' || conv_id || '"}' || chr(0) || to_json(role) || chr(0) || to_json(text) || chr(0) || CASE WHEN turn % 2 = 0 THEN 'null' ELSE '"t' || turn || '"' END || chr(0) || '"message"' || chr(0) || '"text"') AS message_key FROM conversations""")
 def message_key(spark, sf_dir):
-    return _t(spark, sf_dir, "conversations").select("conv_id", "turn", edit.fingerprint("conv_id", "role", "text").alias("message_key"))
+    """Keys of turns as messages, every second one without a time."""
+    c = _t(spark, sf_dir, "conversations").withColumns({"timestamp": F.when(F.col("turn") % 2 == 1, F.concat(F.lit("t"), F.col("turn").cast("string"))), "source_type": F.lit("message"), "source_subtype": F.lit("text")})
+    identity = F.to_json(F.struct(F.lit("jsonl").alias("kind"), F.col("conv_id").cast("string").alias("session")))
+    return c.select("conv_id", "turn", edit.message_key(identity).alias("message_key"))
 
 
 @says("""SELECT provider, coalesce(a.n, 0) AS threads, coalesce(b.n, 0) AS jsonl FROM (SELECT c_mktsegment AS provider, count(*) AS n FROM customer GROUP BY 1) a
@@ -222,12 +225,13 @@ def redact_cascade(spark, sf_dir):
     return edit.redact_cascade(ev, ev.where("event_type = 'signup' AND value > 50"), "user_id", "event_id", "k").select("event_id")
 
 
-@says("SELECT o_orderkey, o_totalprice, o_orderstatus = 'F' AS fresh FROM orders WHERE o_orderstatus <> 'P'")
+@says("SELECT o_orderkey, o_totalprice, o_orderstatus = 'F' OR o_orderpriority = '5-LOW' AS fresh FROM orders WHERE o_orderstatus <> 'P'")
 def incremental_refresh(spark, sf_dir):
-    """The index holds all orders but those of status F, which count as changed; status P has vanished."""
-    o = _t(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice", "o_orderstatus")
+    """The index holds all orders but those of status F, which count as changed; status P has vanished; an older parser
+    read those of priority 5-LOW."""
+    o = _t(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice", "o_orderstatus", F.when(F.col("o_orderpriority") == "5-LOW", 1).otherwise(2).alias("parser_version"))
     index = o.where("o_orderstatus <> 'F'").withColumn("fresh", F.lit(False))
-    fresh, reusable = refresh.reuse_index(o.where("o_orderstatus <> 'P'"), index, ["o_orderkey", "o_totalprice", "o_orderstatus"])
+    fresh, reusable = refresh.reuse_index(o.where("o_orderstatus <> 'P'"), index, ["o_orderkey", "o_totalprice", "o_orderstatus"], parser_version=2)
     return refresh.upsert_index(reusable, fresh.withColumn("fresh", F.lit(True))).select("o_orderkey", "o_totalprice", "fresh")
 
 
@@ -251,7 +255,9 @@ def markdown_text(spark, sf_dir):
     return _t(spark, sf_dir, "documents").select("doc_id", T.compact(T.markdown_plain_text(F.col("text")), 200).alias("plain"))
 
 
-@says("SELECT conv_id, string_agg('## ' || role || chr(10) || chr(10) || text || chr(10) || chr(10), '' ORDER BY turn) AS markdown FROM conversations GROUP BY conv_id")
+@says("""WITH o AS (SELECT conv_id, '## ' || role || chr(10) || chr(10) || left(text, 20000) || chr(10) || chr(10) AS part, row_number() OVER w AS ord, count(*) OVER (PARTITION BY conv_id) AS total FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)),
+ k AS (SELECT conv_id, ord::DOUBLE AS ord, part FROM o WHERE ord <= 400 OR ord > total - 400 UNION ALL SELECT DISTINCT conv_id, 400.5, '_' || total - 800 || ' messages left out_' || chr(10) || chr(10) FROM o WHERE total > 800)
+SELECT conv_id, string_agg(part, '' ORDER BY ord) AS markdown FROM k GROUP BY conv_id""")
 def export_markdown(spark, sf_dir):
     """One Markdown text per conversation: a heading for each role and its text, in turn."""
     return export.export_markdown(_t(spark, sf_dir, "conversations"), CONV)

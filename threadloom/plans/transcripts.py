@@ -94,13 +94,14 @@ def artifact_fingerprint(spark, sf_dir):
     return refresh.artifact_hint_fingerprint(logs.artifact_messages(artifact_files(spark, sf_dir)))
 
 
-@says("""SELECT a.conv_id, a.turn FROM (SELECT conv_id, turn, CASE WHEN turn % 4 = 0 THEN left(text, 90) ELSE left(text, 90) || '!' END AS text FROM conversations WHERE turn % 2 = 0) a
-WHERE NOT EXISTS (SELECT 1 FROM conversations m WHERE m.conv_id = a.conv_id AND m.turn % 4 <> 0 AND CASE WHEN length(left(a.text, 80)) < 16 THEN a.text = m.text ELSE contains(m.text, left(a.text, 80)) END)""")
+@says("""SELECT a.conv_id, a.turn FROM (SELECT conv_id, turn, CASE WHEN turn % 2 = 0 THEN text ELSE turn || ': ' || text END AS text FROM conversations) a
+WHERE NOT EXISTS (SELECT 1 FROM conversations m WHERE m.conv_id = a.conv_id AND CASE WHEN length(left(a.text, 80)) < 16 THEN a.text = m.text ELSE contains(m.text, left(a.text, 80)) END)""")
 def prefix_dedupe(spark, sf_dir):
+    """Every turn is an artifact too, every second one with another beginning."""
     c = _t(spark, sf_dir, "conversations")
-    cut = F.left("text", F.lit(90))
-    asks = c.where("turn % 2 = 0").select("conv_id", "turn", F.when(F.col("turn") % 4 == 0, cut).otherwise(F.concat(cut, F.lit("!"))).alias("text"))
-    return edit.drop_duplicate_prompts(asks, c.where("turn % 4 <> 0"), session="conv_id").select("conv_id", "turn")
+    other = F.concat(F.col("turn").cast("string"), F.lit(": "), F.col("text"))
+    asks = c.select("conv_id", "turn", F.when(F.col("turn") % 2 == 0, F.col("text")).otherwise(other).alias("text"))
+    return edit.drop_duplicate_prompts(asks, c, session="conv_id").select("conv_id", "turn")
 
 
 @says("SELECT conv_id, turn FROM (SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS n FROM conversations WHERE turn <> conv_id % 5 + 1) WHERE n = turn")
@@ -163,7 +164,8 @@ def relabel_providers(spark, sf_dir):
 
 @says(_RELABEL + """, f AS (SELECT path, count(*) FILTER (provider IN ('LOW', 'HIGH')) AS n FROM a GROUP BY path)
 SELECT (SELECT count(*) FROM p WHERE valid AND provider <> 'URGENT') AS candidates, count(*) AS files_scanned, count(*) FILTER (n > 0) AS files_to_change, sum(n)::BIGINT AS replacements,
- (SELECT count(*) FROM t WHERE provider IN ('LOW', 'HIGH')) AS thread_matches, CASE WHEN (SELECT bool_and(valid) FROM p) THEN '' ELSE 'invalid_provider_id' END AS blockers, (SELECT bool_and(valid) FROM p) AS can_apply, sum(n) > 0 AS has_changes, false AS selection_required,
+ (SELECT count(*) FROM t WHERE provider IN ('LOW', 'HIGH')) AS thread_matches, (SELECT '[' || string_agg('{"source":"' || provider || '","target":"URGENT","threads":' || threads || ',"jsonl":' || jsonl || '}', ',' ORDER BY provider) || ']' FROM p WHERE selected) AS mappings,
+ 'current_provider_only' AS warnings, CASE WHEN (SELECT bool_and(valid) FROM p) THEN '' ELSE 'invalid_provider_id' END AS blockers, (SELECT bool_and(valid) FROM p) AS can_apply, sum(n) > 0 AS has_changes, false AS selection_required,
  sha256('URGENT|HIGH|LOW|' || (SELECT count(*) || ':' || sum(('0x' || substr(md5(path || chr(0) || line_number || chr(0) || provider), 1, 12))::BIGINT)::VARCHAR FROM a)
   || '|' || (SELECT count(*) || ':' || sum(('0x' || substr(md5(id || chr(0) || provider), 1, 12))::BIGINT)::VARCHAR FROM t)) AS plan_id FROM f""")
 def relabel_preview(spark, sf_dir):
@@ -192,25 +194,30 @@ def relabel_left(spark, sf_dir):
     return edit.verify_relabel(*_relabel(spark, sf_dir), ["LOW", "BUILDING"])
 
 
-@says("SELECT conv_id, count(*) AS entries, md5(string_agg(text, '|' ORDER BY turn)) AS text_md5 FROM conversations WHERE turn % 3 <> 1 GROUP BY conv_id")
+@says("SELECT conv_id, count(*) AS entries, sum(('0x' || substr(md5(turn || ':' || text), 1, 12))::BIGINT)::VARCHAR AS text_hash FROM conversations WHERE turn % 3 <> 1 GROUP BY conv_id")
 def redact_entries(spark, sf_dir):
-    """Conversations as session documents; the entries of every third turn go, by place and fingerprint."""
+    """Turns as entries of session documents; those of every third turn go, by place and fingerprint."""
     c = _t(spark, sf_dir, "conversations")
-    each = F.sort_array(F.collect_list(F.struct("turn", "text")))
-    docs = c.groupBy(F.col("conv_id").alias("file_path")).agg(F.parse_json(F.to_json(F.struct(each.alias("entries")))).alias("record"))
-    entries = docs.select("file_path", F.posexplode(F.try_variant_get("record", "$.entries", "array<variant>")).alias("entry_index", "e"))
-    refs = entries.where(F.try_variant_get("e", "$.turn", "long") % 3 == 1).select("file_path", "entry_index", edit.entry_fingerprint(F.col("e")).alias("fingerprint"))
-    left = F.try_variant_get("record", "$.entries", "array<struct<turn long, text string>>")
-    kept, _ = edit.redact_entries(docs, refs)
-    return kept.where(F.size(left) > 0).select(F.col("file_path").alias("conv_id"), F.size(left).cast("long").alias("entries"), F.md5(F.array_join(F.transform(left, lambda e: e["text"]), "|")).alias("text_md5"))
+    entries = c.select(F.col("conv_id").alias("file_path"), F.col("turn").alias("entry_index"), F.parse_json(F.to_json(F.struct("turn", "text"))).alias("entry"))
+    mark = F.when(F.col("entry_index") % 3 == 1, edit.entry_fingerprint(F.col("entry"))).otherwise("stale")
+    kept, _ = edit.redact_entry_rows(entries, entries.select("file_path", "entry_index", mark.alias("fingerprint")))
+    own = kept.select(F.col("file_path").alias("conv_id"), F.concat(F.col("entry_index").cast("string"), F.lit(":"), V.string_at(F.col("entry"), "$.text")).alias("t"))
+    return own.groupBy("conv_id").agg(F.count(F.lit(1)).alias("entries"), F.sum(edit.row_hash("t")).cast("string").alias("text_hash"))
 
 
-@says("SELECT conv_id, count(*) AS messages, md5(string_agg(role || ':' || text, '|' ORDER BY turn)) AS text_md5 FROM conversations GROUP BY conv_id")
+@says("""WITH o AS (SELECT *, row_number() OVER w AS ord, count(*) OVER (PARTITION BY conv_id) AS total FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)),
+ m AS (SELECT conv_id, count(*) FILTER (ord <= 400 OR ord > total - 400) AS messages, md5(string_agg(role || ':' || left(text, 20000), '|' ORDER BY turn) FILTER (ord <= 400 OR ord > total - 400)) AS text_md5,
+  max(total) AS message_count, string_agg(turn::VARCHAR, ',' ORDER BY turn) FILTER (role = 'system' ) AS events FROM o GROUP BY conv_id)
+SELECT conv_id, messages, text_md5, message_count, coalesce(events, '') AS events FROM m""")
 def export_json(spark, sf_dir):
-    """Every conversation as one JSON document, read back."""
-    out = export.export_json(_t(spark, sf_dir, "conversations"), CONV)
-    m = F.from_json("json", "session long, messages array<struct<role string, text string>>")["messages"]
-    return out.select("conv_id", F.size(m).cast("long").alias("messages"), F.md5(F.array_join(F.transform(m, lambda x: F.concat(x["role"], F.lit(":"), x["text"])), "|")).alias("text_md5"))
+    """Every conversation as one JSON document, read back: its messages, its summary, and its system turns as events."""
+    c = _t(spark, sf_dir, "conversations")
+    about = ordered.summarize(c, CONV).select("conv_id", "message_count", "title")
+    out = export.export_json(c, CONV, summaries=about, events=c.where("role = 'system'").select("conv_id", "turn", F.lit("system").alias("type")))
+    d = F.from_json("json", "session long, messages array<struct<role string, text string>>, summary struct<message_count long>, raw_events array<struct<turn string>>")
+    text = F.array_join(F.transform(d["messages"], lambda x: F.concat(x["role"], F.lit(":"), x["text"])), "|")
+    events = F.array_join(F.transform(F.coalesce(d["raw_events"], F.array().cast("array<struct<turn string>>")), lambda x: x["turn"]), ",")
+    return out.select("conv_id", F.size(d["messages"]).cast("long").alias("messages"), F.md5(text).alias("text_md5"), d["summary"]["message_count"].alias("message_count"), events.alias("events"))
 
 
 @says("""SELECT '/c' || o_custkey || '/' || o_orderkey AS file_path, 'k' || o_orderkey AS session_key, o_orderkey % 7 = 3 AS fresh FROM orders WHERE o_custkey % 10 <> 0 OR o_orderkey % 7 = 3""")
@@ -314,16 +321,15 @@ def history_messages(spark, sf_dir):
     return logs.history_messages(*_documents_and_history(spark, sf_dir)).select("id", "line_number", "role", "text")
 
 
-@says("""SELECT conv_id // 3 AS file_path, count(*) FILTER (conv_id % 4 = 1) AS n_removed, count(*) FILTER (conv_id % 4 <> 1) AS n_left,
- md5(coalesce(string_agg(text, '|' ORDER BY conv_id, turn) FILTER (conv_id % 4 <> 1), '')) AS text_md5 FROM conversations GROUP BY 1""")
+@says("""SELECT conv_id // 3 AS file_path, count(*) AS n_left, sum(('0x' || substr(md5(text), 1, 12))::BIGINT)::VARCHAR AS text_hash FROM conversations WHERE conv_id % 4 <> 1 OR turn % 5 = 4 GROUP BY 1""")
 def redact_array_logs(spark, sf_dir):
-    """Three conversations to an array log; every fourth conversation goes."""
+    """Three conversations to an array log; every fourth conversation goes, but for turns that name no session."""
     c = _t(spark, sf_dir, "conversations")
-    each = F.sort_array(F.collect_list(F.struct("conv_id", "turn", F.col("conv_id").cast("string").alias("sessionId"), "text")))
-    files = c.groupBy(F.floor(F.col("conv_id") / 3).alias("file_path")).agg(F.parse_json(F.to_json(each)).alias("record"))
-    out = edit.redact_array_logs(files, c.where("conv_id % 4 = 1").select(F.col("conv_id").cast("string").alias("id")))
-    left = F.try_variant_get("record", "$", "array<struct<text string>>")
-    return out.select("file_path", "n_removed", F.size(left).cast("long").alias("n_left"), F.md5(F.array_join(F.transform(left, lambda e: e["text"]), "|")).alias("text_md5"))
+    own = F.when(F.col("turn") % 5 != 4, F.col("conv_id").cast("string")).alias("sessionId")
+    elements = c.select(F.floor(F.col("conv_id") / 3).alias("file_path"), F.col("turn").alias("line_number"), F.parse_json(F.to_json(F.struct(own, "text"))).alias("record"))
+    left = edit.redact_element_rows(elements, c.where("conv_id % 4 = 1").select(F.col("conv_id").cast("string").alias("id")))
+    text = left.select("file_path", V.string_at(F.col("record"), "$.text").alias("t"))
+    return text.groupBy("file_path").agg(F.count(F.lit(1)).alias("n_left"), F.sum(edit.row_hash("t")).cast("string").alias("text_hash"))
 
 
 @says("""SELECT conv_id::VARCHAR AS session, turn AS line_number FROM conversations c WHERE NOT (role = 'assistant' AND turn % 3 = 1)
@@ -360,11 +366,11 @@ def prune_missing(spark, sf_dir):
     return refresh.prune_missing(_t(spark, sf_dir, "orders"), there, "o_custkey").select("o_orderkey")
 
 
-@says("SELECT conv_id, turn, turn % 4 = 0 AS stale FROM conversations WHERE turn % 2 = 0")
+@says("SELECT conv_id, turn, turn % 4 = 0 AS stale FROM conversations")
 def stale_references(spark, sf_dir):
-    """References to even turns; of every fourth turn the text was another."""
+    """References to all turns; of every fourth turn the text was another."""
     c = _t(spark, sf_dir, "conversations")
-    refs = c.where("turn % 2 = 0").select("conv_id", "turn", F.when(F.col("turn") % 4 == 0, F.concat("text", F.lit("!"))).otherwise(F.col("text")).alias("text")).select("conv_id", "turn", edit.fingerprint("text").alias("fingerprint"))
+    refs = c.select("conv_id", "turn", F.when(F.col("turn") % 4 == 0, F.concat("text", F.lit("!"))).otherwise(F.col("text")).alias("text")).select("conv_id", "turn", edit.fingerprint("text").alias("fingerprint"))
     good, stale = edit.check_references(c, refs, ["conv_id", "turn"], edit.fingerprint("text"))
     return good.withColumn("stale", F.lit(False)).unionByName(stale.withColumn("stale", F.lit(True)))
 

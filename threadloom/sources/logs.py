@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,10 +16,10 @@ from threadloom.operators.ordered import contiguous_prefix, number_lines
 INFO = "Legacy Claude Code metadata; full project transcript is unavailable."
 
 
-def read_jsonl(spark: SparkSession, roots: list[str], kind: str, *, archived: bool = False) -> DataFrame:
-    """Every line of *.jsonl below the roots, numbered in its file; blank lines count but give no row. `record` is null
+def read_jsonl(spark: SparkSession, roots: list[str], kind: str, *, archived: bool = False, glob: str = "*.jsonl") -> DataFrame:
+    """Every line of the files below the roots whose name fits the glob, numbered in its file; blank lines count but give no row. `record` is null
     where a line is no JSON: `parse_errors` finds those."""
-    lines = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.jsonl").option("lineSep", "\n").text(roots)
+    lines = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", glob).option("lineSep", "\n").text(roots)
     raw = lines.select(F.col("_metadata.file_path").alias("file_path"), F.col("_metadata.file_block_start").alias("block_start"), F.col("_metadata.file_size").alias("file_size"), F.col("_metadata.file_modification_time").alias("file_mtime"), F.regexp_replace("value", "\r$", "").alias("raw"))
     numbered = number_lines(raw).drop("block_start").where(F.trim("raw") != "")
     return numbered.withColumn("record", F.try_parse_json("raw")).withColumn("source_kind", F.lit(kind)).withColumn("archived", F.lit(archived))
@@ -34,11 +36,22 @@ def read_documents(spark: SparkSession, roots: list[str], kind: str) -> DataFram
 
 
 def read_array_logs(spark: SparkSession, roots: list[str]) -> DataFrame:
-    """Elements of every logs.json, with their place; elements without sessionId are left out."""
-    files = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "logs.json").option("wholetext", "true").text(roots)
-    files.select(F.col("_metadata.file_path").alias("file_path"), F.try_parse_json("value").alias("doc")).createOrReplaceTempView("_array_logs")
-    out = spark.sql("SELECT file_path, e.pos AS line_number, e.value AS record FROM _array_logs, LATERAL variant_explode(doc) e")
-    return out.withColumn("id", F.try_variant_get("record", "$.sessionId", "string")).where("id IS NOT NULL")
+    """Elements of every logs.json below `<root>/tmp`, at most three levels deep, with their place (from 0). An element
+    without a sessionId, or whose sessionId is no string, is left out; so is a file that holds no array."""
+    path = F.col("_metadata.file_path")
+    tmp = [spark._jvm.org.apache.hadoop.fs.Path(f"{r.rstrip('/')}/tmp").toUri().getRawPath() for r in roots]
+    depth = f"({'|'.join(map(re.escape, tmp))})/([^/]+/){{0,2}}logs\\.json$"
+    files = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "logs.json").option("wholetext", "true").text([f"{r.rstrip('/')}/tmp" for r in roots])
+    near = files.where(path.rlike(depth))
+    return array_log_elements(near.select(path.alias("file_path"), F.try_parse_json("value").alias("record")))
+
+
+def array_log_elements(files: DataFrame) -> DataFrame:
+    """file_path, line_number, record, id of the elements of array logs (file_path, record) that name a session."""
+    arrays = files.where(V.is_kind(F.col("record"), "ARRAY")).select("file_path", F.col("record").alias("_array"))
+    each = arrays.lateralJoin(files.sparkSession.tvf.variant_explode(F.col("_array").outer()))
+    out = each.select("file_path", F.col("pos").cast("long").alias("line_number"), F.col("value").alias("record"))
+    return out.withColumn("id", V.string_at(F.col("record"), "$.sessionId")).where("id IS NOT NULL")
 
 
 def parse_errors(records: DataFrame) -> DataFrame:
@@ -49,6 +62,22 @@ def file_manifest(files: DataFrame) -> DataFrame:
     return files.select("file_path", "file_size", "file_mtime").distinct()
 
 
+def read_manifest(spark: SparkSession, roots: list[str], glob: str = "*", *, hashes: bool = False) -> DataFrame:
+    """file_path, file_size, file_mtime and sha256 of every file below the roots whose name fits the glob. Contents are read
+    for the hashes alone, which are null unless asked for. Empty files have no row: Spark's scans leave them out."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", glob).load(roots)
+    sha = F.sha2("content", 256) if hashes else F.lit(None).cast("string")
+    return files.select(F.col("path").alias("file_path"), F.col("length").alias("file_size"), F.col("modificationTime").alias("file_mtime"), sha.alias("sha256"))
+
+
+def choose_root(spark: SparkSession, root: str) -> str:
+    """`projects` below a root if that is a directory, else `sessions`."""
+    projects = f"{root.rstrip('/')}/projects"
+    path = spark._jvm.org.apache.hadoop.fs.Path(projects)
+    found = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    return projects if found.exists(path) and found.getFileStatus(path).isDirectory() else f"{root.rstrip('/')}/sessions"
+
+
 def read_history(spark: SparkSession, paths: list[str]) -> DataFrame:
     """file_path, line_number, id, timestamp, display, project, pasted_contents (JSON), parse_error of every line of the
     prompt history; a line that is no JSON, a blank one too, has nothing but its raw text and parse_error."""
@@ -140,8 +169,7 @@ def read_artifacts(spark: SparkSession, roots: list[str]) -> DataFrame:
     dirs = [f"{r.rstrip('/')}/antigravity/brain/*/*" for r in roots]
     files = spark.read.format("binaryFile").load(dirs)
     parts = F.split("path", "/")
-    text = F.make_valid_utf8(F.col("content").cast("string"))
-    return artifact_messages(files.select(F.element_at(parts, -2).alias("session"), F.element_at(parts, -1).alias("name"), text.alias("content")))
+    return artifact_messages(files.select(F.element_at(parts, -2).alias("session"), F.element_at(parts, -1).alias("name"), T.lossy_text(F.col("content")).alias("content")))
 
 
 def attach_sidecar(files: DataFrame) -> DataFrame:

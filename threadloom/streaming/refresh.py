@@ -10,8 +10,11 @@ from pyspark.sql import functions as F
 from threadloom.operators.edit import row_hash
 
 
-def reuse_index(manifest: DataFrame, index: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
-    """Manifest rows to read anew, and index rows that still hold: all of `keys` (path, size, time, …) are equal."""
+def reuse_index(manifest: DataFrame, index: DataFrame, keys: list[str], *, parser_version: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """Manifest rows to read anew, and index rows that still hold: all of `keys` (path, size, time, …) are equal. With a
+    parser_version, index rows of another one (a column of that name) don't hold: new rules mean a full rebuild."""
+    if parser_version is not None:
+        index = index.where(F.col("parser_version") == parser_version)
     return manifest.join(index.select(*keys), keys, "left_anti"), index.join(manifest.select(*keys), keys, "left_semi")
 
 
