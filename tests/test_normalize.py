@@ -140,3 +140,30 @@ def test_stream_turns_landed_files_into_store_versions(spark, tmp_path):
         q.stop()
         got = {r.file_path: r.message_count for r in spark.read.parquet(refresh.store_version(store, n)).collect()}
         assert got == ({"a": 1, "b": 1} if n == 0 else {"a": 2, "b": 1})
+
+
+def test_record_facts_do_not_depend_on_runs(spark, monkeypatch):
+    import random
+
+    from threadloom.operators import summary
+
+    rng = random.Random(4)
+    rows, want = [], {}
+    for f in range(60):
+        cwd, provider = "", "unknown"
+        for line in range(1, rng.randrange(2, 14)):
+            r = {"type": "event"}
+            if rng.random() < 0.3:
+                r["cwd"] = cwd = rng.choice(["", "", f"/d{line}"])
+            if rng.random() < 0.4:
+                r["workspace"] = rng.choice(["", f"/w{line}"])
+                cwd = cwd or r["workspace"]
+            if rng.random() < 0.3:
+                r["provider"] = provider = f"p{line}"
+            rows.append((f"/f{f}", line, json.dumps(r)))
+        want[f"/f{f}"] = (line, cwd, provider)
+    records = spark.createDataFrame(rows, "file_path string, line_number long, raw string").withColumn("record", F.parse_json("raw"))
+    for lines in (3, 4096):
+        monkeypatch.setattr(summary, "RUN_LINES", lines)
+        got = {r.file_path: (r.event_count, r.cwd, r.model_provider) for r in summary.record_facts(records).collect()}
+        assert got == want

@@ -7,7 +7,7 @@ import json
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import ArrayType, StringType
 
 
 def at(v: Column, path: str) -> Column:
@@ -30,6 +30,16 @@ def string_at(v: Column, path: str) -> Column:
     return F.when(kind(found) == "STRING", F.try_variant_get(v, path, "string"))
 
 
+def _own_string(x: Column) -> Column:
+    return F.when(kind(x) == "STRING", x.cast("string"))
+
+
+def strings_at(v: Column, *paths: str) -> Column:
+    """The strings at several paths as one array; null where there is none. A select of many `string_at` gives code that is
+    too long to be compiled: this is one expression, whose elements are then picked."""
+    return F.transform(F.array(*(at(v, p) for p in paths)), _own_string)
+
+
 def first_string(v: Column, *paths: str) -> Column:
     return F.coalesce(*(string_at(v, p) for p in paths))
 
@@ -48,25 +58,44 @@ def _text_of(v: object) -> str | None:
     return None
 
 
-@F.pandas_udf(StringType())
-def _nested_text(docs: pd.Series) -> pd.Series:
-    return docs.map(lambda d: None if d is None else _text_of(json.loads(d)))
+@F.pandas_udf(ArrayType(StringType()))
+def _nested_texts(docs: pd.Series) -> pd.Series:
+    return docs.map(lambda ds: None if ds is None else [None if d is None else _text_of(json.loads(d)) for d in ds])
 
 
-def extract_text(v: Column) -> Column:
-    """Text of a message's content: a string; the parts of an array with a blank line between; of an object its text,
-    thinking, content or summary, whichever first gives any. Null if there is none.
+def _plain(v: Column) -> Column:
+    return F.coalesce(_own_string(v), _own_string(at(v, "$.text")))
 
-    Strings, objects with a plain text, and arrays of these stay in built-in functions; only what nests deeper goes,
-    as JSON, through one Arrow-batched function.
-    """
+
+def _flat(v: Column) -> Column:
+    """The text of a string, of an object with a plain text, or of an array of these."""
     items = F.try_variant_get(v, "$", "array<variant>")
-    plain = lambda x: F.coalesce(string_at(x, "$"), string_at(x, "$.text"))
-    flat = is_kind(v, "ARRAY") & F.forall(items, lambda x: plain(x).isNotNull())
-    joined = F.nullif(F.array_join(F.transform(items, plain), "\n\n"), F.lit(""))
-    one = plain(v)
-    deep = F.when(one.isNull() & ~F.coalesce(flat, F.lit(False)) & (is_kind(v, "ARRAY") | is_kind(v, "OBJECT")), F.to_json(v))
-    return F.coalesce(one, F.when(flat, joined), _nested_text(deep))
+    joined = F.array_join(F.transform(items, _plain), "\n\n")
+    return F.coalesce(_plain(v), F.when(F.forall(items, lambda x: _plain(x).isNotNull()), F.nullif(joined, F.lit(""))))
+
+
+def _deep(v: Column) -> Column:
+    """An object or array that `_flat` can't tell the text of, as JSON."""
+    items = F.try_variant_get(v, "$", "array<variant>")
+    flat = F.coalesce(F.forall(items, lambda x: _plain(x).isNotNull()), F.lit(False))
+    return F.when(_plain(v).isNull() & ~flat & (is_kind(v, "ARRAY") | is_kind(v, "OBJECT")), F.to_json(v))
+
+
+def extract_texts(contents: Column) -> Column:
+    """Text of each of an array of contents: a string; the parts of an array with a blank line between; of an
+    object its text, thinking, content or summary, whichever first gives any. Null where there is none.
+
+    Strings, objects with a plain text, and arrays of these stay in built-in functions; only what nests deeper goes, as
+    JSON, through one Arrow-batched function.
+    """
+    deep = F.transform(contents, _deep)
+    nested = F.coalesce(_nested_texts(F.when(F.exists(deep, lambda d: d.isNotNull()), deep)), F.array_repeat(F.lit(None).cast("string"), F.size(contents)))
+    return F.transform(F.arrays_zip(F.transform(contents, _flat).alias("flat"), nested.alias("nested")), lambda x: F.coalesce(x["flat"], x["nested"]))
+
+
+def extract_text(v: Column) -> Column:
+    """`extract_texts` of one content."""
+    return extract_texts(F.array(v))[0]
 
 
 def json_or_null(v: Column) -> Column:

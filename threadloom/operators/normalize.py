@@ -37,72 +37,79 @@ def is_context(role: Column, text: Column, markers: tuple[str, ...] = MARKERS) -
     return F.coalesce((role == "developer") | ((role == "user") & marked), F.lit(False))
 
 
-def is_block_record(record: Column) -> Column:
-    """Whether a record holds a message made of content blocks; all others hold at most one message."""
-    return F.coalesce(V.string_at(record, "$.type").isin("user", "assistant"), F.lit(False)) & V.is_kind(V.at(record, "$.message"), "OBJECT")
-
-
-def _block_fields(r: Column, b: Column, kind: Column) -> dict[str, Column]:
-    """Fields of one content block; a null text gives no message."""
-    role = F.coalesce(V.string_at(r, "$.message.role"), V.string_at(r, "$.type"))
-    own = V.string_at(b, "$")
-    inside = V.extract_text(F.when(kind == "tool_result", V.at(b, "$.content")).otherwise(b))
-    name = F.coalesce(V.string_at(b, "$.name"), F.lit("unknown_tool"))
-    call = F.concat(F.lit("["), name, F.lit("] "), V.json_or_null(V.at(b, "$.input")))
-    result = F.coalesce(inside, V.json_or_null(V.at(b, "$.content")))
-    id_ = F.when(kind == "tool_use", V.string_at(b, "$.id")).when(kind == "tool_result", V.string_at(b, "$.tool_use_id"))
+def blocks(records: DataFrame) -> DataFrame:
+    """Candidate messages, in one pass over the records: a row for each content block of a user's or assistant's message,
+    and one for each record of another kind. A null text gives no message.
+
+    Steps are selects of their own, so that none gives code too long to be compiled.
+    """
+    r, s, f, t = (F.col(c) for c in ("record", "s", "f", "t"))
+    rows = records.where("record IS NOT NULL").select("file_path", "line_number", "record", V.strings_at(r, "$.type", "$.timestamp", "$.subtype", "$.role", "$.message.role").alias("s"), V.at(r, "$.message").alias("m"))
+    own = F.coalesce(s[0].isin("user", "assistant"), F.lit(False)) & V.is_kind(F.col("m"), "OBJECT")
+    rows = rows.select("*", own.alias("own"), V.at(F.col("m"), "$.content").alias("content"))
+    own, content = F.col("own"), F.col("content")
+    items = F.when(own & V.is_kind(content, "ARRAY"), F.try_variant_get(content, "$", "array<variant>")).otherwise(F.array(F.when(own, content)))
+    outer = F.when(~own, F.coalesce(V.at(r, "$.payload"), r))
+    rows = rows.select("*", outer.alias("p"), (own & (V.true_at(r, "$.isMeta") | V.true_at(r, "$.isSidechain"))).alias("context"), V.true_at(r, "$.is_error").alias("failed"))
+    rows = rows.withColumn("m", F.when(~own, F.coalesce("m", V.at(F.col("p"), "$.message"), "p"))).select("*", F.posexplode(items).alias("block", "b"))
+    b, p, m = F.col("b"), F.col("p"), F.col("m")
+    fields = F.when(own, V.strings_at(b, "$", "$.type", "$.name", "$.id", "$.tool_use_id")).otherwise(V.strings_at(p, "$.type", "$.message", "$.output", "$.arguments", "$.name", "$.tool_name", "$.call_id", "$.tool_use_id", "$.id"))
+    rows = rows.withColumns({"f": fields, "said": V.string_at(m, "$.role")})
+    inside = F.array(F.when(f[1] == "tool_result", V.at(b, "$.content")).otherwise(b))
+    around = F.array(F.coalesce(V.at(m, "$.content"), m), F.coalesce(V.at(p, "$.content"), p), V.at(r, "$.result"), V.at(r, "$.error"))
+    rows = rows.withColumn("t", V.extract_texts(F.when(own, inside).otherwise(around)))
+    rows = rows.select(
+        "file_path", "line_number", "block", "own", "s", "f", "t", "said", "context", "failed", F.coalesce(s[0], F.lit("unknown")).alias("source_type"),
+        F.when(own & (f[1] == "tool_use"), V.json_or_null(V.at(b, "$.input"))).when(own & (f[1] == "tool_result"), V.json_or_null(V.at(b, "$.content"))).alias("json"),
+        (own & V.true_at(b, "$.is_error")).alias("block_failed"),
+    )
+    of_block, of_record = _block_fields(s, f, t), _record_fields(s, f, t)
+    subtype = F.when(own, of_block.pop("source_subtype")).otherwise(of_record.pop("source_subtype"))
+    rows = rows.withColumn("source_subtype", subtype).withColumns({c: F.when(own, of_block[c]).otherwise(of_record[c]) for c in ("role", "own_name")})
+    rest = [c for c in of_block if c not in ("role", "own_name")]
+    stamp = F.nullif(s[1], F.lit("")).alias("timestamp")
+    return rows.select("file_path", "line_number", "block", stamp, "source_type", "source_subtype", "role", "own_name", "context", *(F.when(own, of_block[c]).otherwise(of_record[c]).alias(c) for c in rest))
+
+
+def _block_fields(s: Column, f: Column, t: Column) -> dict[str, Column]:
+    """Fields of one content block. f: itself if it's a string, its type, name, id and tool_use_id."""
+    kind, name = f[1], F.coalesce(f[2], F.lit("unknown_tool"))
+    call = F.concat(F.lit("["), name, F.lit("] "), F.col("json"))
+    id_ = F.when(kind == "tool_use", f[3]).when(kind == "tool_result", f[4])
+    is_ = lambda *kinds: F.coalesce(kind.isin(*kinds), F.lit(False))
     return {
-        "role": F.when(kind.isin("tool_use", "tool_result"), "tool").when(kind == "thinking", "assistant").otherwise(role),
-        "text": F.when(kind == "tool_use", call).when(kind == "tool_result", result).otherwise(F.coalesce(own, F.when(kind.isNotNull(), inside))),
         "source_subtype": F.coalesce(kind, F.lit("text")),
-        "context": V.true_at(r, "$.isMeta") | V.true_at(r, "$.isSidechain"),
-        "thinking": F.coalesce(kind == "thinking", F.lit(False)),
-        "blank_stays": F.coalesce(kind.isin("tool_use", "tool_result"), F.lit(False)),
-        "own_name": F.when(kind == "tool_use", name),
-        "tool_kind": F.when(kind == "tool_use", "tool_call").when(kind == "tool_result", "tool_result"),
+        "role": F.when(is_("tool_use", "tool_result"), "tool").when(is_("thinking"), "assistant").otherwise(F.coalesce(s[4], s[0])),
+        "own_name": F.when(is_("tool_use"), name),
+        "text": F.when(is_("tool_use"), call).when(is_("tool_result"), F.coalesce(t[0], "json")).otherwise(F.coalesce(f[0], F.when(kind.isNotNull(), t[0]))),
+        "thinking": is_("thinking"),
+        "blank_stays": is_("tool_use", "tool_result"),
+        "tool_kind": F.when(is_("tool_use"), "tool_call").when(is_("tool_result"), "tool_result"),
         "tool_call_id": F.nullif(id_, F.lit("")),
-        "names_call": F.coalesce(kind == "tool_use", F.lit(False)),
-        "is_error": F.coalesce(kind == "tool_result", F.lit(False)) & V.true_at(b, "$.is_error"),
+        "names_call": is_("tool_use"),
+        "is_error": is_("tool_result") & F.col("block_failed"),
     }
 
 
-def _generic_fields(r: Column) -> dict[str, Column]:
-    """Fields of a record without content blocks."""
-    type_ = F.coalesce(V.string_at(r, "$.type"), F.lit("unknown"))
-    payload = F.coalesce(V.at(r, "$.payload"), r)
-    message = F.coalesce(V.at(r, "$.message"), V.at(payload, "$.message"), payload)
-    outcome = type_.isin("result", "system")
-    subtype = F.when(outcome, F.coalesce(V.string_at(r, "$.subtype"), type_)).otherwise(F.coalesce(V.string_at(payload, "$.type"), type_))
+def _record_fields(s: Column, f: Column, t: Column) -> dict[str, Column]:
+    """Fields of a record without content blocks. f: strings of its payload."""
+    type_, subtype, role = F.col("source_type"), F.col("source_subtype"), F.col("role")
+    outcome, no = type_.isin("result", "system"), F.lit(False)
     by_type = F.when(outcome, "system")
-    for role, names in ROLES.items():
-        by_type = by_type.when(subtype.isin(*names), role)
-    role = F.coalesce(V.string_at(message, "$.role"), V.string_at(r, "$.role"), by_type.otherwise("unknown"))
-    text = F.coalesce(
-        V.extract_text(F.coalesce(V.at(message, "$.content"), message)), V.extract_text(F.coalesce(V.at(payload, "$.content"), payload)),
-        V.first_string(payload, "$.message", "$.output", "$.arguments"), V.extract_text(V.at(r, "$.result")), V.extract_text(V.at(r, "$.error")),
-    )
-    name = V.first_string(payload, "$.name", "$.tool_name")
-    failed = (subtype == "error") | V.true_at(r, "$.is_error") | ((type_ == "result") & F.startswith(subtype, F.lit("error"))) | ((type_ == "system") & F.contains(subtype, F.lit("error")))
+    for name, subtypes in ROLES.items():
+        by_type = by_type.when(subtype.isin(*subtypes), name)
     return {
-        "role": role, "text": text, "source_subtype": subtype, "context": F.lit(False), "thinking": F.lit(False), "blank_stays": F.lit(False), "own_name": name,
-        "tool_kind": F.when(role == "tool", subtype), "tool_call_id": V.first_string(payload, "$.call_id", "$.tool_use_id", "$.id"),
-        "names_call": subtype.isin(*CALLS) & name.isNotNull(), "is_error": failed,
-    }
-
-
-def blocks(records: DataFrame) -> DataFrame:
-    """Candidate messages: a row for each content block, and one for each record of another kind."""
-    base = records.where("record IS NOT NULL").select("file_path", "line_number", "record")
-    stamp = F.nullif(V.string_at(F.col("record"), "$.timestamp"), F.lit("")).alias("timestamp")
-    type_ = F.coalesce(V.string_at(F.col("record"), "$.type"), F.lit("unknown")).alias("source_type")
-    head = ["file_path", "line_number", "block", stamp, type_]
-    content = V.at(F.col("record"), "$.message.content")
-    items = F.when(V.is_kind(content, "ARRAY"), F.try_variant_get(content, "$", "array<variant>")).otherwise(F.array(content))
-    made = base.where(is_block_record(F.col("record"))).select("file_path", "line_number", "record", F.posexplode(items).alias("block", "b"))
-    made = made.withColumn("_kind", V.string_at(F.col("b"), "$.type"))
-    own = made.select(*head, *(c.alias(n) for n, c in _block_fields(F.col("record"), F.col("b"), F.col("_kind")).items()))
-    rest = base.where(~is_block_record(F.col("record"))).withColumn("block", F.lit(0))
-    return own.unionByName(rest.select(*head, *(c.alias(n) for n, c in _generic_fields(F.col("record")).items())))
+        "source_subtype": F.when(outcome, F.coalesce(s[2], type_)).otherwise(F.coalesce(f[0], type_)),
+        "role": F.coalesce(F.col("said"), s[3], by_type.otherwise("unknown")),
+        "own_name": F.coalesce(f[4], f[5]),
+        "text": F.coalesce(t[0], t[1], f[1], f[2], f[3], t[2], t[3]),
+        "thinking": no,
+        "blank_stays": no,
+        "tool_kind": F.when(role == "tool", subtype),
+        "tool_call_id": F.coalesce(f[6], f[7], f[8]),
+        "names_call": subtype.isin(*CALLS) & F.col("own_name").isNotNull(),
+        "is_error": (subtype == "error") | F.col("failed") | ((type_ == "result") & F.startswith(subtype, F.lit("error"))) | ((type_ == "system") & F.contains(subtype, F.lit("error"))),
+    }
 
 
 def normalize(records: DataFrame, *, markers: tuple[str, ...] = MARKERS) -> DataFrame:

@@ -19,6 +19,7 @@ DEFAULTS = {"claude_code": ("anthropic", "claude_code"), "gemini": ("google", "g
 SEARCH_FIELDS = ("id", "session_key", "title", "preview_text", "cwd", "file_path", "source_kind", "display_source", "model_provider", "source", "originator")
 
 TITLE_CHARS, PREVIEW_CHARS = 90, 160
+RUN_LINES = 4096
 
 
 def _last(value: Column, order: Column) -> Column:
@@ -29,41 +30,51 @@ def _first(value: Column, order: Column) -> Column:
     return F.min_by(value, F.when(value.isNotNull(), order))
 
 
-def record_facts(records: DataFrame) -> DataFrame:
-    """Per file: first and last time, id, cwd, provider, originator, hidden and why, parent, event_count.
+def record_facts(records: DataFrame, given: tuple[str, ...] = ()) -> DataFrame:
+    """Per file: first and last time, id, cwd, provider, originator, hidden and why, parent, event_count, and the columns
+    `given`, which are the same on all rows of a file.
 
     Later records win, but for the first time. A cwd under another name counts only while there is none. Empty strings
-    are values here, except as times; records that are no JSON don't count.
+    are values here, except as times; records that are no JSON don't count. Records are read once; of a run of RUN_LINES
+    lines only the directories under other names are gathered, of a file one for each run.
     """
     r, line = F.col("record"), F.col("line_number")
-    meta = V.string_at(r, "$.type") == "session_meta"
-    in_meta = lambda path: F.when(meta, V.string_at(r, f"$.payload.{path}"))
-    other = F.coalesce(*(T.blank_to_null(V.string_at(r, f"$.{k}")) for k in OTHER_CWD))
-    sidechain = V.true_at(r, "$.isSidechain")
-    slim = records.where(r.isNotNull()).select(
-        "file_path", line,
-        T.blank_to_null(V.string_at(r, "$.timestamp")).alias("ts"), in_meta("id").alias("meta_id"), V.string_at(r, "$.sessionId").alias("own_id"),
-        F.coalesce(V.string_at(r, "$.cwd"), in_meta("cwd")).alias("direct"), other.alias("other"),
-        F.coalesce(V.first_string(r, "$.modelProvider", "$.model_provider", "$.provider", "$.message.provider"), in_meta("model_provider")).alias("provider"),
-        in_meta("originator").alias("originator"), V.first_string(r, "$.agentId", "$.agent_id").alias("agent"),
-        F.coalesce(meta & V.at(r, "$.payload.source.subagent").isNotNull(), F.lit(False)).alias("subagent"), sidechain.alias("sidechain"),
-        (~sidechain & F.coalesce(V.string_at(r, "$.type").isin("user", "assistant"), F.lit(False))).alias("primary"),
+    named = ("timestamp", "sessionId", "cwd", "modelProvider", "model_provider", "provider", "message.provider", "agentId", "agent_id", "type", *OTHER_CWD)
+    paths = [*(f"$.{n}" for n in named), *(f"$.payload.{n}" for n in ("id", "cwd", "model_provider", "originator"))]
+    flags = records.where(r.isNotNull()).select("file_path", line, *given, V.strings_at(r, *paths).alias("s"), V.at(r, "$.payload.source.subagent").isNotNull().alias("sub"), V.true_at(r, "$.isSidechain").alias("sidechain"))
+    s = {n: F.col("s")[i] for i, n in enumerate((*named, "meta_id", "meta_cwd", "meta_provider", "meta_originator"))}
+    meta = s["type"] == "session_meta"
+    in_meta = lambda n: F.when(meta, s[f"meta_{n}"])
+    slim = flags.select(
+        "file_path", line, *given, T.blank_to_null(s["timestamp"]).alias("ts"), in_meta("id").alias("meta_id"), s["sessionId"].alias("own_id"),
+        F.coalesce(s["cwd"], in_meta("cwd")).alias("direct"), F.coalesce(*(T.blank_to_null(s[k]) for k in OTHER_CWD)).alias("other"),
+        F.coalesce(*(s[n] for n in ("modelProvider", "model_provider", "provider", "message.provider")), in_meta("provider")).alias("provider"),
+        in_meta("originator").alias("originator"), F.coalesce(s["agentId"], s["agent_id"]).alias("agent"), F.coalesce(meta & F.col("sub"), F.lit(False)).alias("subagent"), "sidechain",
+        (~F.col("sidechain") & F.coalesce(s["type"].isin("user", "assistant"), F.lit(False))).alias("primary"),
     )
-    direct_at = F.max(F.when(F.col("direct").isNotNull(), line)).alias("direct_at")
-    facts = slim.groupBy("file_path").agg(
+    # runs of lines first, so that no file meets in one task; both steps are aggregates on either side of their shuffle
+    of_run = slim.withColumn("run", F.floor(line / RUN_LINES)).groupBy("file_path", "run").agg(
         F.count(F.lit(1)).alias("event_count"), _first(F.col("ts"), line).alias("timestamp"), _last(F.col("ts"), line).alias("last_timestamp"),
-        _last(F.coalesce("own_id", "meta_id"), line).alias("last_id"), _last(F.col("own_id"), line).alias("parent"), _last(F.col("agent"), line).alias("agent"),
-        _last(F.col("direct"), line).alias("direct"), direct_at, _last(F.col("provider"), line).alias("provider"), _last(F.col("originator"), line).alias("originator"),
-        F.bool_or("subagent").alias("subagent"), F.bool_or("sidechain").alias("sidechain"), F.bool_or("primary").alias("primary"),
+        *(_last(F.col(c), line).alias(c) for c in ("own_id", "agent", "direct", "provider", "originator")), _last(F.coalesce("own_id", "meta_id"), line).alias("last_id"),
+        F.max(F.when(F.col("direct").isNotNull(), line)).alias("direct_at"), *(F.bool_or(c).alias(c) for c in ("subagent", "sidechain", "primary")),
+        F.collect_list(F.when(F.col("other").isNotNull(), F.struct("line_number", "other"))).alias("others"), *(F.first(c).alias(c) for c in given),
     )
-    unnamed = facts.where(F.coalesce("direct", F.lit("")) == "").select("file_path", "direct_at")
-    late = slim.where("other IS NOT NULL").join(unnamed, "file_path").where(line >= F.coalesce("direct_at", line)).groupBy("file_path").agg(_first(F.col("other"), line).alias("other"))
+    run = F.col("run")
+    late = F.array_min(F.filter("others", lambda o: o["line_number"] >= F.coalesce("direct_at", o["line_number"])))["other"]
+    of_run = of_run.withColumn("late", late).drop("others")
+    facts = of_run.groupBy("file_path").agg(
+        F.sum("event_count").alias("event_count"), _first(F.col("timestamp"), run).alias("timestamp"),
+        *(_last(F.col(c), run).alias(c) for c in ("last_timestamp", "last_id", "own_id", "agent", "direct", "provider", "originator")),
+        F.max("direct_at").alias("direct_at"), *(F.bool_or(c).alias(c) for c in ("subagent", "sidechain", "primary")),
+        F.collect_list(F.when(F.col("late").isNotNull(), F.struct("run", "late"))).alias("lates"), *(F.first(c).alias(c) for c in given),
+    )
+    facts = facts.withColumnRenamed("own_id", "parent").withColumn("other", F.array_min(F.filter("lates", lambda x: F.coalesce(x["run"] >= F.floor(F.col("direct_at") / RUN_LINES), F.lit(True))))["late"])
     below = F.col("file_path").rlike(r"(^|[/\\])subagents([/\\]|$)")
     stem = F.regexp_replace(T.basename(F.col("file_path")), r"(?<=.)\.[^.]*$", "")
     some = lambda c, other: F.coalesce(T.blank_to_null(F.col(c)), other)
     hidden = F.col("subagent") | below | (F.col("sidechain") & ~F.col("primary"))
-    return facts.join(late, "file_path", "left").select(
-        "file_path",
+    return facts.select(
+        "file_path", *given,
         F.when(below, F.concat(some("parent", F.lit("unknown")), F.lit(":subagent:"), some("agent", stem))).otherwise(F.coalesce("last_id", stem)).alias("id"),
         "timestamp", "last_timestamp", F.coalesce(T.blank_to_null(F.col("direct")), "other", F.lit("")).alias("cwd"),
         F.coalesce("provider", F.lit("unknown")).alias("model_provider"), F.coalesce("originator", F.lit("")).alias("originator"), "event_count",
@@ -106,8 +117,8 @@ def summarize_records(records: DataFrame, messages: DataFrame) -> DataFrame:
     """A summary of each transcript file that has a record. `records` may carry source_kind, display_source, archived and
     root_rank, the same on all rows of a file; other columns aren't read."""
     given = {"source_kind": F.lit("codex"), "display_source": F.lit(""), "archived": F.lit(False), "root_rank": F.lit(0)}
-    of_file = records.groupBy("file_path").agg(*((F.first(n) if n in records.columns else F.first(c)).alias(n) for n, c in given.items()))
-    out = record_facts(records).join(of_file, "file_path").join(message_facts(messages), "file_path", "left")
+    told = records.withColumns({n: c for n, c in given.items() if n not in records.columns})
+    out = record_facts(told, tuple(given)).join(message_facts(messages), "file_path", "left")
     zero = {c: F.coalesce(c, F.lit(0).cast("long")) for c in ("message_count", "context_count", "tool_count")}
     out = apply_format_defaults(out.withColumns(zero))
     return out.select(
