@@ -119,3 +119,14 @@ def test_shared_folder_is_read_from_the_session(spark, monkeypatch):
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
         shared.shared_dir(Session())
     assert shared.new_path(spark, "x").startswith(shared.shared_dir(spark))
+
+
+def test_what_was_written_can_be_forgotten(spark, tmp_path):
+    before = shared.places()
+    one, two = shared.new_path(spark, "one"), shared.new_path(spark, "two")
+    for p in (one, two):
+        spark.range(3).write.parquet(p)
+    assert shared.forget(spark, keep={*before, two}) == 1
+    assert spark.read.parquet(two).count() == 3 and shared.places() == {*before, two}
+    with pytest.raises(Exception, match="(?i)path"):
+        spark.read.parquet(one).count()

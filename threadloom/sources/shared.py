@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Collection
 
 from pyspark.sql import SparkSession
 
 _own_dir: str | None = None
+_made: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -25,4 +27,22 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    """A new place in the shared folder; `forget` deletes what was written there."""
+    _made.append(f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}")
+    return _made[-1]
+
+
+def places() -> set[str]:
+    """All places that `new_path` gave and `forget` hasn't deleted."""
+    return set(_made)
+
+
+def forget(spark: SparkSession, keep: Collection[str] = ()) -> int:
+    """Delete what this process has written to places that `new_path` gave, but for `keep`; how many places that were.
+    Results that still read them fail afterwards, so it's for when these are written or no longer needed."""
+    gone = [p for p in _made if p not in keep]
+    for place in gone:
+        path = spark._jvm.org.apache.hadoop.fs.Path(place)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    _made[:] = [p for p in _made if p in keep]
+    return len(gone)
