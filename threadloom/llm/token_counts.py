@@ -13,11 +13,11 @@ tables don't know yet, the library splits it, and its pre-tokens are looked up l
 from __future__ import annotations
 
 import re
-import sys
 import unicodedata
 from collections.abc import Iterator
 
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 
 from .common import slices
@@ -27,19 +27,16 @@ CACHED_CHARS = 64
 LATIN_TOP = 0x250
 
 
-def _classes() -> dict[str, str]:
-    """Characters by the first letter of their category (unassigned ones by "Cn"), as ranges of a regular expression."""
-    runs: dict[str, list[list[int]]] = {"L": [], "N": [], "Cn": []}
-    for c in range(sys.maxunicode + 1):
-        kind = unicodedata.category(chr(c))
-        found = runs.get(kind if kind == "Cn" else kind[0])
-        if found is None:
-            continue
-        if found and found[-1][1] == c - 1:
-            found[-1][1] = c
-        else:
-            found.append([c, c])
-    return {k: "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in r) for k, r in runs.items()}
+def _class(first: str, below: int) -> str:
+    """The characters below a code point whose category starts with `first`, as ranges of a regular expression."""
+    runs: list[list[int]] = []
+    for c in range(below):
+        if unicodedata.category(chr(c))[0] == first:
+            if runs and runs[-1][1] == c - 1:
+                runs[-1][1] = c
+            else:
+                runs.append([c, c])
+    return "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in runs)
 
 
 def _byte_characters() -> list[str]:
@@ -51,13 +48,28 @@ def _byte_characters() -> list[str]:
 
 _BYTE = _byte_characters()
 _BACK = {c: b for b, c in enumerate(_BYTE)}
-_CLASS = _classes()
 #: Unicode's white space.
 _SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-#: The split pattern of the vocabulary file.
-PRE_TOKEN = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_CLASS['L']}]+|[{_CLASS['N']}]|[^{_SPACE}{_CLASS['L']}{_CLASS['N']}]+")
+
+
+def _pattern(below: int) -> re.Pattern:
+    """The split pattern of the vocabulary file, for characters below a code point: the fewer ranges, the faster."""
+    letters, digits = _class("L", below), _class("N", below)
+    return re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{letters}]+|[{digits}]|[^{_SPACE}{letters}{digits}]+")
+
+
+LATIN, BASIC = map(_pattern, (LATIN_TOP, 0x10000))
+#: For texts beyond the basic plane, where ranges would be many; the characters that Python knows are classed alike.
+ALL = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 BEYOND_LATIN = re.compile(rf"[^\x00-\u{LATIN_TOP - 1:04x}]")
-UNKNOWN = re.compile(f"[{_CLASS['Cn']}]")
+BEYOND_BASIC = re.compile("[\U00010000-\U0010ffff]")
+
+
+def split(text: str) -> list[str]:
+    """Pre-tokens of a normalised text."""
+    if text.isascii() or not BEYOND_LATIN.search(text):
+        return LATIN.findall(text)
+    return (ALL if BEYOND_BASIC.search(text) else BASIC).findall(text)
 
 
 class Lengths(dict):
@@ -86,7 +98,7 @@ class Counter:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.normalise, self.split = self.tokenizer.normalizer.normalize_str, self.tokenizer.pre_tokenizer.pre_tokenize_str
+        self.normalise, self.library_split = self.tokenizer.normalizer.normalize_str, self.tokenizer.pre_tokenizer.pre_tokenize_str
         special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.special = re.compile("|".join(map(re.escape, sorted(special, key=len, reverse=True))) or r"(?!)")
         self.lengths = Lengths(known, self.tokenizer)
@@ -100,12 +112,12 @@ class Counter:
         return self._plain(text)
 
     def pre_tokens(self, text: str) -> list[str]:
-        if not BEYOND_LATIN.search(text):  # no marks that compose, and the same lower case in every version of Unicode
-            return PRE_TOKEN.findall(text.lower())
+        if text.isascii() or not BEYOND_LATIN.search(text):  # no marks that compose, and the same lower case in any Unicode
+            return split(text.lower())
         normal = self.normalise(text)
-        if not UNKNOWN.search(normal):
-            return PRE_TOKEN.findall(normal)
-        return [bytes(_BACK[c] for c in p).decode() for p, _ in self.split(normal)]
+        if all(unicodedata.category(c) != "Cn" for c in set(normal)):
+            return split(normal)
+        return [bytes(_BACK[c] for c in p).decode() for p, _ in self.library_split(normal)]
 
     def _plain(self, text: str) -> int:
         return sum(map(self.lengths.__getitem__, self.pre_tokens(text)))
@@ -124,7 +136,7 @@ def frequent_lengths(path: str) -> tuple[str, bytes]:
                 words.append(bytes(_BACK[c] for c in w).decode())
             except UnicodeDecodeError:  # part of a character
                 continue
-    words = sorted(w for w in words if PRE_TOKEN.findall(w.lower()) == [w])
+    words = sorted(w for w in words if split(w.lower()) == [w])
     lengths = [len(tokenizer.model.tokenize("".join([_BYTE[b] for b in w.encode()]))) for w in words]
     return "\n".join(words), bytes(min(n, 255) for n in lengths)
 
