@@ -544,6 +544,16 @@ def test_the_cut_turns_blocks_by_their_neighbours():
     assert not alone["The news"] and not alone["Interlude"] and alone["Read more"]
 
 
+@pytest.mark.parametrize("around", [
+    "<div class='cookie-notice'>{}</div><div>", "<div class=notice><div><div>{}</div></div></div><div>", "<div class=comment-list><div class=comment>{}</div></div><div>", "<div class=right-sidebar>{}</div><div class=content>",
+    "<div class=post-comments>{}</div><article>", "<article><form>{}<input></form>", "<article><aside>{}</aside>", "<div class='-- site-header'>{}</div><div id=content>", "<div role=navigation>{}</div><div>", "<template>{}</template><div>", "<div style='display: none'>{}</div><div>",
+])
+def test_long_boilerplate_goes_by_where_it_stands(around):
+    said = [f"Paragraph {i} of this story tells what has happened in the town on that day, and why it came to pass there." for i in range(3)]
+    other = "<p>We and our partners would like to tell you of a good many things that you can change at any time in your browser.</p>"
+    assert html_extract.extract("<body>" + around.format(other) + "".join(f"<p>{s}</p>" for s in said))[0].split("\n") == said
+
+
 @pytest.mark.parametrize("page", ['<a href="' * 100_000, '<a "> "' * 60_000, "<span>" * 50_000 + "<i>x</i>" * 50_000, "<p><table><td>" + "<span>" * 20_000 + "<div>x</div>" * 20_000, "<button>" * 20_000 + "<div>x</div>" * 20_000, "<svg>" * 50_000 + "<p>x", "<!--" * 100_000, "<div>" * 20_000 + "<p>some words." * 20_000])
 def test_long_malformed_pages_take_time_in_proportion(page):
     import time

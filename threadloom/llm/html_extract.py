@@ -35,7 +35,8 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 RAW = frozenset("script style textarea title iframe".split())  # up to their end tag there are no other tags
 SKIPPED = frozenset("noscript template svg object canvas audio video select button annotation annotation-xml".split())
 NESTING = frozenset("template svg object annotation-xml".split())
-# Unmistakable containers are boilerplate with all that they hold; other signs are a capacity that fades inwards.
+# Unmistakable containers are boilerplate with all that they hold; other signs are a capacity, which fades inwards unless
+# the container is called nothing else.
 BAD_TAGS = frozenset("nav footer aside menu dialog search".split())
 BAD_ROLES = frozenset("navigation contentinfo complementary search dialog alertdialog menu menubar".split())
 BAD_NAMES = frozenset("ad ads adbox adslot advert adverts advertisement advertising sponsored comments commentlist disqus related recommended recommendations cookie cookies gdpr navbar breadcrumb breadcrumbs pagination newsletter tagcloud outbrain taboola".split())
@@ -49,6 +50,7 @@ NEIGHBOURS, SIBLINGS, BORDER = 2.5, 1.0, 0.2
 #: A name with one of these tells a state of the page, not what the container is for.
 STATES = frozenset("has with without no is open opened closed enabled disabled active inactive visible collapsed".split())
 BAD_WORDS = frozenset("ad ads adbox adslot advert adverts advertisement advertising sponsor sponsored promo promotion banner nav navbar navigation menu breadcrumb breadcrumbs foot footer masthead sidebar rail cookie cookies consent gdpr notice notices notification alert comment comments commentlist disqus respond reply replies discussion share sharing social related recommended recommendations widget subscribe subscription newsletter signup login popup modal overlay copyright pagination pager toolbar skip tagcloud teaser outbrain taboola".split())
+PLACES = frozenset("header site page top global".split())
 GOOD_WORDS = frozenset("article post entry content story main body text hentry blog prose".split())
 CLOSES = {"p": BLOCKS, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr"}, "td": {"td", "th", "tr"}, "th": {"td", "th", "tr"}, "option": {"option"}}
 STOPS = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table"}, "th": {"table"}, "p": {"table", "td", "th", "button"}}
@@ -61,6 +63,7 @@ class Node:
     good: bool = False
     bad: bool = False
     weak: float = 0.0
+    named: bool = False  # in a container that is called what it is
     skip: bool = False  # in an element whose text isn't read
     loose: bool = False  # such an element without an end tag: it ends with its parent or at the next block
     link: bool = False
@@ -77,10 +80,10 @@ class Block:
 
 
 def _judge(tag: str, attrs: str, parent: Node) -> Node:
-    node = Node(tag, parent, parent.good, parent.bad, parent.weak * FADE, parent.skip or tag in SKIPPED, False, parent.link or tag == "a", parent.depth + 1)
+    node = Node(tag, parent, parent.good, parent.bad, parent.weak * (1.0 if parent.named else FADE), parent.named, parent.skip or tag in SKIPPED, False, parent.link or tag == "a", parent.depth + 1)
     good, bad = tag in ("article", "main"), tag in BAD_TAGS
-    weak = 0.0 if tag == "header" and parent.good else WEAK_TAGS.get(tag, 0.0)
-    main = good
+    weak = 0.0 if tag == "header" and parent.good else NAMED if tag == "form" and parent.good else WEAK_TAGS.get(tag, 0.0)
+    main, called = good, False
     if attrs and tag not in ("html", "body"):
         names: set[str] = set()
         words: set[str] = set()
@@ -92,6 +95,8 @@ def _judge(tag: str, attrs: str, parent: Node) -> Node:
                     if not parts & STATES:
                         names.add(token.lower())
                         words |= parts
+                        own = {w for w in re.split(r"[_-]+", token.lower()) if w}
+                        called |= bool(own & (BAD_WORDS | {"header"})) and own <= BAD_WORDS | PLACES
             elif name == "role":
                 bad |= value.lower() in BAD_ROLES
                 weak = max(weak, WEAK_ROLES.get(value.lower(), 0.0))
@@ -99,16 +104,18 @@ def _judge(tag: str, attrs: str, parent: Node) -> Node:
             elif name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and re.search(r"display\s*:\s*none", value):
                 bad = True
         main = good
-        fine, poor = bool(words & GOOD_WORDS), bool(words & BAD_WORDS)
+        fine = bool(words & GOOD_WORDS)
+        poor = bool(words & BAD_WORDS) or "header" in words and not fine and not parent.good  # inside the text it's the text's
         unclear = fine and poor and not words & {"comment", "comments", "related", "footer", "sidebar"}
         good |= fine and not poor
         if poor and not unclear and not (tag in ("article", "main") and not words & {"comment", "comments", "related", "teaser"}):
             bad |= bool(names & BAD_NAMES) and not main
-            weak = max(weak, COMMENTS if words & COMMENT_WORDS else NAMED if names & BAD_WORDS else AMBIGUOUS if fine else MENTIONED)
+            weak = max(weak, COMMENTS if words & COMMENT_WORDS else NAMED if called else AMBIGUOUS if fine else MENTIONED)
+    node.named |= weak >= NAMED
     if weak:  # a sign of its own outweighs what the container stands in
         node.weak, node.good = max(node.weak, weak), False
     elif main:
-        node.weak = 0.0
+        node.weak, node.named = 0.0, False
     node.bad |= bad
     node.good |= good and not weak
     node.good &= not node.bad
@@ -260,7 +267,7 @@ def score(b: Block, marked: bool = True) -> float:
     z = 6.0 if b.node.good else -3.0 if marked else 0.3
     z += min(3.0, 0.12 * words) + (1.0 if b.node.tag in ("p", "blockquote", "pre") else 0.0)
     z += 0.5 if b.text[-1] in ".!?\"'”»:" else 0.0
-    rich = words >= 15 and share < 0.25
+    rich = words >= 15 and share < 0.25 and not b.node.named
     z -= b.node.weak * (0.5 if rich else 1.0)
     z -= (2.0 if b.node.good else 5.0) * share
     if not b.node.good and re.match(r"(©|\(c\)|copyright\b|all rights reserved)", b.text, re.I):
