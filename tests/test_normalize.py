@@ -121,7 +121,10 @@ def test_relabel_preview_names_what_is_in_the_way(spark):
         except ValueError:
             continue
         raise AssertionError
-    assert edit.preview_relabel(good, t, ["old"], "openai").first().blockers == "active_provider_unsuitable"
+    for target, code in (("openai", "active_provider_builtin"), ("", "active_provider_missing"), ("a b", "active_provider_invalid")):
+        refused = edit.preview_relabel(good, t, ["old"], target).first()
+        assert (refused.blockers, refused.warnings, refused.mappings) == (code, "", "[]")
+    assert edit.preview_relabel(good, t.where("false"), ["old"], "new").first().warnings == "current_provider_only,codex_state_db_missing"
 
 
 def test_stream_turns_landed_files_into_store_versions(spark, tmp_path):

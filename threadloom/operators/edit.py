@@ -223,7 +223,8 @@ def preview_relabel(assignments: DataFrame, threads: DataFrame, sources: list[st
     mappings (JSON: source, target, threads and jsonl of each source asked for), blockers and warnings (codes, joined by
     commas), can_apply, has_changes, selection_required, plan_id. Nothing is changed.
     """
-    eligible = bool(re.fullmatch(r"[A-Za-z0-9_.:-]{1,128}", target)) and target not in BUILTIN
+    wrong = "active_provider_missing" if not target else "active_provider_invalid" if not re.fullmatch(r"[A-Za-z0-9_.:-]{1,128}", target) else "active_provider_builtin" if target in BUILTIN else ""
+    eligible = not wrong
     chosen = sources if eligible else []
     p = relabel_providers(assignments, threads, chosen, target)
     of = p.agg(F.count_if("candidate").alias("candidates"), F.count_if(~F.col("valid")).alias("invalid"), F.count_if("selected").alias("found"))
@@ -239,7 +240,7 @@ def preview_relabel(assignments: DataFrame, threads: DataFrame, sources: list[st
         one = one.withColumn("candidates", F.lit(0).cast("long"))
     choose = F.lit(eligible and not chosen) & (F.col("candidates") > 0)
     blockers = F.concat_ws(
-        ",", F.when(F.lit(not eligible), "active_provider_unsuitable"), F.when(F.col("invalid") > 0, "invalid_provider_id"),
+        ",", F.when(F.lit(not eligible), wrong), F.when(F.col("invalid") > 0, "invalid_provider_id"),
         F.when(F.col("found") < len(set(chosen)), "source_provider_not_found"), F.when(choose, "source_provider_selection_required"),
     )
     warnings = F.concat_ws(",", F.when(F.lit(eligible), "current_provider_only"), F.when(F.col("_no_threads"), "codex_state_db_missing"))
