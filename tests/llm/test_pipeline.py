@@ -11,7 +11,7 @@ from threadloom.llm import html_extract, jaccard_join, langid, media, mixing, pa
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 #: Names that operators use inside.
-CLASHES = ("key", "g", "tokens", "cluster", "shard", "region", "set", "size", "links", "h", "t", "_k", "_s", "_t", "k0", "mix_pass", "mix_rank", "n_words", "kept", "score", "lang_pred", "host", "periods")
+CLASHES = ("key", "g", "p", "n", "number", "first", "captures", "_salt", "_salts", "_row", "_n", "tokens", "cluster", "shard", "region", "set", "size", "links", "h", "t", "_k", "_s", "_t", "k0", "mix_pass", "mix_rank", "n_words", "kept", "score", "lang_pred", "host", "periods")
 
 
 def corpus():
@@ -30,7 +30,7 @@ def corpus():
             texts.append(f"{' '.join(t[:20])} {passage} end{i}")
     texts += [None, "", "  \n ", "1234 !!", texts[3], texts[3].upper(), "a b", "long " * 4000]
     rng.shuffle(texts)
-    return [(i, t, "en" if i % 3 else None, "big" if i % 3 else f"s{i % 4}", len(t or "")) for i, t in enumerate(texts)] + [(None, "no key here at all", None, None, None), (7, "seven is here twice", "en", None, 1)]
+    return [(i, t, "en" if i % 3 else None, "big" if i % 3 else f"s{i % 4}", len(t or "")) for i, t in enumerate(texts)] + [(None, "no key here at all", None, None, None), (7, "seven is here twice", "en", None, 1), (7, "seven is here twice", "en", None, 1), (9, "this one is nine but not the same", "en", None, 1)]
 
 
 def shingle_set(t):
@@ -39,16 +39,18 @@ def shingle_set(t):
 
 
 def near_duplicates(rows):
-    """Of each group the smallest id, of rows with one id that of the smallest text, and all rows without an id."""
-    ids = sorted({r[0] for r in rows if r[0] is not None})
-    sets = {i: [shingle_set(r[1]) for r in rows if r[0] == i] for i in ids}
-    least = {i: i for i in ids}
-    for a, b in itertools.combinations(ids, 2):
-        if any(x and y and 100 * len(x & y) >= 80 * len(x | y) for x in sets[a] for y in sets[b]):
+    """Of each group of linked rows one of the smallest id, and all rows without an id."""
+    some = sorted({r for r in rows if r[0] is not None}, key=str)
+    sets = [shingle_set(r[1]) for r in some]
+    least = list(range(len(some)))
+    for a, b in itertools.combinations(range(len(some)), 2):
+        if some[a][:2] == some[b][:2] or sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
             p, q = least[a], least[b]
-            least = {k: min(p, q) if v in (p, q) else v for k, v in least.items()}
-    stay = [min((r for r in rows if r[0] == i), key=lambda r: r[1]) for i in ids if least[i] == i]
-    return stay + [r for r in rows if r[0] is None]
+            least = [min(p, q) if v in (p, q) else v for v in least]
+    groups = {}
+    for r, v in zip(some, least, strict=True):
+        groups.setdefault(v, []).append(r)
+    return [min(g, key=lambda r: r[0]) for g in groups.values()] + [r for r in rows if r[0] is None]
 
 
 def without_repeats(rows):

@@ -4,8 +4,6 @@ from __future__ import annotations
 
 import math
 import os
-import tempfile
-import uuid
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -15,33 +13,15 @@ import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from threadloom.sources.shared import new_path, shared_dir  # noqa: F401 - used by the operators
+
 #: A word: a run of characters other than space and \t \n \v \f \r. `bytes.split()` splits at exactly these.
 WORD = r"[^\x20\x09-\x0D]+"
 BLANK_BYTES = b" \t\n\x0b\x0c\r"
 
-_own_dir: str | None = None
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: `spark.checkpoint.dir` of the session. Where that is unset a local
-    run makes a new one, as driver and executors are one process there; anywhere else it's an error."""
-    global _own_dir
-    if found := spark.conf.get("spark.checkpoint.dir", None):
-        return found.rstrip("/")
-    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
-        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-    if _own_dir is None:
-        _own_dir = "file://" + tempfile.mkdtemp(prefix="threadloom-")
-    spark.sparkContext.setCheckpointDir(_own_dir)
-    return _own_dir
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-
 def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a Parquet table in the shared folder: lost executors don't make Spark recompute what came before."""
+    """df as a Parquet table in the shared folder: lost executors don't make Spark recompute what came before. It stays until
+    `shared.forget`, as results may still read it."""
     spark = df.sparkSession
     path = new_path(spark, name)
     df.write.parquet(path)
@@ -67,10 +47,20 @@ def text_bytes(df: DataFrame, text: str = "text") -> tuple[int, int]:
     return row[0], row[1] or 0
 
 
-def parts(total: int, each: int, least: int = 48) -> int:
+def parts(total: int, each: int, least: int = 1) -> int:
     return max(least, math.ceil(total / each))
 
 
+#: Bytes of text in a group of documents, which a task holds whole.
+GROUP_BYTES = 4 << 20
+
+
+def group_count(docs: DataFrame, text: str) -> int:
+    """Groups for `grouped`: as many as the texts' bytes ask for, and enough for a small table to use a few dozen cores."""
+    _, size = text_bytes(docs, text)
+    return parts(size, GROUP_BYTES, min(48, 2 * docs.sparkSession.sparkContext.defaultParallelism))
+
+
 def pack(a: np.ndarray, level: int = 1) -> bytes:
     return zstandard.ZstdCompressor(level=level).compress(a.tobytes())
 
@@ -164,6 +154,30 @@ def dealt(df: DataFrame, by: str, n: int) -> DataFrame:
     return df.withColumn("p", F.pmod(by, F.lit(p)).cast("int")).repartitionById(p, F.col("p"))
 
 
+#: A key with more than this share of all rows is dealt over several tasks; fewer keys than this have so many.
+HOT_SHARES = 512
+#: No key of a table of slim rows is too much for a task up to here.
+SALTED_FROM = 5_000_000
+
+
+def salted_join(left: DataFrame, right: DataFrame, on: list[str], *, rows: str, total: int, how: str = "inner", shares: int = HOT_SHARES, least: int | None = None) -> DataFrame:
+    """left joined with right, which has each key of `on` once and tells in the column `rows` how many rows of left have
+    it, of `total` in all. A key that more than total / shares rows have is dealt over as many salts as bring it below
+    that; there are fewer than `shares` such keys, so they are broadcast. `rows` isn't in the result.
+
+    Catalyst splits skewed keys only where both sides come straight from their shuffles; here right is an aggregate. Up to
+    `least` rows (SALTED_FROM) in all it's a plain join, with a smaller plan and the same result.
+    """
+    if total <= (SALTED_FROM if least is None else least):
+        return left.join(right.drop(rows), on, how)
+    share = max(1, total // shares)
+    salts = F.ceil(F.col(rows) / share).cast("int")
+    hot = right.where(F.col(rows) > share).select(*on, salts.alias("_salts"))
+    dealt_left = left.join(F.broadcast(hot), on, "left").withColumn("_salt", F.coalesce(F.pmod(F.xxhash64(*left.columns), "_salts").cast("int"), F.lit(0))).drop("_salts")
+    dealt_right = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), salts - 1))).drop(rows)
+    return dealt_left.join(dealt_right, [*on, "_salt"], how).drop("_salt")
+
+
 def grouped(docs: DataFrame, groups: int, key: str, text: str, *carry: str) -> DataFrame:
     """g, p, key (long), text and carried columns: rows dealt into groups of about equal size by key and text. A key of
     another type than a whole number is an error that names it."""

@@ -14,7 +14,7 @@ BACK = "g long, shard long, classes binary"
 def shards(groups: int) -> int:
     """Fewer shards than groups, so that what a group sends to each isn't small: it sends a row for each, at the most for
     each of its hashes."""
-    return max(16, groups // 2)
+    return max(4, groups // 2)
 
 
 def places(h: np.ndarray, shards: int) -> np.ndarray:

@@ -33,10 +33,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import frequencies
-from .common import dealt, gram_hashes, grouped, hashed_words, parts, text_bytes, written
+from .common import dealt, gram_hashes, group_count, grouped, hashed_words, salted_join, written
 from .components import components
 
-GROUP_BYTES = 8 << 20
 CHUNK = 256
 CELL = 64
 PIVOTS = 8
@@ -270,8 +269,9 @@ def tile_links(left: DataFrame, sets: DataFrame, *, percent: int, chunk: int) ->
     x, y = F.floor(F.log("size") / width).cast("int"), F.floor(F.col("d") / radius).cast("int")
     placed = left.join(sets.select("key", "size"), "key").select("region", "key", "links", x.alias("x"), y.alias("y"))
     at = ["region", "x", "y", "links"]
-    counts = written(placed.groupBy(*at).agg(F.ceil(F.count(F.lit(1)) / chunk).cast("long").alias("parts")), "jaccard-tiles")
-    dealt = placed.join(counts, at).select(*at, F.pmod(F.xxhash64("key"), "parts").alias("part"), "key")
+    counts = written(placed.groupBy(*at).agg(F.count(F.lit(1)).alias("_n")).withColumn("parts", F.ceil(F.col("_n") / chunk).cast("long")), "jaccard-tiles")
+    total = counts.agg(F.sum("_n")).first()[0] or 0
+    in_parts = salted_join(placed, counts, at, rows="_n", total=total).select(*at, F.pmod(F.xxhash64("key"), "parts").alias("part"), "key")
     tiles = counts.select(*at, F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"))
     tile = F.struct("x", "y", "links", "part")
     steps = F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)))
@@ -279,7 +279,7 @@ def tile_links(left: DataFrame, sets: DataFrame, *, percent: int, chunk: int) ->
     pairs = ones.join(tiles.select("region", "x", "y", tile.alias("b")), ["region", "x", "y"]).where((F.col("a") <= F.col("b")) & ~(F.col("a.links") & F.col("b.links"))).select("region", "a", "b")
     sides = F.array(F.struct(F.lit(0).alias("side"), F.col("a").alias("t")), F.struct(F.lit(1).alias("side"), F.col("b").alias("t")))
     ends = pairs.select("region", "a", "b", F.explode(F.when(F.col("a") == F.col("b"), F.slice(sides, 1, 1)).otherwise(sides)).alias("e")).select("region", F.struct("a", "b").alias("pair"), "e.side", "e.t.*")
-    loaded = dealt.join(ends, [*at, "part"]).select("region", "pair", "side", "links", "key").join(sets.select("key", "set"), "key")
+    loaded = in_parts.join(ends, [*at, "part"]).select("region", "pair", "side", "links", "key").join(sets.select("key", "set"), "key")
     return loaded.groupBy("region", "pair").applyInArrow(lambda t: tile_pair(t.select(["key", "set", "links", "side"]), percent), "a long, b long")
 
 
@@ -287,22 +287,25 @@ def near_links(sets: DataFrame, *, percent: int, chunk: int = CHUNK) -> DataFram
     """Links (a, b) that connect all sets within the radius. `sets`: key, size, set, prefix; equal sets only once."""
     spark = sets.sparkSession
     postings = sets.select("key", "prefix").mapInArrow(lambda bs: (b for x in bs for b in _prefixes(pa.Table.from_batches([x])).to_batches()), "key long, shingle long")
-    pivots = postings.groupBy("shingle").agg(F.min("key").alias("region"), F.max("key").alias("_most")).where("region < _most").drop("_most")
-    places = written(postings.join(pivots, "shingle").where("key <> region").select("region", "key").distinct(), "jaccard-places")
+    pivots = postings.groupBy("shingle").agg(F.min("key").alias("region"), F.max("key").alias("_most"), F.count(F.lit(1)).alias("_n")).where("region < _most").drop("_most")
+    total = sets.agg(F.sum(F.octet_length("prefix")) / 8).first()[0] or 0
+    places = written(salted_join(postings, pivots, ["shingle"], rows="_n", total=int(total)).where("key <> region").select("region", "key").distinct(), "jaccard-places")
     # a chunk holds part of a region and the pivot, so no region gathers in one task
-    sized = places.groupBy("region").agg(F.ceil(F.count(F.lit(1)) / chunk).cast("long").alias("chunks"))
-    members = places.join(sized, "region").select("region", "key", F.pmod(F.xxhash64("key"), "chunks").alias("chunk"))
+    sized = places.groupBy("region").agg(F.count(F.lit(1)).alias("_n")).withColumn("chunks", F.ceil(F.col("_n") / chunk).cast("long"))
+    total = places.count()
+    members = salted_join(places, sized, ["region"], rows="_n", total=total).select("region", "key", F.pmod(F.xxhash64("key"), "chunks").alias("chunk"))
     own = sized.select("region", F.col("region").alias("key"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).alias("chunk"))
     loaded = members.unionByName(own).join(sets.select("key", "set"), "key")
     met = written(loaded.groupBy("region", "chunk").applyInArrow(lambda t: star(t, percent), "region long, key long, d double, links boolean"), "jaccard-star")
     links = met.where("links").select(F.col("region").alias("a"), F.col("key").alias("b"))
     radius = 1 - percent / 100
-    outside = met.where("NOT links").groupBy("region").agg(F.min("d").alias("_out"))
-    left = written(met.join(outside, "region").where(~F.col("links") | (F.col("d") >= F.col("_out") - F.lit(radius + 1e-9))).select("region", "key", "d", "links"), "jaccard-left")
-    sizes = left.groupBy("region").agg((F.count(F.lit(1)) > chunk).alias("many"))
-    few = left.join(sizes.where("NOT many"), "region").select("region", "key", "links").join(sets.select("key", "set"), "key")
+    outside = met.groupBy("region").agg(F.min(F.when(~F.col("links"), F.col("d"))).alias("_out"), F.count(F.lit(1)).alias("_n")).where("_out IS NOT NULL")
+    left = written(salted_join(met, outside, ["region"], rows="_n", total=total).where(~F.col("links") | (F.col("d") >= F.col("_out") - F.lit(radius + 1e-9))).select("region", "key", "d", "links"), "jaccard-left")
+    sizes = left.groupBy("region").agg(F.count(F.lit(1)).alias("_n")).withColumn("many", F.col("_n") > chunk)
+    sorted_out = salted_join(left, sizes, ["region"], rows="_n", total=total)
+    few = sorted_out.where("NOT many").select("region", "key", "links").join(sets.select("key", "set"), "key")
     rest = few.groupBy("region").applyInArrow(lambda t: leaf(t.select(["key", "set", "links"]), percent), "a long, b long")
-    many = left.join(sizes.where("many"), "region", "left_semi")
+    many = sorted_out.where("many").drop("many")
     return links.unionByName(rest).unionByName(tile_links(many, sets, percent=percent, chunk=chunk))
 
 
@@ -313,8 +316,7 @@ def classes(docs: DataFrame, *, percent: int = 80, n: int = 5, key: str = "doc_i
     one key count as one document with several texts. Other columns aren't read. `chunk`: how many sets a task holds of a
     region.
     """
-    _, size = text_bytes(docs, text)
-    g = parts(size, GROUP_BYTES)
+    g = group_count(docs, text)
     shards = frequencies.shards(g)
     texts = grouped(docs, g, key, text)
     sent = texts.groupBy("p", "g").applyInArrow(lambda t: send(t, n, shards), frequencies.SENT)

@@ -3,7 +3,8 @@
 Documents are cut into pieces of at most `capacity` tokens and put into bins of that capacity. A bin never holds two
 pieces of one duplicate cluster, nor more than `max_per_source` of one source. Bins are ordered by what is left in
 them; each piece, largest first, goes to the tightest bin that has room and no conflict: the search starts at the
-smallest sufficient remainder and moves to the successor while bitmaps of the bin's sources and clusters conflict.
+smallest sufficient remainder and moves to the successor while bitmaps of the bin's sources and clusters conflict. A full
+bin is closed, to pieces of nothing as well.
 
 Documents are dealt by hash into shards of about `shard_docs`, each packed by one task. Only keys, lengths, sources and
 cluster hashes travel. A cluster or source that holds a third of the rows is spread over all shards. Rows that are equal

@@ -21,15 +21,20 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page; a null or empty page, or one of boilerplate alone, has an empty one. Repeated rows stay."""
     return html_extract.extract_text(table(spark, sf_dir, "pages"))
 
 
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What every document keeps without passages that an earlier one has; null and empty texts keep the empty text, rows of
+    one id don't count against each other, a null id loses nothing."""
     out = substring_dedup.dedup(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
 
 
 def op4_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text as an image in an archive, read back; a null text is stored as an empty one, null ids and repeats as
+    members of their own."""
     return media.media_column(table(spark, sf_dir, "documents"))
 
 
@@ -58,12 +63,14 @@ def captures_and_lists(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def op5_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page's capture with the list entries in force; a null URL or one without a host matches none."""
     captures, entries = captures_and_lists(table(spark, sf_dir, "pages"))
     out = url_filter.filter_urls(captures, entries)
     return out.withColumn("fetched_at", F.date_format("fetched_at", "yyyy-MM-dd HH:mm:ss"))
 
 
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's language; a null text or one without letters is `und` with score 0. A null id isn't held out."""
     docs = table(spark, sf_dir, "documents")
     held = langid.held_out(F.col("doc_id"))
     model = langid.train(docs.where(~held))
@@ -71,21 +78,26 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's class; null and wordless texts are classes of their own, rows of one id one document with several
+    texts; a null id has a null class."""
     return jaccard_join.classes(table(spark, sf_dir, "documents"))
 
 
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """No bin holds two near copies."""
+    """Pieces of all documents in bins, of which none holds two near copies. Null and empty texts are pieces of 0, repeated
+    rows pieces of their own."""
     return packing.pack(packing.with_clusters(table(spark, sf_dir, "documents")), tokens=F.col("tokens"), cluster=F.col("cluster"))
 
 
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of every text; null and empty ones have 0. Repeated rows stay."""
     import public_tokenizers
 
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
 
 
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's counts and verdict; null and blank texts have no words and fail the base rules."""
     docs = table(spark, sf_dir, "documents")
     return quality.apply_rules(docs, quality.train(docs, table(spark, sf_dir, "labels")))
 

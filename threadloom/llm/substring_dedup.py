@@ -28,9 +28,8 @@ import xxhash
 from pyspark.sql import DataFrame
 
 from . import frequencies
-from .common import dealt, gram_hashes, grouped, hashed_words, mixed, pack, parts, squeeze, text_bytes, unpack, unsqueeze
+from .common import dealt, gram_hashes, group_count, grouped, hashed_words, mixed, pack, squeeze, unpack, unsqueeze
 
-GROUP_BYTES = 8 << 20
 MINIMIZER = 4
 AUTOMATON_WORDS = 20_000
 #: From 2^HOT spans on, a minimizer's windows are dealt one by one; as many spans fill an automaton.
@@ -380,8 +379,7 @@ def dedup(docs: DataFrame, *, window: int = 13, key: str = "doc_id", text: str =
     """
     if window < MINIMIZER:
         raise ValueError(f"window must be at least {MINIMIZER}")
-    _, size = text_bytes(docs, text)
-    n = parts(size, GROUP_BYTES)
+    n = group_count(docs, text)
     counted = frequencies.shards(n)
     kinds = dict(docs.dtypes)
     texts = grouped(docs, n, key, text, *carry)

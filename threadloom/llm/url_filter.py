@@ -15,8 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-HOT_SHARES = 512
-
+from .common import HOT_SHARES, salted_join
 
 def host(url: Column) -> Column:
     """Lower-case host of a URL, whole, without user, port and trailing dot; null if there is none."""
@@ -57,13 +56,9 @@ def filter_urls(captures: DataFrame, entries: DataFrame, *, key: str = "page_id"
     longest = entries.agg(F.max(F.length(F.lower("pattern")))).first()[0] or 0
     seen = captures.select(F.col(key).alias("_k"), F.col(url).alias("_u"), F.col(at).alias("_t"), host(F.col(url)).alias("host"))
     hosts = seen.where("host IS NOT NULL").groupBy("host").agg(F.count(F.lit(1)).alias("captures"))
-    share = F.greatest(F.floor(F.lit(captures.count()) / hot_shares), F.lit(1))
-    hot = hosts.where(F.col("captures") > share).select("host", F.ceil(F.col("captures") / share).cast("int").alias("_salts"))
-    parents = hosts.select("host", F.explode(domains(F.col("host"), longest)).alias("pattern"))
-    periods = parents.join(validity(entries), "pattern").groupBy("host").agg(F.collect_list(F.struct("valid_from", "valid_to", "list", "pattern")).alias("periods"))
-    salted = periods.join(F.broadcast(hot), "host", "left").select("host", "periods", F.explode(F.sequence(F.lit(0), F.coalesce("_salts", F.lit(1)) - 1)).alias("_salt"))
-    dealt = seen.join(F.broadcast(hot), "host", "left").withColumn("_salt", F.coalesce(F.pmod(F.xxhash64("_k", "_u", "_t"), "_salts").cast("int"), F.lit(0)))
-    found = dealt.join(salted, ["host", "_salt"], "left")
+    parents = hosts.select("host", "captures", F.explode(domains(F.col("host"), longest)).alias("pattern"))
+    periods = parents.join(validity(entries), "pattern").groupBy("host").agg(F.max("captures").alias("captures"), F.collect_list(F.struct("valid_from", "valid_to", "list", "pattern")).alias("periods"))
+    found = salted_join(seen, periods, ["host"], rows="captures", total=captures.count(), how="left", shares=hot_shares, least=0)
     active = F.filter(F.coalesce("periods", F.array().cast(periods.schema["periods"].dataType)), lambda p: (p["valid_from"] <= F.col("_t")) & (p["valid_to"].isNull() | (p["valid_to"] > F.col("_t"))))
     longest_first = F.array_max(F.transform(F.col("_a"), lambda p: F.struct(F.length(p["pattern"]), p["pattern"])))
     return found.withColumn("_a", F.when(F.col("_t").isNotNull(), active).otherwise(F.filter(active, lambda p: F.lit(False)))).select(
