@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from threadloom.llm import jaccard_join, langid, mixing, packing, substring_dedup
 from threadloom.llm.common import table, written
 from threadloom.llm.queries import MAX_REPEATS
+from threadloom.sources import shared
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -20,12 +21,18 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked documents the one of the smallest id stays. Of rows that repeat an id the one of the
-    smallest text stays; rows without an id stay."""
-    found = jaccard_join.classes(docs)
-    first = found.where("doc_id = component_id").select("doc_id").distinct()
-    rest = [c for c in COLUMNS if c != "doc_id"]
-    one = docs.select(*COLUMNS).join(first, "doc_id", "left_semi").groupBy("doc_id").agg(F.min(F.struct(*rest)).alias("r")).select("doc_id", "r.*")
+    """Of each group of linked documents the one of the smallest id stays. Rows that repeat an id are documents of their
+    own: one goes only if it links with a row that stays, or has its id and text; rows without an id stay."""
+    rows = docs.select(*COLUMNS).where("doc_id IS NOT NULL")
+    again = written(rows.groupBy("doc_id").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("doc_id", F.lit(True).alias("_again")), "pipeline-repeated")
+    if again.isEmpty():
+        keyed = rows.withColumn("_row", F.col("doc_id"))
+    else:  # a key of its own for each text of a repeated id
+        keyed = rows.join(again, "doc_id", "left").withColumn("_row", F.when(F.col("_again"), F.xxhash64("doc_id", "text")).otherwise(F.col("doc_id"))).drop("_again")
+    found = jaccard_join.classes(keyed, key="_row").select("_row", "component_id").distinct()
+    ids = keyed.select("_row", "doc_id").distinct()
+    first = found.join(ids, "_row").groupBy("component_id").agg(F.min(F.struct("doc_id", "_row")).alias("r")).select("r._row")
+    one = keyed.join(first, "_row", "left_semi").groupBy("_row").agg(F.min(F.struct(*COLUMNS)).alias("r")).select("r.*")
     return one.select(*COLUMNS).unionByName(docs.where("doc_id IS NULL").select(*COLUMNS))
 
 
@@ -41,6 +48,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of all rows in bins of 2,048 words; null and empty texts are pieces of 0, and repeats of a document, or copies
+    equal but for case, never share a bin."""
     return packing.pack(docs)
 
 
@@ -57,7 +66,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    """Rows of the last stage. Each stage but the last is written; what it and those before it wrote besides goes then."""
+    docs, others = table(spark, sf_dir, "documents"), shared.places()
     for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        out = stage(spark, docs, sf_dir)
+        path = shared.new_path(spark, f"pipeline-{name}")
+        out.write.parquet(path)
+        docs = spark.read.schema(out.schema).parquet(path)
+        shared.forget(spark, keep={*others, path})
     return STAGES[-1][1](spark, docs, sf_dir)
