@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import html_extract, jaccard_join, langid, media, mixing, packing, quality, substring_dedup, token_counts, url_filter
+from . import fill_middle, html_extract, jaccard_join, langid, media, mixing, packing, quality, substring_dedup, token_counts, url_filter
 from .common import table
 
 MAX_REPEATS = 2.0
@@ -102,8 +102,16 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.apply_rules(docs, quality.train(docs, table(spark, sf_dir, "labels")))
 
 
+def op12_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's form, cuts and output, and its text restored from those. Null and empty texts are plain; a null id
+    draws as an empty one, repeated rows alike."""
+    out = fill_middle.restore(fill_middle.transform(table(spark, sf_dir, "documents")))
+    digest = lambda c: F.sha2(F.col(c).cast("binary"), 256)
+    return out.select("doc_id", "n", "form", "prefix_chars", "middle_chars", digest("output").alias("output_sha256"), digest("restored").alias("restored_sha256"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_mixing, op2_html_extraction, op3_substring_dedup, op4_media_columns, op5_url_filters, op6_language_id, op7_jaccard_join, op8_best_fit_packing, op9_token_counts, op10_quality_rules]
+    found = [op1_mixing, op2_html_extraction, op3_substring_dedup, op4_media_columns, op5_url_filters, op6_language_id, op7_jaccard_join, op8_best_fit_packing, op9_token_counts, op10_quality_rules, op12_fill_middle]
     return {f.__name__: f for f in found}
 
 
@@ -172,5 +180,22 @@ FROM w LEFT JOIN gone USING (doc_id)
 """
 
 
+ORACLE_12 = r"""
+WITH t AS (SELECT doc_id, coalesce(text, '') AS text, sha256('42:' || coalesce(doc_id::VARCHAR, '')) AS h,
+        regexp_extract_all(coalesce(text, ''), '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') AS tok FROM documents),
+d AS (SELECT *, len(tok) AS n, ('0x' || substr(h, 1, 8))::BIGINT AS h1, ('0x' || substr(h, 9, 8))::BIGINT AS h2,
+        ('0x' || substr(h, 17, 8))::BIGINT AS h3, ('0x' || substr(h, 25, 8))::BIGINT AS h4 FROM t),
+c AS (SELECT *, least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b,
+        CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR h3 % 100 >= 50 THEN 'plain'
+             WHEN h4 % 100 < 80 THEN 'spm' ELSE 'psm' END AS form FROM d),
+s AS (SELECT *, array_to_string(tok[1:a], '') AS p, array_to_string(tok[a+1:b], '') AS m, array_to_string(tok[b+1:n], '') AS s FROM c)
+SELECT doc_id, n::BIGINT AS n, form, CASE WHEN form <> 'plain' THEN length(p) END::BIGINT AS prefix_chars,
+  CASE WHEN form <> 'plain' THEN length(m) END::BIGINT AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256,
+  sha256(text) AS restored_sha256
+FROM s
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_mixing": ORACLE_1, "op3_substring_dedup": ORACLE_3, "op5_url_filters": ORACLE_5}
+    return {"op1_mixing": ORACLE_1, "op3_substring_dedup": ORACLE_3, "op5_url_filters": ORACLE_5, "op12_fill_middle": ORACLE_12}
