@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fill_middle, html_extract, jaccard_join, langid, media, mixing, packing, quality, substring_dedup, token_counts, url_filter
+from . import fill_middle, filter_audit, html_extract, jaccard_join, langid, media, mixing, packing, quality, substring_dedup, token_counts, url_filter
 from .common import table
 
 MAX_REPEATS = 2.0
@@ -102,6 +102,11 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.apply_rules(docs, quality.train(docs, table(spark, sf_dir, "labels")))
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every order of the five filters over every document, by source; null texts are empty, a null source is the part ''."""
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op12_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's form, cuts and output, and its text restored from those. Null and empty texts are plain; a null id
     draws as an empty one, repeated rows alike."""
@@ -111,7 +116,7 @@ def op12_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_mixing, op2_html_extraction, op3_substring_dedup, op4_media_columns, op5_url_filters, op6_language_id, op7_jaccard_join, op8_best_fit_packing, op9_token_counts, op10_quality_rules, op12_fill_middle]
+    found = [op1_mixing, op2_html_extraction, op3_substring_dedup, op4_media_columns, op5_url_filters, op6_language_id, op7_jaccard_join, op8_best_fit_packing, op9_token_counts, op10_quality_rules, op11_filter_audit, op12_fill_middle]
     return {f.__name__: f for f in found}
 
 
@@ -180,6 +185,29 @@ FROM w LEFT JOIN gone USING (doc_id)
 """
 
 
+ORACLE_11 = r"""
+WITH t AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+lab AS (SELECT doc_id, max((quality = 1)::INT) AS good, max((toxic = 1)::INT) AS toxic FROM labels GROUP BY doc_id),
+first AS (SELECT text, min(doc_id) AS m FROM t GROUP BY text),
+d AS (SELECT part, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic,
+        (len(w) < 200)::INT + 2 * (100 * len(list_distinct(w)) < 50 * len(w))::INT
+        + 4 * (100 * (length(text) - length(regexp_replace(text, '[A-Z]', '', 'g'))) > 2 * length(text))::INT
+        + 8 * regexp_matches(text, '[#$%&*|]')::INT + 16 * coalesce(m < t.doc_id, false)::INT AS mask
+        FROM t LEFT JOIN first USING (text) LEFT JOIN lab ON lab.doc_id = t.doc_id),
+c AS (SELECT part, mask, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM d GROUP BY ALL),
+f AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS f, unnest([1, 2, 4, 8, 16]) AS bit),
+o AS (SELECT a.f || b.f || c.f || d.f || e.f AS filter_order, [a.bit, b.bit, c.bit, d.bit, e.bit] AS bits FROM f a, f b, f c, f d, f e
+        WHERE a.bit + b.bit + c.bit + d.bit + e.bit = 31 AND a.bit <> b.bit AND a.bit <> c.bit AND a.bit <> d.bit AND a.bit <> e.bit AND b.bit <> c.bit AND b.bit <> d.bit AND b.bit <> e.bit AND c.bit <> d.bit AND c.bit <> e.bit AND d.bit <> e.bit),
+s AS (SELECT filter_order, step, bits[step] AS bit, coalesce(list_sum(bits[1:step - 1]), 0)::INT AS before FROM o, range(1, 6) r(step)),
+x AS (SELECT part, filter_order, step, bit,
+        sum(CASE WHEN mask & before = 0 AND mask & bit = 0 THEN n ELSE 0 END) AS kept, sum(CASE WHEN mask & before = 0 AND mask & bit <> 0 THEN n ELSE 0 END) AS removed,
+        sum(CASE WHEN mask & before <> 0 AND mask & bit <> 0 THEN n ELSE 0 END) AS redundant, sum(CASE WHEN mask = bit THEN n ELSE 0 END) AS unique_fails,
+        sum(CASE WHEN mask & before = 0 AND mask & bit <> 0 THEN good ELSE 0 END) AS good_lost, sum(CASE WHEN mask & before = 0 AND mask & bit <> 0 THEN toxic ELSE 0 END) AS toxic_lost
+        FROM c, s GROUP BY ALL)
+SELECT part, filter_order, step::INT AS step, kept::BIGINT AS kept, removed::BIGINT AS removed, redundant::BIGINT AS redundant, unique_fails::BIGINT AS unique_fails,
+  good_lost::BIGINT AS good_lost, toxic_lost::BIGINT AS toxic_lost, (sum(removed) OVER (PARTITION BY part, bit))::BIGINT AS shapley FROM x
+"""
+
 ORACLE_12 = r"""
 WITH t AS (SELECT doc_id, coalesce(text, '') AS text, sha256('42:' || coalesce(doc_id::VARCHAR, '')) AS h,
         regexp_extract_all(coalesce(text, ''), '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') AS tok FROM documents),
@@ -198,4 +226,4 @@ FROM s
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_mixing": ORACLE_1, "op3_substring_dedup": ORACLE_3, "op5_url_filters": ORACLE_5, "op12_fill_middle": ORACLE_12}
+    return {"op1_mixing": ORACLE_1, "op3_substring_dedup": ORACLE_3, "op5_url_filters": ORACLE_5, "op11_filter_audit": ORACLE_11, "op12_fill_middle": ORACLE_12}
