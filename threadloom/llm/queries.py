@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fill_middle, filter_audit, html_extract, jaccard_join, langid, media, mixing, packing, quality, substring_dedup, token_counts, url_filter
+from . import fill_middle, filter_audit, html_extract, jaccard_join, langid, media, mixing, packing, quality, substring_dedup, suffix_dedup, token_counts, url_filter
 from .common import table
 
 MAX_REPEATS = 2.0
@@ -115,8 +115,15 @@ def op12_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n", "form", "prefix_chars", "middle_chars", digest("output").alias("output_sha256"), digest("restored").alias("restored_sha256"))
 
 
+def op13_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What every document keeps without the 400-byte strings that also start elsewhere; null texts are empty, null and
+    repeated ids are rows like others."""
+    out = suffix_dedup.dedup(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_mixing, op2_html_extraction, op3_substring_dedup, op4_media_columns, op5_url_filters, op6_language_id, op7_jaccard_join, op8_best_fit_packing, op9_token_counts, op10_quality_rules, op11_filter_audit, op12_fill_middle]
+    found = [op1_mixing, op2_html_extraction, op3_substring_dedup, op4_media_columns, op5_url_filters, op6_language_id, op7_jaccard_join, op8_best_fit_packing, op9_token_counts, op10_quality_rules, op11_filter_audit, op12_fill_middle, op13_suffix_dedup]
     return {f.__name__: f for f in found}
 
 
