@@ -116,6 +116,24 @@ def test_a_hot_minimizer_fills_no_automaton(kind):
     assert max(adds, default=0) < 46_000  # an automaton's words and one minimizer's
 
 
+def thue_morse(n, a, b):
+    return "".join((a, b)[i.bit_count() % 2] for i in range(n))
+
+
+def test_words_made_to_collide_dont(spark):
+    from threadloom.llm.common import hashed_words
+
+    words = {f(n, *x) for n in (64, 1024, 4096) for f in (thue_morse, lambda n, a, b: thue_morse(n, b, a)) for x in ("ab", "cz", "01")}
+    words |= {w[i : i + 8 * k] for w in words for i in range(0, 64, 8) for k in (1, 2, 3)}
+    words |= {"\0" * i + x + "\0" * j for x in ("", "a") for i in range(30) for j in range(30)} - {""}
+    words = [w.encode() for w in words]
+    assert len(set(hashed_words(words)[0].tolist())) == len(words)
+    texts = [f"one two three four {thue_morse(1024, *x)}" for x in ("ab", "ba")]
+    texts += [f"{texts[0]} five six", f"{texts[1]} five six", "one two", "one  two", "one two three", "a a a a a", "a a a a a a", "a a a a"]
+    got = jaccard_join.classes(spark.createDataFrame([*enumerate(texts)], "doc_id long, text string")).collect()
+    assert sorted(map(tuple, got)) == [(0, 1, 0), (1, 1, 1), (2, 3, 2), (3, 3, 3), (4, 1, 4), (5, 1, 4), (6, 1, 6), (7, 1, 7), (8, 1, 7), (9, 1, 9)]
+
+
 @pytest.mark.parametrize("chunk", [1024, 3])
 def test_jaccard_classes_against_brute_force(spark, docs, rows, chunk, monkeypatch):
     if chunk == 3:  # hot keys are dealt over tasks

@@ -101,23 +101,43 @@ def gram_hashes(h: np.ndarray, k: int) -> np.ndarray:
 
 #: Bytes hashed at a time, and the most that a word may have to be hashed among others.
 SEGMENT = 1 << 18
+#: Bytes of a word that are read as numbers; a longer word is hashed by itself.
+WHOLE = 24
 _IS_BLANK = np.zeros(256, bool)
 _IS_BLANK[list(BLANK_BYTES)] = True
-_VALUE = np.random.default_rng(9).integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_BASE = 0x9E3779B97F4A7C15
-_POWER = np.cumprod(np.full(SEGMENT, _BASE, np.uint64))
-_INVERSE = np.cumprod(np.full(SEGMENT, pow(_BASE, -1, 1 << 64), np.uint64))
+_FIRST_BYTES = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+
+
+def words_at(b: np.ndarray) -> np.ndarray:
+    """The 8 bytes from every place of b on as a number, but for the last seven places."""
+    n = max(0, len(b) - 7)
+    out = np.empty(n, np.uint64)
+    for i in range(min(8, n)):
+        out[i::8] = np.frombuffer(b, "<u8", len(range(i, n, 8)), i)
+    return out
+
+
+def stirred(h: np.ndarray) -> np.ndarray:
+    """Every bit of 64-bit values over all bits; no two values become one."""
+    h = (h ^ (h >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
+    h = (h ^ (h >> np.uint64(33))) * np.uint64(0xC4CEB9FE1A85EC53)
+    return h ^ (h >> np.uint64(33))
 
 
 def _segment(b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hashes, lengths and places of the words of at most SEGMENT bytes: each byte's value times a power of its place, summed up
-    to every place, so that a difference of two sums, shifted to the word's start, is the word's hash."""
+    """Hashes, lengths and places of the words of at most SEGMENT bytes. A word of up to WHOLE bytes goes in whole, 8 bytes at
+    a time, stirred in between; no sums or products of its bytes can cancel each other out."""
     edge = np.diff(np.concatenate([[True], _IS_BLANK[b], [True]]).view(np.int8))
     start, end = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
-    upto = np.zeros(len(b) + 1, np.uint64)
-    np.cumsum(_VALUE[b] * _POWER[: len(b)], out=upto[1:])
     length = end - start
-    return mixed((upto[end] - upto[start]) * _INVERSE[start] + length.astype(np.uint64)), length, start
+    read = words_at(np.concatenate([b, np.zeros(WHOLE, np.uint8)]))
+    h = length.astype(np.uint64)
+    for at in range(0, WHOLE, 8):
+        some = slice(None) if at == 0 else np.flatnonzero(length > at)
+        h[some] = stirred(h[some] + (read[start[some] + at] & _FIRST_BYTES[np.minimum(length[some] - at, 8)]))
+    for i in np.flatnonzero(length > WHOLE).tolist():
+        h[i] = xxhash.xxh3_64_intdigest(b[start[i] : end[i]])
+    return h, length, start
 
 
 def hashed_words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

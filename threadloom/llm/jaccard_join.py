@@ -19,7 +19,8 @@ the radius can link, so that what is settled leaves the region and the rest is j
    and members that link with the pivot are connected, so that two tiles of them don't meet.
 
 Pairs already connected are not compared again: the result is each document's class, and links that connect it.
-Shingles are compared by 64-bit hashes.
+Shingles are compared by 64-bit hashes, which a word of any bytes enters whole; a set of one shingle by 128 bits. A collision of
+two shingles changes an intersection by one, so that a false link takes a collision between two documents that are one shingle short of a link.
 """
 
 from __future__ import annotations
@@ -41,18 +42,19 @@ CELL = 64
 PIVOTS = 8
 
 
-def shingles(texts: list[str | None], n: int) -> list[np.ndarray]:
-    """The sets of n-word shingles of all texts as sorted hashes. Of fewer words, the whole sequence is the one shingle."""
+def shingles(texts: list[str | None], n: int) -> list[tuple[int, np.ndarray]]:
+    """Sizes of the sets of n-word shingles of all texts, and the sets as sorted 64-bit hashes. Of fewer words, the whole
+    sequence is the one shingle. A set of one has two hashes of it, as there a single collision would be a link; it links
+    with sets of one alone, so nothing else changes."""
     lower = [t.encode().lower() if t else b"" for t in texts]  # of bytes, lower() changes A-Z alone
     words, _, counts = hashed_words(lower)
     grams = gram_hashes(words, n) if len(words) >= n else np.zeros(0, np.uint64)
     out = []
     for text, count, end in zip(lower, counts.tolist(), counts.cumsum().tolist(), strict=True):
-        if count < n:
-            out.append(np.array([xxhash.xxh3_64_intdigest(b" ".join(text.split()), seed=count)][:count], np.uint64))
-            continue
-        h = np.sort(grams[end - count : end - n + 1])
-        out.append(h[np.concatenate([[True], h[1:] != h[:-1]])])
+        h = np.sort(grams[end - count : end - n + 1]) if count >= n else np.zeros(min(count, 1), np.uint64)
+        h = h[np.concatenate([[True], h[1:] != h[:-1]])] if len(h) else h
+        two = xxhash.xxh3_128_digest(b" ".join(text.split(None, n)[:n])) if len(h) == 1 else b""
+        out.append((len(h), np.sort(np.frombuffer(two, np.uint64)) if two else h))
     return out
 
 
@@ -66,8 +68,8 @@ class Sets:
         self.sets: list[np.ndarray] = []
         self.least: list[int] = []
         index: dict[bytes, int] = {}
-        for key, s in zip(self.keys, shingles(t.column("text").to_pylist(), n), strict=True):
-            self.sizes.append(len(s))
+        for key, (size, s) in zip(self.keys, shingles(t.column("text").to_pylist(), n), strict=True):
+            self.sizes.append(size)
             if not len(s) or key is None:
                 self.of.append(-1)
                 continue
