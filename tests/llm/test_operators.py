@@ -120,6 +120,19 @@ def thue_morse(n, a, b):
     return "".join((a, b)[i.bit_count() % 2] for i in range(n))
 
 
+#: Hosts as browsers take them.
+HOSTS = {
+    "http://[2001:db8::1]/": "[2001:db8::1]", "http://[2001:DB8::2]:80/x": "[2001:db8::2]", "http://u:p@[::1]:9/": "[::1]", "http://user:p@ss@h.com/": "h.com", "http://a.com\\@b.com/": "a.com",
+    "http:\\\\a.com\\x": "a.com", "https://A.Com.:443?q@z.com": "a.com", "http://a.com#@b.com": "a.com", " \thttp://a.c\nom/": "a.com", "ftp://x": "x", "http://": None, "http:///p": None, "mailto:a@b.com": None,
+    "a.com/x": None, "": None, "http://:80/": None, "http://@/": None, "http://a b.com/": "a b.com", "HTTP://BÜCHER.de/": "bücher.de",
+}
+
+
+def test_hosts_of_urls(spark):
+    got = spark.createDataFrame([(u,) for u in [*HOSTS, None]], "url string").select("url", url_filter.host(F.col("url"))).collect()
+    assert {u: h for u, h in got} == {**HOSTS, None: None}
+
+
 def test_words_made_to_collide_dont(spark):
     from threadloom.llm.common import hashed_words
 

@@ -161,7 +161,8 @@ WHERE turn < passes OR floor(h / 4503599627370496::DOUBLE * blocks)::BIGINT < co
 
 ORACLE_5 = r"""
 WITH raw AS (SELECT page_id, url, TIMESTAMP '2024-01-01' + to_minutes(((page_id * 7919) % 525600)::INTEGER) AS fetched_at,
-        regexp_replace(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:@]+)', 1)), '\.$', '') AS h FROM pages),
+        regexp_replace(lower(regexp_extract(regexp_replace(regexp_extract(regexp_replace(regexp_replace(url, '^[\x00-\x20]+|[\x00-\x20]+$', '', 'g'), '[\t\n\r]', '', 'g'),
+        '^[A-Za-z][A-Za-z0-9+.-]*:[/\\]{2}([^/\\?#]*)', 1), '^.*@', ''), '^(\[[^\]]*\]|[^:]*)', 1)), '\.$', '') AS h FROM pages),
 cap AS (SELECT page_id, url, fetched_at, nullif(h, '') AS host FROM raw),
 hosts AS (SELECT DISTINCT host, string_split(host, '.') AS labels FROM cap WHERE host IS NOT NULL),
 parents AS (SELECT host, unnest(list_transform(range(1, len(labels) + 1), lambda i: array_to_string(labels[i:], '.'))) AS pattern, unnest(range(1, len(labels) + 1)) AS i FROM hosts),

@@ -8,6 +8,7 @@ Captures are looked up by host: hosts are made distinct first, so the explosion
 the patterns see each host once, and the one join that sees all captures gives one row for each. A host that has more
 than 1 / HOT_SHARES of all captures (there are fewer than HOT_SHARES of these, so they may be broadcast) is salted: its
 captures are dealt over as many salts as it takes to bring them below that share, and its few periods are copied to each.
+Parent domains that so many hosts have (`com`) are salted likewise, or dropped before they are shuffled if on no list.
 """
 
 from __future__ import annotations
@@ -17,10 +18,17 @@ from pyspark.sql import functions as F
 
 from .common import HOT_SHARES, salted_join
 
+
 def host(url: Column) -> Column:
-    """Lower-case host of a URL, whole, without user, port and trailing dot; null if there is none."""
-    h = F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:@]+)", 1))
-    return F.nullif(F.regexp_replace(h, r"\.$", ""), F.lit(""))
+    """Lower-case host of a URL, whole, without user, port and trailing dot; null if there is none.
+
+    As browsers read it: blanks around it and line breaks and tabs within don't count, a backslash ends the authority as a
+    slash does, a user may hold `@`, so the last one counts, and an IPv6 address is everything in its brackets.
+    """
+    clean = F.regexp_replace(F.regexp_replace(url, r"^[\x00-\x20]+|[\x00-\x20]+$", ""), r"[\t\n\r]", "")
+    authority = F.regexp_extract(clean, r"^[A-Za-z][A-Za-z0-9+.-]*:[/\\]{2}([^/\\?#]*)", 1)
+    own = F.regexp_extract(F.regexp_replace(authority, r"^.*@", ""), r"^(\[[^\]]*\]|[^:]*)", 1)
+    return F.nullif(F.regexp_replace(F.lower(own), r"\.$", ""), F.lit(""))
 
 
 def domains(h: Column, longest: int) -> Column:
@@ -45,6 +53,18 @@ def validity(entries: DataFrame) -> DataFrame:
     return last.withColumn("valid_to", F.lead("at").over(w)).where("listed").select("list", "pattern", F.col("at").alias("valid_from"), "valid_to")
 
 
+def on_lists(parents: DataFrame, periods: DataFrame, hot_shares: int) -> DataFrame:
+    """parents (host, captures, pattern) with the periods of their patterns, whatever share of all hosts has one."""
+    labels = parents.groupBy("pattern").agg(F.count(F.lit(1)).alias("hosts"))
+    total = labels.agg(F.sum("hosts")).first()[0] or 0
+    each = periods.groupBy("pattern").agg(F.collect_list(F.struct("valid_from", "valid_to", "list")).alias("_of"))
+    listed = each.join(labels, "pattern")
+    no_use = labels.where(F.col("hosts") > max(1, total // hot_shares)).join(each, "pattern", "left_anti").select("pattern")  # fewer than hot_shares
+    rest = parents.join(F.broadcast(no_use), "pattern", "left_anti")
+    found = salted_join(rest, listed, ["pattern"], rows="hosts", total=total, shares=hot_shares, least=0)
+    return found.select("host", "captures", "pattern", F.explode("_of").alias("_p")).select("host", "captures", "pattern", "_p.*")
+
+
 def filter_urls(captures: DataFrame, entries: DataFrame, *, key: str = "page_id", url: str = "url", at: str = "fetched_at", hot_shares: int = HOT_SHARES) -> DataFrame:
     """Per capture: key, url, at, host, n_active (entries in force), lists (their names, sorted), pattern (the longest
     one), blocked.
@@ -57,7 +77,8 @@ def filter_urls(captures: DataFrame, entries: DataFrame, *, key: str = "page_id"
     seen = captures.select(F.col(key).alias("_k"), F.col(url).alias("_u"), F.col(at).alias("_t"), host(F.col(url)).alias("host"))
     hosts = seen.where("host IS NOT NULL").groupBy("host").agg(F.count(F.lit(1)).alias("captures"))
     parents = hosts.select("host", "captures", F.explode(domains(F.col("host"), longest)).alias("pattern"))
-    periods = parents.join(validity(entries), "pattern").groupBy("host").agg(F.max("captures").alias("captures"), F.collect_list(F.struct("valid_from", "valid_to", "list", "pattern")).alias("periods"))
+    matched = on_lists(parents, validity(entries), hot_shares)
+    periods = matched.groupBy("host").agg(F.max("captures").alias("captures"), F.collect_list(F.struct("valid_from", "valid_to", "list", "pattern")).alias("periods"))
     found = salted_join(seen, periods, ["host"], rows="captures", total=captures.count(), how="left", shares=hot_shares, least=0)
     active = F.filter(F.coalesce("periods", F.array().cast(periods.schema["periods"].dataType)), lambda p: (p["valid_from"] <= F.col("_t")) & (p["valid_to"].isNull() | (p["valid_to"] > F.col("_t"))))
     longest_first = F.array_max(F.transform(F.col("_a"), lambda p: F.struct(F.length(p["pattern"]), p["pattern"])))
