@@ -130,3 +130,36 @@ def test_what_was_written_can_be_forgotten(spark, tmp_path):
     assert spark.read.parquet(two).count() == 3 and shared.places() == {*before, two}
     with pytest.raises(Exception, match="(?i)path"):
         spark.read.parquet(one).count()
+
+
+def test_a_run_forgets_its_own_places_alone(spark):
+    """Two runs at once, step by step: neither's clean-up touches what the other has written meanwhile."""
+    import threading
+
+    began, wrote, gone = threading.Event(), threading.Event(), threading.Event()
+    found = {}
+
+    def other():
+        began.wait(60)
+        with shared.run():
+            path = shared.new_path(spark, "other")
+            spark.range(3).write.parquet(path)
+            wrote.set()
+            gone.wait(60)
+            found["rows"] = spark.read.parquet(path).count()
+            found["forgot"] = shared.forget(spark)
+
+    thread = threading.Thread(target=other)
+    thread.start()
+    outside = shared.new_path(spark, "outside")
+    with shared.run():
+        mine, result = shared.new_path(spark, "mine"), shared.new_path(spark, "result")
+        for p in (mine, result):
+            spark.range(2).write.parquet(p)
+        began.set()
+        wrote.wait(60)
+        assert shared.places() == {mine, result} and shared.forget(spark, keep=[result]) == 1
+        gone.set()
+        thread.join(60)
+    assert found == {"rows": 3, "forgot": 1}
+    assert {outside, result} <= shared.places() and spark.read.parquet(result).count() == 2

@@ -20,6 +20,11 @@ def test_text_functions(spark):
     assert one(spark, T.compact_title(lit("\n\n## > Fix it\nnow"), 80)) == "Fix it"
     assert one(spark, T.local_day(lit("2026-01-01T23:30:00-02:00"))) == "2026-01-02"
     assert one(spark, T.local_day(lit("2026-01-01 or so"))) == "2026-01-01"
+    assert one(spark, T.local_day(lit("ééééééé"))) == "ééééé"
+    assert one(spark, T.local_day(lit("日本語日本語"))) is None and one(spark, T.local_day(lit("日本"))) is None
+    assert one(spark, T.snippet(lit("abc def"), "zzz")) == "" and one(spark, T.snippet(lit("abc def"), "zzz def")) == "abc def"
+    assert one(spark, T.snippet(lit("abc"), " ")) == "" and one(spark, T.snippet(lit("abc"), "")) == "abc" and one(spark, T.snippet(lit("x" * 99 + "the a the "), "the ")).startswith("x" * 60 + "the a")
+    assert one(spark, T.snippet(lit("x" * 99 + "the, " + "y" * 99 + "the "), "the ")) == "y" * 60 + "the " and one(spark, T.snippet(lit(None).cast("string"), "a")) is None
     assert one(spark, T.epoch_or_text(lit("1767225600000"))) == "2026-01-01T00:00:00.000Z"
     assert one(spark, T.basename(lit("/tmp/project/"))) == "project"
     assert one(spark, T.basename(lit("/"))) is None

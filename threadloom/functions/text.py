@@ -61,16 +61,19 @@ def terms(query: str) -> list[str]:
 
 
 def snippet(c: Column, query: str, width: int = 160, lead: int = 60) -> Column:
-    """`width` characters from `lead` before the first hit of the whole query, else of the first term that has one."""
+    """`width` characters from `lead` before the first hit of the whole query, else of the first term that has one; without a
+    hit an empty string."""
     low = F.lower(c)
-    hits = [F.locate(t, low) for t in dict.fromkeys([query.lower().strip(), *terms(query)])]
-    at = F.coalesce(*(F.when(h > 0, h) for h in hits), F.lit(1))
-    return F.substring(low, F.greatest(at - lead, F.lit(1)), F.lit(width))
+    hits = [F.locate(t, low) for t in dict.fromkeys([query.lower(), *terms(query)])]
+    at = F.coalesce(*(F.when(h > 0, h) for h in hits))
+    return F.when(at.isNull() & c.isNotNull(), "").otherwise(F.substring(low, F.greatest(at - lead, F.lit(1)), F.lit(width)))
 
 
 def local_day(c: Column) -> Column:
-    """The day of an RFC 3339 time in the session's zone; of anything else of 10 characters or more, the first 10."""
-    return F.when(c.rlike(RFC3339), F.date_format(F.try_to_timestamp(c), "yyyy-MM-dd")).when(F.octet_length(c) >= 10, F.substring(c, 1, 10))
+    """The day of an RFC 3339 time in the session's zone; of anything else the first 10 bytes, if these are whole characters
+    (null if they aren't, or if there are fewer)."""
+    head = F.try_validate_utf8(F.substring(F.encode(c, "UTF-8"), F.lit(1), F.lit(10)).cast("string"))
+    return F.when(c.rlike(RFC3339), F.date_format(F.try_to_timestamp(c), "yyyy-MM-dd")).when(F.octet_length(c) >= 10, head)
 
 
 def epoch_or_text(c: Column) -> Column:

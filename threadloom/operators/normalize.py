@@ -127,7 +127,7 @@ def normalize(records: DataFrame, *, markers: tuple[str, ...] = MARKERS) -> Data
     name = F.coalesce("own_name", F.when(F.col("tool_call_id").isNotNull(), earlier), F.when(result, F.coalesce("tool_call_id", F.lit("tool_result"))))
     named = found.withColumn("tool_name", name).where(F.col("blank_stays") | (strip(F.coalesce("text", F.lit(""))) != ""))
     shown = named.withColumn("text", strip(F.col("text"))).withColumn("synthetic_context", F.col("context") | F.col("thinking") | is_context(F.col("role"), F.col("text"), markers))
-    kept = drop_mirrored(shown, MESSAGES)
+    kept = drop_mirrored(shown, MESSAGES, run_rows=None)
     in_record, in_file = Window.partitionBy("file_path", "line_number").orderBy("block"), Window.partitionBy("file_path").orderBy("line_number", "block")
     return kept.select(
         "file_path", "line_number", (F.row_number().over(in_record) - 1).alias("message_index"), F.row_number().over(in_file).cast("long").alias("ord"), "role", "text",

@@ -6,36 +6,67 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from threadloom.functions import text as T
+from threadloom.operators.runs import RUN_ROWS, carry, in_runs
 from threadloom.schemas import Columns
 
 
-def drop_mirrored(df: DataFrame, m: Columns, pair: tuple[str, str] = ("event_msg", "response_item")) -> DataFrame:
+def drop_mirrored(df: DataFrame, m: Columns, pair: tuple[str, str] = ("event_msg", "response_item"), run_rows: int | None = RUN_ROWS) -> DataFrame:
     """Drop a message that repeats the last kept one's role and text, where the two types are the pair.
 
     Runs of equal role and text whose types are both in the pair form islands; in an island the rows of the first row's
-    type stay.
+    type stay. A long session's run takes from earlier ones what the last row was, and the first type of its island.
     """
-    w = Window.partitionBy(m.session).orderBy(*m.order)
-    now = F.struct(m.role, m.text)
-    inside = F.col(m.kind).isin(*pair)
+    rows, cut = in_runs(df, [m.session], list(m.order), run_rows)
+    within = [m.session, "_run"] if cut else [m.session]
+    w = Window.partitionBy(*within).orderBy(*m.order)
+    now, inside = F.struct(m.role, m.text), F.col(m.kind).isin(*pair)
     starts = ~F.coalesce((F.lag(now).over(w) == now) & F.lag(inside).over(w) & inside, F.lit(False))
-    marked = df.withColumn("_island", F.sum(starts.cast("long")).over(w))
-    first = F.first(m.kind).over(Window.partitionBy(m.session, "_island").orderBy(*m.order))
-    return marked.withColumn("_first", first).where(F.col(m.kind) == F.col("_first")).drop("_island", "_first")
-
-
-def head_tail(df: DataFrame, m: Columns, n: int) -> DataFrame:
+    marked = rows.withColumn("_starts", starts)
+    if cut:
+        here = F.struct(F.col(m.role).alias("role"), F.sha2(F.col(m.text).cast("string").cast("binary"), 256).alias("text"), inside.alias("inside"))
+        place = F.struct(*m.order)
+        marked = carry(marked.withColumn("_here", here), [m.session], {"_last_here": F.max_by("_here", place)}, {"_before": (F.last("_last_here"), True)})
+        again = (F.col("_before.role").eqNullSafe(F.col("_here.role"))) & (F.col("_before.text").eqNullSafe(F.col("_here.text"))) & F.col("_before.inside") & F.col("_here.inside")
+        first_row = F.row_number().over(w) == 1
+        marked = marked.withColumn("_starts", F.when(first_row, ~F.coalesce(again, F.lit(False))).otherwise(F.col("_starts")))
+    marked = marked.withColumn("_island", F.sum(F.col("_starts").cast("long")).over(w))
+    first = F.first(m.kind).over(Window.partitionBy(*within, "_island").orderBy(*m.order))
+    if cut:
+        begun = F.max_by(F.when(F.col("_starts"), F.col(m.kind)), F.when(F.col("_starts"), F.struct(*m.order)))
+        marked = carry(marked, [m.session], {"_begun": begun, "_any": F.max("_starts")}, {"_first_before": (F.last(F.when(F.col("_any"), F.struct("_begun")), ignorenulls=True), True)})
+        first = F.when(F.col("_island") > 0, first).otherwise(F.col("_first_before._begun"))
+    return marked.withColumn("_first", first).where(F.col(m.kind) == F.col("_first")).select(*df.columns)
+
+
+def numbered(df: DataFrame, keys: list[str], order: list[str], run_rows: int | None = RUN_ROWS) -> DataFrame:
+    """`ord` (1, 2, … along the session) and `total` of every row."""
+    rows, cut = in_runs(df, keys, order, run_rows)
+    w = Window.partitionBy(*keys, "_run") if cut else Window.partitionBy(*keys)
+    out = rows.withColumn("ord", F.row_number().over(w.orderBy(*order)).cast("long")).withColumn("total", F.count(F.lit(1)).over(w))
+    if cut:
+        out = carry(out, keys, {"_n": F.count(F.lit(1))}, {"_before": (F.sum("_n"), True), "_all": (F.sum("_n"), False)})
+        out = out.withColumns({"ord": F.col("ord") + F.coalesce("_before", F.lit(0)), "total": F.coalesce("_all", "total")}).drop("_before", "_all")
+    return out.drop("_run")
+
+
+def head_tail(df: DataFrame, m: Columns, n: int, run_rows: int | None = RUN_ROWS) -> DataFrame:
     """The first half (rounded up) and last half of n rows of each session, with ord, total and omitted."""
-    w = Window.partitionBy(m.session)
-    out = df.withColumn("ord", F.row_number().over(w.orderBy(*m.order)).cast("long")).withColumn("total", F.count(F.lit(1)).over(w))
+    out = numbered(df, [m.session], list(m.order), run_rows)
     head, tail = (n + 1) // 2, n // 2
     return out.where((F.col("ord") <= head) | (F.col("ord") > F.col("total") - tail)).withColumn("omitted", F.greatest(F.col("total") - n, F.lit(0)).cast("long"))
 
 
-def resolve_tool_names(df: DataFrame, session: str, call_id: str, order: list[str], name: Column) -> DataFrame:
+def resolve_tool_names(df: DataFrame, session: str, call_id: str, order: list[str], name: Column, run_rows: int | None = RUN_ROWS) -> DataFrame:
     """`resolved`: the name of the latest earlier call of the same id; null without one."""
-    w = Window.partitionBy(session, call_id).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    return df.withColumn("resolved", F.last(name, ignorenulls=True).over(w))
+    keys = [session, call_id]
+    rows, cut = in_runs(df.withColumn("_name", name), keys, order, run_rows)
+    w = Window.partitionBy(*keys, "_run") if cut else Window.partitionBy(*keys)
+    last = F.last("_name", ignorenulls=True)
+    out = rows.withColumn("resolved", last.over(w.orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)))
+    if cut:
+        latest = F.max_by("_name", F.when(F.col("_name").isNotNull(), F.struct(*order)))
+        out = carry(out, keys, {"_latest": latest}, {"_earlier": (F.last("_latest", ignorenulls=True), True)}).withColumn("resolved", F.coalesce("resolved", "_earlier")).drop("_earlier")
+    return out.drop("_name", "_run")
 
 
 def number_lines(df: DataFrame) -> DataFrame:
@@ -68,15 +99,22 @@ def contiguous_prefix(df: DataFrame, key: str, idx: str) -> DataFrame:
     return df.withColumn("_n", F.row_number().over(Window.partitionBy(key).orderBy(idx)) - 1).where(F.col("_n") == F.col(idx)).drop("_n")
 
 
-def search_document(df: DataFrame, m: Columns, cap: int) -> DataFrame:
+def search_document(df: DataFrame, m: Columns, cap: int, run_rows: int | None = RUN_ROWS) -> DataFrame:
     """session, document: role and text of its rows, a newline after each, up to `cap` bytes of whole characters."""
-    both = df.select(m.session, F.posexplode(F.array(m.role, m.text)).alias("part", "value"), *(F.col(c).alias(f"_o{i}") for i, c in enumerate(m.order)))
-    order = [*(f"_o{i}" for i in range(len(m.order))), "part"]
-    w = Window.partitionBy(m.session).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    placed = both.withColumn("value", F.coalesce("value", F.lit(""))).withColumn("before", F.coalesce(F.sum(F.octet_length("value") + 1).over(w), F.lit(0)))
-    kept = placed.where(F.col("before") < cap).withColumn("value", T.clip_bytes(F.col("value"), (F.lit(cap) - F.col("before")).cast("int")))
-    lines = F.array_sort(F.collect_list(F.struct("before", "value")))  # bounded by the cap
-    return kept.groupBy(m.session).agg(F.array_join(F.transform(lines, lambda x: F.concat(x["value"], F.lit("\n"))), "").alias("document"))
+    order = [f"_o{i}" for i in range(len(m.order))]
+    lines = df.select(m.session, F.array(*(F.coalesce(F.col(c).cast("string"), F.lit("")) for c in (m.role, m.text))).alias("_lines"), *(F.col(c).alias(o) for c, o in zip(m.order, order, strict=True)))
+    rows, cut = in_runs(lines, [m.session], order, run_rows)
+    w = (Window.partitionBy(m.session, "_run") if cut else Window.partitionBy(m.session)).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    size = F.octet_length(F.col("_lines")[0]) + F.octet_length(F.col("_lines")[1]) + 2
+    placed = rows.withColumn("_size", size.cast("long")).withColumn("before", F.coalesce(F.sum("_size").over(w), F.lit(0)))
+    if cut:
+        placed = carry(placed, [m.session], {"_bytes": F.sum("_size")}, {"_earlier": (F.sum("_bytes"), True)}).withColumn("before", F.col("before") + F.coalesce("_earlier", F.lit(0)))
+    # what the cap leaves of a row's two lines; rows beyond it are never collected
+    kept = placed.where(F.col("before") < cap).select(m.session, "before", F.posexplode("_lines").alias("part", "value"), F.octet_length(F.col("_lines")[0]).alias("_first"))
+    kept = kept.withColumn("before", F.col("before") + F.when(F.col("part") == 1, F.col("_first") + 1).otherwise(0)).where(F.col("before") < cap)
+    kept = kept.withColumn("value", T.clip_bytes(F.col("value"), (F.lit(cap) - F.col("before")).cast("int")))
+    both = F.array_sort(F.collect_list(F.struct("before", "value")))  # bounded by the cap
+    return kept.groupBy(m.session).agg(F.array_join(F.transform(both, lambda x: F.concat(x["value"], F.lit("\n"))), "").alias("document"))
 
 
 def whole_search_document(summaries: DataFrame, bodies: DataFrame, head: Column, cap: int) -> DataFrame:
@@ -115,7 +153,7 @@ def merge_partials(df: DataFrame, session: str, file: str, ts: str, value: str)
     return part.groupBy(session).agg(F.count(F.lit(1)).alias("files"), F.min_by(file, F.struct("a", file)).alias("primary_file"), F.min("a").alias("first"), F.max("b").alias("last"), F.sum("n").alias("rows"), F.sum("v").alias("total"))
 
 
-def order_cross_file(df: DataFrame, session: str, keys: list[str], n: int) -> DataFrame:
+def order_cross_file(df: DataFrame, session: str, keys: list[str], n: int, run_rows: int | None = RUN_ROWS) -> DataFrame:
     """The first half (rounded up) and last half of n records of each session, ordered across its files by `keys`, with
     ord, total and omitted."""
-    return head_tail(df, Columns(session, tuple(keys)), n)
+    return head_tail(df, Columns(session, tuple(keys)), n, run_rows)

@@ -30,9 +30,7 @@ def flag(value: bool | str | None) -> bool:
 
 
 def search(df: DataFrame, query: str, *, text: str = "search_text", with_snippet: bool = True) -> DataFrame:
-    """Rows that contain every term of the query, whatever its case."""
-    if not T.terms(query):
-        raise ValueError("blank query")
+    """Rows that contain every term of the query, whatever its case; a query without terms takes all rows."""
     low = F.lower(F.col(text))
     for t in T.terms(query):
         df = df.where(F.contains(low, F.lit(t)))

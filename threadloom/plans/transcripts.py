@@ -385,9 +385,15 @@ def redact_artifacts(spark, sf_dir):
     return edit.redact_artifacts(files, refs).select("session", "name")
 
 
-@says("""SELECT event_id, strftime(ts, '%Y-%m-%d') AS day, strftime(ts, '%Y-%m-%dT%H:%M:%S.') || left(strftime(ts, '%f'), 3) || 'Z' AS stamp, left(user_id || ' is not a time', 10) AS other_day FROM events""")
+@says("""SELECT event_id, strftime(ts, '%Y-%m-%d') AS day, strftime(ts, '%Y-%m-%dT%H:%M:%S.') || left(strftime(ts, '%f'), 3) || 'Z' AS stamp, left(user_id || ' is not a time', 10) AS other_day,
+ (SELECT left(foreign_text, k) FROM range(1, 11) r(k) WHERE strlen(left(foreign_text, k)) = 10 ORDER BY k LIMIT 1) AS foreign_day
+FROM (SELECT *, CASE event_id % 3 WHEN 0 THEN 'é' || user_id || 'ééééééé' WHEN 1 THEN event_id || '日本語日本語' ELSE 'é' || user_id END AS foreign_text FROM events)""")
 def time_fields(spark, sf_dir):
-    """Event times as epoch milliseconds, as RFC 3339 text, and text that is no time."""
+    """Event times as epoch milliseconds, as RFC 3339 text, and text that is no time, in ASCII and in characters of more bytes."""
     text = F.concat(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss"), F.lit("Z"))
     millis = F.unix_millis(F.from_utc_timestamp("ts", F.current_timezone()))
-    return _t(spark, sf_dir, "events").select("event_id", T.local_day(text).alias("day"), T.epoch_or_text(millis.cast("string")).alias("stamp"), T.local_day(F.concat(F.col("user_id").cast("string"), F.lit(" is not a time"))).alias("other_day"))
+    user, other = F.col("user_id").cast("string"), F.pmod("event_id", F.lit(3))
+    foreign = F.when(other == 0, F.concat(F.lit("é"), user, F.lit("é" * 7))).when(other == 1, F.concat(F.col("event_id").cast("string"), F.lit("日本語日本語"))).otherwise(F.concat(F.lit("é"), user))
+    return _t(spark, sf_dir, "events").select(
+        "event_id", T.local_day(text).alias("day"), T.epoch_or_text(millis.cast("string")).alias("stamp"), T.local_day(F.concat(user, F.lit(" is not a time"))).alias("other_day"), T.local_day(foreign).alias("foreign_day"),
+    )

@@ -4,12 +4,15 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Collection
+from collections.abc import Collection, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import SparkSession
 
 _own_dir: str | None = None
-_made: list[str] = []
+#: Places by run. Each thread starts outside of any run; what it makes there is in a list of its own.
+_made: ContextVar[list[str] | None] = ContextVar("places", default=None)
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -26,23 +29,44 @@ def shared_dir(spark: SparkSession) -> str:
     return _own_dir
 
 
+def _places() -> list[str]:
+    if (made := _made.get()) is None:
+        _made.set(made := [])
+    return made
+
+
+@contextmanager
+def run() -> Iterator[None]:
+    """A run with places of its own: within it `places` and `forget` know what this run has made and nothing else, whatever
+    other runs and threads do meanwhile. What it hasn't forgotten at its end belongs to what is around it."""
+    around = _places()
+    token = _made.set([])
+    try:
+        yield
+    finally:
+        around += _places()
+        _made.reset(token)
+
+
 def new_path(spark: SparkSession, name: str) -> str:
     """A new place in the shared folder; `forget` deletes what was written there."""
-    _made.append(f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}")
-    return _made[-1]
+    made = _places()
+    made.append(f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}")
+    return made[-1]
 
 
 def places() -> set[str]:
-    """All places that `new_path` gave and `forget` hasn't deleted."""
-    return set(_made)
+    """The places that `new_path` gave this run and `forget` hasn't deleted."""
+    return set(_places())
 
 
 def forget(spark: SparkSession, keep: Collection[str] = ()) -> int:
-    """Delete what this process has written to places that `new_path` gave, but for `keep`; how many places that were.
-    Results that still read them fail afterwards, so it's for when these are written or no longer needed."""
-    gone = [p for p in _made if p not in keep]
+    """Delete what this run has written to places that `new_path` gave, but for `keep`; how many places that were. Results
+    that still read them fail afterwards, so it's for when these are written or no longer needed."""
+    made = _places()
+    gone = [p for p in made if p not in keep]
     for place in gone:
         path = spark._jvm.org.apache.hadoop.fs.Path(place)
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-    _made[:] = [p for p in _made if p in keep]
+    made[:] = [p for p in made if p in keep]
     return len(gone)
