@@ -66,12 +66,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows of the last stage. Each stage but the last is written; what it and those before it wrote besides goes then."""
-    docs, others = table(spark, sf_dir, "documents"), shared.places()
-    for name, stage in STAGES[:-1]:
-        out = stage(spark, docs, sf_dir)
-        path = shared.new_path(spark, f"pipeline-{name}")
-        out.write.parquet(path)
-        docs = spark.read.schema(out.schema).parquet(path)
-        shared.forget(spark, keep={*others, path})
-    return STAGES[-1][1](spark, docs, sf_dir)
+    """Rows of the last stage. Each stage but the last is written; what it and those before it wrote besides goes then, and
+    nothing that other queries have written meanwhile."""
+    docs = table(spark, sf_dir, "documents")
+    with shared.run():
+        for name, stage in STAGES[:-1]:
+            out = stage(spark, docs, sf_dir)
+            path = shared.new_path(spark, f"pipeline-{name}")
+            out.write.parquet(path)
+            docs = spark.read.schema(out.schema).parquet(path)
+            shared.forget(spark, keep=[path])
+        return STAGES[-1][1](spark, docs, sf_dir)
