@@ -9,7 +9,7 @@ from threadloom.functions import text as T
 from threadloom.functions import variants as V
 from threadloom.operators import edit, normalize, ordered, query, summary
 from threadloom.plans.registry import CONV, _t, says
-from threadloom.sources import logs, shared, snapshots
+from threadloom.sources import arrays, logs, shared, snapshots
 from threadloom.streaming import refresh
 
 
@@ -65,13 +65,22 @@ def snapshot_lines(spark, sf_dir):
 @says("""WITH e AS (SELECT conv_id // 50 AS b, conv_id, turn, text, row_number() OVER (PARTITION BY conv_id // 50 ORDER BY conv_id, turn) - 1 AS line_number FROM conversations)
 SELECT '/logs/b' || b AS file_path, line_number, conv_id::VARCHAR AS id, turn FROM e WHERE turn % 4 <> 3 AND turn % 4 <> 2""")
 def array_log_elements(spark, sf_dir):
-    """Fifty conversations to an array log; of each four turns one names its session by a number, one names none."""
-    c = _t(spark, sf_dir, "conversations")
+    """Fifty conversations to an array log, read by ranges; of each four turns one names its session by a number, one names
+    none."""
     own = F.when(F.col("turn") % 4 == 2, F.col("conv_id").cast("variant")).when(F.col("turn") % 4 < 2, F.col("conv_id").cast("string").cast("variant"))
-    each = F.struct("conv_id", "turn", F.to_json(F.to_variant_object(F.struct(own.alias("sessionId"), F.col("turn")))).alias("e"))
-    items = F.array_join(F.transform(F.sort_array(F.collect_list(each)), lambda x: x["e"]), ",")
-    files = c.groupBy(F.concat(F.lit("/logs/"), _bucket("conv_id")).alias("file_path")).agg(F.parse_json(F.concat(F.lit("["), items, F.lit("]"))).alias("record"))
-    return logs.array_log_elements(files).select("file_path", "line_number", "id", F.try_variant_get("record", "$.turn", "bigint").alias("turn"))
+    record = F.to_variant_object(F.struct(own.alias("sessionId"), F.col("turn")))
+    path = shared.new_path(spark, "arrays")
+    lines = snapshots.array_lines(_elements(spark, sf_dir, record))
+    lines.repartition("file_path").sortWithinPartitions("file_path", "line_number").select("file_path", F.col("raw").alias("value")).write.partitionBy("file_path").text(path)
+    found = arrays.of_sessions(arrays.array_elements(arrays.scan_arrays(spark, [path], "*.txt")))
+    name = F.concat(F.lit("/logs/"), F.regexp_extract("file_path", r"file_path=([^/]+)", 1))
+    return found.select(name.alias("file_path"), "line_number", "id", F.try_variant_get("record", "$.turn", "bigint").alias("turn"))
+
+
+def _elements(spark, sf_dir, record) -> DataFrame:
+    """Turns as elements of array logs, fifty conversations to a log, in their order."""
+    c = _t(spark, sf_dir, "conversations")
+    return c.select(_bucket("conv_id").alias("file_path"), (F.col("conv_id") * 1_000_000 + F.col("turn")).alias("line_number"), record.alias("record"))
 
 
 @says("""WITH h AS (SELECT event_id, strftime(ts, '%Y-%m-%d') AS day, event_id % 3 AS batch FROM events)
@@ -204,12 +213,15 @@ def plan_holds(spark, sf_dir):
     return found[0].unionByName(found[1]).unionByName(found[2]).unionByName(found[3])
 
 
-@says("SELECT conv_id, message_count FROM (SELECT conv_id, count(*) AS message_count FROM conversations GROUP BY 1)")
+@says("""SELECT conv_id, count(*) AS message_count, sum(('0x' || substr(md5(turn || ':' || text), 1, 8))::BIGINT)::BIGINT AS texts FROM conversations WHERE turn % 5 <> 4 GROUP BY 1""")
 def documents_snapshot(spark, sf_dir):
-    """Conversations as array logs, written as documents of a new version and read back."""
-    c = _t(spark, sf_dir, "conversations")
-    files = c.groupBy(_bucket("conv_id").alias("file_path")).agg(F.parse_json(F.to_json(F.collect_list(F.struct(F.col("conv_id").cast("string").alias("sessionId"), "text")))).alias("record"))
+    """Conversations as array logs without every fifth turn, written as documents of a new version and read back."""
+    turn = F.struct(F.col("conv_id").cast("string").alias("sessionId"), "turn", "text")
+    every = _elements(spark, sf_dir, F.to_variant_object(turn))
+    left = every.where(F.try_variant_get("record", "$.turn", "bigint") % 5 != 4)
     path = shared.new_path(spark, "documents")
-    snapshots.write_documents(files, path)
-    back = logs.array_log_elements(snapshots.read_documents(spark, path))
-    return ordered.summarize(back.select(F.col("id").cast("long").alias("conv_id"), F.col("line_number").alias("turn"), F.lit("user").alias("role"), V.string_at(F.col("record"), "$.text").alias("text")), CONV).select("conv_id", "message_count")
+    snapshots.write_array_logs(left, path, every)
+    back = arrays.of_sessions(snapshots.read_array_logs(spark, path))
+    text = F.concat_ws(":", F.try_variant_get("record", "$.turn", "string"), V.string_at(F.col("record"), "$.text"))
+    share = F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("long")
+    return back.groupBy(F.col("id").cast("long").alias("conv_id")).agg(F.count(F.lit(1)).alias("message_count"), F.sum(share).alias("texts"))

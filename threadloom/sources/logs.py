@@ -11,6 +11,7 @@ from threadloom.functions import text as T
 from threadloom.functions import variants as V
 from threadloom.operators.normalize import is_context
 from threadloom.operators.ordered import contiguous_prefix, number_lines
+from threadloom.sources import arrays
 
 #: What the first event of every session document says.
 INFO = "Legacy Claude Code metadata; full project transcript is unavailable."
@@ -36,22 +37,19 @@ def read_documents(spark: SparkSession, roots: list[str], kind: str) -> DataFram
 
 
 def read_array_logs(spark: SparkSession, roots: list[str]) -> DataFrame:
-    """Elements of every logs.json below `<root>/tmp`, at most three levels deep, with their place (from 0). An element
-    without a sessionId, or whose sessionId is no string, is left out; so is a file that holds no array."""
-    path = F.col("_metadata.file_path")
+    """file_path, line_number (the place, from 0), record, id of the elements of every logs.json below `<root>/tmp`, at most
+    three levels deep, that name a session. Files are read by ranges, so they may be of any size."""
     tmp = [spark._jvm.org.apache.hadoop.fs.Path(f"{r.rstrip('/')}/tmp").toUri().getRawPath() for r in roots]
     depth = f"({'|'.join(map(re.escape, tmp))})/([^/]+/){{0,2}}logs\\.json$"
-    files = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "logs.json").option("wholetext", "true").text([f"{r.rstrip('/')}/tmp" for r in roots])
-    near = files.where(path.rlike(depth))
-    return array_log_elements(near.select(path.alias("file_path"), F.try_parse_json("value").alias("record")))
+    text = arrays.scan_arrays(spark, [f"{r.rstrip('/')}/tmp" for r in roots], "logs.json").where(F.col("file_path").rlike(depth))
+    return arrays.of_sessions(arrays.array_elements(text))
 
 
 def array_log_elements(files: DataFrame) -> DataFrame:
     """file_path, line_number, record, id of the elements of array logs (file_path, record) that name a session."""
-    arrays = files.where(V.is_kind(F.col("record"), "ARRAY")).select("file_path", F.col("record").alias("_array"))
-    each = arrays.lateralJoin(files.sparkSession.tvf.variant_explode(F.col("_array").outer()))
-    out = each.select("file_path", F.col("pos").cast("long").alias("line_number"), F.col("value").alias("record"))
-    return out.withColumn("id", V.string_at(F.col("record"), "$.sessionId")).where("id IS NOT NULL")
+    whole = files.where(V.is_kind(F.col("record"), "ARRAY")).select("file_path", F.col("record").alias("_array"))
+    each = whole.lateralJoin(files.sparkSession.tvf.variant_explode(F.col("_array").outer()))
+    return arrays.of_sessions(each.select("file_path", F.col("pos").cast("long").alias("line_number"), F.col("value").alias("record")))
 
 
 def parse_errors(records: DataFrame) -> DataFrame:
