@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from threadloom.functions import text as T
 from threadloom.functions import variants as V
-from threadloom.operators import normalize
+from threadloom.operators import normalize, prompts
 
 #: Providers that come with a client. Neither they nor `custom` are ever relabelled.
 BUILTIN = ("amazon-bedrock", "azure", "lmstudio", "ollama", "ollama-chat", "openai", "oss")
@@ -97,10 +97,16 @@ def message_key(identity: Column, role: str = "role", text: str = "text", ts: st
 
 def drop_duplicate_prompts(artifacts: DataFrame, messages: DataFrame, *, session: str, prefix: int = 80, least: int = 16) -> DataFrame:
     """Artifacts that no message of the session repeats: by containing the first `prefix` characters, or, if those are
-    fewer than `least`, by being equal."""
-    start = F.substring(F.col("a.text"), 1, prefix)
-    same = F.when(F.length(start) < least, F.col("a.text") == F.col("m.text")).otherwise(F.contains(F.col("m.text"), start))
-    return artifacts.alias("a").join(messages.alias("m"), (F.col(f"a.{session}") == F.col(f"m.{session}")) & same, "left_anti")
+    fewer than `least`, by being equal. Null texts and sessions repeat nothing and stay."""
+    start = F.substring("text", 1, prefix)
+    asked = artifacts.select(F.col(session).cast("string").alias("session"), F.when(F.length(start) >= least, start).alias("value"), F.when(F.length(start) < least, F.col("text")).alias("short"))
+    said = messages.select(F.col(session).cast("string").alias("session"), F.col("text").alias("value"))
+    held = prompts.contained(asked.select("session", "value"), said).select("session", "value", F.lit(True).alias("_long"))
+    same = asked.where("short IS NOT NULL").select("session", F.col("short").alias("value")).distinct().join(said, ["session", "value"], "left_semi").withColumn("_long", F.lit(False))
+    gone = held.unionByName(same).select(F.col("session").alias("_s"), F.col("value").alias("_v"), "_long")
+    long = F.length(start) >= least
+    at = (F.col(session).cast("string") == F.col("_s")) & (F.when(long, start).otherwise(F.col("text")) == F.col("_v")) & (long == F.col("_long"))
+    return artifacts.join(gone, at, "left_anti")
 
 
 def redact_entries(docs: DataFrame, refs: DataFrame) -> tuple[DataFrame, DataFrame]:
