@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from threadloom.functions import text as T
 from threadloom.functions import variants as V
-from threadloom.operators import edit, normalize, ordered, query, summary
+from threadloom.operators import edit, normalize, ordered, query, search_index, summary
 from threadloom.plans.registry import CONV, _t, says
 from threadloom.sources import arrays, logs, shared, snapshots
 from threadloom.streaming import refresh
@@ -225,3 +225,14 @@ def documents_snapshot(spark, sf_dir):
     text = F.concat_ws(":", F.try_variant_get("record", "$.turn", "string"), V.string_at(F.col("record"), "$.text"))
     share = F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("long")
     return back.groupBy(F.col("id").cast("long").alias("conv_id")).agg(F.count(F.lit(1)).alias("message_count"), F.sum(share).alias("texts"))
+
+
+@says("""SELECT doc_id, 'apache license' AS asked FROM documents WHERE contains(lower(text), 'apache') AND contains(lower(text), 'license')
+UNION ALL SELECT doc_id, 'The TION' FROM documents WHERE contains(lower(text), 'the') AND contains(lower(text), 'tion')
+UNION ALL SELECT doc_id, 'ße de' FROM documents WHERE contains(lower(text), 'ße') AND contains(lower(text), 'de')""")
+def search_indexed(spark, sf_dir):
+    """Documents in an index of at most 32 parts, searched for rare terms, frequent ones and ones too short for signatures."""
+    path = shared.new_path(spark, "search")
+    search_index.write_index(_t(spark, sf_dir, "documents"), path, key="doc_id", text="text", parts=32)
+    found = [search_index.search(spark, path, asked, text="text", with_snippet=False).select("doc_id", F.lit(asked).alias("asked")) for asked in ("apache license", "The TION", "ße de")]
+    return found[0].unionByName(found[1]).unionByName(found[2])
