@@ -6,6 +6,7 @@ from threadloom.functions import variants as V
 from threadloom.operators import edit, normalize, summary
 from threadloom.sources import logs
 from threadloom.streaming import refresh
+from threadloom.streaming import store as stores
 
 
 def records(spark, rows, path="f.jsonl"):
@@ -141,7 +142,7 @@ def test_stream_turns_landed_files_into_store_versions(spark, tmp_path):
         q = refresh.start_refresh_stream(spark, src, schema, refresh.refresh_store(store, summarize), checkpoint=str(tmp_path / "cp"))
         q.processAllAvailable()
         q.stop()
-        got = {r.file_path: r.message_count for r in spark.read.parquet(refresh.store_version(store, n)).collect()}
+        got = {r.file_path: r.message_count for r in stores.read(spark, store, n).collect()}
         assert got == ({"a": 1, "b": 1} if n == 0 else {"a": 2, "b": 1})
 
 

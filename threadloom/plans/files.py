@@ -10,7 +10,7 @@ from threadloom.functions import variants as V
 from threadloom.operators import edit, normalize, ordered, query, search_index, summary
 from threadloom.plans.registry import CONV, _t, says
 from threadloom.sources import arrays, logs, shared, snapshots
-from threadloom.streaming import refresh
+from threadloom.streaming import refresh, store
 
 
 def _bucket(c: str):
@@ -88,18 +88,18 @@ SELECT event_id, 'k' || event_id AS session_key, batch = 2 AS second FROM h""")
 def change_feed(spark, sf_dir):
     """Events land as files in two bursts; each is one refresh of the store, and the second changes what the first had of it."""
     ev = _t(spark, sf_dir, "events")
-    landing, store = shared.new_path(spark, "landing"), shared.new_path(spark, "store")
+    landing, place = shared.new_path(spark, "landing"), shared.new_path(spark, "store")
     rows = ev.select("event_id", F.concat(F.lit("/e/"), F.col("event_id").cast("string")).alias("file_path"))
     summarize = lambda second: lambda df: df.select("event_id", "file_path", F.concat(F.lit("k"), F.col("event_id").cast("string")).alias("session_key"), F.lit(second).alias("second"))
     feed = shared.new_path(spark, "feed")
     for n, burst in enumerate(("true", "event_id % 3 = 2")):
         rows.where(burst).write.mode("append").parquet(landing)
-        q = refresh.start_refresh_stream(spark, landing, "event_id long, file_path string", refresh.refresh_store(store, summarize(bool(n))), checkpoint=feed, interval="0 seconds")
+        q = refresh.start_refresh_stream(spark, landing, "event_id long, file_path string", refresh.refresh_store(place, summarize(bool(n)), buckets=16), checkpoint=feed, interval="0 seconds")
         try:
             q.processAllAvailable()
         finally:
             q.stop()
-    return spark.read.parquet(refresh.store_version(store, 1)).select("event_id", "session_key", "second")
+    return store.read(spark, place).select("event_id", "session_key", "second")
 
 
 @says("SELECT DISTINCT conv_id, 'session-' || conv_id AS id, CASE WHEN conv_id % 2 = 0 THEN 'one' ELSE 'two' END AS root FROM conversations")

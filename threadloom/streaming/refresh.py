@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from threadloom.operators.edit import row_hash
+from threadloom.streaming import store
 
 
 def reuse_index(manifest: DataFrame, index: DataFrame, keys: list[str], *, parser_version: int | None = None) -> tuple[DataFrame, DataFrame]:
@@ -32,37 +33,20 @@ def start_refresh_stream(spark: SparkSession, source_dir: str, schema: str, refr
     return files.writeStream.foreachBatch(refresh).option("checkpointLocation", checkpoint).trigger(processingTime=interval).start()
 
 
-def refresh_paths(store: DataFrame, changed: DataFrame, fresh: DataFrame) -> DataFrame:
-    """The store (file_path, session_key, …) after changes (path, gone): rows of changed paths go, and of all paths below
-    a directory that is gone; `fresh`, the summaries of what is there now, come in, unless another file has their key.
+def refresh_paths(rows: DataFrame, changed: DataFrame, fresh: DataFrame) -> DataFrame:
+    """Rows (file_path, session_key, …) after changes (path, gone): rows of changed paths go, and of all paths below a
+    directory that is gone; `fresh`, the summaries of what is there now, come in, unless another file has their key."""
+    kept = rows.join(store.affected(rows, changed), "file_path", "left_anti")
+    return kept.unionByName(fresh.join(kept.select("session_key").distinct(), "session_key", "left_anti").select(*rows.columns))
 
-    A path is looked up by itself and by its parent directories, as equal keys: no comparison of all pairs.
-    """
-    paths = store.select("file_path").distinct()
-    labels = F.split("file_path", "/")
-    above = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, F.lit(1), i), "/"))
-    ways = paths.select("file_path", F.explode(above).alias("path"))
-    hit = ways.join(changed.select("path", "gone").distinct(), "path").where((F.col("path") == F.col("file_path")) | F.col("gone")).select("file_path").distinct()
-    kept = store.join(hit, "file_path", "left_anti")
-    return kept.unionByName(fresh.join(kept.select("session_key").distinct(), "session_key", "left_anti").select(*store.columns))
 
-
-def store_version(store_dir: str, version: int) -> str:
-    return f"{store_dir.rstrip('/')}/version={version}"
-
-
-def refresh_store(store_dir: str, summarize: Callable[[DataFrame], DataFrame], *, path: str = "file_path") -> Callable[[DataFrame, int], None]:
-    """A refresh for `start_refresh_stream`: batch n turns version n - 1 of the store into version n.
-
-    A batch that runs again overwrites its own version, so a refresh that failed halfway leaves nothing behind.
-    """
+def refresh_store(store_dir: str, summarize: Callable[[DataFrame], DataFrame], *, path: str = "file_path", buckets: int = store.BUCKETS) -> Callable[[DataFrame, int], None]:
+    """A refresh for `start_refresh_stream`: each batch is the next version of the store, in which only buckets of its files
+    are written. A batch that runs again after it was committed changes nothing."""
 
     def refresh(batch: DataFrame, n: int) -> None:
-        fresh = summarize(batch)
-        if n:
-            old = batch.sparkSession.read.parquet(store_version(store_dir, n - 1))
-            fresh = refresh_paths(old, batch.select(F.col(path).alias("path"), F.lit(False).alias("gone")).distinct(), fresh)
-        fresh.write.mode("overwrite").parquet(store_version(store_dir, n))
+        changed = batch.select(F.col(path).alias("path"), F.lit(False).alias("gone")).distinct()
+        store.apply(store_dir, changed, summarize(batch), batch=n, buckets=buckets)
 
     return refresh
 
