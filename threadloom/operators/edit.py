@@ -132,6 +132,20 @@ def redact_entry_rows(entries: DataFrame, refs: DataFrame) -> tuple[DataFrame, D
     return now.join(refs.select(*key).distinct(), key, "left_anti").drop("fingerprint"), refs.join(now.select(*key), key, "left_anti")
 
 
+def redact_prompts(docs: DataFrame, refs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Session documents (file_path, record) without the prompt that `refs` (file_path, fingerprint) name, and the references that
+    are stale: no such document, no prompt in it, or its fingerprint is another. A document's prompt is its field `prompt`, or
+    `message` where it has none; a null one is no prompt."""
+    fields = F.try_variant_get("record", "$", "map<string,variant>")
+    name = F.when(F.map_contains_key(fields, "prompt"), "prompt").otherwise("message")
+    value = F.coalesce(*(F.when(name == n, V.at(F.col("record"), f"$.{n}")) for n in ("prompt", "message")))
+    now = docs.select("file_path", F.when(~V.is_kind(value, "VOID"), entry_fingerprint(value)).alias("fingerprint"))
+    key = ["file_path", "fingerprint"]
+    good = refs.select(*key).distinct().join(now, key, "left_semi").select("file_path", F.lit(True).alias("_gone")).distinct()
+    left = F.to_variant_object(F.map_filter(fields, lambda k, _: k != name))
+    return docs.join(good, "file_path", "left").withColumn("record", F.when(F.col("_gone"), left).otherwise(F.col("record"))).drop("_gone"), refs.join(now, key, "left_anti")
+
+
 def redact_element_rows(elements: DataFrame, sessions: DataFrame) -> DataFrame:
     """As `redact_array_logs`, of elements that are rows (file_path, line_number, record): those left. An element without a
     session stays."""
@@ -281,6 +295,30 @@ def relabel_records(records: DataFrame, plan: DataFrame) -> DataFrame:
     return j.withColumn("record", F.when(F.col("new").isNotNull(), changed).otherwise(F.col("record"))).drop("old", "new")
 
 
+def plan_threads(threads: DataFrame, sources: list[str], target: str) -> DataFrame:
+    """id, old, new of the threads to change: the plan is also the manifest to roll back by."""
+    return threads.where(F.col("provider").isin(sources)).select("id", F.col("provider").alias("old"), F.lit(target).alias("new"))
+
+
+def apply_threads(threads: DataFrame, plan: DataFrame) -> DataFrame:
+    """id, provider: each planned thread (id, old, new) gets the new provider. It must be there exactly once with the old one: a
+    thread that vanished, changed or came twice since fails the job. The check is a filter, which no later selection prunes."""
+    now = threads.groupBy("id", F.col("provider").alias("old")).agg(F.count(F.lit(1)).alias("_n"))
+    twice = plan.groupBy("id", "old").agg(F.min("new").alias("new"))
+    j = now.join(twice, ["id", "old"], "full")
+    stale = F.col("new").isNotNull() & (F.coalesce("_n", F.lit(0)) != 1)
+    good = j.where(F.when(stale, F.raise_error(F.lit("threads have changed since the plan"))).cast("boolean").isNull())
+    return good.withColumn("_each", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_n")))).select("id", F.coalesce("new", "old").alias("provider"))
+
+
+def rollback_threads(threads: DataFrame, plan: DataFrame) -> DataFrame:
+    """id, provider, conflict: planned threads (id, old, new) get the old provider back if they have the old or the new one. Others
+    have changed since and stay, a conflict; so is a thread that is gone, whose provider is null."""
+    j = threads.withColumn("_seen", F.lit(True)).join(plan, "id", "full")
+    conflict = F.col("new").isNotNull() & (F.col("_seen").isNull() | ~F.coalesce(F.col("provider").isin(F.col("old"), F.col("new")), F.lit(False)))
+    return j.select("id", F.when(conflict, F.col("provider")).otherwise(F.coalesce("old", "provider")).alias("provider"), conflict.alias("conflict"))
+
+
 def relabel_threads(threads: DataFrame, sources: list[str], target: str) -> DataFrame:
     """id, provider: threads of the sources get the target. An id that is there twice fails the job: an update must hit one row."""
     many = threads.groupBy("id").agg(F.count(F.lit(1)).alias("_n"), F.min("provider").alias("provider"))
@@ -288,6 +326,22 @@ def relabel_threads(threads: DataFrame, sources: list[str], target: str) -> Data
     return many.select("id", new.alias("provider"))
 
 
+def check_image(image: DataFrame, backup: DataFrame) -> DataFrame:
+    """The before-image (path, line_number, record_sha256, …) with `sound`: whether the backup's record (file_path, line_number,
+    record) is still what the image says. Nothing may be rolled back from lines that aren't."""
+    kept = backup.select(F.col("file_path").alias("path"), "line_number", entry_fingerprint(F.col("record")).alias("_now"))
+    return image.join(kept, ["path", "line_number"], "left").withColumn("sound", F.coalesce(F.col("_now") == F.col("record_sha256"), F.lit(False))).drop("_now")
+
+
+def restore_records(records: DataFrame, image: DataFrame, backup: DataFrame) -> DataFrame:
+    """Records (file_path, line_number, record) with the provider that the before-image (path, line_number, old, new,
+    record_sha256) has for its lines. A backup that isn't sound, or a line that is gone or has another provider than the old or
+    the new one, fails the job."""
+    checked = check_image(image, backup)
+    sound = checked.where(F.when(~F.col("sound"), F.raise_error(F.lit("the backup isn't what the plan has saved"))).cast("boolean").isNull())
+    return relabel_records(records, sound.select("path", "line_number", F.col("new").alias("old"), F.col("old").alias("new")))
+
+
 def verify_relabel(assignments: DataFrame, threads: DataFrame, sources: list[str]) -> DataFrame:
     """provider, n of what still has a source's provider: no rows after a complete relabelling."""
     both = assignments.select("provider").unionByName(threads.select("provider"))

@@ -143,7 +143,10 @@ def truncate_messages(messages: DataFrame, max_chars: int = 20_000) -> DataFrame
 
 def events(records: DataFrame, max_payload_chars: int = 10_000) -> DataFrame:
     """file_path, line_number, timestamp, type, payload, payload_truncated, original_chars of every record; a line that is
-    no JSON is a parse_error. The payload (JSON text) of a line that is too long is left out."""
+    no JSON is a parse_error. The payload (JSON text) of a line that is too long is left out. Records without lines (no column
+    raw), such as elements of arrays, are as long as their JSON."""
+    if "raw" not in records.columns:
+        records = records.withColumn("raw", F.to_json("record"))
     r, n = F.col("record"), F.length("raw")
     long = F.coalesce(n > max_payload_chars, F.lit(False))
     payload = F.when(r.isNull(), F.to_json(F.struct(F.col("raw").alias("raw_line")))).when(~long, F.to_json(F.coalesce(V.at(r, "$.payload"), r)))

@@ -56,6 +56,15 @@ def head_tail(df: DataFrame, m: Columns, n: int, run_rows: int | None = RUN_ROWS
     return out.where((F.col("ord") <= head) | (F.col("ord") > F.col("total") - tail)).withColumn("omitted", F.greatest(F.col("total") - n, F.lit(0)).cast("long"))
 
 
+def mark_omitted(shown: DataFrame, m: Columns, n: int, marker: dict[str, Column]) -> DataFrame:
+    """Rows of `head_tail` with is_truncation_marker and omitted_count, and a row more for each session that lost some, in
+    their place: `marker` tells its columns, omitted_count how many they are; it is null elsewhere, as other columns are there."""
+    at = F.lit((n + 1) // 2 + 1).cast("long")
+    own = {m.session: F.col(m.session), "ord": at, "total": F.col("total"), "omitted": F.col("omitted"), **marker}
+    row = shown.where((F.col("omitted") > 0) & (F.col("ord") == 1)).select(*(own.get(c, F.lit(None)).cast(shown.schema[c].dataType).alias(c) for c in shown.columns), F.lit(True).alias("is_truncation_marker"), F.col("omitted").alias("omitted_count"))
+    return shown.withColumns({"is_truncation_marker": F.lit(False), "omitted_count": F.lit(None).cast("long")}).unionByName(row)
+
+
 def resolve_tool_names(df: DataFrame, session: str, call_id: str, order: list[str], name: Column, run_rows: int | None = RUN_ROWS) -> DataFrame:
     """`resolved`: the name of the latest earlier call of the same id; null without one."""
     keys = [session, call_id]
@@ -101,20 +110,26 @@ def contiguous_prefix(df: DataFrame, key: str, idx: str) -> DataFrame:
 
 def search_document(df: DataFrame, m: Columns, cap: int, run_rows: int | None = RUN_ROWS) -> DataFrame:
     """session, document: role and text of its rows, a newline after each, up to `cap` bytes of whole characters."""
-    order = [f"_o{i}" for i in range(len(m.order))]
-    lines = df.select(m.session, F.array(*(F.coalesce(F.col(c).cast("string"), F.lit("")) for c in (m.role, m.text))).alias("_lines"), *(F.col(c).alias(o) for c, o in zip(m.order, order, strict=True)))
-    rows, cut = in_runs(lines, [m.session], order, run_rows)
-    w = (Window.partitionBy(m.session, "_run") if cut else Window.partitionBy(m.session)).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    size = F.octet_length(F.col("_lines")[0]) + F.octet_length(F.col("_lines")[1]) + 2
-    placed = rows.withColumn("_size", size.cast("long")).withColumn("before", F.coalesce(F.sum("_size").over(w), F.lit(0)))
+    return joined_text(df, m.session, list(m.order), [m.role, m.text], cap, run_rows).withColumnRenamed("joined", "document")
+
+
+def joined_text(df: DataFrame, session: str, by: list[str], texts: list[str], cap: int, run_rows: int | None = RUN_ROWS) -> DataFrame:
+    """session, joined: the columns `texts` of its rows, one after another and a newline after each, up to `cap` bytes of whole
+    characters. A null text is an empty one."""
+    order = [f"_o{i}" for i in range(len(by))]
+    lines = df.select(session, F.array(*(F.coalesce(F.col(c).cast("string"), F.lit("")) for c in texts)).alias("_lines"), *(F.col(c).alias(o) for c, o in zip(by, order, strict=True)))
+    rows, cut = in_runs(lines, [session], order, run_rows)
+    w = (Window.partitionBy(session, "_run") if cut else Window.partitionBy(session)).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    sizes = F.transform("_lines", lambda x: F.octet_length(x).cast("long") + 1)
+    placed = rows.withColumn("_size", F.aggregate(sizes, F.lit(0).cast("long"), lambda a, x: a + x)).withColumn("before", F.coalesce(F.sum("_size").over(w), F.lit(0)))
     if cut:
-        placed = carry(placed, [m.session], {"_bytes": F.sum("_size")}, {"_earlier": (F.sum("_bytes"), True)}).withColumn("before", F.col("before") + F.coalesce("_earlier", F.lit(0)))
-    # what the cap leaves of a row's two lines; rows beyond it are never collected
-    kept = placed.where(F.col("before") < cap).select(m.session, "before", F.posexplode("_lines").alias("part", "value"), F.octet_length(F.col("_lines")[0]).alias("_first"))
-    kept = kept.withColumn("before", F.col("before") + F.when(F.col("part") == 1, F.col("_first") + 1).otherwise(0)).where(F.col("before") < cap)
+        placed = carry(placed, [session], {"_bytes": F.sum("_size")}, {"_earlier": (F.sum("_bytes"), True)}).withColumn("before", F.col("before") + F.coalesce("_earlier", F.lit(0)))
+    # what the cap leaves of a row's lines; rows beyond it are never collected
+    kept = placed.where(F.col("before") < cap).select(session, "before", F.posexplode("_lines").alias("part", "value"), sizes.alias("_sizes"))
+    kept = kept.withColumn("before", F.col("before") + F.aggregate(F.slice("_sizes", F.lit(1), F.col("part")), F.lit(0).cast("long"), lambda a, x: a + x)).where(F.col("before") < cap)
     kept = kept.withColumn("value", T.clip_bytes(F.col("value"), (F.lit(cap) - F.col("before")).cast("int")))
     both = F.array_sort(F.collect_list(F.struct("before", "value")))  # bounded by the cap
-    return kept.groupBy(m.session).agg(F.array_join(F.transform(both, lambda x: F.concat(x["value"], F.lit("\n"))), "").alias("document"))
+    return kept.groupBy(session).agg(F.array_join(F.transform(both, lambda x: F.concat(x["value"], F.lit("\n"))), "").alias("joined"))
 
 
 def whole_search_document(summaries: DataFrame, bodies: DataFrame, head: Column, cap: int) -> DataFrame:
@@ -153,7 +168,12 @@ def merge_partials(df: DataFrame, session: str, file: str, ts: str, value: str)
     return part.groupBy(session).agg(F.count(F.lit(1)).alias("files"), F.min_by(file, F.struct("a", file)).alias("primary_file"), F.min("a").alias("first"), F.max("b").alias("last"), F.sum("n").alias("rows"), F.sum("v").alias("total"))
 
 
-def order_cross_file(df: DataFrame, session: str, keys: list[str], n: int, run_rows: int | None = RUN_ROWS) -> DataFrame:
+def order_cross_file(df: DataFrame, session: str, keys: list[str], n: int, run_rows: int | None = RUN_ROWS, *, expected: str | None = None) -> DataFrame:
     """The first half (rounded up) and last half of n records of each session, ordered across its files by `keys`, with
-    ord, total and omitted."""
-    return head_tail(df, Columns(session, tuple(keys)), n, run_rows)
+    ord, total and omitted. expected: a column with how many records the session's summary has counted; the total is that
+    number or that of the records seen, whichever is larger."""
+    out = head_tail(df, Columns(session, tuple(keys)), n, run_rows)
+    if expected is None:
+        return out
+    shown, total = F.least("total", F.lit(n)), F.greatest("total", F.coalesce(expected, F.lit(0)))
+    return out.withColumn("omitted", (total - shown).cast("long")).withColumn("total", total.cast("long"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from threadloom.functions import text as T
 from threadloom.functions import variants as V
-from threadloom.operators import query
+from threadloom.operators import ordered, query
 
 #: Fields that give a working directory while a transcript has none, in order.
 OTHER_CWD = ("workingDirectory", "working_directory", "workspace", "workspaceDir", "projectRoot", "project_root")
@@ -216,3 +216,15 @@ def merge_summaries(partials: DataFrame) -> DataFrame:
     roles = partials.select("id", F.explode("role_counts").alias("role", "n")).groupBy("id", "role").agg(F.sum("n").alias("n"))
     summed = roles.groupBy("id").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("role", "n")))).alias("role_counts"))
     return out.join(summed, "id", "left").withColumn("role_counts", F.coalesce("role_counts", F.create_map().cast("map<string,bigint>")))
+
+
+def merge_search_texts(partials: DataFrame, cap: int = 64_000, run_rows: int | None = ordered.RUN_ROWS) -> DataFrame:
+    """id, search_text of each session: the search texts of its parts in the order of `merge_summaries`, a newline after each, up
+    to `cap` bytes of whole characters. `partials`: id, file_path, timestamp, last_timestamp, search_text."""
+    some = lambda c: T.blank_to_null(F.col(c))
+    instant = lambda c: F.when(some(c).rlike(T.RFC3339), F.try_to_timestamp(some(c)))
+    sound = F.bool_and((some("timestamp").isNull() | instant("timestamp").isNotNull()) & (some("last_timestamp").isNull() | instant("last_timestamp").isNotNull()))
+    by_id = partials.groupBy("id").agg(sound.alias("_sound"))
+    rows = partials.select("id", "search_text", instant("timestamp").alias("_t"), F.coalesce("timestamp", F.lit("")).alias("_s"), F.coalesce("file_path", F.lit("")).alias("_p")).join(by_id, "id")
+    rows = rows.withColumns({"_t": F.when(F.col("_sound"), F.col("_t")), "_s": F.when(~F.col("_sound"), F.col("_s"))})
+    return ordered.joined_text(rows, "id", ["_t", "_s", "_p"], ["search_text"], cap, run_rows).withColumnRenamed("joined", "search_text")

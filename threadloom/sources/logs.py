@@ -17,11 +17,33 @@ from threadloom.sources import arrays
 INFO = "Legacy Claude Code metadata; full project transcript is unavailable."
 
 
+#: How far below its root a file may be: in the root itself is 1.
+DEPTH = 16
+
+
+def _near(spark: SparkSession, roots: list[str], depth: int = DEPTH) -> Column:
+    """Whether file_path is at most so many levels below a root, or is one itself. Where a root is a pattern, every file is."""
+    if any(re.search(r"[*?\[{]", r) for r in roots):
+        return F.lit(True)
+    plain = [re.escape(spark._jvm.org.apache.hadoop.fs.Path(r).toUri().getRawPath().rstrip("/")) for r in roots]
+    return F.col("file_path").rlike(f"^([A-Za-z][A-Za-z0-9+.-]*:(//[^/]*)?)?({'|'.join(plain)})(/[^/]+){{0,{depth}}}$")
+
+
+def present_sources(spark: SparkSession, sources: list[tuple[str, str, str]]) -> list[tuple[str, str]]:
+    """kind and display name of the sources (root, kind, display name) whose root is there, the first of each kind."""
+    found: dict[str, str] = {}
+    for root, kind, name in sources:
+        path = spark._jvm.org.apache.hadoop.fs.Path(root)
+        if kind not in found and path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
+            found[kind] = name
+    return [*found.items()]
+
+
 def read_jsonl(spark: SparkSession, roots: list[str], kind: str, *, archived: bool = False, glob: str = "*.jsonl") -> DataFrame:
     """Every line of the files below the roots whose name fits the glob, numbered in its file; blank lines count but give no row. `record` is null
-    where a line is no JSON: `parse_errors` finds those."""
+    where a line is no JSON: `parse_errors` finds those. Files more than DEPTH levels below their root aren't read."""
     lines = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", glob).option("lineSep", "\n").text(roots)
-    raw = lines.select(F.col("_metadata.file_path").alias("file_path"), F.col("_metadata.file_block_start").alias("block_start"), F.col("_metadata.file_size").alias("file_size"), F.col("_metadata.file_modification_time").alias("file_mtime"), F.regexp_replace("value", "\r$", "").alias("raw"))
+    raw = lines.select(F.col("_metadata.file_path").alias("file_path"), F.col("_metadata.file_block_start").alias("block_start"), F.col("_metadata.file_size").alias("file_size"), F.col("_metadata.file_modification_time").alias("file_mtime"), F.regexp_replace("value", "\r$", "").alias("raw")).where(_near(spark, roots))
     numbered = number_lines(raw).drop("block_start").where(F.trim("raw") != "")
     return numbered.withColumn("record", F.try_parse_json("raw")).withColumn("source_kind", F.lit(kind)).withColumn("archived", F.lit(archived))
 

@@ -70,3 +70,13 @@ def forget(spark: SparkSession, keep: Collection[str] = ()) -> int:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
     made[:] = [p for p in made if p in keep]
     return len(gone)
+
+
+def rename(spark: SparkSession, place: str, ending: str, to: str) -> None:
+    """Give the files right below a place, or below its folders, another ending."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(place)
+    system = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    for pattern in ("*", "*/*"):
+        for f in system.globStatus(spark._jvm.org.apache.hadoop.fs.Path(f"{place}/{pattern}{ending}")) or []:
+            old = f.getPath()
+            system.rename(old, spark._jvm.org.apache.hadoop.fs.Path(old.getParent(), old.getName().removesuffix(ending) + to))
