@@ -193,6 +193,24 @@ FROM w LEFT JOIN gone USING (doc_id)
 """
 
 
+ORACLE_7 = r"""
+WITH RECURSIVE low AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+sh AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) END AS s FROM low),
+sets AS (SELECT md5(array_to_string(list_sort(s), chr(10))) AS k, any_value(s) AS s, min(doc_id) AS doc_id FROM sh WHERE len(s) > 0 GROUP BY 1),
+e AS (SELECT doc_id, len(s) AS n, unnest(s) AS g FROM sets),
+df AS (SELECT g, count(*) AS c FROM e GROUP BY g),
+ranked AS (SELECT e.doc_id, n, g, c, row_number() OVER (PARTITION BY e.doc_id ORDER BY c, g) AS k FROM e JOIN df USING (g)),
+pre AS (SELECT doc_id, g FROM ranked WHERE k <= n - ceil(0.8 * n) + 1 AND c > 1),
+cand AS (SELECT DISTINCT a.doc_id AS a, b.doc_id AS b FROM pre a JOIN pre b ON a.g = b.g AND a.doc_id < b.doc_id),
+link AS (SELECT a, b FROM cand JOIN sets x ON x.doc_id = a JOIN sets y ON y.doc_id = b
+   WHERE 100 * len(list_intersect(x.s, y.s)) >= 80 * (len(x.s) + len(y.s) - len(list_intersect(x.s, y.s)))),
+ways AS (SELECT a, b FROM link UNION ALL SELECT b, a FROM link),
+walk AS (SELECT doc_id AS node, doc_id AS root FROM sets UNION SELECT ways.b, walk.root FROM walk JOIN ways ON ways.a = walk.node),
+comp AS (SELECT node, min(root) AS root FROM walk GROUP BY node)
+SELECT sh.doc_id, len(sh.s)::BIGINT AS n_shingles, coalesce(comp.root, sh.doc_id) AS component_id
+FROM sh LEFT JOIN sets ON sets.k = md5(array_to_string(list_sort(sh.s), chr(10))) AND len(sh.s) > 0 LEFT JOIN comp ON comp.node = sets.doc_id
+"""
+
 ORACLE_11 = r"""
 WITH t AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
 lab AS (SELECT doc_id, max((quality = 1)::INT) AS good, max((toxic = 1)::INT) AS toxic FROM labels GROUP BY doc_id),
@@ -232,6 +250,22 @@ SELECT doc_id, n::BIGINT AS n, form, CASE WHEN form <> 'plain' THEN length(p) EN
 FROM s
 """
 
+ORACLE_13 = r"""
+WITH d AS (SELECT doc_id, row_number() OVER () AS r, encode(coalesce(text, '')) AS h FROM documents),
+n AS (SELECT doc_id, r, h, octet_length(h) AS n FROM d),
+win AS (SELECT r, i, md5(array_slice(h, i + 1, i + 400)) AS k FROM (SELECT r, h, unnest(range(0, n - 399)) AS i FROM n WHERE n >= 400)),
+many AS (SELECT k FROM win GROUP BY k HAVING count(*) > 1),
+hit AS (SELECT r, i FROM win JOIN many USING (k)),
+marked AS (SELECT r, i, CASE WHEN i > lag(i) OVER w + 400 OR lag(i) OVER w IS NULL THEN 1 ELSE 0 END AS s FROM hit WINDOW w AS (PARTITION BY r ORDER BY i)),
+isl AS (SELECT r, i, sum(s) OVER (PARTITION BY r ORDER BY i) AS run FROM marked),
+runs AS (SELECT r, run, min(i) AS a, max(i) + 400 AS b FROM isl GROUP BY ALL),
+keep AS (SELECT r, coalesce(lag(b) OVER (PARTITION BY r ORDER BY a), 0) AS a, a AS b, a AS o FROM runs UNION ALL SELECT r, max(b), NULL, max(b) FROM runs GROUP BY r),
+kept AS (SELECT keep.r, string_agg(hex(array_slice(h, a + 1, coalesce(keep.b, n))), '' ORDER BY o) AS k FROM keep JOIN n ON n.r = keep.r GROUP BY keep.r),
+sums AS (SELECT r, sum(b - a) AS gone, count(*) AS spans FROM runs GROUP BY r)
+SELECT doc_id, n.n::BIGINT AS n_bytes, coalesce(gone, 0)::BIGINT AS n_removed, coalesce(spans, 0)::BIGINT AS n_spans, sha256(unhex(coalesce(k, hex(h)))) AS kept_sha256
+FROM n LEFT JOIN sums ON sums.r = n.r LEFT JOIN kept ON kept.r = n.r
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_mixing": ORACLE_1, "op3_substring_dedup": ORACLE_3, "op5_url_filters": ORACLE_5, "op11_filter_audit": ORACLE_11, "op12_fill_middle": ORACLE_12}
+    return {"op1_mixing": ORACLE_1, "op3_substring_dedup": ORACLE_3, "op5_url_filters": ORACLE_5, "op7_jaccard_join": ORACLE_7, "op11_filter_audit": ORACLE_11, "op12_fill_middle": ORACLE_12, "op13_suffix_dedup": ORACLE_13}
