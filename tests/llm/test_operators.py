@@ -566,6 +566,31 @@ SELECT doc_id, len(ws)::BIGINT, length(array_to_string(ws, ''))::BIGINT, length(
     assert not got.where("base_failed AND kept").count()
 
 
+LONG = "A sentence of some length that an article would hold, with a comma and a full stop. "
+
+
+@pytest.mark.parametrize("page, want", [
+    (f'<body><nav>menu</nav><article class="teaser"><h1>Head</h1><p>{LONG}</p></article></body>', ["Head", LONG]),
+    (f'<body><article><h1>Head</h1><p>{LONG}</p><section id="discussion"><h2>Discussion</h2><p>{LONG}</p></section></article></body>', ["Head", LONG, "Discussion", LONG]),
+    (f'<body><article style="display:none"><h1>Head</h1><p>{LONG}</p></article><footer>end</footer></body>', ["Head", LONG]),
+    (f'<body><article hidden class="teaser related"><p>{LONG}</p></article></body>', [LONG]),
+    (f'<body><main><article class="post"><p>{LONG}</p></article></main></body>', [LONG]),
+])
+def test_names_do_not_empty_an_article(page, want):
+    assert html_extract.extract(page)[0].split("\n") == [x.strip() for x in want]
+
+
+@pytest.mark.parametrize("place", ['div class="responses"', 'section id="kommentare"', 'div id="commentaires"', 'div class="comentarios"', 'ol class="comment-list"', 'div id="discussion"', 'section class="reader-comments"', 'div class="leserkommentare"'])
+def test_comments_of_any_name_go(place):
+    close = place.split()[0]
+    page = f'<body><article><h1>Head</h1><p>{LONG}</p></article><{place}><h3>3</h3>' + "".join(f"<div class=item><b>user{i}</b><p>{LONG}</p></div>" for i in range(3)) + f"</{close}></body>"
+    assert html_extract.extract(page)[0].split("\n") == ["Head", LONG.strip()]
+    inside = f'<body><article><h1>Head</h1><p>{LONG}</p><div class="commentaires"><p>{LONG}</p><p>short one</p></div></article></body>'
+    assert html_extract.extract(inside)[0].split("\n") == ["Head", LONG.strip()]
+    called = f'<body><article><p>{LONG}</p></article><article class="comment"><p>{LONG}</p></article></body>'
+    assert html_extract.extract(called)[0] == LONG.strip()
+
+
 def test_the_cut_turns_blocks_by_their_neighbours():
     said = [f"Paragraph {i} of this story tells what has happened in the town on that day, and why." for i in range(2)]
     p = "".join(f"<p>{s}</p>" for s in said)

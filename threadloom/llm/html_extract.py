@@ -43,13 +43,15 @@ BAD_NAMES = frozenset("ad ads adbox adslot advert adverts advertisement advertis
 WEAK_TAGS = {"header": 8.0, "form": 2.0, "fieldset": 2.0}
 WEAK_ROLES = {"banner": 8.0, "alert": 8.0, "form": 2.0}
 COMMENTS, NAMED, MENTIONED, AMBIGUOUS, FADE = 16.0, 8.0, 5.0, 2.5, 0.8
-COMMENT_WORDS = frozenset("comment comments commentlist disqus respond reply replies discussion".split())
+#: Words for what readers wrote, in the languages of the pages and some others; some of them name parts of a text as well.
+COMMENT_WORDS = frozenset("comment comments commentlist commenter disqus respond response responses reply replies discussion discussions kommentar kommentare kommentaren leserkommentare commentaire commentaires comentario comentarios comentários commenti reacties komentarze yorumlar комментарии".split())
+UNSURE_COMMENTS = frozenset("respond response responses reply replies discussion discussions".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: Smoothness between neighbours and between siblings that stand apart, at the least distance; what a border leaves of it.
 NEIGHBOURS, SIBLINGS, BORDER = 2.5, 1.0, 0.2
 #: A name with one of these tells a state of the page, not what the container is for.
 STATES = frozenset("has with without no is open opened closed enabled disabled active inactive visible collapsed".split())
-BAD_WORDS = frozenset("ad ads adbox adslot advert adverts advertisement advertising sponsor sponsored promo promotion banner nav navbar navigation menu breadcrumb breadcrumbs foot footer masthead sidebar rail cookie cookies consent gdpr notice notices notification alert comment comments commentlist disqus respond reply replies discussion share sharing social related recommended recommendations widget subscribe subscription newsletter signup login popup modal overlay copyright pagination pager toolbar skip tagcloud teaser outbrain taboola".split())
+BAD_WORDS = frozenset("ad ads adbox adslot advert adverts advertisement advertising sponsor sponsored promo promotion banner nav navbar navigation menu breadcrumb breadcrumbs foot footer masthead sidebar rail cookie cookies consent gdpr notice notices notification alert share sharing social related recommended recommendations widget subscribe subscription newsletter signup login popup modal overlay copyright pagination pager toolbar skip tagcloud teaser outbrain taboola".split()) | COMMENT_WORDS
 PLACES = frozenset("header site page top global".split())
 GOOD_WORDS = frozenset("article post entry content story main body text hentry blog prose".split())
 CLOSES = {"p": BLOCKS, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr"}, "td": {"td", "th", "tr"}, "th": {"td", "th", "tr"}, "option": {"option"}}
@@ -101,16 +103,18 @@ def _judge(tag: str, attrs: str, parent: Node) -> Node:
                 bad |= value.lower() in BAD_ROLES
                 weak = max(weak, WEAK_ROLES.get(value.lower(), 0.0))
                 good |= value.lower() in ("main", "article")
-            elif name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and re.search(r"display\s*:\s*none", value):
-                bad = True
+            elif (name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and re.search(r"display\s*:\s*none", value)) and tag not in ("article", "main"):
+                bad = True  # an article that isn't shown yet is the page's article still
         main = good
         fine = bool(words & GOOD_WORDS)
         poor = bool(words & BAD_WORDS) or "header" in words and not fine and not parent.good  # inside the text it's the text's
-        unclear = fine and poor and not words & {"comment", "comments", "related", "footer", "sidebar"}
+        unclear = fine and poor and not words & {"related", "footer", "sidebar"} and not words & (COMMENT_WORDS - UNSURE_COMMENTS)
         good |= fine and not poor
-        if poor and not unclear and not (tag in ("article", "main") and not words & {"comment", "comments", "related", "teaser"}):
+        comments = words & COMMENT_WORDS - (UNSURE_COMMENTS if parent.good or tag in ("article", "main") else frozenset())
+        if poor and not unclear and (comments or tag not in ("article", "main")):  # an article that is called a teaser is one
             bad |= bool(names & BAD_NAMES) and not main
-            weak = max(weak, COMMENTS if words & COMMENT_WORDS else NAMED if called else AMBIGUOUS if fine else MENTIONED)
+            if not (parent.good and not words & (BAD_WORDS - UNSURE_COMMENTS)):  # a paper has a discussion, a letter a response
+                weak = max(weak, COMMENTS if comments else AMBIGUOUS if fine else NAMED if called else MENTIONED)
     node.named |= weak >= NAMED
     if weak:  # a sign of its own outweighs what the container stands in
         node.weak, node.good = max(node.weak, weak), False
