@@ -93,3 +93,25 @@ def test_lines_that_would_not_come_back_are_refused(spark, tmp_path, row):
     lines = spark.createDataFrame([row, ("f", 2, "fine")], "file_path string, line_number long, raw string")
     with pytest.raises(Exception, match="a line with"):
         snapshots.write_snapshot(lines, f"{tmp_path}/v")
+
+
+def test_lines_are_numbered_without_a_shuffle_of_them(spark, tmp_path):
+    want = {}
+    for i in range(7):
+        lines = [f"{i}:{k}" for k in range(1 + 40 * i)]
+        (tmp_path / f"f{i}.jsonl").write_text("\n".join(lines) + ("\n" if i % 2 else ""))
+        want |= {(f"f{i}.jsonl", k + 1): x for k, x in enumerate(lines)}
+    names = ["spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes", "spark.sql.autoBroadcastJoinThreshold"]
+    was = {n: spark.conf.get(n) for n in names}
+    try:
+        for split in ("50", "300", "1m"):
+            for n, v in zip(names, (split, "10", "-1")):
+                spark.conf.set(n, v)
+            out = logs.read_jsonl(spark, [str(tmp_path)], "codex").select(F.element_at(F.split("file_path", "/"), -1), "line_number", "raw")
+            assert {(f, n): x for f, n, x in out.collect()} == want
+            plan = out._jdf.queryExecution().executedPlan().toString()
+            exchanges = [x for x in plan.split("== Initial Plan ==")[0].splitlines() if "Exchange" in x and "Broadcast" not in x]
+            assert exchanges and not any("raw" in x or "value" in x for x in exchanges) and "SortMergeJoin" not in plan
+    finally:
+        for n, v in was.items():
+            spark.conf.set(n, v)

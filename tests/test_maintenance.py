@@ -86,3 +86,18 @@ def test_depth_and_roots(spark, tmp_path):
     assert names([f"{tmp_path}/r*"]) == ["x.jsonl", "y.jsonl", "z.jsonl"]
     sources = [(f"{tmp_path}/none", "codex", "Away"), (root, "codex", "Here"), (str(tmp_path), "codex", "Later"), (str(tmp_path), "gemini", "G"), (f"{tmp_path}/no", "claude_code", "C")]
     assert logs.present_sources(spark, sources) == [("codex", "Here"), ("gemini", "G")]
+
+
+def test_a_set_hash_knows_rows_and_counts_not_order(spark):
+    import random
+
+    rng = random.Random(1)
+    rows = [(f"f{rng.randrange(50)}", i % 700, rng.choice(("a", "b", None, "", "a:b"))) for i in range(3000)]
+    of = lambda rows, n=4: edit.set_hash(spark.createDataFrame(rows, "path string, line int, provider string").repartition(n), "path", "line", "provider").first()[0]
+    one = of(rows)
+    assert len(one) == 64 and one == of(rows[::-1], 7)
+    swapped = [(p, n, rows[1][2] if i == 0 else rows[0][2] if i == 1 else v) for i, (p, n, v) in enumerate(rows)]
+    others = [rows[1:], [*rows, rows[0]], [*rows[1:], rows[1]], [(p, n, v or "") for p, n, v in rows], [*rows[1:], (*rows[0][:2], "new")], []]
+    assert len({one, *(of(r) for r in others), of(swapped) if rows[0][2] != rows[1][2] else "x"}) == len(others) + 2
+    # what joins of fields with a separator would take for the same
+    assert of([("a\0b", 1, "")]) != of([("a", 1, "b\0")]) and of([("a", None, "1")]) != of([("a", 1, None)])

@@ -78,20 +78,29 @@ def resolve_tool_names(df: DataFrame, session: str, call_id: str, order: list[st
     return out.drop("_name", "_run")
 
 
+#: Scan partitions whose first numbers are looked up in a broadcast table, some forty bytes each: 100 TB have 0.8 million.
+MOST_SPLITS = 4_000_000
+
+
 def number_lines(df: DataFrame) -> DataFrame:
     """line_number in each file of a text scan (file_path, block_start and what else it has), whose splits come in order of
     their start.
 
     Lines of a split are counted first, and the counts summed up by file: one row for each split. Then every line has its
-    place in the split, where it lies, and the split's first number. No file is ever sorted in one task. The scan is read
-    twice, and the same both times; `df` must be a scan with nothing but selections above it.
+    place in the split, where it lies, and the split's first number, looked up by scan partition: lines aren't shuffled, and
+    no file is ever sorted in one task. The scan is read twice, and the same both times; `df` must be a scan with nothing but
+    selections above it.
     """
     at = ["file_path", "block_start"]
-    placed = df.withColumn("_id", F.monotonically_increasing_id())
+    placed = df.withColumn("_id", F.monotonically_increasing_id()).withColumn("_part", F.shiftright("_id", 33))
     splits = placed.groupBy(*at).agg(F.min("_id").alias("_first"), F.count(F.lit(1)).alias("_n"))
     before = F.coalesce(F.sum("_n").over(Window.partitionBy("file_path").orderBy("block_start").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    shifts = splits.select(*at, (before + 1 - F.col("_first")).alias("_shift"))
-    return placed.join(shifts, at).withColumn("line_number", F.col("_id") + F.col("_shift")).select(*df.columns, "line_number")
+    shifts = splits.select(F.shiftright("_first", 33).alias("_part"), F.struct("_first", (before + 1 - F.col("_first")).alias("_shift")).alias("_s"))
+    of_part = shifts.groupBy("_part").agg(F.array_sort(F.collect_list("_s")).alias("_splits"))  # the splits that one task reads
+    if df.rdd.getNumPartitions() <= MOST_SPLITS:
+        of_part = F.broadcast(of_part)
+    own = F.element_at(F.filter("_splits", lambda x: x["_first"] <= F.col("_id")), -1)["_shift"]
+    return placed.join(of_part, "_part").withColumn("line_number", F.col("_id") + own).select(*df.columns, "line_number")
 
 
 def day_groups(df: DataFrame, day: Column, today: str) -> DataFrame:

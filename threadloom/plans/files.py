@@ -204,7 +204,7 @@ def plan_holds(spark, sf_dir):
     records, _ = _plan(spark, sf_dir)
     a = logs.scan_assignments(records)
     threads = _t(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.col("c_mktsegment").alias("provider"))
-    plan = edit.plan_fingerprint(a, threads, ["5-LOW"], "new")
+    plan = spark.createDataFrame([(edit.plan_fingerprint(a, threads, ["5-LOW"], "new").first()[0],)], "plan_id string")
     last = a.agg(F.max("line_number").alias("_last"))
     more = a.unionByName(a.limit(1).withColumn("line_number", F.lit(-1).cast("long")))
     other = a.crossJoin(F.broadcast(last)).withColumn("provider", F.when(F.col("line_number") == F.col("_last"), "other").otherwise(F.col("provider"))).drop("_last")  # one row

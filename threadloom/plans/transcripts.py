@@ -157,6 +157,15 @@ _RELABEL = """WITH a AS (SELECT o_custkey AS path, o_orderkey AS line_number, su
 """
 
 
+def _tree(table: str, row: str) -> str:
+    """A tree of digests of a table's rows, as SQL."""
+    node = "sha256(string_agg(h, '' ORDER BY h))"
+    leaves = f"SELECT d, sha256(d || ':' || count(*)) AS h FROM (SELECT sha256({row}) AS d FROM {table}) GROUP BY d"
+    for digits in (6, 3):
+        leaves = f"SELECT left(d, {digits}) AS d, {node} AS h FROM ({leaves}) GROUP BY 1"
+    return f"(SELECT {node} FROM ({leaves}))"
+
+
 @says(_RELABEL + "SELECT provider, threads, jsonl, valid, valid AND provider <> 'URGENT' AS candidate, selected FROM p")
 def relabel_providers(spark, sf_dir):
     return edit.relabel_providers(*_relabel(spark, sf_dir), edit.select_providers("LOW, HIGH", "URGENT"), "URGENT")
@@ -166,8 +175,7 @@ def relabel_providers(spark, sf_dir):
 SELECT (SELECT count(*) FROM p WHERE valid AND provider <> 'URGENT') AS candidates, count(*) AS files_scanned, count(*) FILTER (n > 0) AS files_to_change, sum(n)::BIGINT AS replacements,
  (SELECT count(*) FROM t WHERE provider IN ('LOW', 'HIGH')) AS thread_matches, (SELECT '[' || string_agg('{"source":"' || provider || '","target":"URGENT","threads":' || threads || ',"jsonl":' || jsonl || '}', ',' ORDER BY provider) || ']' FROM p WHERE selected) AS mappings,
  'current_provider_only' AS warnings, CASE WHEN (SELECT bool_and(valid) FROM p) THEN '' ELSE 'invalid_provider_id' END AS blockers, (SELECT bool_and(valid) FROM p) AS can_apply, sum(n) > 0 AS has_changes, false AS selection_required,
- sha256('URGENT|HIGH|LOW|' || (SELECT count(*) || ':' || sum(('0x' || substr(md5(path || chr(0) || line_number || chr(0) || provider), 1, 12))::BIGINT)::VARCHAR FROM a)
-  || '|' || (SELECT count(*) || ':' || sum(('0x' || substr(md5(id || chr(0) || provider), 1, 12))::BIGINT)::VARCHAR FROM t)) AS plan_id FROM f""")
+ sha256(""" + _tree("a", """'{"path":"' || path || '","line_number":' || line_number || ',"provider":"' || provider || '"}'""") + " || ':' || " + _tree("t", """'{"id":' || id || ',"provider":"' || provider || '"}'""") + """ || ':' || '[["HIGH", "LOW"], "URGENT"]') AS plan_id FROM f""")
 def relabel_preview(spark, sf_dir):
     return edit.preview_relabel(*_relabel(spark, sf_dir), edit.select_providers("LOW, HIGH", "URGENT"), "URGENT")
 
