@@ -72,3 +72,26 @@ def test_runs_grow_where_there_would_be_too_many(spark, turns, monkeypatch):
     monkeypatch.setattr(runs, "MOST_RUNS", 4)
     rows, cut = runs.in_runs(turns, ["s"], ["i", "j"], 50)
     assert cut and rows.agg(F.countDistinct("_run")).first()[0] <= 5
+
+
+def test_messages_of_files_in_runs(spark):
+    """Records of a long file and of short ones: the same messages in one window and in runs."""
+    import json
+
+    from threadloom.operators import normalize
+
+    rng = random.Random(12)
+    block = lambda: rng.choice([{"type": "text", "text": rng.choice(("hi", "there", " "))}, {"type": "tool_use", "id": rng.choice(("a", "b")), "name": rng.choice(("run", "read")), "input": {}}, {"type": "tool_result", "tool_use_id": rng.choice(("a", "b", "c")), "content": "done"}])
+    record = lambda: rng.choice([
+        {"type": rng.choice(("user", "assistant")), "message": {"content": [block() for _ in range(rng.randrange(3))]}},
+        {"type": rng.choice(("event_msg", "response_item")), "payload": {"type": "agent_message", "message": rng.choice(("same", "same", "other"))}},
+        {"type": "response_item", "payload": {"type": "function_call_output", "call_id": rng.choice(("a", "b")), "output": "x"}},
+    ])
+    rows = [(f, i + 1, json.dumps(record())) for f, n in (("long", 400), ("b", 30), ("c", 1)) for i in range(n)]
+    records = spark.createDataFrame(rows, "file_path string, line_number long, raw string").withColumn("record", F.parse_json("raw"))
+    want = sorted(map(str, normalize.normalize(records).collect()))
+    assert len(want) > 250
+    for rows in (20, 10_000):
+        assert sorted(map(str, normalize.normalize(records, run_rows=rows).collect())) == want
+    plan = normalize.normalize(records)._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert plan.count("Exchange hashpartitioning") == 1

@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from threadloom.functions import variants as V
 from threadloom.functions.text import strip
-from threadloom.operators.ordered import drop_mirrored
+from threadloom.operators.ordered import drop_mirrored, numbered, resolve_tool_names
 from threadloom.schemas import Columns
+from threadloom.sources.shared import new_path
 
 #: How a user's text begins that a client has put there as context.
 MARKERS = (
@@ -112,25 +113,35 @@ def _record_fields(s: Column, f: Column, t: Column) -> dict[str, Column]:
     }
 
 
-def normalize(records: DataFrame, *, markers: tuple[str, ...] = MARKERS) -> DataFrame:
+def normalize(records: DataFrame, *, markers: tuple[str, ...] = MARKERS, run_rows: int | None = None) -> DataFrame:
     """Messages of records (file_path, line_number, record), in the order of file_path, ord.
 
     Mirrored records are dropped. A tool's result, and a later call without a name, take the name of the latest earlier
-    call with their id in the file; calls without an id are spread over windows of their own. Records that are no JSON
-    (null) and blank texts give no message; other columns of the records aren't read.
+    call with their id in the file. Records that are no JSON (null) and blank texts give no message; other columns of the
+    records aren't read.
+
+    A file's messages are shuffled once, by file, and its rows are one task's. With run_rows none is more than a run's:
+    messages are written to the shared folder first, and files of more rows than that are scanned in runs.
     """
     found = blocks(records)
     no_id = F.concat_ws("\u0000", F.lit(""), F.col("line_number").cast("string"), F.col("block").cast("string"))
-    w = Window.partitionBy("file_path", F.coalesce("tool_call_id", no_id)).orderBy("line_number", "block").rowsBetween(Window.unboundedPreceding, -1)
-    earlier = F.last(F.when(F.col("names_call"), F.col("own_name")), ignorenulls=True).over(w)
+    found = found.withColumns({"_call": F.coalesce("tool_call_id", no_id), "_names": F.when(F.col("names_call"), F.col("own_name"))})
+    if run_rows is None:
+        found = found.repartition("file_path")  # all windows below are of a file, or within one
+    else:
+        path = new_path(records.sparkSession, "messages")
+        found.write.parquet(path)
+        found = records.sparkSession.read.schema(found.schema).parquet(path)
+    place = ["line_number", "block"]
+    named = resolve_tool_names(found, "file_path", "_call", place, F.col("_names"), run_rows)
     result = F.col("tool_kind").eqNullSafe(F.lit("tool_result")) & F.col("blank_stays")
-    name = F.coalesce("own_name", F.when(F.col("tool_call_id").isNotNull(), earlier), F.when(result, F.coalesce("tool_call_id", F.lit("tool_result"))))
-    named = found.withColumn("tool_name", name).where(F.col("blank_stays") | (strip(F.coalesce("text", F.lit(""))) != ""))
+    name = F.coalesce("own_name", F.when(F.col("tool_call_id").isNotNull(), F.col("resolved")), F.when(result, F.coalesce("tool_call_id", F.lit("tool_result"))))
+    named = named.withColumn("tool_name", name).where(F.col("blank_stays") | (strip(F.coalesce("text", F.lit(""))) != ""))
     shown = named.withColumn("text", strip(F.col("text"))).withColumn("synthetic_context", F.col("context") | F.col("thinking") | is_context(F.col("role"), F.col("text"), markers))
-    kept = drop_mirrored(shown, MESSAGES, run_rows=None)
-    in_record, in_file = Window.partitionBy("file_path", "line_number").orderBy("block"), Window.partitionBy("file_path").orderBy("line_number", "block")
+    kept = numbered(drop_mirrored(shown, MESSAGES, run_rows=run_rows), ["file_path"], place, run_rows)
+    in_record = Window.partitionBy("file_path", "line_number").orderBy("block")
     return kept.select(
-        "file_path", "line_number", (F.row_number().over(in_record) - 1).alias("message_index"), F.row_number().over(in_file).cast("long").alias("ord"), "role", "text",
+        "file_path", "line_number", (F.row_number().over(in_record) - 1).alias("message_index"), "ord", "role", "text",
         "timestamp", "source_type", "source_subtype", "synthetic_context", "tool_name", "tool_kind", "tool_call_id", "is_error",
     )
 
