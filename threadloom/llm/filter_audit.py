@@ -30,7 +30,7 @@ from .common import MOST_PARTITIONS, parts, slices, written
 
 FILTERS = "ABCDE"
 #: Bytes of distinct texts in a task's trie before it is emptied.
-WINDOW_BYTES = 32 << 20
+WINDOW_BYTES = 16 << 20
 #: The most bytes of texts that one range key has, besides copies from several windows.
 MOST_KEY_BYTES = 64 << 20
 #: Lengths of range keys.
