@@ -101,3 +101,12 @@ def test_a_set_hash_knows_rows_and_counts_not_order(spark):
     assert len({one, *(of(r) for r in others), of(swapped) if rows[0][2] != rows[1][2] else "x"}) == len(others) + 2
     # what joins of fields with a separator would take for the same
     assert of([("a\0b", 1, "")]) != of([("a", 1, "b\0")]) and of([("a", None, "1")]) != of([("a", 1, None)])
+
+
+def test_documents_of_many_lines(spark, tmp_path):
+    record = {"sessionId": "s", "cwd": "/p", "startedAt": 1767225600000, "entries": [{"type": "user", "n": i} for i in range(3)]}
+    for name, text in (("one", json.dumps(record)), ("many", json.dumps(record, indent=2) + "\n"), ("bad", "{\n"), ("no", "[1,\n2]")):
+        (tmp_path / f"{name}.json").write_text(text)
+    docs = logs.read_documents(spark, [str(tmp_path)], "claude_code")
+    assert sorted((r.id, r.cwd, r.timestamp) for r in docs.collect()) == [("s", "/p", "2026-01-01T00:00:00.000Z")] * 2
+    assert logs.document_records(docs).count() == 6

@@ -107,18 +107,20 @@ def counted_records(spark, sf_dir):
     return out.select("event_id", "ord", "total", "omitted")
 
 
-@says("""SELECT conv_id::VARCHAR AS id, turn AS entry, CASE WHEN conv_id % 2 = 0 THEN '/p' ELSE '' END AS cwd, 'sessions' AS root FROM conversations WHERE turn < 3
+@says("""SELECT 'b' || conv_id // 50 AS id, conv_id * 1000 + turn AS entry, CASE WHEN (conv_id // 50) % 2 = 0 THEN '/p' ELSE '' END AS cwd, 'sessions' AS root FROM conversations
 UNION ALL SELECT conv_id::VARCHAR, turn, NULL, 'projects' FROM conversations WHERE turn % 4 = 0 AND conv_id % 2 = 0""")
 def session_roots(spark, sf_dir):
-    """Two roots: one has session documents in `sessions`; the other `projects` as well, where every second conversation has a
-    file of lines within sixteen levels and the rest lie deeper."""
+    """Two roots: one has session documents in `sessions`, fifty conversations to a document; the other `projects` as well,
+    where lines of every second conversation lie within sixteen levels and the rest deeper."""
     c = _t(spark, sf_dir, "conversations")
     one, two = shared.new_path(spark, "root-documents"), shared.new_path(spark, "root-projects")
-    entry = F.to_json(F.struct(F.lit("user").alias("type"), "turn"))
-    file = c.where("turn < 3").groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", entry.alias("e")))).alias("es"))  # three at most
-    head = F.concat(F.lit('{"sessionId":"'), F.col("conv_id").cast("string"), F.lit('","cwd":"'), F.when(F.col("conv_id") % 2 == 0, "/p").otherwise(""), F.lit('","entries":['))
-    document = F.concat(head, F.array_join(F.transform("es", lambda x: x["e"]), ","), F.lit("]}"))
-    file.select("conv_id", document.alias("value")).write.partitionBy("conv_id").text(f"{one}/sessions")
+    # the lines of a file are its document: a head, then an entry to a line
+    own = c.select(F.floor(F.col("conv_id") / 50).alias("b"), (F.col("conv_id") * 1000 + F.col("turn")).alias("n"))
+    head = F.concat(F.lit('{"sessionId":"b'), F.col("b").cast("string"), F.lit('","cwd":"'), F.when(F.col("b") % 2 == 0, "/p").otherwise(""), F.lit('","entries":['))
+    entry = F.concat(F.when(F.col("n") == F.col("first"), head).otherwise(","), F.to_json(F.struct(F.lit("user").alias("type"), F.col("n"))), F.when(F.col("n") == F.col("last"), "]}").otherwise(""))
+    ends = own.groupBy("b").agg(F.min("n").alias("first"), F.max("n").alias("last"))
+    lines = own.join(ends, "b").select("b", "n", entry.alias("value")).repartition("b").sortWithinPartitions("b", "n")
+    lines.select("b", "value").write.partitionBy("b").text(f"{one}/sessions")
     shared.rename(spark, f"{one}/sessions", ".txt", ".json")
     lines = conversation_lines(spark, sf_dir).withColumn("r", F.try_parse_json("raw")).where("r IS NOT NULL").withColumn("id", V.string_at(F.col("r"), "$.sessionId").cast("long")).where(F.try_variant_get("r", "$.turn", "int") % 4 == 0)
     deep = {0: "/".join(["d"] * 15), 1: "/".join(["d"] * 16)}
@@ -127,7 +129,7 @@ def session_roots(spark, sf_dir):
     c.limit(1).select(F.lit("{}").alias("value")).write.text(f"{two}/sessions")
     docs = logs.read_documents(spark, [logs.choose_root(spark, one)], "claude_code")
     entries = logs.document_records(docs).join(docs.select("file_path", "cwd"), "file_path")
-    from_documents = entries.select("id", F.try_variant_get("record", "$.turn", "bigint").alias("entry"), "cwd", F.regexp_extract("file_path", "/(sessions|projects)/", 1).alias("root"))
+    from_documents = entries.select("id", F.try_variant_get("record", "$.n", "bigint").alias("entry"), "cwd", F.regexp_extract("file_path", "/(sessions|projects)/", 1).alias("root"))
     read = logs.read_jsonl(spark, [logs.choose_root(spark, two)], "claude_code", glob="*.txt")
     from_lines = read.select(V.string_at(F.col("record"), "$.sessionId").alias("id"), F.try_variant_get("record", "$.turn", "bigint").alias("entry"), F.lit(None).cast("string").alias("cwd"), F.regexp_extract("file_path", "/(sessions|projects)/", 1).alias("root"))
     return from_documents.unionByName(from_lines)

@@ -50,7 +50,7 @@ def read_jsonl(spark: SparkSession, roots: list[str], kind: str, *, archived: bo
 
 def read_documents(spark: SparkSession, roots: list[str], kind: str) -> DataFrame:
     """One JSON document per file; files without sessionId or id are left out."""
-    files = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.json").option("wholetext", "true").text(roots)
+    files = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.json").text(roots, wholetext=True)
     out = files.select(F.col("_metadata.file_path").alias("file_path"), F.try_parse_json("value").alias("record"))
     text = lambda path: V.string_at(F.col("record"), path)
     stamp = lambda path: F.coalesce(text(path), F.when(V.is_kind(V.at(F.col("record"), path), "BIGINT"), F.try_variant_get("record", path, "string")))
