@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import dealt, gram_hashes, group_count, grouped, mixed, parts, salted_join, written
+from .common import dealt, group_count, grouped, mixed, parts, salted_join, words_at, written
 from .substring_dedup import _least
 
 GRAM = 8
@@ -46,15 +46,6 @@ def reach(length: int) -> int:
     return length * 4 // 5
 
 
-def _words_at(b: np.ndarray) -> np.ndarray:
-    """The 8 bytes from every place on as a number, but for the last seven places."""
-    n = max(0, len(b) - GRAM + 1)
-    out = np.empty(n, np.uint64)
-    for i in range(min(GRAM, n)):
-        out[i::GRAM] = np.frombuffer(b, "<u8", len(range(i, n, GRAM)), i)
-    return out
-
-
 class Spans:
     """The spans of a group's documents: `first` and `last` window and `anchor` of each, as places in `joined`."""
 
@@ -73,7 +64,7 @@ class Spans:
             starts = np.flatnonzero(whole[a : a + _SEGMENT])
             if len(starts):
                 piece = np.ascontiguousarray(self.bytes[a : a + int(starts[-1]) + w + GRAM - 1])
-                v = _words_at(piece)
+                v = words_at(piece)
                 least = _least(mixed(v) & _HIGH | np.arange(len(v), dtype=np.uint64), w)
                 anchor = (least[starts] & _LOW).astype(np.int64)
                 new = np.flatnonzero(np.diff(anchor, prepend=-1))
