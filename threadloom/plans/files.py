@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from threadloom.functions import text as T
 from threadloom.functions import variants as V
 from threadloom.operators import edit, normalize, ordered, query, search_index, summary
-from threadloom.plans.registry import CONV, _t, says
+from threadloom.plans.registry import _t, says
 from threadloom.sources import arrays, logs, shared, snapshots
 from threadloom.streaming import refresh, store
 
