@@ -6,10 +6,13 @@ from pyspark.sql import functions as F
 
 from threadloom.functions import text as T
 from threadloom.operators import export, ordered, query
+from threadloom.plans import files
 from threadloom.plans.registry import CONV
 from threadloom.sources import logs, shared, snapshots
 from threadloom.streaming import refresh
 
+CONVERSATIONS = "conv_id long, turn long, role string, text string"
+
 
 def test_snapshot_keeps_lines_and_their_order_over_many_parts(spark, tmp_path):
     rows = [("big", i, f"line {i}") for i in range(2000)] + [("a b/c.jsonl", 1, "x"), ("a b/c.jsonl", 2, ""), ("a b/c.jsonl", 3, None)]
@@ -26,6 +29,23 @@ def test_snapshot_keeps_lines_and_their_order_over_many_parts(spark, tmp_path):
         snapshots.write_snapshot(df, str(tmp_path / "v1"))
 
 
+def test_lines_of_long_conversations_are_read_in_order(spark, tmp_path):
+    # eight tasks that stay apart, and more than a hundred turns: a file is whole and in order all the same
+    turns = [(conv, turn) for conv in range(60) for turn in range(130 if conv % 29 == 3 else 3)]
+    spark.createDataFrame([(c, t, "user", "said") for c, t in turns], CONVERSATIONS).write.parquet(f"{tmp_path}/conversations.parquet")
+    lines: dict[str, list] = {}
+    for c, t in turns:
+        found = [(False, str(c), t)] + [(True, None, None)] * (t % 5 == 4) + [None] * (t % 7 == 6)
+        lines.setdefault(f"b{c // 50}", []).extend(found)
+    want = {(file, n + 1, *x) for file, found in lines.items() for n, x in enumerate(found) if x}
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = [tuple(r) for r in files.read_lines(spark, str(tmp_path)).collect()]
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert set(got) == want and len(got) == len(want)
+
+
 def test_lines_are_numbered_over_the_splits_of_a_file(spark, tmp_path):
     lines = [f"line {i} " + "x" * (i % 90) for i in range(3000)]
     (tmp_path / "a.jsonl").write_text("\n".join(lines) + "\n")

@@ -23,7 +23,8 @@ def conversation_lines(spark, sf_dir) -> DataFrame:
     c = _t(spark, sf_dir, "conversations")
     said = F.to_json(F.struct(F.lit("message").alias("type"), F.col("conv_id").cast("string").alias("sessionId"), "turn", "role", "text"))
     lines = F.array_compact(F.array(said, F.when(F.col("turn") % 5 == 4, "{bad"), F.when(F.col("turn") % 7 == 6, "  ")))
-    return c.select(_bucket("conv_id").alias("file_path"), (F.col("conv_id") * 100 + F.col("turn")).alias("n"), F.posexplode(lines).alias("k", "raw")).select("file_path", (F.col("n") * 10 + F.col("k")).alias("line_number"), "raw")
+    # a place, not a number: conversations may have any number of turns
+    return c.select(_bucket("conv_id").alias("file_path"), "conv_id", "turn", F.posexplode(lines).alias("k", "raw")).select("file_path", F.struct("conv_id", "turn", "k").alias("line_number"), "raw")
 
 
 _LINES = """WITH l AS (SELECT 'b' || conv_id // 50 AS file, conv_id, turn, 0 AS k, 'message' AS kind FROM conversations
@@ -32,6 +33,12 @@ _LINES = """WITH l AS (SELECT 'b' || conv_id // 50 AS file, conv_id, turn, 0 AS
 """
 
 
+def _write_files(lines: DataFrame, path: str) -> None:
+    """Lines (file_path, line_number, raw) as one file each, below a directory of its name: read by itself, a file has all of
+    its lines. Parts of a snapshot don't; they are for `read_snapshot`."""
+    lines.repartition("file_path").sortWithinPartitions("file_path", "line_number").select("file_path", F.col("raw").alias("value")).write.partitionBy("file_path").text(path)
+
+
 def _written(spark, sf_dir) -> str:
     path = shared.new_path(spark, "lines")
     snapshots.write_snapshot(conversation_lines(spark, sf_dir), path)
@@ -41,7 +48,8 @@ def _written(spark, sf_dir) -> str:
 @says(_LINES + "SELECT file, line_number, kind = 'bad' AS bad, CASE WHEN kind = 'message' THEN conv_id::VARCHAR END AS session, CASE WHEN kind = 'message' THEN turn END AS turn FROM n WHERE kind <> 'blank'")
 def read_lines(spark, sf_dir):
     """Files of lines, read as transcripts: numbered with blank lines counted, those that are no JSON without a record."""
-    path = _written(spark, sf_dir)
+    path = shared.new_path(spark, "lines")
+    _write_files(conversation_lines(spark, sf_dir), path)
     r = F.col("record")
     out = logs.read_jsonl(spark, [path], "codex", glob="*.txt")
     bad = logs.parse_errors(out).select("file_path", "line_number", F.lit(True).alias("bad"))
@@ -70,8 +78,7 @@ def array_log_elements(spark, sf_dir):
     own = F.when(F.col("turn") % 4 == 2, F.col("conv_id").cast("variant")).when(F.col("turn") % 4 < 2, F.col("conv_id").cast("string").cast("variant"))
     record = F.to_variant_object(F.struct(own.alias("sessionId"), F.col("turn")))
     path = shared.new_path(spark, "arrays")
-    lines = snapshots.array_lines(_elements(spark, sf_dir, record))
-    lines.repartition("file_path").sortWithinPartitions("file_path", "line_number").select("file_path", F.col("raw").alias("value")).write.partitionBy("file_path").text(path)
+    _write_files(snapshots.array_lines(_elements(spark, sf_dir, record)), path)
     found = arrays.of_sessions(arrays.array_elements(arrays.scan_arrays(spark, [path], "*.txt")))
     name = F.concat(F.lit("/logs/"), F.regexp_extract("file_path", r"file_path=([^/]+)", 1))
     return found.select(name.alias("file_path"), "line_number", "id", F.try_variant_get("record", "$.turn", "bigint").alias("turn"))
