@@ -4,6 +4,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from threadloom.plans import files
 from threadloom.sources import arrays, logs, snapshots
 
 
@@ -115,3 +116,13 @@ def test_lines_are_numbered_without_a_shuffle_of_them(spark, tmp_path):
     finally:
         for n, v in was.items():
             spark.conf.set(n, v)
+
+
+def test_array_logs_of_turns_that_are_there_twice(spark, tmp_path):
+    turns = [(c, t) for c in range(55) for t in range(4)] + [(0, 0), (49, 3), (50, 0), (54, 3)]
+    spark.createDataFrame([(c, t, "user", "said") for c, t in turns], "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    logs_of: dict[int, list] = {}
+    for c, t in sorted(turns):
+        logs_of.setdefault(c // 50, []).append((c, t))
+    want = sorted((f"/logs/b{b}", n, str(c), t) for b, found in logs_of.items() for n, (c, t) in enumerate(found) if t < 2)
+    assert sorted(tuple(r) for r in files.array_log_elements(spark, str(tmp_path)).collect()) == want

@@ -85,9 +85,10 @@ def array_log_elements(spark, sf_dir):
 
 
 def _elements(spark, sf_dir, record) -> DataFrame:
-    """Turns as elements of array logs, fifty conversations to a log, in their order."""
-    c = _t(spark, sf_dir, "conversations")
-    return c.select(_bucket("conv_id").alias("file_path"), (F.col("conv_id") * 1_000_000 + F.col("turn")).alias("line_number"), record.alias("record"))
+    """Turns as elements of array logs, fifty conversations to a log, numbered in their order: a turn that is there twice has
+    two places."""
+    c = _t(spark, sf_dir, "conversations").select(_bucket("conv_id").alias("file_path"), "conv_id", "turn", record.alias("record"))
+    return ordered.numbered(c, ["file_path"], ["conv_id", "turn"]).select("file_path", F.col("ord").alias("line_number"), "record")
 
 
 @says("""WITH h AS (SELECT event_id, strftime(ts, '%Y-%m-%d') AS day, event_id % 3 AS batch FROM events)

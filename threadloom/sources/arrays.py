@@ -28,14 +28,14 @@ def _before(c: str, w) -> Column:
 
 
 def _pieces(text: DataFrame) -> DataFrame:
-    """Pieces (file_path, block_start, value) with `_id` (their order in a range), `depth` behind them and `inside` (1: their
+    """Pieces (file_path, block_start, value) with `_id` (their place in a range, whichever task has read it), `depth` behind them and `inside` (1: their
     end is in a string)."""
     placed = text.withColumn("_id", F.monotonically_increasing_id()).withColumn("_clean", F.regexp_replace("value", r"(?s)\\.", ""))
     placed = placed.withColumn("_quotes", F.length("_clean") - F.length(F.replace("_clean", F.lit('"'))))
     here, file = Window.partitionBy(*_AT).orderBy("_id"), Window.partitionBy("file_path").orderBy("block_start")
     odd = placed.withColumn("_odd", F.pmod(_before("_quotes", here), F.lit(2)))
     either = odd.withColumns({"_out": _brackets(F.col("_clean"), F.col("_odd")), "_in": _brackets(F.col("_clean"), 1 - F.col("_odd"))}).drop("_clean")
-    upto = either.withColumns({"_out": F.sum("_out").over(here), "_in": F.sum("_in").over(here)})
+    upto = either.withColumns({"_out": F.sum("_out").over(here), "_in": F.sum("_in").over(here), "_id": F.row_number().over(here)})
     ranges = either.groupBy(*_AT).agg(*(F.sum(c).alias(c) for c in ("_quotes", "_out", "_in"))).withColumn("_began", F.pmod(_before("_quotes", file), F.lit(2)))
     ranges = ranges.withColumn("_all", F.when(F.col("_began") == 0, F.col("_out")).otherwise(F.col("_in"))).select(*_AT, "_began", _before("_all", file).alias("_deep"))
     known = upto.join(ranges, _AT)
