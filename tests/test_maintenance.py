@@ -5,7 +5,8 @@ from pyspark.sql import functions as F
 
 from threadloom.operators import edit, ordered, summary
 from threadloom.schemas import Columns
-from threadloom.sources import logs
+from threadloom.plans import files, maintenance
+from threadloom.sources import logs, shared
 
 
 def threads(spark, rows):
@@ -110,3 +111,18 @@ def test_documents_of_many_lines(spark, tmp_path):
     docs = logs.read_documents(spark, [str(tmp_path)], "claude_code")
     assert sorted((r.id, r.cwd, r.timestamp) for r in docs.collect()) == [("s", "/p", "2026-01-01T00:00:00.000Z")] * 2
     assert logs.document_records(docs).count() == 6
+
+
+def test_plans_and_backups_are_read_from_what_was_parsed_once(spark, tmp_path):
+    labels = ["5-LOW", "1-URGENT", "3-MEDIUM"]
+    spark.createDataFrame([(i, i % 7, labels[i % 3]) for i in range(30)], "o_orderkey long, o_custkey long, o_orderpriority string").write.parquet(f"{tmp_path}/orders.parquet")
+    spark.createDataFrame([(i, "BUILDING") for i in range(7)], "c_custkey long, c_mktsegment string").write.parquet(f"{tmp_path}/customer.parquet")
+    with shared.run():
+        held = {r.change: r.holds for r in files.plan_holds(spark, str(tmp_path)).collect()}
+        back = maintenance.restore_records(spark, str(tmp_path))
+        got = sorted((r.file_path, r.line_number, r.provider) for r in back.collect())
+        kept = {p.rsplit("/", 1)[1].rsplit("-", 1)[0] for p in shared.places()}
+        shared.forget(spark)
+    assert held == {"same": True, "a line more": False, "a label changed": False, "another choice": False}
+    assert got == sorted((str(i % 7), i, labels[i % 3]) for i in range(30))
+    assert kept == {"records", "assignments", "plan"}

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
+import itertools
 import json
 import re
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -237,14 +241,22 @@ def set_hash(df: DataFrame, *columns: str) -> DataFrame:
 
     A tree of SHA-256: a row's digest with its count; the sorted digests of all that agree in six hexadecimal digits; of
     those, all that agree in three; of those, all. A node gathers digests alone, at the top 4,096 of them, at the bottom a
-    sixteen-millionth of the different rows.
+    sixteen-millionth of the different rows. Rows are dealt by three digits and sorted, so that a task has a node's rows one
+    after another.
     """
     row = F.sha2(F.to_json(F.struct(*columns)), 256)
-    leaves = df.select(row.alias("d")).groupBy("d").agg(F.count(F.lit(1)).alias("n")).select("d", F.sha2(F.concat_ws(":", "d", F.col("n").cast("string")), 256).alias("h"))
-    node = lambda: F.sha2(F.array_join(F.array_sort(F.collect_list("h")), ""), 256).alias("h")
-    for digits in (6, 3):
-        leaves = leaves.groupBy(F.left("d", F.lit(digits)).alias("d")).agg(node())
-    return leaves.agg(node()).withColumnRenamed("h", "set_hash")
+    counted = df.select(row.alias("d")).groupBy("d").agg(F.count(F.lit(1)).alias("n"))
+    nodes = counted.repartition(F.left("d", F.lit(3))).sortWithinPartitions("d").mapInArrow(_nodes, "h string")
+    return nodes.agg(F.sha2(F.array_join(F.sort_array(F.collect_list("h")), ""), 256).alias("set_hash"))
+
+
+def _nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The nodes (h) of three digits, of rows (d, n) that are sorted by d."""
+    sha = lambda text: hashlib.sha256(text.encode()).hexdigest()
+    rows = ((d, n) for b in batches for d, n in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True))
+    for _, of_three in itertools.groupby(rows, lambda x: x[0][:3]):
+        lower = [sha("".join(sorted(sha(f"{d}:{n}") for d, n in of_six))) for _, of_six in itertools.groupby(of_three, lambda x: x[0][:6])]
+        yield pa.RecordBatch.from_pydict({"h": [sha("".join(sorted(lower)))]})
 
 
 def row_hash(*columns: str) -> Column:

@@ -210,7 +210,8 @@ UNION ALL SELECT 'a label changed', NOT bool_or(o_orderkey = (SELECT max(o_order
 def plan_holds(spark, sf_dir):
     """Whether a plan still holds: for the same lines, after one more, after one changed, and for another choice."""
     records, _ = _plan(spark, sf_dir)
-    a = logs.scan_assignments(records)
+    # lines are parsed once, not for each field and again for each plan; every plan is checked against what was found in them
+    a = shared.kept(logs.scan_assignments(shared.kept(records, "records")), "assignments")
     threads = _t(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.col("c_mktsegment").alias("provider"))
     plan = spark.createDataFrame([(edit.plan_fingerprint(a, threads, ["5-LOW"], "new").first()[0],)], "plan_id string")
     last = a.agg(F.max("line_number").alias("_last"))
