@@ -297,6 +297,20 @@ def test_no_bin_of_op8_holds_near_copies(spark, tmp_path):
     assert len(bins) < 20
 
 
+def test_clusters_count_words_where_they_are_hashed(spark, docs, monkeypatch):
+    odd = [(1000, "\x0b a\u00a0b\x0cc\r\n", None, "o", 0), (1001, "w" * (common.SEGMENT + 9) + " é " + "x" * 30, None, "o", 0), (1001, " \t", None, "p", 0), (None, "\x1f\x85 \u2003", None, None, 0)]
+    rows = docs.select("doc_id", "source", "text").unionByName(spark.createDataFrame(odd, DOCS).select("doc_id", "source", "text"))
+    want = sorted((tuple(r) for r in rows.select("doc_id", "source", common.word_count(F.col("text")), packing.exact_hash("text")).collect()), key=str)
+
+    def again(text):
+        raise AssertionError("words are counted by a pass of its own")
+
+    monkeypatch.setattr(packing, "word_count", again)
+    got = packing.with_clusters(rows).collect()
+    assert sorted(((r.doc_id, r.source, r.tokens) for r in got), key=str) == sorted((r[:3] for r in want), key=str)
+    assert all((r.doc_id, r.source, 0, r.cluster) in want for r in got if not r.tokens)  # no words, no class
+
+
 def test_best_fit_takes_the_tightest_compatible_bin():
     rng = random.Random(5)
     sizes, sources, clusters = ([rng.randrange(1, 50) for _ in range(300)], [rng.randrange(4) for _ in range(300)], [rng.randrange(40) for _ in range(300)])

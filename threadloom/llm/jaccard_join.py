@@ -42,9 +42,9 @@ CELL = 64
 PIVOTS = 8
 
 
-def shingles(texts: list[str | None], n: int) -> list[tuple[int, np.ndarray]]:
-    """Sizes of the sets of n-word shingles of all texts, and the sets as sorted 64-bit hashes. Of fewer words, the whole
-    sequence is the one shingle. A set of one has two hashes of it, as there a single collision would be a link; it links
+def shingles(texts: list[str | None], n: int) -> list[tuple[int, int, np.ndarray]]:
+    """Words of all texts, sizes of their sets of n-word shingles, and the sets as sorted 64-bit hashes. Of fewer words, the
+    whole sequence is the one shingle. A set of one has two hashes of it, as there a single collision would be a link; it links
     with sets of one alone, so nothing else changes."""
     lower = [t.encode().lower() if t else b"" for t in texts]  # of bytes, lower() changes A-Z alone
     words, _, counts = hashed_words(lower)
@@ -54,7 +54,7 @@ def shingles(texts: list[str | None], n: int) -> list[tuple[int, np.ndarray]]:
         h = np.sort(grams[end - count : end - n + 1]) if count >= n else np.zeros(min(count, 1), np.uint64)
         h = h[np.concatenate([[True], h[1:] != h[:-1]])] if len(h) else h
         two = xxhash.xxh3_128_digest(b" ".join(text.split(None, n)[:n])) if len(h) == 1 else b""
-        out.append((len(h), np.sort(np.frombuffer(two, np.uint64)) if two else h))
+        out.append((count, len(h), np.sort(np.frombuffer(two, np.uint64)) if two else h))
     return out
 
 
@@ -63,12 +63,14 @@ class Sets:
 
     def __init__(self, t: pa.Table, n: int) -> None:
         self.keys = t.column("key").to_pylist()
+        self.words: list[int] = []
         self.sizes: list[int] = []
         self.of: list[int] = []
         self.sets: list[np.ndarray] = []
         self.least: list[int] = []
         index: dict[bytes, int] = {}
-        for key, (size, s) in zip(self.keys, shingles(t.column("text").to_pylist(), n), strict=True):
+        for key, (words, size, s) in zip(self.keys, shingles(t.column("text").to_pylist(), n), strict=True):
+            self.words.append(words)
             self.sizes.append(size)
             if not len(s) or key is None:
                 self.of.append(-1)
@@ -90,13 +92,13 @@ def send(t: pa.Table, n: int, shards: int) -> pa.Table:
 
 
 def select(t: pa.Table, back: pa.Table, n: int, shards: int, percent: int) -> pa.Table:
-    """Rows of kind 0: a document's key, set size and the smallest key of its set in the group. Rows of kind 1: a set
-    that may link, with its prefix."""
+    """Rows of kind 0: a document's key, words, set size, the smallest key of its set in the group, and the columns it
+    carries. Rows of kind 1: a set that may link, with its prefix."""
     sets = Sets(t, n) if t.num_rows else None
-    keys, sizes, same = [], [], []
+    keys, words, sizes, same = [], [], [], []
     some: list[tuple[int, int, bytes, bytes, bytes]] = []
     if sets:
-        keys, sizes = sets.keys, sets.sizes
+        keys, words, sizes = sets.keys, sets.words, sets.sizes
         same = [k if i < 0 else sets.least[i] for k, i in zip(sets.keys, sets.of, strict=True)]
         if len(sets.flat):
             _, at = np.unique(frequencies.places(sets.flat, shards), return_inverse=True)
@@ -112,11 +114,13 @@ def select(t: pa.Table, back: pa.Table, n: int, shards: int, percent: int) -> pa
     return pa.table({
         "kind": pa.array([0] * m + [1] * len(some), pa.int32()),
         "key": pa.array([*keys, *cols[0]], pa.int64()),
+        "words": pa.array([*words, *[None] * len(some)], pa.int64()),
         "size": pa.array([*sizes, *cols[1]], pa.int64()),
         "same": pa.array([*same, *[None] * len(some)], pa.int64()),
         "digest": pa.array([*[None] * m, *cols[2]], pa.binary()),
         "set": pa.array([*[None] * m, *cols[3]], pa.binary()),
         "prefix": pa.array([*[None] * m, *cols[4]], pa.binary()),
+        **{c: pa.chunked_array([*t.column(c).chunks, pa.nulls(len(some), t.column(c).type)]) for c in t.column_names if c.startswith("c_")},
     })
 
 
@@ -262,14 +266,15 @@ def tile_pair(t: pa.Table, percent: int) -> pa.Table:
     return _found(region)
 
 
-def tile_links(left: DataFrame, sets: DataFrame, *, percent: int, chunk: int) -> DataFrame:
+def tile_links(left: DataFrame, sizes: DataFrame, sets: DataFrame, *, percent: int, chunk: int) -> DataFrame:
     """Links of regions of any size. `left`: region, key, d (distance to the pivot), links (whether it links with it).
+    `sizes`: key, size. `sets`: key, set.
 
     A tile is a range of sizes and of distances that a link spans at most one border of, dealt by hash into parts.
     """
     radius, width = 1 - percent / 100 + 1e-6, math.log(100 / percent) + 1e-6
     x, y = F.floor(F.log("size") / width).cast("int"), F.floor(F.col("d") / radius).cast("int")
-    placed = left.join(sets.select("key", "size"), "key").select("region", "key", "links", x.alias("x"), y.alias("y"))
+    placed = left.join(sizes, "key").select("region", "key", "links", x.alias("x"), y.alias("y"))
     at = ["region", "x", "y", "links"]
     counts = written(placed.groupBy(*at).agg(F.count(F.lit(1)).alias("_n")).withColumn("parts", F.ceil(F.col("_n") / chunk).cast("long")), "jaccard-tiles")
     total = counts.agg(F.sum("_n")).first()[0] or 0
@@ -281,23 +286,23 @@ def tile_links(left: DataFrame, sets: DataFrame, *, percent: int, chunk: int) ->
     pairs = ones.join(tiles.select("region", "x", "y", tile.alias("b")), ["region", "x", "y"]).where((F.col("a") <= F.col("b")) & ~(F.col("a.links") & F.col("b.links"))).select("region", "a", "b")
     sides = F.array(F.struct(F.lit(0).alias("side"), F.col("a").alias("t")), F.struct(F.lit(1).alias("side"), F.col("b").alias("t")))
     ends = pairs.select("region", "a", "b", F.explode(F.when(F.col("a") == F.col("b"), F.slice(sides, 1, 1)).otherwise(sides)).alias("e")).select("region", F.struct("a", "b").alias("pair"), "e.side", "e.t.*")
-    loaded = in_parts.join(ends, [*at, "part"]).select("region", "pair", "side", "links", "key").join(sets.select("key", "set"), "key")
+    loaded = in_parts.join(ends, [*at, "part"]).select("region", "pair", "side", "links", "key").join(sets, "key")
     return loaded.groupBy("region", "pair").applyInArrow(lambda t: tile_pair(t.select(["key", "set", "links", "side"]), percent), "a long, b long")
 
 
-def near_links(sets: DataFrame, *, percent: int, chunk: int = CHUNK) -> DataFrame:
-    """Links (a, b) that connect all sets within the radius. `sets`: key, size, set, prefix; equal sets only once."""
-    spark = sets.sparkSession
-    postings = sets.select("key", "prefix").mapInArrow(lambda bs: (b for x in bs for b in _prefixes(pa.Table.from_batches([x])).to_batches()), "key long, shingle long")
+def near_links(heads: DataFrame, sets: DataFrame, *, percent: int, chunk: int = CHUNK) -> DataFrame:
+    """Links (a, b) that connect all sets within the radius. `heads`: key, size, prefix; equal sets only once. `sets`: key, set,
+    of these keys and others. A key with several sets meets with all of them, head or not: what they link with links with it."""
+    postings = heads.select("key", "prefix").mapInArrow(lambda bs: (b for x in bs for b in _prefixes(pa.Table.from_batches([x])).to_batches()), "key long, shingle long")
     pivots = postings.groupBy("shingle").agg(F.min("key").alias("region"), F.max("key").alias("_most"), F.count(F.lit(1)).alias("_n")).where("region < _most").drop("_most")
-    total = sets.agg(F.sum(F.octet_length("prefix")) / 8).first()[0] or 0
+    total = heads.agg(F.sum(F.octet_length("prefix")) / 8).first()[0] or 0
     places = written(salted_join(postings, pivots, ["shingle"], rows="_n", total=int(total)).where("key <> region").select("region", "key").distinct(), "jaccard-places")
     # a chunk holds part of a region and the pivot, so no region gathers in one task
     sized = places.groupBy("region").agg(F.count(F.lit(1)).alias("_n")).withColumn("chunks", F.ceil(F.col("_n") / chunk).cast("long"))
     total = places.count()
     members = salted_join(places, sized, ["region"], rows="_n", total=total).select("region", "key", F.pmod(F.xxhash64("key"), "chunks").alias("chunk"))
     own = sized.select("region", F.col("region").alias("key"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).alias("chunk"))
-    loaded = members.unionByName(own).join(sets.select("key", "set"), "key")
+    loaded = members.unionByName(own).join(sets, "key")
     met = written(loaded.groupBy("region", "chunk").applyInArrow(lambda t: star(t, percent), "region long, key long, d double, links boolean"), "jaccard-star")
     links = met.where("links").select(F.col("region").alias("a"), F.col("key").alias("b"))
     radius = 1 - percent / 100
@@ -305,31 +310,39 @@ def near_links(sets: DataFrame, *, percent: int, chunk: int = CHUNK) -> DataFram
     left = written(salted_join(met, outside, ["region"], rows="_n", total=total).where(~F.col("links") | (F.col("d") >= F.col("_out") - F.lit(radius + 1e-9))).select("region", "key", "d", "links"), "jaccard-left")
     sizes = left.groupBy("region").agg(F.count(F.lit(1)).alias("_n")).withColumn("many", F.col("_n") > chunk)
     sorted_out = salted_join(left, sizes, ["region"], rows="_n", total=total)
-    few = sorted_out.where("NOT many").select("region", "key", "links").join(sets.select("key", "set"), "key")
+    few = sorted_out.where("NOT many").select("region", "key", "links").join(sets, "key")
     rest = few.groupBy("region").applyInArrow(lambda t: leaf(t.select(["key", "set", "links"]), percent), "a long, b long")
     many = sorted_out.where("many").drop("many")
-    return links.unionByName(rest).unionByName(tile_links(many, sets, percent=percent, chunk=chunk))
+    return links.unionByName(rest).unionByName(tile_links(many, heads.select("key", "size"), sets, percent=percent, chunk=chunk))
 
 
-def classes(docs: DataFrame, *, percent: int = 80, n: int = 5, key: str = "doc_id", text: str = "text", chunk: int = CHUNK) -> DataFrame:
-    """Per row: key (a whole number), n_shingles, component_id (the smallest key that links of at least percent/100 lead to).
-
-    Null and wordless texts have no shingles and link with nothing; a row with a null key has a null component. Rows of
-    one key count as one document with several texts. Other columns aren't read. `chunk`: how many sets a task holds of a
-    region.
-    """
+def class_rows(docs: DataFrame, *, percent: int = 80, n: int = 5, key: str = "doc_id", text: str = "text", chunk: int = CHUNK, carry: tuple[str, ...] = ()) -> DataFrame:
+    """As `classes`, with the columns `carry` and n_words: words are counted where they are hashed."""
     g = group_count(docs, text)
     shards = frequencies.shards(g)
-    texts = grouped(docs, g, key, text)
+    kinds = dict(docs.dtypes)
+    texts = grouped(docs, g, key, text, *carry)
     sent = texts.groupBy("p", "g").applyInArrow(lambda t: send(t, n, shards), frequencies.SENT)
     back = dealt(sent, "shard", shards).groupBy("p", "shard").applyInArrow(frequencies.classify, frequencies.BACK)
-    schema = "kind int, key long, size long, same long, digest binary, set binary, prefix binary"
+    schema = ", ".join(["kind int, key long, words long, size long, same long, digest binary, set binary, prefix binary", *(f"`c_{c}` {kinds[c]}" for c in carry)])
     found = written(texts.groupBy("p", "g").cogroup(dealt(back, "g", g).groupBy("p", "g")).applyInArrow(lambda a, b: select(a, b, n, shards, percent), schema), "jaccard-sets")
-    rows = found.where("kind = 0").select("key", "size", "same")
+    rows = found.where("kind = 0").select("key", "words", "size", "same", *(f"c_{c}" for c in carry))
     some = found.where("kind = 1")
-    heads = some.groupBy("digest").agg(F.min("key").alias("head"))
-    equal = some.select("key", "digest").join(heads, "digest").select("key", "head").where("key <> head")
-    sets = some.join(heads.select(F.col("head").alias("key"), "digest"), ["key", "digest"], "left_semi").select("key", "size", "set", "prefix")
-    links = equal.toDF("a", "b").unionByName(near_links(sets, percent=percent, chunk=chunk))
+    least = some.groupBy("digest").agg(F.min("key").alias("head"))
+    # without the sets, which are several times what their prefixes take and are loaded where they meet
+    placed = written(some.select("key", "size", "digest", "prefix").join(least, "digest").select("key", "head", "size", F.when(F.col("key") == F.col("head"), F.col("prefix")).alias("prefix")), "jaccard-heads")
+    equal = placed.where("key <> head").select("key", "head")
+    heads = placed.where("key = head").select("key", "size", "prefix")
+    links = equal.toDF("a", "b").unionByName(near_links(heads, some.select("key", "set"), percent=percent, chunk=chunk))
     found_in = components(links)
-    return rows.join(found_in, F.col("same") == F.col("node"), "left").select(F.col("key").alias(key), F.col("size").alias("n_shingles"), F.coalesce("component", "same").alias("component_id"))
+    return rows.join(found_in, F.col("same") == F.col("node"), "left").select(F.col("key").alias(key), *(F.col(f"c_{c}").alias(c) for c in carry), F.col("words").alias("n_words"), F.col("size").alias("n_shingles"), F.coalesce("component", "same").alias("component_id"))
+
+
+def classes(docs: DataFrame, *, percent: int = 80, n: int = 5, key: str = "doc_id", text: str = "text", chunk: int = CHUNK) -> DataFrame:
+    """Per row: key (a whole number), n_shingles, component_id (the smallest key that links of at least percent/100 lead to).
+
+    Null and wordless texts have no shingles and link with nothing; a row with a null key has a null component. Rows of
+    one key count as one document with several texts. Other columns aren't read. `chunk`: how many sets a task holds of a
+    region.
+    """
+    return class_rows(docs, percent=percent, n=n, key=key, text=text, chunk=chunk).select(key, "n_shingles", "component_id")

@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import jaccard_join
-from .common import parts, word_count, written
+from .common import parts, salted_join, word_count, written
 from .components import components
 
 #: Equal rows that one task counts out at a time.
@@ -90,17 +90,26 @@ def with_clusters(docs: DataFrame, *, key: str = "doc_id", text: str = "text", s
     """Per row: key, source, tokens (words) and cluster, for `pack`: rows share a cluster whose documents are in one class
     of the Jaccard join, or whose texts are equal but for case, directly or not. Rows without words or without a key
     are in no class; by equal texts they are in a cluster too."""
-    slim = written(docs.select(F.col(key).alias("key"), F.col(source).alias("source"), word_count(F.col(text)).alias("tokens"), exact_hash(text).alias("exact")), "packing-rows")
-    classes = jaccard_join.classes(docs.select(F.col(key).alias("key"), F.col(text).alias("text")), key="key")
-    found = written(classes.where("n_shingles > 0 AND key IS NOT NULL").select("key", F.col("component_id").alias("c")).distinct(), "packing-classes")
-    pairs = written(slim.where("tokens > 0").join(found, "key").select("exact", "c").distinct(), "packing-texts")
-    least = pairs.groupBy("exact").agg(F.min("c").alias("c"))
-    roots = components(pairs.join(least.withColumnRenamed("c", "_least"), "exact").select("c", "_least"))
-    root = lambda df: df.join(roots, F.col("c") == F.col("node"), "left").withColumn("c", F.coalesce("component", "c")).drop("node", "component")
-    keyed = slim.where("key IS NOT NULL").join(root(found.groupBy("key").agg(F.min("c").alias("c"))), "key", "left")
-    rest = slim.where("key IS NULL").join(root(least), "exact", "left")
-    cluster = F.when(F.col("c").isNotNull() & (F.col("tokens") > 0), F.xxhash64("c", F.lit("class"))).otherwise(F.col("exact"))
-    return keyed.unionByName(rest).select(F.col("key").alias(key), F.col("source").alias(source), "tokens", cluster.alias("cluster"))
+    kind = dict(docs.dtypes)[key]
+    hashed = docs.select(F.col(key).alias("key"), F.col(text).alias("text"), F.col(source).alias("source"), exact_hash(text).alias("exact"))
+    classed = jaccard_join.class_rows(hashed, key="key", carry=("source", "exact"))
+    rows = written(classed.select("key", "source", "exact", F.col("n_words").alias("tokens"), F.when(F.col("key").isNotNull() & (F.col("n_words") > 0), F.col("component_id")).alias("c")), "packing-rows")
+    known, keyless = rows.where("c IS NOT NULL"), rows.where("key IS NULL")
+
+    def meet(by: str) -> DataFrame:
+        """Classes that meet in one text or key, each with the least of them. Nearly all texts and keys have one class alone;
+        the rest are written first, so that few of them are broadcast."""
+        several = written(known.groupBy(by).agg(F.min("c").alias("least"), F.max("c").alias("_most")).where("least < _most").select(by, "least"), "packing-several")
+        return known.join(several, by).where("c <> least").select("c", "least").distinct()
+
+    roots = written(components(meet("exact").unionByName(meet("key"))).toDF("c", "root"), "packing-roots")
+    moved = written(known.join(roots, "c").groupBy("c", "root").agg(F.count(F.lit(1)).alias("n")), "packing-moved")
+    found = salted_join(known, moved, ["c"], rows="n", total=rows.count(), how="left").withColumn("c", F.coalesce("root", "c")).drop("root").unionByName(rows.where("key IS NOT NULL AND c IS NULL"))
+    if not keyless.isEmpty():
+        least = known.groupBy("exact").agg(F.min("c").alias("c")).join(roots, "c", "left").select("exact", F.coalesce("root", "c").alias("c"))
+        found = found.unionByName(keyless.drop("c").join(least, "exact", "left").select(*found.columns))
+    cluster = F.coalesce(F.when(F.col("c").isNotNull(), F.xxhash64("c", F.lit("class"))), F.col("exact"))
+    return found.select(F.col("key").cast(kind).alias(key), F.col("source").alias(source), "tokens", cluster.alias("cluster"))
 
 
 def pack(docs: DataFrame, *, capacity: int = 2048, max_per_source: int = 2, shard_docs: int = 4096, key: str = "doc_id", text: str = "text", source: str = "source", tokens: Column | None = None, cluster: Column | None = None) -> DataFrame:
