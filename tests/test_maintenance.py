@@ -126,3 +126,42 @@ def test_plans_and_backups_are_read_from_what_was_parsed_once(spark, tmp_path):
     assert held == {"same": True, "a line more": False, "a label changed": False, "another choice": False}
     assert got == sorted((str(i % 7), i, labels[i % 3]) for i in range(30))
     assert kept == {"records", "assignments", "plan"}
+
+
+def test_records_are_not_broadcast_for_their_small_files(spark, tmp_path):
+    labels = ["5-LOW", "1-URGENT", "3-MEDIUM", None]
+    spark.createDataFrame([(i, i % 7, labels[i % 4]) for i in range(40)], "o_orderkey long, o_custkey long, o_orderpriority string").write.parquet(f"{tmp_path}/orders.parquet")
+    with shared.run():
+        back = maintenance.restore_records(spark, str(tmp_path))
+        # as files, records are a fiftieth of what they are in memory: by the files' size tables of millions of rows were broadcast
+        assert "Broadcast" not in back._jdf.queryExecution().executedPlan().toString()
+        assert sorted(map(tuple, back.collect()), key=lambda r: r[1]) == [(str(i % 7), i, labels[i % 4]) for i in range(40)]
+        shared.forget(spark)
+
+
+def test_a_line_is_parsed_once_for_its_assignment(spark, tmp_path):
+    meta = lambda **p: {"type": "session_meta", "payload": p}
+    lines = [meta(id="a", model_provider="old"), meta(id=1, model_provider="old"), meta(id="c", model_provider=5), meta(id="d", model_provider=None), meta(id="e"), {"type": "session_meta", "payload": "old"}]
+    lines += [{"type": t, "payload": {"id": "x", "model_provider": "old"}} for t in (None, 1, ["session_meta"], {"session_meta": 1}, "event_msg")]
+    raw = [*map(json.dumps, lines), "[1]", "null", "{"]
+    spark.createDataFrame([("f", i, x) for i, x in enumerate(raw)], "file_path string, line_number long, raw string").write.parquet(f"{tmp_path}/lines")
+    found = logs.scan_assignments(spark.read.parquet(f"{tmp_path}/lines").withColumn("record", F.try_parse_json("raw")))
+    assert sorted(map(tuple, found.collect())) == [("f", 0, "a", "old"), ("f", 1, None, "old")]
+    plan = edit.plan_relabel(found, ["old"], "new")
+    assert plan._jdf.queryExecution().optimizedPlan().toString().lower().count("parsejson") == 1
+    assert sorted(map(tuple, plan.collect())) == [("f", 0, "old", "new"), ("f", 1, "old", "new")]
+
+
+def test_relabelling_changes_one_field_and_its_backup_may_hold_more_lines(spark):
+    record = lambda p: {"model_provider": "old", "n": [1, None], "none": None, "payload": {"id": "é", "model_provider": p, "none": None, "payload": {"model_provider": "old", "x": {}}}, "type": "session_meta"}
+    rows = [("f", 1, json.dumps(record("old"))), ("f", 2, json.dumps(record("keep"))), ("g", 1, json.dumps({"type": "other", "payload": [1]})), ("g", 2, None)]
+    before = spark.createDataFrame(rows, "file_path string, line_number long, raw string").withColumn("record", F.try_parse_json("raw")).drop("raw")
+    of = lambda df: {(f, n): j and json.loads(j) for f, n, j in df.select("file_path", "line_number", F.to_json("record")).collect()}
+    plan = edit.plan_relabel(logs.scan_assignments(before), ["old"], "new")
+    image, after = edit.before_image(before, plan), edit.relabel_records(before, plan)
+    assert of(after) == of(before) | {("f", 1): record("new")}
+    assert [(r.session_id, r.old, r.new) for r in image.collect()] == [("é", "old", "new")]
+    assert [r.sound for r in edit.check_image(image, before).collect()] == [True]
+    assert of(edit.restore_records(after, image, before)) == of(before)
+    gone = plan.unionByName(spark.createDataFrame([("gone", 1, "old", "new")], plan.schema))
+    assert sorted((r.path, r.record_sha256 is None, r.sound) for r in edit.check_image(edit.before_image(before, gone), before).collect()) == [("f", False, True), ("gone", True, False)]

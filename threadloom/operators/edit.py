@@ -6,7 +6,7 @@ import hashlib
 import itertools
 import json
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -79,8 +79,9 @@ def before_image(records: DataFrame, plan: DataFrame, manifest: DataFrame | None
     """path, line_number, session_id, old, new, record_sha256 and file_sha256 of every planned line as it is before it is
     changed. `records`: file_path, line_number, record. `manifest` (file_path, sha256) gives the files' hashes; null without."""
     r = F.col("record")
-    now = records.select(F.col("file_path").alias("path"), "line_number", V.string_at(r, "$.payload.id").alias("session_id"), entry_fingerprint(r).alias("record_sha256"))
-    out = plan.join(now, ["path", "line_number"], "left")
+    # records are as many as they are, however small their files: a hash of each would be broadcast where these compress well
+    out = plan.join(records.select(F.col("file_path").alias("path"), "line_number", r).hint("merge"), ["path", "line_number"], "left")
+    out = out.withColumns({"session_id": V.string_at(r, "$.payload.id"), "record_sha256": entry_fingerprint(r)})
     files = manifest.select(F.col("file_path").alias("path"), F.col("sha256").alias("file_sha256")) if manifest is not None else None
     out = out.join(files, "path", "left") if files is not None else out.withColumn("file_sha256", F.lit(None).cast("string"))
     return out.select("path", "line_number", "session_id", "old", "new", "record_sha256", "file_sha256")
@@ -170,6 +171,12 @@ def with_field(v: Column, key: str, value: Column) -> Column:
     return F.to_variant_object(F.map_concat(rest, F.create_map(F.lit(key), value)))
 
 
+def _replaced(v: Column, key: str, change: Callable[[Column], Column]) -> Column:
+    """A JSON object with the value of a field that it has changed."""
+    fields = F.try_variant_get(v, "$", "map<string,variant>")
+    return F.to_variant_object(F.transform_values(fields, lambda k, x: F.when(k == key, change(x)).otherwise(x)))
+
+
 def redact_artifacts(files: DataFrame, refs: DataFrame) -> DataFrame:
     """Artifact files (session, name, content) but for those named (session, name, fingerprint) whose content is still the same."""
     now = files.withColumn("fingerprint", F.sha2(F.col("content").cast("binary"), 256))
@@ -316,9 +323,8 @@ def relabel_records(records: DataFrame, plan: DataFrame) -> DataFrame:
     """
     now = V.string_at(F.col("record"), "$.payload.model_provider")
     j = _planned(records, plan.select(F.col("path").alias("file_path"), "line_number", "old", "new"), ["file_path", "line_number"], now)
-    fields = F.try_variant_get("record", "$", "map<string,variant>")
-    payload = F.create_map(F.lit("payload"), with_field(V.at(F.col("record"), "$.payload"), "model_provider", F.col("new").cast("variant")))
-    changed = F.to_variant_object(F.map_concat(F.map_filter(fields, lambda k, _: k != "payload"), payload))
+    # a planned line has both fields, or it were stale: their values are replaced where they are
+    changed = _replaced(F.col("record"), "payload", lambda payload: _replaced(payload, "model_provider", lambda _: F.col("new").cast("variant")))
     return j.withColumn("record", F.when(F.col("new").isNotNull(), changed).otherwise(F.col("record"))).drop("old", "new")
 
 
@@ -356,8 +362,9 @@ def relabel_threads(threads: DataFrame, sources: list[str], target: str) -> Data
 def check_image(image: DataFrame, backup: DataFrame) -> DataFrame:
     """The before-image (path, line_number, record_sha256, …) with `sound`: whether the backup's record (file_path, line_number,
     record) is still what the image says. Nothing may be rolled back from lines that aren't."""
-    kept = backup.select(F.col("file_path").alias("path"), "line_number", entry_fingerprint(F.col("record")).alias("_now"))
-    return image.join(kept, ["path", "line_number"], "left").withColumn("sound", F.coalesce(F.col("_now") == F.col("record_sha256"), F.lit(False))).drop("_now")
+    kept = backup.select(F.col("file_path").alias("path"), "line_number", F.col("record").alias("_kept"))
+    now = entry_fingerprint(F.col("_kept"))
+    return image.join(kept.hint("merge"), ["path", "line_number"], "left").withColumn("sound", F.coalesce(now == F.col("record_sha256"), F.lit(False))).drop("_kept")
 
 
 def restore_records(records: DataFrame, image: DataFrame, backup: DataFrame) -> DataFrame:

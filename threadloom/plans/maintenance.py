@@ -37,12 +37,11 @@ def rollback_threads(spark, sf_dir):
 def restore_records(spark, sf_dir):
     """Orders as records, relabelled, then restored from the before-image and a backup that still is what it says."""
     o = _t(spark, sf_dir, "orders")
-    raw = F.to_json(F.struct(F.lit("session_meta").alias("type"), F.struct(F.col("o_orderkey").cast("string").alias("id"), F.col("o_orderpriority").alias("model_provider")).alias("payload")))
-    records = o.select(F.col("o_custkey").cast("string").alias("file_path"), F.col("o_orderkey").alias("line_number"), F.parse_json(raw).alias("record"))
-    records = shared.kept(records, "records")
+    payload = F.struct(F.col("o_orderkey").cast("string").alias("id"), F.col("o_orderpriority").alias("model_provider"))
+    record = F.to_variant_object(F.struct(F.lit("session_meta").alias("type"), payload.alias("payload")))
+    records = o.select(F.col("o_custkey").cast("string").alias("file_path"), F.col("o_orderkey").alias("line_number"), record.alias("record"))
     plan = shared.kept(edit.plan_relabel(logs.scan_assignments(records), ["5-LOW", "1-URGENT"], "new"), "plan")
-    backup = records.join(plan.select(F.col("path").alias("file_path"), "line_number"), ["file_path", "line_number"], "left_semi")
-    back = edit.restore_records(edit.relabel_records(records, plan), edit.before_image(records, plan), backup)
+    back = edit.restore_records(edit.relabel_records(records, plan), edit.before_image(records, plan), records)
     return back.select("file_path", "line_number", V.string_at(F.col("record"), "$.payload.model_provider").alias("provider"))
 
 

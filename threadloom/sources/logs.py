@@ -232,7 +232,12 @@ def read_threads(df: DataFrame) -> DataFrame:
 
 
 def scan_assignments(records: DataFrame) -> DataFrame:
-    """path, line_number, session_id, provider of the session_meta lines that name a provider."""
+    """path, line_number, session_id, provider of the session_meta lines that name a provider.
+
+    The provider goes through an `explode`, below which no filter is pushed: there it would parse a line, or make its record,
+    anew for each mention.
+    """
     r = F.col("record")
-    out = records.where(V.string_at(r, "$.type") == "session_meta").select(F.col("file_path").alias("path"), "line_number", V.string_at(r, "$.payload.id").alias("session_id"), V.string_at(r, "$.payload.model_provider").alias("provider"))
-    return out.where("provider IS NOT NULL")
+    provider = F.when(F.try_variant_get(r, "$.type", "string") == "session_meta", V.string_at(r, "$.payload.model_provider"))
+    found = records.select(F.col("file_path").alias("path"), "line_number", r, F.explode(F.array(provider)).alias("provider")).where("provider IS NOT NULL")
+    return found.select("path", "line_number", V.string_at(r, "$.payload.id").alias("session_id"), "provider")
